@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, ascii_lower, row_key
+from ._common import BLANKS, ascii_lower, materialise, row_key
 
 SALTS = 64
 
@@ -41,10 +41,12 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
         )
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = at.repartitionByRange(n, "hash", "salt")
+    # The hashes are written once; the sample for the ranges, the sorted stream and the join all read them.
+    at = materialise(at)
+    ranged = at.repartitionByRange(n, "hash", "salt")
     stream = Window.partitionBy("hash", "salt").orderBy(F.desc_nulls_last("doc_id"), "row", "pos")
     before = F.lag("doc_id").over(stream)
-    seen = at.select(
+    seen = ranged.select(
         "hash",
         "salt",
         "doc_id",
