@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: The most labelled rows that a model is fitted on (those of smallest hash).
 SAMPLE_ROWS = 20_000
 #: The most features that a model keeps.
-KEPT = 8_192
+KEPT = 2_048
 HASHED = 1 << 22
 SIZES = (3, 4, 5)
 MIN_DOCS = 5
@@ -75,14 +75,16 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _fit(rows: list[tuple[list[int], int]], ratio: dict[int, float], steps: int = 300, l2: float = 0.02) -> Model:
-    """Logistic regression by accelerated gradient steps over the scaled features."""
-    n = len(rows)
-    ids = {f: k for k, f in enumerate(sorted(ratio))}
-    scale = np.array([ratio[f] for f in sorted(ratio)])
-    row = np.repeat(np.arange(n), [len(x) for x, _ in rows])
-    col = np.array([ids[f] for x, _ in rows for f in x], np.int64)
-    val, y = scale[col], np.array([t for _, t in rows], float)
+def _fit(found: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, ratio: dict[int, float], steps: int = 800, l2: float = 0.02) -> Model:
+    """Logistic regression by accelerated gradient steps over the scaled features.
+
+    found has the features of all rows in a line, lengths how many each row has."""
+    n = len(toxic)
+    kept = np.array(sorted(ratio), np.int64)
+    scale = np.array([ratio[f] for f in kept.tolist()])
+    col = np.searchsorted(kept, found)
+    row = np.repeat(np.arange(n), lengths)
+    val, y = scale[col], toxic.astype(float)
     prior = math.log((y.sum() + 1) / (n - y.sum() + 1))
     w, b, wm, bm = np.zeros(len(scale)), prior, np.zeros(len(scale)), prior
     rate = 4 / max(1.0, float(np.max(np.bincount(row, val**2, n), initial=1.0)) + 1)
@@ -92,7 +94,7 @@ def _fit(rows: list[tuple[list[int], int]], ratio: dict[int, float], steps: int
         w2, b2 = wm - rate * g, bm - rate * float((p - y).mean())
         m = k / (k + 3)
         wm, bm, w, b = w2 + m * (w2 - w), b2 + m * (b2 - b), w2, b2
-    return Model(b, {f: float(w[k] * scale[k]) for f, k in ids.items() if w[k]})
+    return Model(b, {f: x for f, x in zip(kept.tolist(), (w * scale).tolist(), strict=True) if x})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, kept: int = KEPT) -> Model:
@@ -127,11 +129,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, kept
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(ratios.__contains__)
         for batch in batches:
-            found = [sorted(read(t)) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch["toxic"]], ["features", "toxic"])
-
-    rows = texts.mapInArrow(present, "features array<int>, toxic int").collect()
-    return _fit([(r["features"], r["toxic"]) for r in rows], ratios)
+            found = [np.array(sorted(read(t)), np.uint32) for t in batch["text"].to_pylist()]
+            cols = [np.concatenate([*found, np.zeros(0, np.uint32)]), np.array([len(x) for x in found], np.uint32), np.array(batch["toxic"].to_pylist(), np.uint8)]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["found", "lengths", "toxic"])
+
+    # What comes to the driver is bounded: sample_rows rows with kept features at most, packed.
+    rows = texts.mapInArrow(present, "found binary, lengths binary, toxic binary").collect()
+    found, lengths, toxic = (np.concatenate([np.frombuffer(bytes(r[k]), t) for r in rows]) for k, t in (("found", np.uint32), ("lengths", np.uint32), ("toxic", np.uint8)))
+    return _fit(found, lengths, toxic, ratios)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
