@@ -62,7 +62,7 @@ SELECT vec_id + 2000000, hi, xor(lo, 63) FROM h WHERE vec_id % 15 = 0 UNION ALL
 SELECT vec_id + 3000000, hi, xor(lo, 127) FROM h WHERE vec_id % 20 = 0 UNION ALL
 SELECT vec_id + 4000000, hi, lo FROM h WHERE vec_id % 25 = 0""",
     "scored": """
-SELECT d.doc_id AS id, d.source AS group_id, l.quality AS label, round(least(1.0, d.n_chars / 4000.0), 4) AS score
+SELECT d.doc_id AS id, d.source AS group_id, l.quality AS label, CAST(least(10000, floor(d.n_chars * 2.5)) AS DOUBLE) / 10000 AS score
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "scored3": """
 SELECT row_no AS id, CASE k3 WHEN 0 THEN 'GENUINE' WHEN 1 THEN 'SUSPICIOUS' ELSE 'FRAUDULENT' END AS label,
@@ -91,7 +91,7 @@ SELECT doc_id AS record_id, source AS provider_family, lang AS source_corpus,
   || CASE WHEN doc_id % 3 = 0 THEN ' call 0241234' || lpad(CAST(doc_id % 1000 AS {str}), 3, '0') ELSE '' END
   || CASE WHEN doc_id % 7 = 0 THEN ' mail a' || CAST(doc_id AS {str}) || '@shop.example.com' ELSE '' END
   || CASE WHEN doc_id % 11 = 0 THEN ' see https://shop.example.com/p/' || CAST(doc_id AS {str}) ELSE '' END
-  || CASE WHEN doc_id % 13 = 0 THEN ' Your OTP is 4711' ELSE '' END || ' ' || substr(text, 1, 200) AS text,
+  || CASE WHEN doc_id % 13 = 0 THEN ' Your OTP is 4711' ELSE '' END || ' ' || text AS text,
   CASE doc_id % 4 WHEN 0 THEN 'MobileMoney' WHEN 1 THEN '4455' WHEN 2 THEN '+233241234567' ELSE '' END AS sender, doc_id % 19 <> 0 AS incoming
 FROM documents""",
 }
