@@ -98,5 +98,52 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count_if(dropped)::BIGI
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM j GROUP BY r""",
 }
+
+
+def _canonical(x: str) -> str:
+    out = f"' ' || trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for spelling, form in license_scan.SPELLINGS.items():
+        out = f"replace({out}, ' {spelling} ', ' {form} ')"
+    return f"CASE WHEN regexp_matches(lower({x}), '{license_scan.COPYRIGHT}') THEN '' ELSE trim({out}) END"
+
+
+_LINES = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_canonical('x')}), lambda x: x <> '')"
+_KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.KNOWN.items())
+SQL["op3_license_digest"] = f"""
+WITH known AS (SELECT sha256(array_to_string({_LINES}, ' ')) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) t(license, text) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_LINES} AS lines FROM documents),
+n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT r, sha256(unnest(list_distinct(lines))) AS digest FROM d) JOIN known USING (digest) GROUP BY r)
+SELECT doc_id, sha256(coalesce(array_to_string(lines, ' '), '')) AS text_digest, license, coalesce(notices, '') AS notices
+FROM d LEFT JOIN known ON sha256(coalesce(array_to_string(lines, ' '), '')) = known.digest LEFT JOIN n ON d.r = n.r"""
+
+SQL["op6_chat_perspectives"] = f"""
+WITH s AS (SELECT conv_id, turn, coalesce(role, 'system') AS who, coalesce(text, '') AS said, CAST(coalesce(floor(turn / {chat_format.SEGMENT}), 0) AS INT) AS segment FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS speaker FROM s WHERE who <> 'system'),
+x AS (SELECT s.*, speaker, who = speaker AS own, '{chat_format.START}' || CASE WHEN who = speaker THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || who END || chr(10) AS head FROM s JOIN p USING (conv_id)),
+y AS (SELECT *, sum(length(head) + length(said) + 11) OVER w AS e, row_number() OVER w AS n FROM x WINDOW w AS (PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, who, said ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, speaker, segment, count(*) AS n_turns, string_agg(head || said || '<|im_end|>' || chr(10), '' ORDER BY n) AS text,
+  coalesce(string_agg(CASE WHEN own THEN CAST(e - length(said) - 11 AS VARCHAR) || '-' || CAST(e AS VARCHAR) END, ',' ORDER BY n), '') AS mask
+FROM y GROUP BY ALL"""
+
+SQL["op7_quality_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+t AS (SELECT r, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM t WHERE w3 IS NOT NULL),
+c AS (SELECT r, count(DISTINCT i + k) AS n_repeat FROM g, range(0, 3) x(k) WHERE n > 1 GROUP BY r),
+b AS (SELECT d.r, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, {_B}) <> '')) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x, {_B}) <> ''))) AS BIGINT) AS n_dup_lines,
+  coalesce(n_repeat, 0) AS n_repeat_words FROM d LEFT JOIN c ON d.r = c.r),
+l AS (SELECT r, source, md5(line) AS line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT r, source, unnest(list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: trim(x, {_B})), lambda x: x <> '')) AS line FROM d)),
+two AS (SELECT r, list_sort(list(DISTINCT line)) AS m FROM l GROUP BY r),
+f AS (SELECT source, line, count(*) AS k FROM (SELECT DISTINCT l.source, l.line, CASE WHEN m[1] <> l.line THEN m[1] ELSE m[2] END AS sketch FROM l JOIN two ON l.r = two.r) GROUP BY source, line
+  HAVING count(*) >= {quality_rules.LINE_DOCS}),
+h AS (SELECT source, count(*) AS n_host FROM documents GROUP BY source),
+x AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_removed FROM l JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source JOIN h ON h.source IS NOT DISTINCT FROM f.source WHERE f.k >= {quality_rules.LINE_SHARE} * n_host GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_removed, 0) AS n_removed_words,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(n_removed, 0) >= {quality_rules.KEEP_SHARE} * n_words AS kept
+FROM b LEFT JOIN x ON b.r = x.r"""
+
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
