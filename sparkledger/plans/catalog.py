@@ -575,3 +575,24 @@ def x11_text_error_rate(conversations):
     nxt = conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), plain.alias("other"))
     d = conversations.withColumn("text", plain).join(nxt, ["conv_id", "turn"])
     return d.select("conv_id", "turn", messages.text_error_rate(F.col("text"), F.col("other")).alias("cer"))
+
+
+@query(None, "tx")
+def causal_features(tx):
+    d = causal.causal_features(tx)
+    return d.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in d.dtypes))
+
+
+@query("SELECT CASE WHEN regexp_matches(initiator_id, '^[=+@-]') THEN '''' || initiator_id ELSE initiator_id END AS initiator_id, CASE WHEN row_no % 2 = 0 THEN '''=' || recipient_id ELSE recipient_id END AS recipient_id, row_no FROM tx", "tx")
+def s6_csv_safe(tx):
+    from ..sources.tables import csv_safe
+
+    risky = F.when(F.col("row_no") % 2 == 0, F.concat(F.lit("="), F.col("recipient_id"))).otherwise(F.col("recipient_id"))
+    return csv_safe(tx.select("initiator_id", risky.alias("recipient_id"), "row_no"))
+
+
+@query(None, "tx")
+def s9_content_fingerprint(tx):
+    from ..sources.tables import content_fingerprint
+
+    return content_fingerprint(tx, ["row_no", "step", "amount", "initiator_id", "recipient_id"])
