@@ -122,3 +122,60 @@ def candidate_source_report(pages: DataFrame) -> DataFrame:
 def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x = a.select(key).subtract(b.select(key)).withColumn("side", F.lit("missing"))
     return x.unionByName(b.select(key).subtract(a.select(key)).withColumn("side", F.lit("extra")))
+
+
+def intake_triage(hashes: DataFrame, ledger: DataFrame, near: DataFrame, order: str = "id") -> DataFrame:
+    """(id, state): withdrawn, exact duplicate of an earlier record, near duplicate of an earlier one, else open.
+
+    near has the pairs (a, b) of class representatives within the distance, a before b."""
+    first = hashes.groupBy("hi", "lo").agg(F.min(order).alias("first"))
+    after = near.select(F.col("b").alias(order)).distinct().withColumn("near", F.lit(True))
+    gone = ledger.select(order).distinct().withColumn("gone", F.lit(True))
+    d = hashes.join(first, ["hi", "lo"]).join(after, order, "left").join(gone, order, "left")
+    state = F.when(F.col("gone"), "withdrawn").when(F.col(order) > F.col("first"), "exact_duplicate").when(F.col("near"), "near_duplicate").otherwise("needs_transcription")
+    return d.select(order, state.alias("state"))
+
+
+def latest_run_history(transactions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every transaction with its latest run, if any; the latest comes from a combined aggregate."""
+    last = runs.groupBy("transaction_id").agg(F.max_by(F.struct("run_id", "risk_level", "status"), "run_id").alias("r"))
+    return transactions.join(last, "transaction_id", "left").select("transaction_id", "r.run_id", "r.risk_level", "r.status")
+
+
+def bridge_filter(users: DataFrame, roles: DataFrame, key: str, role: str) -> DataFrame:
+    return users.join(roles.where(F.col("role") == role), key, "left_semi")
+
+
+def bucket_policy(df: DataFrame, buckets: dict[str, str]) -> DataFrame:
+    """bucket by source (a small literal map); owner rows always train, only controlled rows may reach test."""
+    bucket = F.lit("other")
+    for source, b in buckets.items():
+        bucket = F.when(F.col("source_type") == source, b).otherwise(bucket)
+    split = F.when(F.col("bucket") == "owner", "train").when((F.col("split") == "test") & (F.col("bucket") != "controlled"), "train").otherwise(F.col("split"))
+    return df.withColumn("bucket", bucket).withColumn("split", split)
+
+
+def chronological_halves(df: DataFrame, order: str) -> DataFrame:
+    """half: first for fitting, second for selecting. The cut is found by one exact percentile, not a global window."""
+    cut = df.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {order})").alias("cut"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("half", F.when(F.col(order) <= F.col("cut"), "first").otherwise("second")).drop("cut")
+
+
+def readiness(df: DataFrame, minimum: int) -> DataFrame:
+    """By source: records, groups, labels, and whether there are too few records."""
+    g = df.groupBy("source_type").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("n_groups"), F.count_distinct("label").alias("n_labels"))
+    return g.withColumn("blockers", F.array_join(codes(ONE_LABEL=F.col("n_labels") < 2, TOO_FEW_RECORDS=F.col("n") < minimum), ","))
+
+
+def union_corpora(corpora: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(all rows with their corpus, record ids found more than once)."""
+    out = None
+    for name, d in corpora.items():
+        d = d.withColumn("corpus", F.lit(name))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out, out.groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def collection_profile(boxes: DataFrame, cap: int) -> DataFrame:
+    """One row: items, those of no size, those above the cap."""
+    return boxes.agg(F.count("*").alias("n"), F.count_if((F.col("width") == 0) | (F.col("height") == 0)).alias("no_size"), F.count_if(F.greatest("width", "height") > cap).alias("above_cap"))

@@ -596,3 +596,48 @@ def s9_content_fingerprint(tx):
     from ..sources.tables import content_fingerprint
 
     return content_fingerprint(tx, ["row_no", "step", "amount", "initiator_id", "recipient_id"])
+
+
+@query(
+    "+ u AS (SELECT min(id) AS id, hi, lo FROM hashes GROUP BY hi, lo), n AS (SELECT DISTINCT b.id FROM u a JOIN u b ON a.id < b.id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6) SELECT h.id, CASE WHEN id % 50 = 7 THEN 'withdrawn' WHEN id > min(id) OVER (PARTITION BY hi, lo) THEN 'exact_duplicate' WHEN id IN (SELECT id FROM n) THEN 'near_duplicate' ELSE 'needs_transcription' END AS state FROM hashes h",
+    "hashes",
+)
+def j20_intake_triage(hashes):
+    return governance.intake_triage(hashes, hashes.where("id % 50 = 7"), references.near_duplicates(hashes, 6))
+
+
+@query("SELECT c_custkey AS transaction_id, r.run_id, r.risk_level, r.status FROM customer LEFT JOIN (SELECT transaction_id, max(run_id) AS run_id, arg_max(coalesce(risk_level, '~'), run_id) AS rl, arg_max(status, run_id) AS status, nullif(rl, '~') AS risk_level FROM runs GROUP BY 1) r ON c_custkey = transaction_id", "customer", "runs")
+def j7_latest_run_history(customer, runs):
+    return governance.latest_run_history(customer.select(F.col("c_custkey").alias("transaction_id")), runs)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')", "customer", "orders")
+def j18_bridge_filter(customer, orders):
+    roles = orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("role"))
+    return governance.bridge_filter(customer, roles, "c_custkey", "1-URGENT").select("c_custkey")
+
+
+@query("SELECT sample_id, b AS bucket, CASE WHEN b = 'owner' THEN 'train' WHEN split = 'test' AND b <> 'controlled' THEN 'train' ELSE split END AS split FROM (SELECT *, CASE source_type WHEN 'en' THEN 'controlled' WHEN 'fr' THEN 'owner' ELSE 'other' END AS b FROM manifest)", "manifest")
+def l5_bucket_policy(manifest):
+    return governance.bucket_policy(manifest, {"en": "controlled", "fr": "owner"}).select("sample_id", "bucket", "split")
+
+
+@query("SELECT row_no, CASE WHEN k <= ceil(n / 2.0) THEN 'first' ELSE 'second' END AS half FROM (SELECT row_no, row_number() OVER (ORDER BY row_no) AS k, count(*) OVER () AS n FROM tx)", "tx")
+def l6_chronological_halves(tx):
+    return governance.chronological_halves(tx, "row_no").select("row_no", "half")
+
+
+@query("SELECT source_type, count(*) AS n, count(DISTINCT group_id) AS n_groups, count(DISTINCT label) AS n_labels, concat_ws(',', CASE WHEN count(DISTINCT label) < 2 THEN 'ONE_LABEL' END, CASE WHEN count(*) < 130 THEN 'TOO_FEW_RECORDS' END) AS blockers FROM manifest GROUP BY 1", "manifest")
+def a13_readiness(manifest):
+    return governance.readiness(manifest, 130)
+
+
+@query("SELECT record_id, count(*) AS n FROM (SELECT record_id FROM msgs UNION ALL SELECT doc_id FROM labels) GROUP BY 1 HAVING count(*) > 1", "msgs", "labels")
+def d1_union_corpora(msgs, labels):
+    return governance.union_corpora({"messages": msgs, "labels": labels.withColumnRenamed("doc_id", "record_id")})[1]
+
+
+@query("SELECT count(*) AS n, count_if(w = 0)::BIGINT AS no_size, count_if(greatest(w, 12 + l % 3) > 90)::BIGINT AS above_cap FROM (SELECT 8 * length(word) AS w, length(word) AS l FROM (SELECT unnest(string_split(text, ' ')) AS word FROM conversations))", "conversations")
+def a25_collection_profile(conversations):
+    w = conversations.select(F.explode(F.split("text", " ", -1)).alias("word"))
+    return governance.collection_profile(w.select((8 * F.length("word")).alias("width"), (12 + F.length("word") % 3).alias("height")), 90)
