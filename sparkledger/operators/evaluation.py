@@ -132,3 +132,15 @@ def idempotent_replay(requests: DataFrame) -> DataFrame:
     first = requests.groupBy("principal", "scope", "key").agg(F.min_by("hash", "seq").alias("first_hash"), F.min("seq").alias("first_seq"))
     d = requests.join(first, ["principal", "scope", "key"])
     return d.withColumn("outcome", F.when(F.col("seq") == F.col("first_seq"), "FIRST").when(F.col("hash") == F.col("first_hash"), "REPLAY").otherwise("CONFLICT")).drop("first_hash", "first_seq")
+
+
+def binary_grid(scored: DataFrame) -> DataFrame:
+    """(t, mean_f1, recall) for t from 0.05 to 0.95: the mean F1 of both classes; rows are summed by score first."""
+    by = scored.groupBy("score", "label").agg(F.count("*").alias("n"))
+    grid = scored.sparkSession.createDataFrame([(k / 100,) for k in range(5, 100, 5)], "t double")
+    d = by.crossJoin(F.broadcast(grid)).withColumn("hit", F.col("score") >= F.col("t"))
+    n = lambda label, hit: F.sum(F.when((F.col("label") == label) & (F.col("hit") == hit), F.col("n")).otherwise(0))
+    c = d.groupBy("t").agg(n(1, True).alias("tp"), n(0, True).alias("fp"), n(1, False).alias("fn"), n(0, False).alias("tn"))
+    f1 = lambda a: F.when(2 * F.col(a) + F.col("fp") + F.col("fn") > 0, 2 * F.col(a) / (2 * F.col(a) + F.col("fp") + F.col("fn"))).otherwise(F.lit(0.0))
+    recall = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(F.lit(0.0))
+    return c.select("t", F.round((f1("tp") + f1("tn")) / 2, 8).alias("mean_f1"), F.round(recall, 8).alias("recall"))

@@ -130,3 +130,22 @@ def near_duplicates(hashes: DataFrame, d: int) -> DataFrame:
     dist = F.bit_count(F.col("l.v").bitwiseXOR(F.col("r.v")))
     pairs = left.join(right, ["band", "bits"]).where((F.col("l.id") < F.col("r.id")) & (dist <= d))
     return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), dist.cast("int").alias("distance")).distinct()
+
+
+def import_errors(refs: DataFrame) -> DataFrame:
+    """(ref_id, field, code): one row for each field of a reference row that is missing or out of its domain."""
+    rules = {
+        "receiver_phone": F.when(F.col("receiver_phone").isNull(), "REQUIRED"),
+        "amount": F.when(F.col("amount").isNull() | (F.col("amount") <= 0), "INVALID_AMOUNT"),
+        "currency": F.when(~F.coalesce(F.col("currency") == "GHS", F.lit(False)), "UNKNOWN_CURRENCY"),
+        "transaction_status": F.when(F.col("transaction_status") == "REVERSED", "STATUS_NOT_ACCEPTED"),
+    }
+    found = F.filter(F.array(*(F.struct(F.lit(k).alias("field"), c.alias("code")) for k, c in rules.items())), lambda x: x["code"].isNotNull())
+    return refs.select("ref_id", F.explode(found).alias("e")).select("ref_id", "e.field", "e.code")
+
+
+def import_batch_summary(refs: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row: total, invalid (different rows with an error), valid, status."""
+    bad = errors.select("ref_id").distinct().agg(F.count("*").alias("invalid"))
+    n = refs.agg(F.count("*").alias("total")).crossJoin(F.broadcast(bad))
+    return n.select("total", "invalid", (F.col("total") - F.col("invalid")).alias("valid"), F.when(F.col("invalid") == 0, "VALIDATED").otherwise("VALIDATED_WITH_ERRORS").alias("status"))

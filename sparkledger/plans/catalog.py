@@ -641,3 +641,24 @@ def d1_union_corpora(msgs, labels):
 def a25_collection_profile(conversations):
     w = conversations.select(F.explode(F.split("text", " ", -1)).alias("word"))
     return governance.collection_profile(w.select((8 * F.length("word")).alias("width"), (12 + F.length("word") % 3).alias("height")), 90)
+
+
+@query(
+    "+ g AS (SELECT t / 100 AS t FROM range(5, 100, 5) a(t)), c AS (SELECT t, count(*) FILTER (WHERE label = 1 AND score >= t) AS tp, count(*) FILTER (WHERE label = 0 AND score >= t) AS fp, count(*) FILTER (WHERE label = 1 AND score < t) AS fn, count(*) FILTER (WHERE label = 0 AND score < t) AS tn FROM scored, g GROUP BY t) SELECT t, round((CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END + CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / 2, 8) AS mean_f1, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 8) AS recall FROM c",
+    "scored",
+)
+def e8_binary_grid(scored):
+    return evaluation.binary_grid(scored)
+
+
+_ERRORS = "+ e AS (SELECT ref_id, 'receiver_phone' AS field, 'REQUIRED' AS code FROM refs WHERE receiver_phone IS NULL UNION ALL SELECT ref_id, 'amount', 'INVALID_AMOUNT' FROM refs WHERE amount IS NULL OR amount <= 0 UNION ALL SELECT ref_id, 'currency', 'UNKNOWN_CURRENCY' FROM refs WHERE currency IS DISTINCT FROM 'GHS' UNION ALL SELECT ref_id, 'transaction_status', 'STATUS_NOT_ACCEPTED' FROM refs WHERE transaction_status = 'REVERSED')"
+
+
+@query(f"{_ERRORS} SELECT * FROM e", "refs")
+def p8_import_errors(refs):
+    return references.import_errors(refs)
+
+
+@query(f"{_ERRORS}, n AS (SELECT (SELECT count(*) FROM refs) AS total, (SELECT count(DISTINCT ref_id) FROM e) AS invalid) SELECT total, invalid, total - invalid AS valid, CASE WHEN invalid = 0 THEN 'VALIDATED' ELSE 'VALIDATED_WITH_ERRORS' END AS status FROM n", "refs")
+def a22_import_batch_summary(refs):
+    return references.import_batch_summary(refs, references.import_errors(refs))
