@@ -13,6 +13,7 @@ SPARK = {
     "str": "STRING",
     "plus45": "o_orderdate + INTERVAL '45' MINUTE",
     "sha": "sha2(text, 256)",
+    "words": "LATERAL VIEW posexplode(split(text, ' ', -1)) w AS pos, word",
     "bits": "aggregate(sequence(0, 31), 0L, (a, j) -> a + CASE WHEN embedding[{at}] > 0 THEN shiftleft(1L, 31 - j) ELSE 0L END)",
 }
 DUCKDB = {
@@ -20,6 +21,7 @@ DUCKDB = {
     "str": "VARCHAR",
     "plus45": "o_orderdate + INTERVAL 45 MINUTE",
     "sha": "sha256(text)",
+    "words": ", LATERAL (SELECT unnest(string_split(text, ' ')) AS word, CAST(unnest(range(0, len(string_split(text, ' ')))) AS INT) AS pos) w",
     "bits": "CAST(list_sum(list_transform(range(0, 32), lambda j: CASE WHEN embedding[CAST({at} + 1 AS INT)] > 0 THEN CAST(1 AS BIGINT) << CAST(31 - j AS INT) ELSE CAST(0 AS BIGINT) END)) AS BIGINT)",
 }
 
@@ -94,6 +96,36 @@ SELECT doc_id AS record_id, source AS provider_family, lang AS source_corpus,
   || CASE WHEN doc_id % 13 = 0 THEN ' Your OTP is 4711' ELSE '' END || ' ' || text AS text,
   CASE doc_id % 4 WHEN 0 THEN 'MobileMoney' WHEN 1 THEN '4455' WHEN 2 THEN '+233241234567' ELSE '' END AS sender, doc_id % 19 <> 0 AS incoming
 FROM documents""",
+    "receipts": """
+SELECT o_orderkey AS receipt_id,
+  CASE o_custkey % 5 WHEN 0 THEN 'MTN Mobile Money' WHEN 1 THEN 'Telecel Cash' WHEN 2 THEN 'AirtelTigo Money' WHEN 3 THEN 'Telecel and MTN' ELSE 'Receipt' END || chr(10)
+  || CASE WHEN o_orderkey % 6 = 0 THEN 'no number' WHEN o_orderkey % 2 = 0 THEN 'Transaction ID: TX' || lpad(CAST(o_orderkey AS {str}), 9, '0') ELSE 'Reference ORD-' || lpad(CAST(o_orderkey AS {str}), 8, '0') END || chr(10)
+  || CASE WHEN o_orderkey % 7 = 0 THEN 'free' WHEN o_orderkey % 11 = 0 THEN 'GHS 5.00 GHS ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {str}) ELSE 'Amount: GHS ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {str}) END || chr(10)
+  || CASE o_orderkey % 4 WHEN 0 THEN 'Recipient name: Shop ' || CAST(o_orderkey % 97 AS {str}) WHEN 1 THEN 'Payment made now to Shop ' || CAST(o_orderkey % 97 AS {str}) || ' on Monday' WHEN 2 THEN 'Cash in from Shop ' || CAST(o_orderkey % 97 AS {str}) || '.' ELSE '-' END || chr(10)
+  || CASE o_orderkey % 9 WHEN 0 THEN 'Wallet: 024' || lpad(CAST(o_custkey AS {str}), 7, '0') WHEN 1 THEN 'call +23324' || lpad(CAST(o_custkey AS {str}), 7, '0') WHEN 2 THEN 'call 0501234567 or 0241234567' WHEN 3 THEN 'Wallet: 12345678' ELSE '-' END || chr(10)
+  || 'Date: ' || CASE o_orderkey % 3 WHEN 0 THEN CAST(year(o_orderdate) AS {str}) || '-' || lpad(CAST(month(o_orderdate) AS {str}), 2, '0') || '-' || lpad(CAST(day(o_orderdate) AS {str}), 2, '0') || ' 10:20:30'
+    WHEN 1 THEN lpad(CAST(day(o_orderdate) AS {str}), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS {str}), 2, '0') || '/' || CAST(year(o_orderdate) AS {str}) || ' 10:20' ELSE '99/99/2001 10:20' END || chr(10)
+  || CASE o_orderkey % 8 WHEN 0 THEN 'Status: Successful' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed, reversed' WHEN 3 THEN 'PENDING' ELSE 'thanks' END AS text,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS amount, 'TX' || lpad(CAST(o_orderkey AS {str}), 9, '0') AS reference,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'SHOP ' || CAST(o_orderkey % 97 AS {str}) END AS recipient_name, '+23324' || lpad(CAST(o_custkey AS {str}), 7, '0') AS recipient_wallet,
+  CAST(o_orderkey % 100 AS DOUBLE) / 100 AS engine_confidence
+FROM orders""",
+    "tokens": """
+SELECT conv_id AS doc, turn AS line, pos, word AS text, CAST(40 * pos AS DOUBLE) AS x, CAST(8 * length(word) AS DOUBLE) AS width, CAST(20 * turn + pos % 3 AS DOUBLE) AS y, CAST(12 + length(word) % 12 AS DOUBLE) AS height,
+  CAST((pos * 7 + turn * 13) % 101 AS DOUBLE) AS confidence
+FROM conversations {words}""",
+    "ocr_runs": """
+SELECT event_id AS record_id, CASE user_id % 3 WHEN 0 THEN 'tesseract' WHEN 1 THEN 'easyocr' ELSE 'paddleocr' END AS engine,
+  CASE user_id % 3 WHEN 0 THEN 'tesseract' WHEN 1 THEN 'easyocr' ELSE 'paddleocr' END || '-v' || CAST(event_id % 4 AS {str}) AS configuration_id,
+  CASE WHEN event_id % 31 = 0 AND user_id % 5 = 0 THEN 'TIMEOUT' WHEN event_id % 61 = 0 THEN 'DECODE' END AS failure,
+  CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 23 = 0 THEN 0 ELSE 1 END AS amount, CASE WHEN event_id % (9 + user_id % 3) = 0 THEN 0 ELSE 1 END AS reference,
+  CASE WHEN event_id % 19 = 0 THEN 0 ELSE 1 END AS timestamp, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 0 ELSE 1 END AS recipient,
+  CAST(event_id % 100 AS DOUBLE) / 200 AS cer, CAST(event_id % 80 AS DOUBLE) / 160 AS wer, value AS latency_ms
+FROM events""",
+    "measures": """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS DOUBLE) / 100 END AS blur,
+  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_custkey % 9 AS DOUBLE) / 2 END AS aspect_ratio, CAST(o_orderkey % 4 AS DOUBLE) AS duplicates, CAST(o_custkey % 3 AS DOUBLE) AS metadata_conflict
+FROM orders""",
 }
 _BASES = ["events", "orders", "documents", "labels", "embeddings", "conversations", "pages", "customer", "lineitem"]
 #: Views that read others.
@@ -105,7 +137,7 @@ def _text(name: str, words: dict[str, str]) -> str:
     if name == "h":
         return _H.format(hi=words["bits"].replace("{at}", "j"), lo=words["bits"].replace("{at}", "j + 32"))
     out = VIEWS[name]
-    for k in ("step", "str", "plus45", "sha"):
+    for k in ("step", "str", "plus45", "sha", "words"):
         out = out.replace("{" + k + "}", words[k])
     return out
 

@@ -113,7 +113,8 @@ def masked(c: Column) -> Column:
 def canonical_phone(c: Column) -> Column:
     """+233 form of a local or international number; null where it is neither."""
     d = F.regexp_replace(c, "[^0-9]", "")
-    return F.when(d.rlike("^233[0-9]{9}$"), F.concat(F.lit("+"), d)).when(d.rlike("^0[0-9]{9}$"), F.concat(F.lit("+233"), F.substring(d, 2, 9)))
+    local = F.when(d.rlike("^0[0-9]{9}$"), F.substring(d, 2, 9)).when(d.rlike("^[25][0-9]{8}$"), d)
+    return F.when(d.rlike("^233[0-9]{9}$"), F.concat(F.lit("+"), d)).otherwise(F.concat(F.lit("+233"), local))
 
 
 def near_duplicates(hashes: DataFrame, d: int) -> DataFrame:

@@ -1 +1,5 @@
+"""Registered queries: importing this package registers those of every module."""
 
+from . import catalog, extraction
+
+__all__ = ["catalog", "extraction"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import duckdb_with, view
+from ..fixtures import VIEWS, duckdb_with, view
 from ..operators import causal, evaluation, governance, messages, references, transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +28,7 @@ def query(sql: str | None, *views: str):
     return add
 
 
-_VIEWS = {"tx", "refs", "batches", "obs", "hashes", "scored", "scored3", "manifest", "runs", "state_events", "msgs"}
+_VIEWS = set(VIEWS)
 PLAN = "CASE WHEN step <= (SELECT max(step) FILTER (WHERE k <= n * 70 // 100) FROM s) THEN 'train' WHEN step <= (SELECT max(step) FILTER (WHERE k <= n * 80 // 100) FROM s) THEN 'tuning' WHEN step <= (SELECT max(step) FILTER (WHERE k <= n * 90 // 100) FROM s) THEN 'calibration' ELSE 'test' END"
 PARTED = f"+ s AS (SELECT step, row_number() OVER (ORDER BY step) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT step FROM tx)), parted AS (SELECT *, {PLAN} AS partition FROM tx)"
 
