@@ -1,5 +1,5 @@
 """Registered queries: importing this package registers those of every module."""
 
-from . import catalog, extraction
+from . import catalog, corpora, extraction, records
 
-__all__ = ["catalog", "extraction"]
+__all__ = ["catalog", "corpora", "extraction", "records"]
