@@ -215,3 +215,25 @@ def w13_layout_stats(tokens):
 )
 def w14_overlap_count(tokens):
     return x.overlap_count(tokens)
+
+
+_RAW = "+ r AS (SELECT receipt_id, " + ", ".join("coalesce(" + ", ".join(f"nullif(trim(regexp_extract(text, '{p}', 1)), '')" for p in ps) + f") AS {f}" for f, ps in x.SERVICE_FIELDS.items()) + " FROM receipts)"
+_VALUES = {
+    "amount": "TRY_CAST(replace(amount, ',', '') AS DECIMAL(11,2))::VARCHAR",
+    "currency": "CASE WHEN coalesce(currency, amount) IS NOT NULL THEN 'GHS' END",
+    "occurred_at": "strftime(try_strptime(occurred_at, ['%Y-%m-%d %H:%M:%S', '%d/%m/%Y %H:%M']), '%Y-%m-%d %H:%M:%S')",
+    "receiver_name": "upper(receiver_name)",
+    "receiver_phone": "NULL::VARCHAR",
+    "sender_name": "NULL::VARCHAR",
+    "sender_phone": "NULL::VARCHAR",
+    "status_text": "CASE WHEN upper(status_text) IN ('SUCCESS', 'COMPLETED') THEN 'SUCCESSFUL' ELSE upper(status_text) END",
+    "transaction_reference": "upper(transaction_reference)",
+}
+
+
+@query(
+    f"{_RAW}, v AS (" + " UNION ALL ".join(f"SELECT receipt_id, '{f}' AS field, {f} AS raw, {v} AS value, {'currency IS NULL AND amount IS NOT NULL' if f == 'currency' else 'false'} AS i FROM r" for f, v in _VALUES.items()) + ") SELECT receipt_id, field, raw, value, value IS NOT NULL AS valid, CASE WHEN i THEN 'CURRENCY_INFERRED_GHS' WHEN raw IS NULL THEN 'FIELD_NOT_FOUND' WHEN value IS NULL THEN 'FIELD_FORMAT_INVALID' END AS warning FROM v",
+    "receipts",
+)
+def x14_receipt_fields(receipts):
+    return x.extract_receipt_fields(receipts, "receipt_id")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators import references
+
 HOURS = 24
 _OUT = "row_no long, initiator_id string, step int, prior_count long, prior_amount double, unique_recipients int, previous_step int"
 _STATE = "steps array<int>, amounts array<double>, recipients array<string>, rows array<long>, done int"
@@ -79,3 +81,17 @@ def split_late(batch: DataFrame, newest_step: int) -> tuple[DataFrame, DataFrame
 def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run act on each micro-batch, as verification against stored references does; all available input, then stop."""
     return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_verification(obs: DataFrame, refs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Verification status of each micro-batch's observations against the stored (committed) references.
+
+    A batch is written under its own number and overwrites it, so that a batch run again after a failure counts once."""
+
+    def act(batch: DataFrame, number: int) -> None:
+        resolved = references.resolve(batch, refs)
+        compared = references.compare_fields(batch, refs, resolved)
+        out = resolved.join(references.verification_status(compared), "observation_id", "left")
+        out.withColumn("verification_status", F.coalesce("verification_status", F.lit("UNVERIFIED"))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return each_batch(obs, act, checkpoint)
