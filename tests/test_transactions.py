@@ -91,7 +91,7 @@ def test_stream_equals_batch(spark, tx, tmp_path):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("orders", "customer", "events", "documents", "labels", "embeddings", "pages", "conversations", "lineitem"):
+    for t in ("orders", "customer", "supplier", "events", "documents", "labels", "embeddings", "pages", "conversations", "lineitem"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
