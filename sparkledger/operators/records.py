@@ -137,3 +137,26 @@ def audit_search(events: DataFrame, since: str | None = None, until: str | None
         out = out if v is None else out.where(F.col(c) == F.lit(v))
     out = out if since is None else out.where(F.col("at") >= F.lit(since).cast("timestamp"))
     return out if until is None else out.where(F.col("at") < F.lit(until).cast("timestamp"))
+
+
+def missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in columns})
+
+
+def assert_feature_columns(df: DataFrame, expected: list[str], forbidden: list[str]) -> DataFrame:
+    """df itself, or ValueError where its columns repeat, are forbidden or are not those expected in their order."""
+    if len(set(df.columns)) != len(df.columns) or set(df.columns) & set(forbidden) or df.columns != expected:
+        raise ValueError(f"the columns are {df.columns}, not {expected}")
+    return df
+
+
+def split_intersections(df: DataFrame) -> DataFrame:
+    """(a, b, group_id): groups that two splits, a before b, share."""
+    s = df.select("split", "group_id").distinct()
+    x, y = s.withColumnRenamed("split", "a"), s.withColumnRenamed("split", "b")
+    return x.join(y, "group_id").where("a < b").select("a", "b", "group_id")
+
+
+def load_development(df: DataFrame, open_splits: tuple[str, ...] = ("train", "validation")) -> DataFrame:
+    """Rows of the open splits only; no row of another split passes."""
+    return df.where(F.col("split").isin(*open_splits))

@@ -125,3 +125,18 @@ def f5_owner_scope(runs):
 def f6_audit_search(events):
     log = events.select("event_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("action"), F.col("user_id").alias("actor"))
     return r.audit_search(log, "2024-01-10", "2024-01-20", action="click", actor=None).select("event_id")
+
+
+@query("SELECT id, CAST(blur IS NULL AS INT) AS blur_missing, CAST(aspect_ratio IS NULL AS INT) AS aspect_ratio_missing FROM measures", "measures")
+def p14_missing_flags(measures):
+    return r.missing_flags(measures, ["blur", "aspect_ratio"]).select("id", "blur_missing", "aspect_ratio_missing")
+
+
+@query("+ s AS (SELECT DISTINCT split, group_id FROM manifest) SELECT x.split AS a, y.split AS b, x.group_id AS group_id FROM s x JOIN s y ON x.group_id = y.group_id AND x.split < y.split", "manifest")
+def d2_split_intersections(manifest):
+    return r.split_intersections(manifest)
+
+
+@query("SELECT sample_id, split FROM manifest WHERE split IN ('train', 'validation')", "manifest")
+def s8_load_development(manifest):
+    return r.load_development(manifest).select("sample_id", "split")

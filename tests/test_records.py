@@ -144,3 +144,11 @@ def test_stream_verification_equals_batch(spark, tmp_path):
     streams.stream_verification(stream, refs, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     got = {r.observation_id: r.verification_status for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {7: "VERIFIED", 8: "MISMATCH", 9: "UNVERIFIED"}
+
+
+def test_feature_columns(spark):
+    d = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert records.assert_feature_columns(d, ["a", "b"], ["c"]) is d
+    for expected, forbidden in ((["b", "a"], []), (["a", "b"], ["b"])):
+        with pytest.raises(ValueError):
+            records.assert_feature_columns(d, expected, forbidden)
