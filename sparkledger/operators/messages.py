@@ -94,3 +94,15 @@ def text_error_rate(truth: Column, read: Column) -> Column:
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r]+", " "))
     a, b = fold(truth), fold(read)
     return F.round(F.levenshtein(a, b) / F.greatest(F.length(a), F.lit(1)), 6)
+
+
+def word_error_rate(truth: Column, read: Column) -> Column:
+    """Word edits over the words of truth (1 at the least), to 6 digits; null where a side is null.
+
+    Each different word of a pair becomes one code point of its own, so that the edits of characters are those of words."""
+    words = lambda c: F.array_remove(F.split(F.lower(c), r"[ \t\n\r]+"), "")
+    a, b = words(truth), words(read)
+    known = F.array_distinct(F.concat(a, b))
+    point = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x20000), 8, "0")), "UTF-32")
+    one = lambda c: F.array_join(F.transform(c, point), "")
+    return F.round(F.levenshtein(one(a), one(b)) / F.greatest(F.size(a), F.lit(1)), 6)

@@ -152,3 +152,11 @@ def test_feature_columns(spark):
     for expected, forbidden in ((["b", "a"], []), (["a", "b"], ["b"])):
         with pytest.raises(ValueError):
             records.assert_feature_columns(d, expected, forbidden)
+
+
+def test_word_error_rate(spark):
+    from sparkledger.operators import messages
+
+    pairs = [("a b c d", "a x c"), ("Same  words", "same words"), ("", "two words"), ("w " * 400, "w " * 399 + "v"), (None, "a"), (" ".join(f"w{k}" for k in range(600)), " ".join(f"w{k}" for k in range(1, 600)))]
+    d = spark.createDataFrame(pairs, "t string, r string").withColumn("e", messages.word_error_rate(F.col("t"), F.col("r")))
+    assert [r.e for r in d.collect()] == [0.5, 0.0, 2.0, 0.0025, None, round(1 / 600, 6)]
