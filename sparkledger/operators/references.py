@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sequence_similar
+
 GENERIC = "GENERIC_MOMO"
 CRITICAL = ["amount", "currency", "receiver_phone", "transaction_status"]
 NAME_RATIO = 0.90
@@ -42,7 +44,7 @@ def resolve(obs: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def compare_fields(obs: DataFrame, refs: DataFrame, resolved: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """Long form (observation_id, field, status) of resolved observations. Names by the Levenshtein ratio."""
+    """Long form (observation_id, field, status) of resolved observations. Names by the Ratcliff/Obershelp ratio."""
     m = resolved.where(F.col("ref_id").isNotNull()).select("observation_id", "ref_id").join(obs.alias("o"), "observation_id").join(refs.alias("r"), "ref_id")
 
     def pair(c: str) -> tuple[Column, Column]:
@@ -55,9 +57,8 @@ def compare_fields(obs: DataFrame, refs: DataFrame, resolved: DataFrame, toleran
         return F.when(missing, "NOT_AVAILABLE").when(ok, "MATCH").otherwise("MISMATCH")
 
     def name(c: str) -> Column:
-        a, b = (F.lower(x) for x in pair(c))
-        ratio = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-        return judged(ratio >= NAME_RATIO, a, b)
+        a, b = (F.nullif(F.lower(x), F.lit("")) for x in pair(c))
+        return judged(sequence_similar(a, b, NAME_RATIO), a, b)
 
     equal = lambda c: judged(pair(c)[0] == pair(c)[1], *pair(c))
     a, b = pair("amount")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, duckdb_with, view
+from ..functions import text
 from ..operators import causal, evaluation, governance, messages, references, transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,15 +217,24 @@ def _eq(c: str) -> str:
     return f"SELECT observation_id, '{c}' AS field, CASE WHEN o_{c} IS NULL OR r_{c} IS NULL THEN 'NOT_AVAILABLE' WHEN o_{c} = r_{c} THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM m"
 
 
+# Each name of a pair is cut at its longest common part (the first in a, then in b) until nothing is shared.
+_BEST = "list_max(flatten(list_transform(range(1, length({0}) + 1), lambda i: list_transform(range(1, length({0}) - i + 2), lambda n: CASE WHEN contains({1}, substr({0}, i, n)) THEN n * 1000 + 999 - i END))))"
+_RATIO = f"""names AS (SELECT DISTINCT lower(o_sender_name) AS a, lower(r_sender_name) AS b FROM m WHERE lower(o_sender_name) <> lower(r_sender_name) UNION SELECT lower(o_receiver_name), lower(r_receiver_name) FROM m WHERE lower(o_receiver_name) <> lower(r_receiver_name)),
+cuts AS (WITH RECURSIVE cut AS (SELECT a, b, a AS x, b AS y, {_BEST.format('a', 'b')} AS best FROM names UNION ALL
+  SELECT a, b, x, y, {_BEST.format('x', 'y')} FROM (SELECT a, b, CASE side WHEN 0 THEN substr(x, 1, i - 1) ELSE substr(x, i + n) END AS x, CASE side WHEN 0 THEN substr(y, 1, j - 1) ELSE substr(y, j + n) END AS y
+    FROM (SELECT *, best // 1000 AS n, 999 - best % 1000 AS i, instr(y, substr(x, CAST(999 - best % 1000 AS BIGINT), CAST(best // 1000 AS BIGINT))) AS j, unnest([0, 1]) AS side FROM cut WHERE best IS NOT NULL)))
+  SELECT a, b, 2.0 * sum(coalesce(best // 1000, 0)) / (length(a) + length(b)) AS ratio FROM cut GROUP BY a, b)"""
+
+
 def _name(c: str) -> str:
-    return f"SELECT observation_id, '{c}' AS field, CASE WHEN o_{c} IS NULL OR r_{c} IS NULL THEN 'NOT_AVAILABLE' WHEN 1 - levenshtein(lower(o_{c}), lower(r_{c})) / greatest(length(o_{c}), length(r_{c}), 1) >= 0.9 THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM m"
+    return f"SELECT observation_id, '{c}' AS field, CASE WHEN coalesce(o_{c}, '') = '' OR coalesce(r_{c}, '') = '' THEN 'NOT_AVAILABLE' WHEN coalesce(ratio, 1) >= 0.9 THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM m LEFT JOIN cuts ON a = lower(o_{c}) AND b = lower(r_{c})"
 
 
 _COMPARED = (
     _RESOLVED
     + ", m AS (SELECT x.observation_id, "
     + ", ".join(f"o.{c} AS o_{c}, r.{c} AS r_{c}" for c in ("amount", "currency", "sender_phone", "receiver_phone", "sender_name", "receiver_name", "occurred_at", "transaction_status"))
-    + " FROM resolved x JOIN obs o ON x.observation_id = o.observation_id JOIN refs r ON x.ref_id = r.ref_id), cmp AS ("
+    + f" FROM resolved x JOIN obs o ON x.observation_id = o.observation_id JOIN refs r ON x.ref_id = r.ref_id), {_RATIO}, cmp AS ("
     + " UNION ALL ".join(
         [
             "SELECT observation_id, 'amount' AS field, CASE WHEN abs(o_amount - r_amount) <= 0 THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM m",
@@ -253,6 +263,23 @@ def j4_compare_fields(obs, refs, batches):
     return references.compare_fields(obs, good, r)
 
 
+@query(
+    f"{_COMPARED} SELECT a, b, round(ratio, 6) AS ratio, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS edit_ratio FROM cuts",
+    "obs", "refs", "batches",
+)
+def u2_name_similarity(obs, refs, batches):
+    good, r = _resolved(obs, refs, batches)
+    m = r.select("observation_id", "ref_id").join(obs.alias("o"), "observation_id").join(good.alias("r"), "ref_id")
+    pairs = F.explode(F.array(*(F.struct(F.lower(f"o.{c}").alias("a"), F.lower(f"r.{c}").alias("b")) for c in ("sender_name", "receiver_name"))))
+    d = m.select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct()
+    return d.select("a", "b", F.round(text.sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(text.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("edit_ratio"))
+
+
+@query(None, "documents")
+def u3_compatibility_form(documents):
+    return documents.select("doc_id", F.length(text.clean_text(F.col("text"))).alias("n_chars"), F.md5(text.clean_text(F.col("text"))).alias("digest"))
+
+
 @query(
     f"{_COMPARED} SELECT observation_id, CASE WHEN bool_or(crit AND status = 'MISMATCH') THEN 'MISMATCH' WHEN bool_or(crit AND status = 'NOT_AVAILABLE') THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS verification_status, count_if(status = 'MATCH')::BIGINT AS matched, count_if(status = 'MISMATCH')::BIGINT AS mismatched FROM (SELECT *, field IN ('amount', 'currency', 'receiver_phone', 'transaction_status') AS crit FROM cmp) GROUP BY 1",
     "obs", "refs", "batches",

@@ -10,7 +10,7 @@ from .catalog import query
 
 def _sql(template: str) -> str:
     """The SQL with the fixed patterns filled in; the phone pattern there consumes its neighbours, as that engine cannot look around."""
-    words = {"AMOUNT": x.AMOUNT, "LABELLED": x.LABELLED_AMOUNT, "REFERENCE": x.REFERENCE, "TO1": x.RECIPIENTS[0], "TO2": x.RECIPIENTS[1], "TO3": x.RECIPIENTS[2], "AFTER": x.AFTER_RECIPIENT, "WALLET": x.WALLET, "T1": x.TIMES[0], "T2": x.TIMES[1]}
+    words = {"AMOUNT": x.AMOUNT, "LABELLED": x.LABELLED_AMOUNT, "REFERENCE": x.REFERENCE, "ANCHOR": x.SPAN_ANCHOR, "SPAN": x.SPAN, "TO1": x.RECIPIENTS[0], "TO2": x.RECIPIENTS[1], "TO3": x.RECIPIENTS[2], "AFTER": x.AFTER_RECIPIENT, "WALLET": x.WALLET, "T1": x.TIMES[0], "T2": x.TIMES[1]}
     words["PHONE"] = x.PHONE.replace("(?<![0-9])", "(?:^|[^0-9])").replace("(?![0-9])", "(?:[^0-9]|$)")
     for k, v in (words | {k.upper(): v for k, v in x.STATUSES.items()}).items():
         template = template.replace(f"<{k}>", v)
@@ -103,7 +103,16 @@ def x9_extraction_coverage(receipts):
 
 
 @query(
-    _sql("+ l AS (SELECT receipt_id, unnest(string_split(upper(text), chr(10))) AS line FROM receipts), s AS (SELECT receipt_id, unnest(CASE WHEN len(regexp_extract_all(line, '<REFERENCE>', 1)) > 0 THEN regexp_extract_all(line, '<REFERENCE>', 1) ELSE list_filter(regexp_split_to_array(line, '[^A-Z0-9._/-]+'), lambda v: regexp_matches(v, '^[A-Z0-9][A-Z0-9._/-]{5,49}$')) END) AS span FROM l) SELECT DISTINCT receipt_id, span FROM s WHERE regexp_matches(span, '[0-9]')"),
+    _sql(
+        r"""+ l AS (SELECT receipt_id, unnest(string_split(text, chr(10))) AS line FROM receipts),
+k AS (SELECT row_number() OVER () AS r, receipt_id, line, regexp_extract(line, '<ANCHOR>', 1) AS tail, list_filter(regexp_split_to_array(tail, '\s+'), lambda v: v <> '') AS tokens FROM l),
+p AS (SELECT r, receipt_id, i, tokens[i] AS token, upper(array_to_string(tokens[1:i], '')) AS span FROM (SELECT r, receipt_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM k)),
+v AS (SELECT *, regexp_matches(span, '<SPAN>') AND regexp_matches(span, '[0-9]') AS ok FROM p),
+f AS (SELECT *, min(CASE WHEN ok THEN i END) OVER (PARTITION BY r) AS first FROM v),
+c AS (SELECT *, min(CASE WHEN i > first AND regexp_matches(token, '^[A-Za-z]+$') THEN i END) OVER (PARTITION BY r) AS stop FROM f)
+SELECT receipt_id, span FROM c WHERE ok AND (stop IS NULL OR i < stop) UNION
+SELECT receipt_id, span FROM (SELECT receipt_id, unnest(regexp_split_to_array(upper(line), '[^A-Z0-9._/-]+')) AS span FROM k WHERE tail = '') WHERE regexp_matches(span, '<SPAN>') AND regexp_matches(span, '[0-9]')"""
+    ),
     "receipts",
 )
 def x13_reference_spans(receipts):
