@@ -13,6 +13,8 @@ SENSITIVE = [
     ("MONEY", r"GHS ?[0-9][0-9,]*(?:\.[0-9]+)?"),
     ("REFERENCE", r"[A-Z]{2,}[0-9]{6,}"),
 ]
+# What every match of a kind holds.
+MARKS = {"URL": "://", "EMAIL": "@", "MONEY": "GHS"}
 SECRET = r"(?i)(otp|one-time|verification code)"
 # Cue phrases of a transaction confirmation.
 CUES = ["payment made", "payment received", "transaction id", "cash out", "transfer"]
@@ -20,12 +22,18 @@ PROVIDERS = {"MTN_MOMO": r"(?i)mtn|momo", "TELECEL_CASH": r"(?i)telecel|vodafone
 
 
 def tokenize_sensitive(df: DataFrame, text: str = "text") -> DataFrame:
-    """Each kind replaced by its token, in order; counts are of the text as the earlier kinds left it."""
-    d, c = df, F.col(text)
+    """Each kind replaced by its token, in order; counts are of the text as the earlier kinds left it.
+
+    A pattern runs only on texts that hold what all its matches hold, and replaces only where it was found."""
+    d, c, null = df.withColumn("clean", F.col(text)), F.col("clean"), F.lit(None).cast("long")
     for kind, pattern in SENSITIVE:
-        d = d.withColumn(f"n_{kind.lower()}", F.regexp_count(c, F.lit(pattern)).cast("long"))
-        c = F.regexp_replace(c, pattern, f"[{kind}]")
-    return d.withColumn("clean", c)
+        n = f"n_{kind.lower()}"
+        count = F.regexp_count(c, F.lit(pattern)).cast("long")
+        if kind in MARKS:
+            count = F.when(F.contains(c, F.lit(MARKS[kind])), count).otherwise(F.when(c.isNull(), null).otherwise(0))
+        d = d.withColumn(n, count)
+        d = d.withColumn("clean", F.when(F.col(n) > 0, F.regexp_replace(c, pattern, f"[{kind}]")).otherwise(c))
+    return d.select(*(k for k in d.columns if k != "clean"), "clean")
 
 
 def residual_gate(df: DataFrame, text: str = "clean") -> DataFrame:
