@@ -1,11 +1,12 @@
 """Extraction, corpus, record, model and stream operators on small literal rows."""
 
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkledger.operators import corpora, extraction, models, records
+from sparkledger.operators import corpora, extraction, messages, models, records
 from sparkledger.streaming import streams
 
 
@@ -134,6 +135,26 @@ def test_model_beats_dummy_and_calibrates(spark):
     assert {r.method for r in methods} == {"sigmoid", "isotonic"} and sum(r.chosen for r in methods) == 1
 
 
+def test_cross_source_scores_without_fitting(spark):
+    rising = spark.range(300).select((F.col("id") >= 150).cast("int").alias("label"), F.col("id").cast("double").alias("x"))
+    falling = rising.select((1 - F.col("label")).alias("label"), "x")
+    sources = {"up": rising, "also_up": rising, "down": falling}
+    fitted = {k: models.fit(sources[k], ["x"], "logistic") for k in ("up", "down")}
+    got = {(r.trained_on, r.scored_on): (r.n_rows, r.roc_auc) for r in models.cross_source(fitted, sources).collect()}
+    assert got == {("up", "also_up"): (300, 1.0), ("up", "down"): (300, 0.0), ("down", "up"): (300, 0.0), ("down", "also_up"): (300, 0.0)}
+
+
+def test_sensitive_tokens_equal_brute_force(spark):
+    texts = ["see https://a.b/c?d=e@f.gh and mail x@y.zz, GHS 1,200.50 or GHS5", "call +233241234567 REF123456 no@mark", "0123456789 GHS", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for r in messages.tokenize_sensitive(d).collect():
+        t = texts[r.k]
+        for kind, pattern in messages.SENSITIVE:
+            assert r[f"n_{kind.lower()}"] == (None if t is None else len(re.findall(pattern, t)))
+            t = None if t is None else re.sub(pattern, f"[{kind}]", t)
+        assert r.clean == t
+
+
 def test_stream_verification_equals_batch(spark, tmp_path):
     ref = (1, "MTN_MOMO", "REF-000001", 10.0, "GHS", "AMA", "+233241111111", "SHOP", "+233501111111", datetime(2024, 1, 1), "SUCCESS")
     names = "provider_code string, transaction_reference string, amount double, currency string, sender_name string, sender_phone string, receiver_name string, receiver_phone string, occurred_at timestamp, transaction_status string"
@@ -155,8 +176,6 @@ def test_feature_columns(spark):
 
 
 def test_word_error_rate(spark):
-    from sparkledger.operators import messages
-
     pairs = [("a b c d", "a x c"), ("Same  words", "same words"), ("", "two words"), ("w " * 400, "w " * 399 + "v"), (None, "a"), (" ".join(f"w{k}" for k in range(600)), " ".join(f"w{k}" for k in range(1, 600)))]
     d = spark.createDataFrame(pairs, "t string, r string").withColumn("e", messages.word_error_rate(F.col("t"), F.col("r")))
     assert [r.e for r in d.collect()] == [0.5, 0.0, 2.0, 0.0025, None, round(1 / 600, 6)]
