@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_text
 from .references import canonical_phone
 from .transactions import codes
 
@@ -15,21 +16,21 @@ ANONYMISATION = ["anonymised", "not_applicable"]
 MAX_AMOUNT = 999999999.99
 
 
-def _squeezed(c: str) -> Column:
-    return F.trim(F.regexp_replace(F.col(c), r"[ \t\n\r]+", " "))
-
-
 def canonicalize_references(df: DataFrame) -> DataFrame:
-    """Text columns of reference rows in canonical form, null where they are invalid, and errors (comma-joined codes by name)."""
+    """Text columns of reference rows in canonical form, null where they are invalid, and errors (comma-joined codes by name).
+
+    Texts but the phones are in NFKC form with single spaces first."""
+    texts = ["provider_code", "transaction_reference", "amount", "currency", "sender_name", "occurred_at", "transaction_status"]
+    df = df.withColumns({c: clean_text(F.col(c)) for c in texts})
     provider = F.regexp_replace(F.regexp_replace(F.upper(F.trim("provider_code")), "[^A-Z0-9_]", "_"), "^_+|_+$", "")
-    ref = F.upper(F.regexp_replace("transaction_reference", r"[ \t\n\r]+", ""))
+    ref = F.upper(F.regexp_replace("transaction_reference", " ", ""))
     money = F.bround(F.regexp_replace("amount", "[^0-9.-]", "").try_cast("decimal(20,6)"), 2)
 
     def name(c: str) -> Column:
-        n = F.regexp_replace(_squeezed(c), "^[ :-]+|[ :-]+$", "")
+        n = F.regexp_replace(c, "^[ :-]+|[ :-]+$", "")
         return F.when(n.rlike("[A-Za-z]") & (F.length(n) <= 150), F.upper(n))
 
-    at = _squeezed("occurred_at")
+    at = F.col("occurred_at")
     time = F.when(at.rlike("^[0-9]{4}-"), F.try_to_timestamp(at, F.lit("yyyy-MM-dd HH:mm"))).when(at.rlike("^[0-9]{2}/"), F.try_to_timestamp(at, F.lit("dd/MM/yyyy HH:mm")))
     d = df.withColumns(
         {

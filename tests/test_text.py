@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sparkledger.functions import text
-from sparkledger.operators import extraction, references
+from sparkledger.operators import extraction, records, references
 
 SF = "/root/testdata/sf0.001"
 PAIRS = [("ama mensah", "ama mensa"), ("ama mensah", "mensah ama"), ("abc", "xyz"), ("", "a"), ("", ""), ("same", "same"), (None, "a"), ("a", None), ("qabxcd", "abycdf"), ("x" * 300, "x" * 299 + "y")]
@@ -70,3 +70,11 @@ def test_names_are_compared_by_sequence(spark):
     resolved = spark.createDataFrame([("o", "r")], ["observation_id", "ref_id"])
     got = {r.field: r.status for r in references.compare_fields(obs, refs, resolved).collect()}
     assert got["sender_name"] == "MATCH" and got["receiver_name"] == "NOT_AVAILABLE" and got["amount"] == "MATCH"
+
+
+def test_reference_rows_are_read_in_compatibility_form(spark):
+    columns = ["provider_code", "transaction_reference", "amount", "currency", "sender_name", "sender_phone", "receiver_phone", "occurred_at", "transaction_status"]
+    rows = [(" mtn　momo ", "ＡＢ 123 456", "１,200.50", "ghs", " : Ama  Mensah -", "0241234567", None, "2024-01-02  10:20", "completed"), (None,) * 9]
+    a, b = records.canonicalize_references(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))).collect()
+    assert (a.provider_code, a.transaction_reference, str(a.amount), a.currency, a.sender_name, a.transaction_status) == ("MTN_MOMO", "AB123456", "1200.50", "GHS", "AMA MENSAH", "SUCCESSFUL")
+    assert a.errors == "" and a.occurred_at is not None and len(b.errors.split(",")) == 6
