@@ -8,21 +8,23 @@ from __future__ import annotations
 import unicodedata
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    if texts.null_count == len(texts):
+        return texts
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = zip(a, b, strict=True)
-    return pd.Series([None if pd.isna(x) or pd.isna(y) else SequenceMatcher(None, x, y).ratio() for x, y in pairs], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in pairs], pa.float64())
 
 
 def nfkc(text: Column) -> Column:
