@@ -1,12 +1,11 @@
 """Quality rules: per-document counts, and line frequency across the documents of a host.
 
-A line is boilerplate where many documents of its host hold it. Documents that are copies of one another must not
-count each other's lines as boilerplate, so the documents of a line are told apart by their smallest other line
-hash (a one-value minhash): a group of copies counts as about one. Lines above the limit are removed, and a
-document that keeps too small a share of its words is rejected.
+A line is boilerplate where many documents of its host hold it. Exact copies of a text must not count each other's
+lines as boilerplate, so documents are told apart by the digest of their text, both those of a line and those of the
+host. Lines above the limit are removed, and a document that keeps too small a share of its words is rejected.
 
-All is built from DataFrame functions. Lines are pre-aggregated by (host, line, sketch) before the count, so a line
-found in every document of a hot host arrives as a few rows of each map task.
+All is built from DataFrame functions. Different (host, line, digest) are found first, spread by all three, and are
+then pre-aggregated by (host, line), so a line found in every document of a hot host arrives as a row of each task.
 
 Defined results: a null text has no words and no lines; a null host is a host of its own; repeated rows each get
 their own result row; an empty table gives an empty result; columns other than doc_id, text and the host are not read.
@@ -14,7 +13,7 @@ their own result row; an empty table gives an empty result; columns other than d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import BLANKS, fenced, materialise, row_key, words_of
@@ -74,8 +73,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", failed).drop("__words", "__lines", "__each", "__windows", "__sorted", "__twice", "__pairs", "__places")
 
 
+def text_digest() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def line_words(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(row, pos, host, line, sketch, words): a row for each line with a word; line is the md5 of its normal form."""
+    """(row, pos, host, line, digest, words): a row for each line with a word; line is the md5 of its normal form, digest that of the text."""
     lines = F.transform(
         F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS))
     )
@@ -83,18 +86,17 @@ def line_words(docs: DataFrame, host: str = "source") -> DataFrame:
         F.filter(lines, lambda x: x != ""),
         lambda x: F.struct(F.unhex(F.md5(x)).alias("line"), F.size(words_of(x)).alias("words")),
     )
-    d = docs.select(row_key().alias("row"), F.col(host).alias("host"), named.alias("ls"))
-    two = F.slice(F.array_sort(F.array_distinct(F.transform("ls", lambda x: x["line"]))), 1, 2)
-    d = d.withColumn("two", two).select("row", "host", "two", F.posexplode("ls").alias("pos", "l"))
-    sketch = F.when(F.col("two")[0] != F.col("l.line"), F.col("two")[0]).otherwise(F.get("two", F.lit(1)))
-    return d.select("row", "pos", "host", F.col("l.line").alias("line"), sketch.alias("sketch"), F.col("l.words").alias("words"))
+    d = docs.select(row_key().alias("row"), F.col(host).alias("host"), text_digest().alias("digest"), named.alias("ls"))
+    d = d.select("row", "host", "digest", F.posexplode("ls").alias("pos", "l"))
+    return d.select("row", "pos", "host", F.col("l.line").alias("line"), "digest", F.col("l.words").alias("words"))
+
 
 
 def boilerplate(lines: DataFrame, docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """(host, line): the lines above the limits of their host."""
-    hosts = docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("n_host"))
+    hosts = docs.select(F.col(host).alias("h"), text_digest()).distinct().groupBy("h").agg(F.count("*").alias("n_host"))
     found = (
-        lines.select("host", "line", "sketch")
+        lines.select("host", "line", "digest")
         .distinct()
         .groupBy("host", "line")
         .agg(F.count("*").alias("n_docs"))

@@ -88,6 +88,16 @@ def test_boilerplate_rejects_depleted_documents_only(spark):
     assert all(r[200 + k]["kept"] for k in range(60))
 
 
+def test_shared_lines_with_one_own_line_are_boilerplate(spark):
+    shared = "\n".join(f"shared{i} a{i} b{i}" for i in range(30))
+    rows = [(k, f"{shared}\nown{k} c{k} d{k}", "a") for k in range(60)]
+    rows += [(100 + k, " ".join(f"body{k}x{j}" for j in range(60)), "a") for k in range(200)]
+    rows += [(400 + k, rows[60][1], "a") for k in range(2000)]  # copies of one text do not thin the share
+    r = by_id(quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all(not r[k]["base_failed"] and not r[k]["kept"] and r[k]["n_removed_words"] == 90 for k in range(60))
+    assert all(r[k]["kept"] for k in r if k >= 100)
+
+
 def brute_fingerprint(text):
     w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     if not w:
