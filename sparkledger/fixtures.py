@@ -56,7 +56,7 @@ SELECT o_orderkey AS observation_id,
   CASE WHEN o_orderkey % 11 = 0 THEN {plus45} ELSE o_orderdate END AS occurred_at,
   CASE WHEN o_orderkey % 13 = 0 THEN 'FAILED' WHEN o_orderstatus = 'F' THEN 'SUCCESS' WHEN o_orderstatus = 'O' THEN 'PENDING' ELSE 'REVERSED' END AS transaction_status,
   sha AS receipt_sha
-FROM (SELECT *, o_custkey AS sha FROM orders) WHERE o_orderkey % 3 = 0""",
+FROM (SELECT *, o_custkey AS sha FROM orders)""",
     "hashes": """
 SELECT vec_id AS id, hi, lo FROM h UNION ALL
 SELECT vec_id + 1000000, hi, xor(lo, 1) FROM h WHERE vec_id % 10 = 0 UNION ALL

@@ -206,7 +206,7 @@ def x10_candidate_score(tokens):
     "conversations",
 )
 def x15_field_confidence(tokens, conversations):
-    f = conversations.groupBy(F.col("conv_id").alias("doc"), "turn").agg(F.substring(F.min("text"), 1, 20).alias("raw"))
+    f = conversations.groupBy(F.col("conv_id").alias("doc"), "turn").agg(F.min("text").alias("raw"))
     return x.field_confidence(f.select("doc", F.concat(F.lit("f"), F.col("turn").cast("string")).alias("field"), "raw", (F.col("turn") % 2 == 0).alias("valid")), tokens)
 
 

@@ -6,10 +6,15 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from sparkledger.fixtures import view
 from sparkledger.operators import corpora, extraction, messages, models, records
+from sparkledger.plans import catalog
 from sparkledger.streaming import streams
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def one(df):
     return df.collect()[0].asDict()
 
@@ -179,3 +184,24 @@ def test_word_error_rate(spark):
     pairs = [("a b c d", "a x c"), ("Same  words", "same words"), ("", "two words"), ("w " * 400, "w " * 399 + "v"), (None, "a"), (" ".join(f"w{k}" for k in range(600)), " ".join(f"w{k}" for k in range(1, 600)))]
     d = spark.createDataFrame(pairs, "t string, r string").withColumn("e", messages.word_error_rate(F.col("t"), F.col("r")))
     assert [r.e for r in d.collect()] == [0.5, 0.0, 2.0, 0.0025, None, round(1 / 600, 6)]
+
+
+def test_every_order_is_observed(spark):
+    assert view(spark, SF, "obs").count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_field_confidence_reads_whole_turns(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        turns[r.conv_id, r.turn] = min(r.text, turns.get((r.conv_id, r.turn), r.text))
+    assert max(map(len, turns.values())) > 20
+    clean = lambda w: re.sub("[^A-Z0-9]", "", w.upper())
+    tokens = {}
+    for t in view(spark, SF, "tokens").collect():
+        tokens.setdefault((t.doc, clean(t.text)), []).append(t.confidence)
+    got = {(r.doc, r.field): r.confidence for r in catalog.QUERIES["x15_field_confidence"](spark, SF).collect()}
+    for (doc, turn), text in turns.items():
+        found = [c for w in {clean(w) for w in text.split(" ")} - {""} for c in tokens.get((doc, w), [])]
+        want = min(1.0, (sum(found) / len(found) / 100 if found else 0.45) + (0.1 if turn % 2 == 0 else 0))
+        assert got[doc, f"f{turn}"] == pytest.approx(want, abs=1e-4)
+    assert len(got) == len(turns)
