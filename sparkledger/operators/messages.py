@@ -5,22 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sensitive patterns in the order of replacement. None looks around, so both engines read them alike.
+# Sensitive patterns in the order of replacement, as the reference has them. Read by unicode().
 SENSITIVE = [
-    ("URL", r"https?://[^ ]+"),
-    ("EMAIL", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+"),
-    ("PHONE", r"\+?(?:233|0)[0-9]{9}"),
-    ("MONEY", r"GHS ?[0-9][0-9,]*(?:\.[0-9]+)?"),
-    ("REFERENCE", r"[A-Z]{2,}[0-9]{6,}"),
+    ("URL", r"(?i)\b(?:https?://|www\.)\S+"),
+    ("EMAIL", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
+    ("PHONE", r"(?<!\d)(?:\+?233[\s-]?|0)(?:2|5)\d(?:[\s-]?\d){7}(?!\d)"),
+    ("MONEY", r"(?i)(?:GHS|GHC|GH[₵¢])\s*\d[\d,]*(?:\.\d{1,4})?"),
+    ("REFERENCE", r"(?<![A-Za-z0-9])(?=[A-Za-z0-9-]{8,}\b)(?=[A-Za-z0-9-]*\d)[A-Za-z0-9-]+"),
 ]
-# What every match of a kind holds.
-MARKS = {"URL": "://", "EMAIL": "@", "MONEY": "GHS"}
-SECRET = r"(?i)(otp|one-time|verification code)"
+# What every match of a kind holds one of, in lower case.
+MARKS = {"URL": ["://", "www."], "EMAIL": ["@"], "MONEY": ["gh"]}
+# What a residual gate looks for besides e-mail, phone and money.
+RESIDUAL = [
+    r"(?i)\b\d[\d,]*(?:\.\d{1,4})?\s*(?:GHS|GHC|GH₵|GH¢)\b",
+    r"(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\d)",
+    r"(?<!\d)\d{4}[-/]\d{1,2}[-/]\d{1,2}(?!\d)",
+    r"(?<!\d)(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?!\d)",
+    r"\[[A-Z_]+_\d*\[",
+]
+# Identifier categories.
+CATEGORIES = [
+    ("phone_number", r"(?<!\d)(?:\+?233|0)[235]\d{8}(?!\d)"),
+    ("email_address", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
+    ("transaction_reference", r"(?i)\b(?:reference|transaction[_ ]?id)\s*[:=]\s*(?!DEMO-|SYNTH-|REDACTED)[A-Z0-9-]{8,}"),
+    ("personal_name", r"(?i)\b(?:customer|recipient|sender|name)\s*[:=]\s*(?!DEMO\b|SYNTHETIC\b|REDACTED\b|ANONYMOUS\b)[A-Z][A-Z'-]+(?:\s+[A-Z][A-Z'-]+)+"),
+]
+SECRET = (
+    r"(?is)(?:\b(?:otp|one[ -]?time password|verification code|security code|pin is|code is|following code)\b.{0,300}?\b\d{4,8}\b"
+    r"|\b\d{4,8}\b.{0,100}?\b(?:otp|one[ -]?time password|verification code|security code)\b)"
+)
 # Cue phrases of a transaction confirmation.
-CUES = ["payment made", "payment received", "transaction id", "cash out", "transfer"]
+CUES = [
+    "payment made", "payment received", "payment for", "cash out", "cash in", "money transfer", "airtime recharge", "successfully purchased", "transaction id",
+    " confirmed.", "bundle purchase request", "transaction failed", "you bought", "you have received", "you have withdrawn", "fee charged", "reversal",
+]
 PROVIDERS = {"MTN_MOMO": r"(?i)mtn|momo", "TELECEL_CASH": r"(?i)telecel|vodafone", "AIRTELTIGO_MONEY": r"(?i)airteltigo|tigo cash"}
 
 
+def unicode(pattern: str) -> str:
+    """The pattern with classes, cases and word ends of Unicode, as the reference reads it."""
+    return f"(?U){pattern}"
+
+
 def tokenize_sensitive(df: DataFrame, text: str = "text") -> DataFrame:
     """Each kind replaced by its token, in order; counts are of the text as the earlier kinds left it.
 
@@ -28,27 +54,33 @@ def tokenize_sensitive(df: DataFrame, text: str = "text") -> DataFrame:
     d, c, null = df.withColumn("clean", F.col(text)), F.col("clean"), F.lit(None).cast("long")
     for kind, pattern in SENSITIVE:
         n = f"n_{kind.lower()}"
-        count = F.regexp_count(c, F.lit(pattern)).cast("long")
+        count = F.regexp_count(c, F.lit(unicode(pattern))).cast("long")
         if kind in MARKS:
-            count = F.when(F.contains(c, F.lit(MARKS[kind])), count).otherwise(F.when(c.isNull(), null).otherwise(0))
+            marked = F.exists(F.array(*map(F.lit, MARKS[kind])), lambda x: F.contains(F.lower(c), x))
+            count = F.when(marked, count).otherwise(F.when(c.isNull(), null).otherwise(0))
         d = d.withColumn(n, count)
-        d = d.withColumn("clean", F.when(F.col(n) > 0, F.regexp_replace(c, pattern, f"[{kind}]")).otherwise(c))
+        d = d.withColumn("clean", F.when(F.col(n) > 0, F.regexp_replace(c, unicode(pattern), f"[{kind}]")).otherwise(c))
     return d.select(*(k for k in d.columns if k != "clean"), "clean")
 
 
 def residual_gate(df: DataFrame, text: str = "clean") -> DataFrame:
+    """The rows that still hold a sensitive value or a one-time code."""
     hit = F.lit(False)
-    for _, p in SENSITIVE:
-        hit = hit | F.col(text).rlike(p)
+    for p in [*(p for _, p in SENSITIVE), *RESIDUAL, SECRET]:
+        hit = hit | F.col(text).rlike(unicode(p))
     return df.where(hit)
 
 
 def identifier_categories(c: Column) -> Column:
-    return F.array_join(F.array_compact(F.array(*(F.when(c.rlike(p), k) for k, p in SENSITIVE))), ",")
+    return F.array_join(F.array_compact(F.array(*(F.when((F.upper(c) if k == "personal_name" else c).rlike(unicode(p)), k) for k, p in CATEGORIES))), ",")
+
+
+def has_secret(c: Column) -> Column:
+    return c.rlike(unicode(SECRET))
 
 
 def secret_quarantine(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    return df.where(~F.col(text).rlike(SECRET)), df.where(F.col(text).rlike(SECRET))
+    return df.where(~has_secret(F.col(text))), df.where(has_secret(F.col(text)))
 
 
 def message_category(c: Column) -> Column:

@@ -525,9 +525,21 @@ def a24_candidate_sources(pages):
     return governance.candidate_source_report(pages)
 
 
+# The patterns and cues of the registered SQL, narrower than those of the operators.
+SQL_SENSITIVE = [
+    ("URL", r"https?://[^ ]+"),
+    ("EMAIL", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+"),
+    ("PHONE", r"\+?(?:233|0)[0-9]{9}"),
+    ("MONEY", r"GHS ?[0-9][0-9,]*(?:\.[0-9]+)?"),
+    ("REFERENCE", r"[A-Z]{2,}[0-9]{6,}"),
+]
+SQL_SECRET = r"(?i)(otp|one-time|verification code)"
+SQL_CUES = ["payment made", "payment received", "transaction id", "cash out", "transfer"]
+
+
 def _tokens() -> tuple[str, str]:
     c, counts = "text", []
-    for kind, p in messages.SENSITIVE:
+    for kind, p in SQL_SENSITIVE:
         counts.append(f"CAST(length(regexp_extract_all({c}, '{p}')) AS BIGINT) AS n_{kind.lower()}")
         c = f"regexp_replace({c}, '{p}', '[{kind}]', 'g')"
     return ", ".join(counts), c
@@ -541,22 +553,22 @@ def m1_tokenize_sensitive(msgs):
     return messages.tokenize_sensitive(msgs).select("record_id", *(f"n_{k.lower()}" for k, _ in messages.SENSITIVE), "clean")
 
 
-@query("SELECT record_id FROM msgs WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for _, p in messages.SENSITIVE), "msgs")
+@query("SELECT record_id FROM msgs WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for _, p in SQL_SENSITIVE), "msgs")
 def m4_residual_gate(msgs):
     return messages.residual_gate(msgs, "text").select("record_id")
 
 
-@query("SELECT record_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in messages.SENSITIVE) + ") AS categories FROM msgs", "msgs")
+@query("SELECT record_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in SQL_SENSITIVE) + ") AS categories FROM msgs", "msgs")
 def m5_identifier_categories(msgs):
     return msgs.select("record_id", messages.identifier_categories(F.col("text")).alias("categories"))
 
 
-@query(f"SELECT record_id FROM msgs WHERE regexp_matches(text, '{messages.SECRET}')", "msgs")
+@query(f"SELECT record_id FROM msgs WHERE regexp_matches(text, '{SQL_SECRET}')", "msgs")
 def m6_secret_quarantine(msgs):
     return messages.secret_quarantine(msgs)[1].select("record_id")
 
 
-@query("SELECT record_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{c}')" for c in messages.CUES) + " THEN 'transaction_confirmation' ELSE 'official_service_message' END AS category FROM msgs", "msgs")
+@query("SELECT record_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{c}')" for c in SQL_CUES) + " THEN 'transaction_confirmation' ELSE 'official_service_message' END AS category FROM msgs", "msgs")
 def m7_message_category(msgs):
     return msgs.select("record_id", messages.message_category(F.col("text")).alias("category"))
 

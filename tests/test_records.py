@@ -205,3 +205,28 @@ def test_field_confidence_reads_whole_turns(spark):
         want = min(1.0, (sum(found) / len(found) / 100 if found else 0.45) + (0.1 if turn % 2 == 0 else 0))
         assert got[doc, f"f{turn}"] == pytest.approx(want, abs=1e-4)
     assert len(got) == len(turns)
+
+
+def test_message_patterns_equal_brute_force(spark):
+    texts = [
+        "see www.shop.gh/x or HTTP://A.B", "call 024 123 4567 or +233-50-1234567", "ghs 20, GHC 5.50, GH₵ 7, gh¢8", "ref ab-12-cd-345 abcdefg1 abcdefgh", "Ama sent 20 GHS at 10:20 on 2024-01-02 from 10.0.0.1",
+        "you bought airtime", "cash in", "a reversal", "transfer of goods", "your code is\n 4711", "1234 is the OTP", "otp", "hotpot 4711", "Sender: Ama Mensah", "name: demo user", "Reference: AB12-3456", "reference=DEMO-12345", "tel 0241234567", "x [URL_1[", "", None,
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    held = lambda p, t: t is not None and re.search(p, t) is not None
+    counts = {}
+    for r in messages.tokenize_sensitive(d).collect():
+        t = texts[r.k]
+        for kind, pattern in messages.SENSITIVE if t is not None else []:
+            t, n = re.subn(pattern, f"[{kind}]", t)
+            assert r[f"n_{kind.lower()}"] == n
+            counts[kind] = counts.get(kind, 0) + n
+        assert r.clean == t
+    assert counts == {"URL": 2, "EMAIL": 0, "PHONE": 3, "MONEY": 4, "REFERENCE": 5}
+    every = [*(p for _, p in messages.SENSITIVE), *messages.RESIDUAL, messages.SECRET]
+    assert {r.k for r in messages.residual_gate(d, "text").collect()} == {k for k, t in enumerate(texts) if any(held(p, t) for p in every)}
+    assert {r.k for r in messages.secret_quarantine(d)[1].collect()} == {9, 10}
+    category = {r.k: r.c for r in d.select("k", messages.message_category(F.col("text")).alias("c")).collect()}
+    assert {k for k, c in category.items() if c == "transaction_confirmation"} == {5, 6, 7} and len(messages.CUES) == 17
+    found = {r.k: r.c for r in d.select("k", messages.identifier_categories(F.col("text")).alias("c")).collect()}
+    assert {k: c for k, c in found.items() if c} == {13: "personal_name", 15: "transaction_reference", 17: "phone_number"}
