@@ -26,7 +26,7 @@ def threshold_curve(scored: DataFrame, digits: int = 8) -> DataFrame:
 
 
 def binary_metrics(scored: DataFrame) -> DataFrame:
-    """One row: n, prevalence, average precision (step sum), ROC AUC with tied ranks, Brier score."""
+    """One row: n, prevalence, average precision (step sum), ROC AUC with tied ranks, Brier score; null where no row, or one class only, leaves it undefined."""
     by = scored.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
     down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,8 +35,8 @@ def binary_metrics(scored: DataFrame) -> DataFrame:
     brier = scored.agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"))
     p, n = F.col("P"), F.col("T") - F.col("P")
     return s.crossJoin(brier).select(
-        F.col("T").alias("n_rows"), F.round(p / F.col("T"), 8).alias("prevalence"), F.round(F.col("ap") / p, 8).alias("average_precision"),
-        F.round((F.col("ranks") - p * (p + 1) / 2) / (p * n), 8).alias("roc_auc"), F.round("brier", 8).alias("brier"),
+        F.col("T").alias("n_rows"), F.round(p / F.col("T"), 8).alias("prevalence"), F.round(F.try_divide("ap", p), 8).alias("average_precision"),
+        F.round(F.try_divide(F.col("ranks") - p * (p + 1) / 2, p * n), 8).alias("roc_auc"), F.round("brier", 8).alias("brier"),
     )
 
 

@@ -18,7 +18,7 @@ def _rows(tx):
 @query(None, "tx")
 def e11_e14_candidates(tx):
     d = _rows(tx)
-    return models.fit_candidates(d.where("partition = 'train'"), d.where("partition = 'tuning'"), _FEATURES, seeds=[42, 123], trees=5, depth=4)
+    return models.fit_candidates(d.where("partition = 'train'"), d.where("partition = 'tuning'"), _FEATURES)
 
 
 @query(None, "tx")
@@ -31,9 +31,10 @@ def e12_calibrate(tx):
 @query(None, "tx")
 def e13_cross_source(tx):
     d = _rows(tx)
-    names = ["CLICK", "PURCHASE"]
-    fitted = {n: models.fit(d.where((F.col("partition") == "train") & (F.col("transaction_type") == n)), _FEATURES, "logistic") for n in names}
-    return models.cross_source(fitted, {n: d.where((F.col("partition") == "tuning") & (F.col("transaction_type") == n)) for n in names})
+    parts = {"train": {}, "tuning": {}}
+    for p, t in d.where(F.col("partition").isin(*parts) & F.col("transaction_type").isNotNull()).select("partition", "transaction_type").distinct().orderBy("partition", "transaction_type").collect():
+        parts[p][t] = d.where((F.col("partition") == p) & (F.col("transaction_type") == t))
+    return models.cross_source({t: models.fit(x, _FEATURES, "logistic") for t, x in parts["train"].items()}, parts["tuning"])
 
 
 @query("SELECT engine AS candidate, count(*) AS n_seeds, round(avg(cer), 8) AS mean_ap, round(stddev_pop(cer), 8) AS stddev_ap FROM ocr_runs GROUP BY 1", "ocr_runs")

@@ -230,3 +230,24 @@ def test_message_patterns_equal_brute_force(spark):
     assert {k for k, c in category.items() if c == "transaction_confirmation"} == {5, 6, 7} and len(messages.CUES) == 17
     found = {r.k: r.c for r in d.select("k", messages.identifier_categories(F.col("text")).alias("c")).collect()}
     assert {k: c for k, c in found.items() if c} == {13: "personal_name", 15: "transaction_reference", 17: "phone_number"}
+
+
+def test_every_source_is_fitted_and_scored(spark):
+    sources = {r[0] for r in view(spark, SF, "tx").select("transaction_type").distinct().collect()}
+    got = {(r.trained_on, r.scored_on) for r in catalog.QUERIES["e13_cross_source"](spark, SF).select("trained_on", "scored_on").collect()}
+    assert len(sources) == 5 and got == {(a, b) for a in sources for b in sources if a != b}
+
+
+def test_candidates_run_on_every_seed(monkeypatch):
+    from sparkledger.plans import models as plans
+
+    given = {}
+    monkeypatch.setattr(plans, "_rows", lambda tx: tx)
+    monkeypatch.setattr(models, "fit_candidates", lambda *args, **named: given.update(named, n=len(args)))
+
+    class Rows:
+        def where(self, _):
+            return self
+
+    plans.e11_e14_candidates(Rows())
+    assert given == {"n": 3} and models.SEEDS == [42, 123, 2026]
