@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 #: The most labelled rows that a model is fitted on (those of smallest hash).
 SAMPLE_ROWS = 20_000
 #: The most features that a model keeps.
-KEPT = 2_048
+KEPT = 8_192
+#: Rows of the sample that a step of the fit works on at once.
+BLOCK = 1_000
 HASHED = 1 << 22
 SIZES = (3, 4, 5)
 MIN_DOCS = 5
@@ -78,23 +80,33 @@ def held_out() -> Column:
 def _fit(found: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, ratio: dict[int, float], steps: int = 800, l2: float = 0.02) -> Model:
     """Logistic regression by accelerated gradient steps over the scaled features.
 
-    found has the features of all rows in a line, lengths how many each row has."""
+    found has the features of all rows in a line, as places in the sorted features, lengths how many each row has.
+    Only a block of rows is unpacked at a time."""
     n = len(toxic)
-    kept = np.array(sorted(ratio), np.int64)
-    scale = np.array([ratio[f] for f in kept.tolist()])
-    col = np.searchsorted(kept, found)
-    row = np.repeat(np.arange(n), lengths)
-    val, y = scale[col], toxic.astype(float)
+    kept = sorted(ratio)
+    scale = np.array([ratio[f] for f in kept])
+    y, ends = toxic.astype(float), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+    def blocks() -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        for i in range(0, n, BLOCK):
+            at = slice(i, min(i + BLOCK, n))
+            col = found[ends[at.start] : ends[at.stop]].astype(np.int64)
+            yield at, col, np.repeat(np.arange(at.stop - at.start), lengths[at])
+
     prior = math.log((y.sum() + 1) / (n - y.sum() + 1))
     w, b, wm, bm = np.zeros(len(scale)), prior, np.zeros(len(scale)), prior
-    rate = 4 / max(1.0, float(np.max(np.bincount(row, val**2, n), initial=1.0)) + 1)
+    rate = 4 / (1 + max([1.0, *(float(np.max(np.bincount(row, scale[col] ** 2), initial=1.0)) for _, col, row in blocks())]))
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, wm[col] * val, n) + bm, -30, 30)))
-        g = np.bincount(col, (p - y)[row] * val, len(scale)) / n + l2 / n * wm
-        w2, b2 = wm - rate * g, bm - rate * float((p - y).mean())
+        g, off, ws = np.zeros(len(scale)), 0.0, wm * scale
+        for at, col, row in blocks():
+            e = 1 / (1 + np.exp(-np.clip(np.bincount(row, ws[col], at.stop - at.start) + bm, -30, 30))) - y[at]
+            g += np.bincount(col, e[row], len(scale))
+            off += float(e.sum())
+        g = (g * scale + l2 * wm) / n
+        w2, b2 = wm - rate * g, bm - rate * off / n
         m = k / (k + 3)
         wm, bm, w, b = w2 + m * (w2 - w), b2 + m * (b2 - b), w2, b2
-    return Model(b, {f: x for f, x in zip(kept.tolist(), (w * scale).tolist(), strict=True) if x})
+    return Model(b, {f: x for f, x in zip(kept, (w * scale).tolist(), strict=True) if x})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, kept: int = KEPT) -> Model:
@@ -125,17 +137,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, kept
         .collect()
     )
     ratios = {r["feature"]: r["ratio"] for r in best}
+    place = {f: i for i, f in enumerate(sorted(ratios))}
+    packed = np.uint16 if len(place) <= 1 << 16 else np.uint32
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader(ratios.__contains__)
+        read = Reader(place.__contains__)
         for batch in batches:
-            found = [np.array(sorted(read(t)), np.uint32) for t in batch["text"].to_pylist()]
-            cols = [np.concatenate([*found, np.zeros(0, np.uint32)]), np.array([len(x) for x in found], np.uint32), np.array(batch["toxic"].to_pylist(), np.uint8)]
+            found = [np.array(sorted(map(place.__getitem__, read(t))), packed) for t in batch["text"].to_pylist()]
+            cols = [np.concatenate([*found, np.zeros(0, packed)]), np.array([len(x) for x in found], np.uint32), np.array(batch["toxic"].to_pylist(), np.uint8)]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["found", "lengths", "toxic"])
 
     # What comes to the driver is bounded: sample_rows rows with kept features at most, packed.
     rows = texts.mapInArrow(present, "found binary, lengths binary, toxic binary").collect()
-    found, lengths, toxic = (np.concatenate([np.frombuffer(bytes(r[k]), t) for r in rows]) for k, t in (("found", np.uint32), ("lengths", np.uint32), ("toxic", np.uint8)))
+    found, lengths, toxic = (np.concatenate([np.frombuffer(bytes(r[k]), t) for r in rows]) for k, t in (("found", packed), ("lengths", np.uint32), ("toxic", np.uint8)))
     return _fit(found, lengths, toxic, ratios)
 
 

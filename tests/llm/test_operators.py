@@ -226,6 +226,16 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_fit_in_blocks_keeps_rare_features():
+    rng = np.random.default_rng(3)
+    n, f = 2500, 3000
+    toxic = (np.arange(n) % 2).astype(np.uint8)
+    rows = [np.unique(rng.integers(0, f // 2, 3) * 2 + t) for t in toxic]
+    ratio = {10 * k: 1.0 if k % 2 else -1.0 for k in range(f)}
+    m = toxicity._fit(np.concatenate(rows).astype(np.uint16), np.array([len(r) for r in rows], np.uint32), toxic, ratio, steps=50)
+    assert toxicity.KEPT == 8192 and m.weights and all((w > 0) == (k // 10 % 2 == 1) for k, w in m.weights.items())
+
+
 def test_sharding(spark, docs, empty):
     rows = sharding.records(docs, 64)
     loads = sharding.slot_loads(rows)
