@@ -1,75 +1,87 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A document's features are the character n-grams inside its words (word ends included), present or absent. Spark
-counts in how many toxic and other training documents each n-gram occurs; the log ratio of the two smoothed
-frequencies scales the feature, the strongest features are kept, and logistic regression fits their weights. The
-sample of labelled rows and the number of kept features are bounded parameters, so the model has a fixed size and
-can be broadcast; every row of the corpus is scored, over its whole text, in one pass without a shuffle.
+A document's features are the character n-grams inside its words (word ends included), present or absent, hashed into
+a fixed number of places. The log ratio of a feature's smoothed frequencies in toxic and in other training documents
+scales it, shrunk where its standard error is large, so that a rare n-gram keeps its place but not the weight of a
+frequent one. All features of the training rows take part. Logistic regression with a square penalty fits the weights
+by steps over one row at a time (dual coordinate ascent).
+
+Spark reads, joins and packs the training rows; what comes to the driver is a bounded sample: SAMPLE_ROWS rows and
+SAMPLE_FEATURES features in them at most. The model is one array of HASHED weights and is broadcast; every row of the
+corpus is scored, over its whole text, in one pass without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; labelled rows without a
-toxic mark or without a document are not used; without rows of both classes the score is the smoothed share of toxic
-rows; repeated rows each get their own result row; an empty table gives an empty result; the score reads text only.
+toxic mark or without a document are not used; a labelled id that repeats in documents counts once, with the least of
+its texts; without rows of both classes the score is the smoothed share of toxic rows; repeated rows each get their
+own result row; an empty table gives an empty result; the score reads text only.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most labelled rows that a model is fitted on (those of smallest hash).
+from ._common import materialise
+
+#: The most labelled rows that a model is fitted on (those of smallest hash), and the most features in them together.
 SAMPLE_ROWS = 20_000
-#: The most features that a model keeps.
-KEPT = 8_192
-#: Rows of the sample that a step of the fit works on at once.
-BLOCK = 1_000
+SAMPLE_FEATURES = 60_000_000
+#: Places that the n-grams are hashed to.
 HASHED = 1 << 22
 SIZES = (3, 4, 5)
-MIN_DOCS = 5
+#: Standard errors at which half of a ratio's square remains, the weight of a row's loss, and the passes over the rows.
+SHRINK = 3.0
+LOSS = 3.0
+PASSES = 8
 THRESHOLD = 0.3
 
-# A-Z lower-cased; other ASCII but a-z and 0-9 separates words.
-_WORD = bytes(
-    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
-)
+_ALPHANUMERIC = np.array([chr(b).isalnum() for b in range(128)])
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass
 class Model:
     intercept: float
-    weights: dict[int, float] = field(default_factory=dict)
-
-
-def grams(word: bytes) -> set[int]:
-    """The hashed n-grams of a word with its ends."""
-    w = f" {word.decode(errors='replace').lower()} "
-    return {zlib.crc32(w[i : i + n].encode()) % HASHED for n in SIZES for i in range(len(w) - n + 1)}
-
-
-class Reader:
-    """The features of texts; those of a word are worked out once while the cache has room."""
-
-    def __init__(self, wanted: Callable[[int], bool] = lambda _: True, room: int = 400_000):
-        self.wanted, self.room, self.cache = wanted, room, {}
-
-    def __call__(self, text: str | None) -> set[int]:
-        out: set[int] = set()
-        if len(self.cache) > self.room:
-            self.cache.clear()
-        cache = self.cache
-        for w in set((text or "").encode().translate(_WORD).split()):
-            f = cache.get(w)
-            if f is None:
-                f = cache[w] = tuple(x for x in grams(w) if self.wanted(x))
-            if f:
-                out.update(f)
-        return out
+    weights: np.ndarray | None = None
+
+
+def grams(text: str | None) -> np.ndarray:
+    """The places of a text's n-grams, each once, in no order. ASCII characters but letters and digits separate words;
+    an n-gram has the gap before or after a word, never one inside."""
+    codes = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    gap = (codes < 128) & ~_ALPHANUMERIC[np.minimum(codes, 127).astype(np.int64)]
+    codes[gap] = 32
+    out = []
+    for n in SIZES:
+        m = len(codes) - n + 1
+        if m <= 0:
+            break
+        inside, h = np.zeros(m, bool), np.full(m, n, np.uint64)
+        for j in range(n):
+            h = h * _BASE + codes[j : j + m]
+            if 0 < j < n - 1:
+                inside |= gap[j : j + m]
+        h = h[~inside]
+        out.append(((h ^ (h >> np.uint64(31))) * _MIX >> np.uint64(42)).astype(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+class Distinct:
+    """Keeps the first of equal places; the scratch is reused, so a text costs time in its own length only."""
+
+    def __init__(self):
+        self.scratch = np.zeros(HASHED, np.int64)
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        order = np.arange(len(places))
+        self.scratch[places[::-1]] = order[::-1]
+        return places[self.scratch[places] == order]
 
 
 def held_out() -> Column:
@@ -77,80 +89,86 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _fit(found: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, ratio: dict[int, float], steps: int = 800, l2: float = 0.02) -> Model:
-    """Logistic regression by accelerated gradient steps over the scaled features.
-
-    found has the features of all rows in a line, as places in the sorted features, lengths how many each row has.
-    Only a block of rows is unpacked at a time."""
-    n = len(toxic)
-    kept = sorted(ratio)
-    scale = np.array([ratio[f] for f in kept])
-    y, ends = toxic.astype(float), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-
-    def blocks() -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        for i in range(0, n, BLOCK):
-            at = slice(i, min(i + BLOCK, n))
-            col = found[ends[at.start] : ends[at.stop]].astype(np.int64)
-            yield at, col, np.repeat(np.arange(at.stop - at.start), lengths[at])
-
-    prior = math.log((y.sum() + 1) / (n - y.sum() + 1))
-    w, b, wm, bm = np.zeros(len(scale)), prior, np.zeros(len(scale)), prior
-    rate = 4 / (1 + max([1.0, *(float(np.max(np.bincount(row, scale[col] ** 2), initial=1.0)) for _, col, row in blocks())]))
-    for k in range(steps):
-        g, off, ws = np.zeros(len(scale)), 0.0, wm * scale
-        for at, col, row in blocks():
-            e = 1 / (1 + np.exp(-np.clip(np.bincount(row, ws[col], at.stop - at.start) + bm, -30, 30))) - y[at]
-            g += np.bincount(col, e[row], len(scale))
-            off += float(e.sum())
-        g = (g * scale + l2 * wm) / n
-        w2, b2 = wm - rate * g, bm - rate * off / n
-        m = k / (k + 3)
-        wm, bm, w, b = w2 + m * (w2 - w), b2 + m * (b2 - b), w2, b2
-    return Model(b, {f: x for f, x in zip(kept, (w * scale).tolist(), strict=True) if x})
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, kept: int = KEPT) -> Model:
-    """A model from the labelled rows outside the held-out fold, sample_rows of them at most."""
-    marked = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+def ratios(toxic: np.ndarray, other: np.ndarray, p: int, n: int, shrink: float = SHRINK) -> np.ndarray:
+    """The log-count ratio of each feature found in toxic of p and other of n rows, shrunk by its standard error.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, total = Reader(), np.zeros((2, HASHED), np.int32)
-        for batch in batches:
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-                total[toxic][np.fromiter(read(text), np.int64)] += 1
-        f = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (f, total[1][f], total[0][f])], ["feature", "toxic", "other"])
-
-    counts = texts.mapInArrow(count, "feature bigint, toxic bigint, other bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    sizes = texts.groupBy("toxic").count().collect()
-    p, n = (next((r["count"] for r in sizes if r["toxic"] == k), 0) for k in (1, 0))
+    The two rows' worth of smoothing are shared out like the classes, so that a feature of no row has no ratio."""
+    a = 2 * p / (p + n)
+    ratio = np.log((toxic + a) / (p + 2)) - np.log((other + 2 - a) / (n + 2))
+    error = 1 / (toxic + a) + 1 / (other + 2 - a)
+    square = ratio**2
+    return np.where(toxic + other > 0, ratio * (square / (square + shrink**2 * error)) ** 2, 0.0)
+
+
+def fit_rows(found: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, loss: float = LOSS, passes: int = PASSES) -> Model:
+    """Logistic regression over the scaled features. found has the features of all rows in a line, lengths how many each
+    row has. The rows are visited in an order that is the same at each fit."""
+    p = int(toxic.sum())
+    n = len(toxic) - p
     if not p or not n:
         return Model(math.log((p + 1) / (n + 1)))
-    ratio = F.log((F.col("toxic") + 1) / F.lit(p + 2.0)) - F.log((F.col("other") + 1) / F.lit(n + 2.0))
-    best = (
-        counts.where(F.col("toxic") + F.col("other") >= MIN_DOCS)
-        .select("feature", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("toxic") / p + F.col("other") / n)).alias("strength"))
-        .orderBy(F.desc("strength"), "feature")
-        .limit(kept)
-        .collect()
-    )
-    ratios = {r["feature"]: r["ratio"] for r in best}
-    place = {f: i for i, f in enumerate(sorted(ratios))}
-    packed = np.uint16 if len(place) <= 1 << 16 else np.uint32
-
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader(place.__contains__)
-        for batch in batches:
-            found = [np.array(sorted(map(place.__getitem__, read(t))), packed) for t in batch["text"].to_pylist()]
-            cols = [np.concatenate([*found, np.zeros(0, packed)]), np.array([len(x) for x in found], np.uint32), np.array(batch["toxic"].to_pylist(), np.uint8)]
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["found", "lengths", "toxic"])
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    mark = np.repeat(toxic.astype(bool), lengths)
+    counts = [np.bincount(found[mark == k], minlength=HASHED).astype(np.float64) for k in (True, False)]
+    del mark
+    scale = ratios(*counts, p, n)
+    w, b, held = np.zeros(HASHED), 0.0, np.full(len(toxic), min(1e-3 * loss, 1e-8))
+    sign, order = np.where(toxic > 0, 1.0, -1.0), np.random.default_rng(42)
+    norms = [float(np.square(scale[found[ends[i] : ends[i + 1]]]).sum()) + 1 for i in range(len(toxic))]
+    for _ in range(passes):
+        for i in order.permutation(len(toxic)).tolist():
+            x = found[ends[i] : ends[i + 1]]
+            v = scale[x]
+            slope, old, q = sign[i] * (float(w[x] @ v) + b), held[i], norms[i]
+            z = old
+            for _ in range(20):  # Newton steps for the row's dual variable, kept inside (0, loss)
+                step = (slope + q * (z - old) + math.log(z / (loss - z))) / (q + loss / (z * (loss - z)))
+                z = z / 10 if z <= step else loss - (loss - z) / 10 if z - step >= loss else z - step
+                if abs(step) < 1e-10 * loss:
+                    break
+            held[i] = z
+            w[x] += sign[i] * (z - old) * v
+            b += sign[i] * (z - old)
+    return Model(b, (w * scale).astype(np.float32))
+
+
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, toxic, n, found): the packed features of the labelled rows outside the held-out fold, sample_rows at most."""
+    marked = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    # What comes to the driver is bounded: sample_rows rows with kept features at most, packed.
-    rows = texts.mapInArrow(present, "found binary, lengths binary, toxic binary").collect()
-    found, lengths, toxic = (np.concatenate([np.frombuffer(bytes(r[k]), t) for r in rows]) for k, t in (("found", packed), ("lengths", np.uint32), ("toxic", np.uint8)))
-    return _fit(found, lengths, toxic, ratios)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct = Distinct()
+        for batch in batches:
+            rows = [distinct(grams(t)).astype(np.uint32) for t in batch["text"].to_pylist()]
+            cols = [batch["doc_id"], batch["toxic"], pa.array([len(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "n", "found"])
+
+    return texts.mapInArrow(pack, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, n bigint, found binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> Model:
+    """A model from the labelled rows outside the held-out fold. The rows come to the driver packed, a part at a time."""
+    rows = materialise(sample(docs, labels, sample_rows).withColumn("place", F.xxhash64("doc_id", "toxic")))
+    # The sizes of sample_rows rows at most; those of smallest hash stay until the features are sample_features.
+    sizes = sorted((r["place"], r["n"]) for r in rows.select("place", "n").collect())
+    total, last = 0, None
+    for place, n in sizes:
+        if total and total + n > sample_features:
+            break
+        total, last = total + n, place
+    if last is None:
+        return Model(0.0)
+    found, lengths, toxic, at = np.zeros(total, np.uint32), [], [], 0
+    for r in rows.where(F.col("place") <= last).orderBy("place", "doc_id").toLocalIterator():
+        x = np.frombuffer(bytes(r["found"]), np.uint32)
+        found[at : at + len(x)] = x
+        at += len(x)
+        lengths.append(len(x))
+        toxic.append(r["toxic"])
+    return fit_rows(found, np.array(lengths, np.int64), np.array(toxic, np.uint8))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -158,10 +176,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        read = Reader(m.weights.__contains__)
+        m, distinct = held.value, Distinct()
         for batch in batches:
-            s = [1 / (1 + math.exp(-max(-30.0, min(30.0, m.intercept + sum(map(m.weights.__getitem__, sorted(read(t)))))))) for t in batch["text"].to_pylist()]
+            z = np.array([m.intercept + (float(m.weights[distinct(grams(t))].sum(dtype=np.float64)) if m.weights is not None else 0.0) for t in batch["text"].to_pylist()])
+            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")

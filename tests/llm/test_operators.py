@@ -226,14 +226,38 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
-def test_toxicity_fit_in_blocks_keeps_rare_features():
+def test_grams_equal_plain_n_grams():
+    texts = ["", "a", "Ab cd", "  two  gaps, and-more ÜÑ_x9 ", "ß" * 3, LONG[:500], TEXTS[11]]
+    for t in texts:
+        ws = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in t.lower()).split(" ")
+        want = {f" {w} "[i : i + n] for w in ws if w for n in toxicity.SIZES for i in range(len(w) + 3 - n)}
+        got = toxicity.Distinct()(toxicity.grams(t))
+        assert len(set(got.tolist())) == len(got) and abs(len(got) - len(want)) <= 1  # one collision is allowed for
+        assert set(got.tolist()) == set(toxicity.grams(" ".join(reversed(ws))).tolist())
+
+
+def test_toxicity_ratios_and_weights_against_a_plain_fit():
     rng = np.random.default_rng(3)
-    n, f = 2500, 3000
-    toxic = (np.arange(n) % 2).astype(np.uint8)
-    rows = [np.unique(rng.integers(0, f // 2, 3) * 2 + t) for t in toxic]
-    ratio = {10 * k: 1.0 if k % 2 else -1.0 for k in range(f)}
-    m = toxicity._fit(np.concatenate(rows).astype(np.uint16), np.array([len(r) for r in rows], np.uint32), toxic, ratio, steps=50)
-    assert toxicity.KEPT == 8192 and m.weights and all((w > 0) == (k // 10 % 2 == 1) for k, w in m.weights.items())
+    rows = [np.unique(rng.integers(0, 40, 6) + (40 if k % 3 == 0 else 0)) for k in range(90)]
+    toxic = np.array([k % 3 == 0 for k in range(90)], np.uint8)
+    found, lengths = np.concatenate(rows).astype(np.uint32), np.array([len(r) for r in rows])
+    p, n = 30, 60
+    a, scale = 2 * p / (p + n), {}
+    for f in range(80):
+        t, o = (sum(f in r for r, y in zip(rows, toxic, strict=True) if y == k) for k in (1, 0))
+        r, e = np.log((t + a) / (p + 2)) - np.log((o + 2 - a) / (n + 2)), 1 / (t + a) + 1 / (o + 2 - a)
+        scale[f] = r * (r * r / (r * r + 9 * e)) ** 2 if t + o else 0.0
+    got = toxicity.ratios(*(np.bincount(found[np.repeat(toxic == k, lengths)], minlength=80) for k in (1, 0)), p, n)
+    assert np.allclose(got, [scale[f] for f in range(80)])
+    m = toxicity.fit_rows(found, lengths, toxic, passes=200)
+    x = np.array([[scale[f] * (f in r) for f in range(80)] + [1.0] for r in rows])  # the plain fit: gradient descent
+    w, y = np.zeros(81), toxic.astype(float)
+    for _ in range(20000):
+        w -= 0.002 * (w + toxicity.LOSS * x.T @ (1 / (1 + np.exp(-x @ w)) - y))
+    score = x @ w
+    mine = [m.intercept + float(m.weights[r].sum()) for r in rows]
+    assert np.allclose(mine, score, atol=0.02)
+    assert np.count_nonzero(m.weights) == np.count_nonzero(list(scale.values()))  # no feature is left out
 
 
 def test_sharding(spark, docs, empty):
