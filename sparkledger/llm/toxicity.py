@@ -108,9 +108,9 @@ def fit_rows(found: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, loss: fl
     if not p or not n:
         return Model(math.log((p + 1) / (n + 1)))
     ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    mark = np.repeat(toxic.astype(bool), lengths)
-    counts = [np.bincount(found[mark == k], minlength=HASHED).astype(np.float64) for k in (True, False)]
-    del mark
+    counts = np.zeros((2, HASHED))
+    for k, a, b in zip(toxic.tolist(), ends, ends[1:], strict=False):
+        counts[1 - k][found[a:b]] += 1  # a row's features differ
     scale = ratios(*counts, p, n)
     w, b, held = np.zeros(HASHED), 0.0, np.full(len(toxic), min(1e-3 * loss, 1e-8))
     sign, order = np.where(toxic > 0, 1.0, -1.0), np.random.default_rng(42)
