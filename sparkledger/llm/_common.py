@@ -50,6 +50,14 @@ def row_key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name made of name that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(c: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), r"[\x20\x09-\x0D]+"), "")

@@ -176,38 +176,85 @@ def words(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
-def test_decontaminate(spark, docs, empty, block_bytes):
-    items = [(1, TEXTS[9][4:]), (2, "ONE, line"), (3, None), (4, "..."), (5, TEXTS[9]), (None, "own text of"), (6, LONG[:200])]
+def longest_common(a, b, i, j):
+    n = 0
+    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
+ITEMS = [(1, TEXTS[9][4:]), (2, "ONE, line"), (3, None), (4, "..."), (5, TEXTS[9]), (None, "own text of"), (6, LONG[:200]), (7, "end"), (8, TEXTS[9][20:] + " " + TEXTS[9])]
+
+
+@pytest.mark.parametrize("items", [ITEMS, [x for x in ITEMS if x[0] in (1, 5, 6, 8)]])
+@pytest.mark.parametrize(("block_bytes", "shard_words"), [(1 << 20, 1 << 20), (1 << 20, 30), (150, 30), (1, 1)])
+def test_decontaminate(spark, docs, empty, items, block_bytes, shard_words):
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = {}
     for i, t in items:
         w = words(t)
         for s in range(max(1, len(w) - 9)) if w else []:
             windows.setdefault(tuple(w[s : s + 10]), set()).add(i)
-    out = decontaminate.scan(docs, bench, block_bytes=block_bytes)
+    out = decontaminate.scan(docs, bench, block_bytes=block_bytes, shard_words=shard_words)
     assert out.count() == docs.count()
     clean = set()
     for k, r in by_id(out).items():
-        w, hit, found = words(TEXTS[k]), set(), set()
+        w, hit, found, starts = words(TEXTS[k]), set(), set(), set()
         for g, who in windows.items():
             for s in range(len(w) - len(g) + 1):
                 if tuple(w[s : s + len(g)]) == g:
                     hit |= set(range(s, s + len(g)))
                     found |= who
+                    starts.add(s)
         assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(str(x) for x in found if x is not None))
+        runs = [(longest_common(w, words(t), s, q), -s, min(10, len(words(t)))) for s in starts for _, t in items for q in range(len(words(t)))]
+        best = max(x for x in runs if x[0] >= x[2]) if starts else (None, 0)
+        assert (r["longest"], r["longest_pos"]) == (best[0], -best[1] if starts else None)
+        if starts and r["longest_item"] is not None:
+            t = words(dict(items)[int(r["longest_item"])])
+            assert longest_common(w, t, r["longest_pos"], r["longest_item_pos"]) == r["longest"]
         if not hit:
             clean.add(k)
-    kept = decontaminate.keep_clean(docs, bench, block_bytes=block_bytes)
+    kept = decontaminate.keep_clean(docs, bench, block_bytes=block_bytes, shard_words=shard_words)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect() if r["doc_id"]} == clean
     assert decontaminate.scan(empty, bench).count() == 0
     assert decontaminate.keep_clean(docs, bench.limit(0)).count() == docs.count()
 
 
-def test_longest_match(spark, docs):
-    bench = spark.createDataFrame([(1, "zz " + TEXTS[9] + " qq")], "item_id long, text string")
-    r = {x["item_pos"]: x for x in decontaminate.longest_matches(docs, bench).collect()}
-    assert r[1]["n_words"] == len(words(TEXTS[9])) and r[1]["doc_id"] == 9 and r[1]["doc_pos"] == 0 and 0 not in r
+def test_scan_on_random_words_equals_plain_search(spark):
+    rng = np.random.default_rng(2)  # few words, so that windows, runs and ties abound
+    texts = [" ".join("abc"[x] for x in rng.integers(0, 3, rng.integers(0, 60))) for _ in range(40)]
+    items = [(k, " ".join("abc"[x] for x in rng.integers(0, 3, rng.integers(0, 14)))) for k in range(25)]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for k, r in by_id(decontaminate.scan(docs, bench, window=4, block_bytes=100, shard_words=200)).items():
+        w, hit, who, starts = texts[k].split(), set(), set(), set()
+        for i, t in items:
+            t = t.split()
+            n = min(4, len(t))
+            for q in range(len(t) - n + 1) if n else []:
+                for s in range(len(w) - n + 1):
+                    if w[s : s + n] == t[q : q + n]:
+                        hit |= set(range(s, s + n))
+                        who.add(str(i))
+                        starts.add(s)
+        assert (r["n_hit"], r["items"]) == (len(hit), sorted(who))
+        runs = [(longest_common(w, t.split(), s, q), -s, min(4, len(t.split()))) for s in starts for _, t in items for q in range(len(t.split()))]
+        best = max(x for x in runs if x[0] >= x[2]) if starts else (None, 0)
+        assert (r["longest"], r["longest_pos"]) == (best[0], -best[1] if starts else None)
+
+
+@pytest.mark.parametrize(("block_bytes", "shard_words"), [(1 << 20, 1 << 20), (40, 20)])
+def test_longest_match(spark, docs, block_bytes, shard_words):
+    items = [(1, "zz " + TEXTS[9] + " qq"), (2, LONG[300:700]), (3, None), (4, LONG[300:420])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(int(x["item_id"]), x["item_pos"]): (x["n_words"], x["doc_id"], x["doc_pos"]) for x in decontaminate.longest_matches(docs, bench, block_bytes=block_bytes, shard_words=shard_words).collect()}
+    want = {}
+    for i, t in items:
+        for q in range(len(words(t))):
+            n, d, p = max((longest_common(words(t), words(x), q, p), -d, -p) for d, x in TEXTS.items() for p in range(len(words(x))))
+            if n >= 10:
+                want[i, q] = n, -d, -p
+    assert got == want and got[1, 1] == (len(words(TEXTS[9])), 9, 0)
 
 
 def test_toxicity(spark, empty):
