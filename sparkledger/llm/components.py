@@ -25,12 +25,17 @@ def _star(links: DataFrame) -> DataFrame:
     return small.select("l.u", "l.v").where(F.col("u") != F.col("v")).distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether each node links to one node at most, and that node to none."""
+    branched = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    middle = links.select("u").join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return branched.unionByName(middle).isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, root) for each node of links (u, v); root is the smallest node of its component."""
+    """(node, root) for each node of links (u, v) but the roots; root is the smallest node of its component."""
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
-    links, last = materialise(links.distinct()), None
-    while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == last or state[0] == 0:
-            return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        links, last = materialise(_star(links)), state
+    links = materialise(links.distinct())
+    while not _stars(links):
+        links = materialise(_star(links))
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
