@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, ascii_lower, materialise, row_key
+from ._common import BLANKS, ascii_lower, free_name, materialise, row_key
 
 SALTS = 64
 
@@ -75,28 +75,24 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with their text reduced to the kept lines, joined by \\n, and n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with their text reduced to the kept lines, joined by \\n, and the counts of lines and of dropped lines.
 
-    Only columns of docs named n_lines or n_dropped are replaced; a text that loses nothing stays as it was.
+    Of docs' other columns only those named as in counts are replaced; a text that loses nothing stays as it was.
     """
-    maps = drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).withColumnsRenamed(
-        {"row": "__row", "bitmap": "__bitmap"}
-    )
-    joined = docs.withColumn("__row", row_key()).join(maps, "__row", "left")
+    row, bitmap = free_name(docs, "row"), free_name(docs, "bitmap")
+    maps = drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).withColumnsRenamed({"row": row, "bitmap": bitmap})
+    joined, mask = docs.withColumn(row, row_key()).join(maps, row, "left"), F.col(bitmap)
     kept = F.filter(
         _lines(),
-        lambda line, i: F.coalesce(
-            F.getbit(F.element_at(F.col("__bitmap"), F.expr("0") + F.floor(i / 64).cast("int")), i % 64), F.lit(0)
-        )
-        == 0,
+        lambda line, i: F.coalesce(F.getbit(F.element_at(mask, F.expr("0") + F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 0,
     )
-    lost = F.aggregate(F.map_values("__bitmap"), F.lit(0).cast("long"), lambda n, m: n + F.bit_count(m))
-    has = F.col("__bitmap").isNotNull()
+    lost = F.aggregate(F.map_values(mask), F.lit(0).cast("long"), lambda n, m: n + F.bit_count(m))
+    has = mask.isNotNull()
     return joined.withColumns(
         {
-            "n_lines": F.size(_lines()).cast("long"),
-            "n_dropped": F.when(has, lost).otherwise(F.lit(0).cast("long")),
+            counts[0]: F.size(_lines()).cast("long"),
+            counts[1]: F.when(has, lost).otherwise(F.lit(0).cast("long")),
             "text": F.when(has, F.array_join(kept, "\n")).otherwise(F.col("text")),
         }
-    ).drop("__row", "__bitmap")
+    ).drop(row, bitmap)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, fenced, materialise, row_key, words_of
+from ._common import BLANKS, fenced, free_name, materialise, row_key, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Repeated window hashes of a document that are looked for one by one.
@@ -124,5 +124,6 @@ def quality(docs: DataFrame, host: str = "source", keep_share: float = KEEP_SHAR
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that quality() keeps, with the columns of docs."""
-    good = quality(docs.select("doc_id", "text", F.col(host).alias("host")), "host").where("kept").select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", row_key()).join(good, "__row", "left_semi").drop("__row")
+    row = free_name(docs, "row")
+    good = quality(docs.select("doc_id", "text", F.col(host).alias("host")), "host").where("kept").select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, row_key()).join(good, row, "left_semi").drop(row)
