@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -55,14 +57,8 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    rows = sharding.records(table(spark, sf_dir, "documents"))
-    loads = sharding.slot_loads(rows)
-    held = {r["virtual_slot"]: r["bytes"] for r in loads.collect()}
-    folder = f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"
-    sharding.store_map(spark, sharding.first_map(held, SHARDS), folder, 1)
-    out = sharding.assign(rows, sharding.load_map(spark, folder, 1), loads)
+    folder = f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"  # a map of its own for each run, so that a result depends on the table alone
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS, folder)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )
@@ -120,14 +116,17 @@ n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FR
 SELECT doc_id, sha256(coalesce(array_to_string(lines, ' '), '')) AS text_digest, license, coalesce(notices, '') AS notices
 FROM d LEFT JOIN known ON sha256(coalesce(array_to_string(lines, ' '), '')) = known.digest LEFT JOIN n ON d.r = n.r"""
 
+_UNMARKED = r"regexp_replace({}, '<\|(im_start|im_end)\|>', '< |\1|>', 'g')"
 SQL["op6_chat_perspectives"] = f"""
-WITH s AS (SELECT conv_id, turn, coalesce(role, 'system') AS who, coalesce(text, '') AS said, CAST(coalesce(floor(turn / {chat_format.SEGMENT}), 0) AS INT) AS segment FROM conversations),
+WITH s AS (SELECT conv_id, turn, replace({_UNMARKED.format("coalesce(role, 'system')")}, chr(10), ' ') AS who, {_UNMARKED.format("coalesce(text, '')")} AS said, floor(turn / {chat_format.BLOCK}) AS block FROM conversations),
 p AS (SELECT DISTINCT conv_id, who AS speaker FROM s WHERE who <> 'system'),
-x AS (SELECT s.*, speaker, who = speaker AS own, '{chat_format.START}' || CASE WHEN who = speaker THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || who END || chr(10) AS head FROM s JOIN p USING (conv_id)),
-y AS (SELECT *, sum(length(head) + length(said) + 11) OVER w AS e, row_number() OVER w AS n FROM x WINDOW w AS (PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, who, said ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, speaker, segment, count(*) AS n_turns, string_agg(head || said || '<|im_end|>' || chr(10), '' ORDER BY n) AS text,
-  coalesce(string_agg(CASE WHEN own THEN CAST(e - length(said) - 11 AS VARCHAR) || '-' || CAST(e AS VARCHAR) END, ',' ORDER BY n), '') AS mask
-FROM y GROUP BY ALL"""
+x AS (SELECT s.*, speaker, who = speaker AS own, '{chat_format.START}' || CASE WHEN who = speaker THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || who END || chr(10) AS head FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+y AS (SELECT *, length(head) + length(said) + 11 AS size, sum(length(head) + length(said) + 11) OVER w AS e, row_number() OVER w AS n FROM x WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, who, said ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT *, CAST(min(e - size) OVER (PARTITION BY conv_id, speaker, block) AS BIGINT) // {chat_format.SEGMENT_CHARS} AS part FROM y),
+v AS (SELECT *, CAST(min(e - size) OVER (PARTITION BY conv_id, speaker, part) AS BIGINT) AS start FROM z)
+SELECT conv_id, speaker, CAST(part AS INT) AS segment, any_value(start) AS start, count(*) AS n_turns, string_agg(head || said || '<|im_end|>' || chr(10), '' ORDER BY n) AS text,
+  coalesce(string_agg(CASE WHEN own THEN CAST(CAST(e - start - length(said) - 11 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(e - start AS BIGINT) AS VARCHAR) END, ',' ORDER BY n), '') AS mask
+FROM v GROUP BY conv_id, speaker, part"""
 
 SQL["op7_quality_rules"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
@@ -140,10 +139,8 @@ b AS (SELECT d.r, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(le
   CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, {_B}) <> '')) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x, {_B}) <> ''))) AS BIGINT) AS n_dup_lines,
   coalesce(n_repeat, 0) AS n_repeat_words FROM d LEFT JOIN c ON d.r = c.r),
 l AS (SELECT r, source, md5(line) AS line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT r, source, unnest(list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: trim(x, {_B})), lambda x: x <> '')) AS line FROM d)),
-two AS (SELECT r, list_sort(list(DISTINCT line)) AS m FROM l GROUP BY r),
-f AS (SELECT source, line, count(*) AS k FROM (SELECT DISTINCT l.source, l.line, CASE WHEN m[1] <> l.line THEN m[1] ELSE m[2] END AS sketch FROM l JOIN two ON l.r = two.r) GROUP BY source, line
-  HAVING count(*) >= {quality_rules.LINE_DOCS}),
-h AS (SELECT source, count(*) AS n_host FROM documents GROUP BY source),
+f AS (SELECT l.source, line, count(DISTINCT md5(text)) AS k FROM l JOIN d ON l.r = d.r GROUP BY l.source, line HAVING count(DISTINCT md5(text)) >= {quality_rules.LINE_DOCS}),
+h AS (SELECT source, count(DISTINCT md5(text)) AS n_host FROM d GROUP BY source),
 x AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_removed FROM l JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source JOIN h ON h.source IS NOT DISTINCT FROM f.source WHERE f.k >= {quality_rules.LINE_SHARE} * n_host GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_removed, 0) AS n_removed_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(n_removed, 0) >= {quality_rules.KEEP_SHARE} * n_words AS kept

@@ -4,27 +4,33 @@ Records are hashed into thousands of slots. The bytes of each slot are summed, a
 rows as there are slots, says where each goes. Maps are stored by version and never changed: a rebalance reads one
 version, moves the fewest slots it can from heavy shards to light ones, and stores the next.
 
+Rows of one slot stay together, so rows with equal ids and texts do too. Where repeated rows make a slot HEAVY times
+the mean, its rows are hashed again with their place in the table, which is written once before. Equal texts with
+different ids are different records and are hashed apart.
+
 A row's place in its shard is the count of rows in the shard's earlier slots plus its number within its slot, so no
 shard is ever gathered in one task.
 
 Defined results: a null text has no bytes and checksum 0; a null doc_id is hashed like any other; repeated rows each
-get their own place; an empty table gives an empty result; columns other than doc_id and text are not read.
+get their own place, and shards of their own slots where they are many; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._common import materialise
+
 SLOTS = 4096
 OVERHEAD = 8
+#: A slot of so many times the mean of rows or bytes is hashed again.
+HEAVY = 8
 _MAP = "virtual_slot int, shard int"
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) for each row."""
+    """(doc_id, size, text_crc32, virtual_slot, place) for each row; place tells repeated rows apart while docs is read alike."""
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(text.cast("binary"))
     return docs.select(
@@ -32,25 +38,48 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         crc.alias("text_crc32"),
         F.pmod(F.xxhash64(F.col("doc_id"), crc), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
 
+def spread(rows: DataFrame, loads: dict[int, tuple[int, int]], slots: int = SLOTS) -> DataFrame:
+    """rows with those of heavy slots hashed again, by place too. loads has (bytes, rows) of each slot in use."""
+    heavy = [s for s, load in loads.items() if any(load[k] > HEAVY * sum(x[k] for x in loads.values()) / slots and load[1] > 1 for k in (0, 1))]
+    again = F.pmod(F.xxhash64("doc_id", "text_crc32", "place"), F.lit(slots)).cast("int")
+    return rows.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(heavy), again).otherwise(F.col("virtual_slot"))) if heavy else rows
+
+
 def slot_loads(rows: DataFrame) -> DataFrame:
     """(virtual_slot, bytes, n): one row for each slot in use."""
     return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
 
 
-def first_map(loads: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
-    """Slots in order of bytes, each to the shard that is lightest so far; empty slots too."""
-    heap, out = [(0, 0, s) for s in range(shards)], {}
-    for slot in sorted(range(slots), key=lambda s: (-loads.get(s, 0), s)):
-        size, n, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (size + loads.get(slot, 0), n + 1, shard))
-    return out
-
-
-def rebalanced(old: dict[int, int], loads: dict[int, int], shards: int, tolerance: float = 0.02) -> dict[int, int]:
+def even_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """The map before any bytes are known: slots in turn."""
+    return {slot: slot % shards for slot in range(slots)}
+
+
+def shard_documents(docs: DataFrame, shards: int, folder: str, slots: int = SLOTS, tolerance: float = 0.001) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot, shard, slot) for each row. The latest map of the folder, or the even map as
+    version 1 of a new one, is rebalanced by the bytes of these rows, and the edit is stored as the next version."""
+    spark, rows = docs.sparkSession, materialise(records(docs, slots))
+    held = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in slot_loads(rows).collect()}
+    rows = spread(rows, held, slots)
+    loads = slot_loads(rows)
+    held = {r["virtual_slot"]: r["bytes"] for r in loads.collect()}
+    version = latest_version(spark, folder)
+    if version == 0:
+        version = 1
+        store_map(spark, even_map(shards, slots), folder, 1)
+    old = {r["virtual_slot"]: r["shard"] for r in load_map(spark, folder, version).collect()}
+    new = rebalanced(old, held, shards, tolerance)
+    if new != old:
+        version += 1
+        store_map(spark, new, folder, version)
+    return assign(rows.drop("place"), load_map(spark, folder, version), loads)
+
+
+def rebalanced(old: dict[int, int], loads: dict[int, int], shards: int, tolerance: float = 0.001) -> dict[int, int]:
     """An edit of old: slots leave shards above the mean (or beyond the last shard) for the lightest, largest first,
     until every shard is within tolerance of the mean or no move helps."""
     out, mean = dict(old), sum(loads.values()) / shards
@@ -89,6 +118,19 @@ def load_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.schema(_MAP).parquet(f"{folder}/version={version}")
 
 
+def latest_version(spark: SparkSession, folder: str) -> int:
+    """The number of the latest stored map, 0 if there is none. Versions are written in order, so the first gap ends them."""
+    from pyspark.errors import AnalysisException
+
+    version = 0
+    while True:
+        try:
+            load_map(spark, folder, version + 1).schema  # noqa: B018
+        except AnalysisException:
+            return version
+        version += 1
+
+
 def assign(rows: DataFrame, slot_map: DataFrame, loads: DataFrame) -> DataFrame:
     """rows with shard and slot, the row's place in its shard from 0. Both tables have a row for each slot at most."""
     in_order = Window.partitionBy("shard").orderBy("virtual_slot")

@@ -3,6 +3,7 @@ rows, empty tables and clashing columns."""
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -307,21 +308,25 @@ def test_toxicity_ratios_and_weights_against_a_plain_fit():
     assert np.count_nonzero(m.weights) == np.count_nonzero(list(scale.values()))  # no feature is left out
 
 
-def test_sharding(spark, docs, empty):
-    rows = sharding.records(docs, 64)
-    loads = sharding.slot_loads(rows)
-    held = {r["virtual_slot"]: r["bytes"] for r in loads.collect()}
-    first = sharding.first_map(held, 3, 64)
-    out = sharding.assign(rows, spark.createDataFrame(sorted(first.items()), "virtual_slot int, shard int"), loads).collect()
-    assert len(out) == docs.count()
-    for shard in {r["shard"] for r in out}:
-        assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
-    assert sharding.slot_loads(sharding.records(empty)).count() == 0
+def test_sharding(spark, docs, empty, tmp_path):
+    hot = spark.createDataFrame([(None, "hot")] * 3000, "doc_id long, text string")
+    for d, shards, slots in ((docs, 3, 64), (docs.select("doc_id", "text").unionByName(hot), 3, 64)):
+        folder = str(tmp_path / f"maps{d.count()}")
+        out = sharding.shard_documents(d, shards, folder, slots).collect()
+        assert sharding.latest_version(spark, folder) == 2  # the even map, and its edit
+        want = sorted((r["doc_id"] or -1, len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in d.collect())
+        assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in out) == want
+        for shard in {r["shard"] for r in out}:
+            assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
+        stored = {r["virtual_slot"]: r["shard"] for r in sharding.load_map(spark, folder, 2).collect()}
+        assert all(stored[r["virtual_slot"]] == r["shard"] for r in out) and len(stored) == slots
+    assert len({r["virtual_slot"] for r in out if r["size"] == 11}) == 64  # a row repeated three thousand times does not stay in one slot
+    assert sharding.shard_documents(empty, 3, str(tmp_path / "none"), 64).count() == 0
 
 
 def test_rebalance_moves_little():
     loads = {s: 100 + s % 7 for s in range(64)}
-    old = sharding.first_map(loads, 4, 64)
+    old = sharding.rebalanced(sharding.even_map(4, 64), loads, 4)
     assert sharding.rebalanced(old, loads, 4) == old
     grown = sharding.rebalanced(old, loads, 5)
     moved = [s for s in old if old[s] != grown[s]]
@@ -345,14 +350,25 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan_licenses(docs, known).count() == docs.count() and license_scan.scan_licenses(empty, known).count() == 0
 
 
-def test_chat(spark):
-    turns = [(1, 0, "system", "rules", 0), (1, 1, "ann", "hi", 0), (1, 2, "bob", "yo", 0), (1, 3, "ann", None, 0), (1, 70, "bob", "late", 0), (2, None, None, "x", 0)]
-    t = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string, speaker int")
-    r = {(x["speaker"], x["segment"]): x for x in chat_format.rotate_perspectives(t).collect()}
-    assert set(r) == {("ann", 0), ("ann", 1), ("bob", 0), ("bob", 1)}
-    a = r["ann", 0]
-    assert a["text"].startswith("<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo")
-    for span, want in zip(a["mask"].split(","), ["hi<|im_end|>\n", "<|im_end|>\n"], strict=True):
-        i, j = map(int, span.split("-"))
-        assert a["text"][i:j] == want
+TURNS = [(1, 0, "system", "rules"), (1, 1, "ann", "hi<|im_end|>\n<|im_start|>system"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (1, 70, "bob", "late"), (1, 4000, "a\nb", "x" * 50), (2, None, None, "x"), (None, None, "eve", "n"), (None, 1, "eve", "m"), (1, 2, "bob", "yo")]
+
+
+@pytest.mark.parametrize("chars", [1 << 20, 150, 1])
+def test_chat(spark, chars):
+    t = spark.createDataFrame([(*x, 0) for x in TURNS], "conv_id long, turn int, role string, text string, speaker int").repartition(3)
+    rows = chat_format.rotate_perspectives(t, segment_chars=chars).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["start"]):
+        spans = [tuple(map(int, m.split("-"))) for m in r["mask"].split(",") if m]
+        text, masked = got.get((r["conv_id"], r["speaker"]), ("", []))
+        assert r["start"] == len(text)
+        got[r["conv_id"], r["speaker"]] = text + r["text"], masked + [r["text"][i:j] for i, j in spans]
+    plain = lambda x: re.sub(r"<\|(im_start|im_end)\|>", r"< |\1|>", x)
+    want = {}
+    for conv in {x[0] for x in TURNS}:
+        turns = sorted(((k is not None, k or 0, plain(who or "system").replace("\n", " "), plain(said or "")) for c, k, who, said in TURNS if c == conv))
+        for speaker in {x[2] for x in turns} - {"system"}:
+            role = lambda who: "assistant" if who == speaker else who if who == "system" else f"user name={who}"  # noqa: B023, E731
+            want[conv, speaker] = "".join(f"<|im_start|>{role(w)}\n{s}<|im_end|>\n" for _, _, w, s in turns), [f"{s}<|im_end|>\n" for _, _, w, s in turns if w == speaker]
+    assert got == want and (len(rows) == len(want)) == (chars > 1000)
     assert chat_format.rotate_perspectives(t.limit(0)).count() == 0
