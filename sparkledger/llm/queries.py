@@ -100,21 +100,32 @@ FROM j GROUP BY r""",
 }
 
 
-def _canonical(x: str) -> str:
-    out = f"' ' || trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _line(x: str) -> str:
+    out = rf"trim(regexp_replace(regexp_replace(lower({x}), {_quoted(license_scan.NUMBERING)}, ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return f"CASE WHEN regexp_matches(lower({x}), {_quoted(license_scan.COPYRIGHT)}) THEN '' ELSE {out} END"
+
+
+def _spelled(x: str) -> str:
+    out = x
     for spelling, form in license_scan.SPELLINGS.items():
-        out = f"replace({out}, ' {spelling} ', ' {form} ')"
-    return f"CASE WHEN regexp_matches(lower({x}), '{license_scan.COPYRIGHT}') THEN '' ELSE trim({out}) END"
+        out = rf"regexp_replace({out}, '\b{spelling}\b', '{form}', 'g')"
+    return f"CASE WHEN regexp_matches({x}, {_quoted(license_scan.ANY_SPELLING)}) THEN {out} ELSE {x} END"
 
 
-_LINES = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_canonical('x')}), lambda x: x <> '')"
-_KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.KNOWN.items())
+_LINES = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_line('x')}), lambda x: x <> '')"
 SQL["op3_license_digest"] = f"""
-WITH known AS (SELECT sha256(array_to_string({_LINES}, ' ')) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) t(license, text) GROUP BY 1),
+WITH known(digest, license) AS (VALUES {", ".join(f"('{d}', '{n}')" for d, n, _ in license_scan.known_rows())}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_LINES} AS lines FROM documents),
-n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT r, sha256(unnest(list_distinct(lines))) AS digest FROM d) JOIN known USING (digest) GROUP BY r)
-SELECT doc_id, sha256(coalesce(array_to_string(lines, ' '), '')) AS text_digest, license, coalesce(notices, '') AS notices
-FROM d LEFT JOIN known ON sha256(coalesce(array_to_string(lines, ' '), '')) = known.digest LEFT JOIN n ON d.r = n.r"""
+e AS (SELECT r, doc_id, lines, coalesce(array_to_string(lines, ' '), '') AS whole FROM d),
+w AS (SELECT r, doc_id, sha256({_spelled("whole")}) AS text_digest FROM e),
+l AS (SELECT r, unnest(list_distinct(lines)) AS line FROM d),
+n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT r, sha256({_spelled("line")}) AS digest FROM l) JOIN known USING (digest) GROUP BY r)
+SELECT doc_id, text_digest, license, coalesce(notices, '') AS notices
+FROM w LEFT JOIN known ON text_digest = known.digest LEFT JOIN n ON w.r = n.r"""
 
 _UNMARKED = r"regexp_replace({}, '<\|(im_start|im_end)\|>', '< |\1|>', 'g')"
 SQL["op6_chat_perspectives"] = f"""

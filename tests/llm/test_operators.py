@@ -3,6 +3,7 @@ rows, empty tables and clashing columns."""
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -341,12 +342,31 @@ def test_map_versions(spark, tmp_path):
 
 
 def test_licenses(spark, docs, empty):
-    mit = license_scan.KNOWN["MIT"]
-    texts = [(1, "Copyright (c) 2020 A. Author\n" + mit.upper().replace(",", " ,")), (2, "Some words\nreleased under the MIT Licence\nmore"), (3, mit + "\nand more"), (4, None)]
+    body = dict(license_scan.known_texts())
+    mit, isc = ((license_scan.Path(license_scan.__file__).parent / f"licenses/{x}.txt").read_text() for x in ("MIT", "ISC"))
+    wrap = lambda t, n: "\n".join(x for p in t.split("\n\n") for x in [*textwrap.wrap(p, n), ""])
+    whole = [t for n, t in license_scan.known_texts() if n.startswith(("Apache", "GPL", "MPL"))]
+    texts = [
+        (1, "Copyright (c) 2020 A. Author\n" + mit.upper().replace(",", " ,")),
+        (2, "Some words\nreleased under the MIT Licence\nmore"),
+        (3, mit + "\nand more"),
+        (4, None),
+        (5, f"The MIT License (MIT)\n\n(c) 2001 B\nCopyright 2019-2021 The Holders. All rights reserved\n\n{wrap(mit, 37)}"),
+        (6, f"ISC License\n\nCopyright (C) 2004 C\n\n{wrap(isc, 79)}"),
+        (7, wrap(isc, 56)),  # a line begins with copyright notice, which states no copyright
+        (8, wrap(mit, 23)),
+        (9, body["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Someone")),
+        (10, re.sub(r"\blicense\b", "licence", max(whole, key=len)).replace("\n", "\r\n")),
+    ]
     known = license_scan.known_digests(spark)
-    r = by_id(license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), known))
-    assert [r[k]["license"] for k in (1, 2, 3, 4)] == ["MIT", None, None, None]
+    out = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), known)
+    r = by_id(out)
+    assert [r[k]["license"] for k in range(1, 11)] == ["MIT", None, None, None, "MIT", "ISC", "ISC", "MIT", "Apache-2.0", "GPL-3.0"]
     assert r[2]["notices"] == "notice:MIT" and r[4]["notices"] == ""
+    for k, t in texts:  # the columns say what the plain form says
+        assert r[k]["text_digest"] == hashlib.sha256(license_scan.canonical(t or "").encode()).hexdigest()
+    everything = spark.createDataFrame(list(enumerate(t for _, t in license_scan.known_texts())), "doc_id long, text string")
+    assert {k: x["license"] or x["notices"] for k, x in by_id(license_scan.scan_licenses(everything, known)).items()} == {k: n for k, (n, _) in enumerate(license_scan.known_texts())}
     assert license_scan.scan_licenses(docs, known).count() == docs.count() and license_scan.scan_licenses(empty, known).count() == 0
 
 
