@@ -1,10 +1,9 @@
-"""The queries of the ten operators and of the pipeline, with SQL where SQL can express them."""
+"""The queries of the ten operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
 import uuid
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +82,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_line_dedup, op2_toxicity, op3_license_digest, op4_token_counts, op5_simhash_dedup, op6_chat_perspectives, op7_quality_rules, op8_bpe_encode_decode, op9_slot_sharding, op10_decontaminate)
-} | {"pipeline": corpus_pipeline.run}
+}
 
 _B = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -156,6 +155,3 @@ x AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_removed FROM l JOIN f ON l.line = f.
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_removed, 0) AS n_removed_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(n_removed, 0) >= {quality_rules.KEEP_SHARE} * n_words AS kept
 FROM b LEFT JOIN x ON b.r = x.r"""
-
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
