@@ -10,6 +10,8 @@ import pytest
 from test_operators import brute_fingerprint, words
 from tokenizers import Tokenizer
 
+from sparkledger.llm import _common
+
 SF = "/root/testdata/sf0.001"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -57,15 +59,20 @@ def test_run_equals_brute_force(spark):
     want = {k: hashlib.sha256(",".join(map(str, tok.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for k, t in kept.items()}
     got = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+    left = len(_common.tables())
+    corpus_pipeline.run(spark, SF).count()
+    assert len(_common.tables()) <= left + 1  # a run leaves its last table only
 
 
 @pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
 def test_stages_on_awkward_rows(spark, stage):
-    rows = [(1, None, None, None, None, "x"), (None, "", "en", "a", 0, "x"), (2, "word " * 60, "en", "a", 300, "x"), (2, "word " * 60, "en", "a", 300, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    own = ["kept", "row", "__row", "bitmap", "__bitmap", "n", "__n", "n_lines", "n_dropped", "host", "line", "digest", "fp", "component_id", "spans", "ROW"]
+    rows = [(*r, *["x"] * len(own)) for r in [(1, None, None, None, None), (None, "", "en", "a", 0), (2, "word " * 60, "en", "a", 300), (2, "word " * 60, "en", "a", 300)]]
+    own[-1] = "Hash"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own))
     f = corpus_pipeline.STAGES[stage][1]
     out = f(spark, docs, SF)
     assert f(spark, docs.limit(0), SF).count() == 0
     if stage < len(corpus_pipeline.STAGES) - 1:
-        assert out.columns == docs.columns
+        assert out.columns == docs.columns and all(r[c] == "x" for r in out.collect() for c in own)
     assert out.count() == (0, 4, 2, 4, 4)[stage]
