@@ -1,12 +1,14 @@
 """Causal features over strictly earlier steps: rows of one step never see each other.
 
-All frames are RANGE frames over the integer step, by actor. Sums and counts run over (actor, step) totals where
-that is enough; a hot actor's frames are still bounded by the 24 steps before each row.
+What is the same for all rows of an actor and step is worked out once: rows are summed by (actor, step) first, and RANGE
+frames over the integer step run over those sums, of which a hot actor has no more than there are steps. Counterparties
+are counted without sets: a pair seen at a step counts for the k steps after it, or until it is seen again, and the
+beginnings and ends of these spans are added up by step. Only the exact median needs the rows of its frame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -14,12 +16,20 @@ def prior(k: int, actor: str = "initiator_id") -> WindowSpec:
     return Window.partitionBy(actor).orderBy("step").rangeBetween(-k, -1)
 
 
+def _by_step(tx: DataFrame, sums: dict[str, Column], features: dict[str, Column]) -> DataFrame:
+    """tx with features that are windows over the sums of each (initiator, step)."""
+    steps = tx.groupBy("initiator_id", "step").agg(*(c.alias(k) for k, c in sums.items()))
+    steps = steps.select(F.col("initiator_id").alias("__actor"), F.col("step").alias("__step"), *(c.alias(k) for k, c in features.items()))
+    on = F.col("initiator_id").eqNullSafe(F.col("__actor")) & F.col("step").eqNullSafe(F.col("__step"))
+    return tx.join(steps, on).drop("__actor", "__step")
+
+
 def velocity(tx: DataFrame, hours: tuple[int, ...] = (1, 6, 24)) -> DataFrame:
     out = {}
     for k in hours:
-        out[f"prior_{k}h_count"] = F.count("*").over(prior(k))
-        out[f"prior_{k}h_amount"] = F.coalesce(F.sum("amount").over(prior(k)), F.lit(0.0))
-    return tx.withColumns(out)
+        out[f"prior_{k}h_count"] = F.coalesce(F.sum("__n").over(prior(k)), F.lit(0))
+        out[f"prior_{k}h_amount"] = F.coalesce(F.sum("__sum").over(prior(k)), F.lit(0.0))
+    return _by_step(tx, {"__n": F.count("*"), "__sum": F.sum("amount")}, out)
 
 
 def prior_summary(tx: DataFrame, k: int = 24) -> DataFrame:
@@ -30,33 +40,58 @@ def prior_summary(tx: DataFrame, k: int = 24) -> DataFrame:
 
 
 def time_since_previous(tx: DataFrame, k: int = 24) -> DataFrame:
-    return tx.withColumn("steps_since_previous", F.col("step") - F.max("step").over(prior(k)))
+    return _by_step(tx, {"__n": F.count("*")}, {"steps_since_previous": F.col("step") - F.max("step").over(prior(k))})
 
 
 def sequence_pattern(tx: DataFrame, k: int = 24) -> DataFrame:
-    last = F.max_by("transaction_type", F.struct("step", "row_no")).over(prior(k))
-    return tx.withColumn("sequence_pattern", F.concat(F.coalesce(last, F.lit("START")), F.lit("->"), F.col("transaction_type")))
+    last = F.coalesce(F.max_by("__last", "step").over(prior(k)), F.lit("START"))
+    d = _by_step(tx, {"__last": F.max_by("transaction_type", "row_no")}, {"__from": last})
+    return d.withColumn("sequence_pattern", F.concat(F.col("__from"), F.lit("->"), F.col("transaction_type"))).drop("__from")
+
+
+def counterparties(edges: DataFrame, k: int) -> DataFrame:
+    """(actor, step, n): the different others of an actor over the k steps before, at each step where that may change.
+
+    edges has (actor, other, step). A pair seen at s counts from s + 1 until s + k, or until its next step, from where that
+    one counts."""
+    seen = edges.distinct()
+    again = F.lead("step").over(Window.partitionBy("actor", "other").orderBy("step"))
+    spans = seen.select("actor", (F.col("step") + 1).alias("from"), (F.least(F.col("step") + k, F.coalesce(again, F.col("step") + k)) + 1).alias("to"))
+    turns = F.array(F.struct(F.col("from").alias("step"), F.lit(1).alias("d")), F.struct(F.col("to").alias("step"), F.lit(-1).alias("d")))
+    turns = spans.select("actor", F.explode(turns).alias("t")).groupBy("actor", F.col("t.step").alias("step")).agg(F.sum("t.d").alias("d"))
+    return turns.withColumn("n", F.sum("d").over(Window.partitionBy("actor").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))).drop("d")
+
+
+def _at_steps(tx: DataFrame, turns: DataFrame, name: str) -> DataFrame:
+    """tx with the latest n of its initiator up to its step, 0 before the first."""
+    own = tx.select(F.col("initiator_id").alias("actor"), "step").distinct().withColumn("n", F.lit(None).cast("long"))
+    latest = F.last("n", ignorenulls=True).over(Window.partitionBy("actor").orderBy("step", F.col("own").asc()).rowsBetween(Window.unboundedPreceding, 0))
+    both = turns.select("actor", "step", "n", F.lit(0).alias("own")).unionByName(own.withColumn("own", F.lit(1)))
+    at = both.select("actor", "step", "own", F.coalesce(latest, F.lit(0)).cast("int").alias(name)).where("own = 1")
+    at = at.select(F.col("actor").alias("__actor"), F.col("step").alias("__step"), name)
+    return tx.join(at, F.col("initiator_id").eqNullSafe(F.col("__actor")) & F.col("step").eqNullSafe(F.col("__step"))).drop("__actor", "__step")
 
 
 def recipients(tx: DataFrame, k: int = 24) -> DataFrame:
-    seen = F.collect_set("recipient_id").over(prior(k))
-    return (
-        tx.withColumn("__seen", seen)
-        .withColumns({"unique_recipients": F.size("__seen"), "is_new_recipient": (~F.array_contains("__seen", F.col("recipient_id"))).cast("int")})
-        .drop("__seen")
-    )
+    """unique_recipients over the k steps before, and whether the row's recipient is none of them."""
+    edges = tx.select(F.col("initiator_id").alias("actor"), F.col("recipient_id").alias("other"), "step").distinct()
+    before = F.lag("step").over(Window.partitionBy("actor", "other").orderBy("step"))
+    new = F.coalesce(F.col("step") - before > k, F.lit(True)).cast("int")
+    pairs = edges.select(F.col("actor").alias("__actor"), F.col("other").alias("__other"), F.col("step").alias("__step"), new.alias("is_new_recipient"))
+    on = F.col("initiator_id").eqNullSafe(F.col("__actor")) & F.col("recipient_id").eqNullSafe(F.col("__other")) & F.col("step").eqNullSafe(F.col("__step"))
+    return _at_steps(tx, counterparties(edges.where("other IS NOT NULL"), k), "unique_recipients").join(pairs, on).drop("__actor", "__other", "__step")
 
 
 def graph_degree(tx: DataFrame, k: int = 24) -> DataFrame:
-    """Distinct counterparties of the initiator in either direction over the k steps before."""
-    out = tx.select(F.col("initiator_id").alias("actor"), F.col("recipient_id").alias("other"), "step", "row_no", F.lit(1).alias("own"))
-    back = tx.select(F.col("recipient_id").alias("actor"), F.col("initiator_id").alias("other"), "step", "row_no", F.lit(0).alias("own"))
-    seen = F.size(F.collect_set("other").over(prior(k, "actor"))).alias("graph_degree")
-    return out.unionByName(back).select("row_no", "own", seen).where("own = 1").drop("own")
+    """(row_no, graph_degree): different counterparties of the initiator in either direction over the k steps before."""
+    out = tx.select(F.col("initiator_id").alias("actor"), F.col("recipient_id").alias("other"), "step")
+    back = tx.select(F.col("recipient_id").alias("actor"), F.col("initiator_id").alias("other"), "step")
+    turns = counterparties(out.unionByName(back).where("actor IS NOT NULL AND other IS NOT NULL"), k)
+    return _at_steps(tx, turns, "graph_degree").select("row_no", "graph_degree")
 
 
 def causal_features(tx: DataFrame) -> DataFrame:
-    """All of the above; the initiator windows share one shuffle and sort."""
+    """All of the above."""
     d = sequence_pattern(time_since_previous(recipients(prior_summary(velocity(tx)))))
     d = d.withColumns({"prior_missing": F.col("prior_mean").isNull().cast("int"), "previous_missing": F.col("steps_since_previous").isNull().cast("int")})
     return d.join(graph_degree(tx), "row_no")

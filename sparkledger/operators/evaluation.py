@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running, value_bucket
+
+# The classes in their order.
+CLASSES = ["GENUINE", "SUSPICIOUS", "FRAUDULENT"]
+
 
 def threshold_curve(scored: DataFrame, digits: int = 8) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, fpr, f2 at every different score, 0 and 1 too; predicted is score >= threshold.
 
-    Rows are first summed by score; the running sums then go over different scores only."""
+    Rows are first summed by score; the running sums go over different scores, in buckets of neighbouring ones."""
     by = scored.groupBy(F.col("score").alias("threshold")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     ends = scored.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "threshold double, p long, n long")
     by = by.unionByName(ends).groupBy("threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     total = scored.agg(F.sum("label").alias("P"), F.sum(1 - F.col("label")).alias("N"))
-    d = by.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp")).crossJoin(F.broadcast(total))
+    summed = running(by, [F.desc("threshold")], value_bucket(by, "threshold"), {"tp": F.col("p"), "fp": F.col("n")}, descending=True)
+    d = summed.select("threshold", "tp", "fp").crossJoin(F.broadcast(total))
     d = d.withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("fp")})
     ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), digits)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -26,17 +31,24 @@ def threshold_curve(scored: DataFrame, digits: int = 8) -> DataFrame:
 
 
 def binary_metrics(scored: DataFrame) -> DataFrame:
-    """One row: n, prevalence, average precision (step sum), ROC AUC with tied ranks, Brier score; null where no row, or one class only, leaves it undefined."""
+    """One row: n, prevalence, average precision (step sum), ROC AUC with tied ranks, Brier score, and the counts and rates
+    of predicting where the score is 0.5 at least; null where no row, or one class only, leaves a measure undefined."""
     by = scored.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    c = by.select("p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.coalesce(F.sum("n").over(up), F.lit(0)).alias("below"))
-    s = c.agg(F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("ap"), F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("p").alias("P"), F.sum("n").alias("T"))
-    brier = scored.agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"))
+    c = running(by, [F.desc("score")], value_bucket(by, "score"), {"tp": F.col("p"), "k": F.col("n")}, descending=True)
+    # A score's rank from below is the number of all rows less those down to it.
+    s = c.agg(F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("ap"), F.sum(F.col("p") * ((F.col("n") + 1) / 2 - F.col("k"))).alias("ranks"), F.sum("p").alias("P"), F.sum("n").alias("T"))
+    hit, pos = F.col("score") >= 0.5, F.col("label") == 1
+    other = scored.agg(
+        F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"),
+        F.count_if(hit & pos).alias("tp_05"), F.count_if(hit & ~pos).alias("fp_05"), F.count_if(~hit & pos).alias("fn_05"), F.count_if(~hit & ~pos).alias("tn_05"),
+    )
     p, n = F.col("P"), F.col("T") - F.col("P")
-    return s.crossJoin(brier).select(
+    tp, fp, fn, tn = (F.col(f"{k}_05") for k in ("tp", "fp", "fn", "tn"))
+    rate = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), 8)
+    return s.crossJoin(F.broadcast(other)).select(
         F.col("T").alias("n_rows"), F.round(p / F.col("T"), 8).alias("prevalence"), F.round(F.try_divide("ap", p), 8).alias("average_precision"),
-        F.round(F.try_divide(F.col("ranks") - p * (p + 1) / 2, p * n), 8).alias("roc_auc"), F.round("brier", 8).alias("brier"),
+        F.round(F.try_divide(F.col("ranks") + p * F.col("T") - p * (p + 1) / 2, p * n), 8).alias("roc_auc"), F.round("brier", 8).alias("brier"), tp, fp, fn, tn,
+        rate(tp, tp + fp).alias("precision_05"), rate(tp, tp + fn).alias("recall_05"), rate(2 * tp, 2 * tp + fp + fn).alias("f1_05"), rate(fp, fp + tn).alias("fpr_05"), rate(fn, fn + tp).alias("fnr_05"),
     )
 
 
@@ -45,13 +57,20 @@ def recall_under_fpr(curve: DataFrame, cap: float) -> DataFrame:
 
 
 def select_risk_thresholds(curve: DataFrame, cap: float, precision: float) -> DataFrame:
-    """medium: largest F2 under the FPR cap (ties: recall, lower FPR, lower threshold); high: the lowest threshold from
-    medium with the precision, or the medium one."""
-    medium = curve.where(F.col("fpr") <= cap).agg(F.max_by("threshold", F.struct("f2", "recall", -F.col("fpr"), -F.col("threshold"))).alias("medium"))
-    high = curve.crossJoin(F.broadcast(medium)).where((F.col("threshold") >= F.col("medium")) & (F.col("precision") >= precision) & (F.col("tp") > 0))
-    return medium.crossJoin(high.agg(F.min("threshold").alias("h"))).select(
-        "medium", F.coalesce("h", "medium").alias("high"), F.when(F.col("h").isNull(), "MEDIUM_FALLBACK").otherwise("PRECISION_TARGET").alias("rule")
-    )
+    """One row (medium, high, medium_rule, high_rule).
+
+    medium: the largest F2 under the FPR cap (ties: recall, lower FPR, lower threshold), of all thresholds where none is under
+    it. high: the lowest threshold from medium on that reaches the precision; where none does, the largest (precision,
+    recall, threshold) from medium on."""
+    under = F.col("fpr") <= cap
+    medium = curve.agg(F.max_by("threshold", F.struct(under.alias("u"), "f2", "recall", -F.col("fpr"), -F.col("threshold"))).alias("medium"), F.max(under).alias("met"))
+    above = curve.crossJoin(F.broadcast(medium)).where(F.col("threshold") >= F.col("medium"))
+    found = above.groupBy("medium", "met").agg(F.min(F.when(F.col("precision") >= precision, F.col("threshold"))).alias("h"), F.max_by("threshold", F.struct("precision", "recall", "threshold")).alias("best"))
+    return found.select(
+        "medium", F.coalesce("h", "best").alias("high"),
+        F.when(F.col("met"), "maximize_f2_subject_to_fpr_cap").otherwise("fallback_maximize_f2_no_threshold_met_fpr_cap").alias("medium_rule"),
+        F.when(F.col("h").isNull(), "fallback_maximize_precision_target_unmet").otherwise("lowest_threshold_meeting_precision_target").alias("high_rule"),
+    )
 
 
 def classify_band(scored: DataFrame, medium: float, high: float) -> DataFrame:
@@ -65,27 +84,63 @@ def risk_scalar(scored3: DataFrame) -> DataFrame:
 
 
 def grid_thresholds(scored3: DataFrame) -> DataFrame:
-    """Macro-F1 and fraud recall of each pair of the grid; rows are summed by the grid cells of their scores first."""
+    """Macro-F1 and fraud recall of each pair (s, f) of the grid: a risk of f is fraudulent, one of s suspicious.
+
+    Rows are summed by the grid cells of their risks first."""
     spark = scored3.sparkSession
     grid = [(s / 100, f / 100) for s in range(5, 65, 5) for f in range(max(40, s + 5), 100, 5)]
     g = spark.createDataFrame(grid, "s double, f double")
-    cells = scored3.groupBy("label", F.floor(F.round(F.col("p_suspicious") * 20, 9)).alias("cs"), F.floor(F.round(F.col("p_fraudulent") * 20, 9)).alias("cf")).agg(F.count("*").alias("n"))
+    risk = F.col("p_fraudulent") + F.col("p_suspicious") / 2
+    cells = scored3.groupBy("label", F.floor(F.round(risk * 20, 9)).alias("c")).agg(F.count("*").alias("n"))
     at = lambda c: F.round(F.col(c) * 20, 6)
-    pred = F.when(F.col("cf") >= at("f"), "FRAUDULENT").when(F.col("cs") >= at("s"), "SUSPICIOUS").otherwise("GENUINE")
+    pred = F.when(F.col("c") >= at("f"), "FRAUDULENT").when(F.col("c") >= at("s"), "SUSPICIOUS").otherwise("GENUINE")
     d = cells.crossJoin(F.broadcast(g)).withColumn("pred", pred)
-    one = {k: (F.sum(F.when((F.col("label") == k) & (F.col("pred") == k), F.col("n")).otherwise(0)), F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)), F.sum(F.when(F.col("pred") == k, F.col("n")).otherwise(0))) for k in ("GENUINE", "SUSPICIOUS", "FRAUDULENT")}
+    one = {k: (F.sum(F.when((F.col("label") == k) & (F.col("pred") == k), F.col("n")).otherwise(0)), F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)), F.sum(F.when(F.col("pred") == k, F.col("n")).otherwise(0))) for k in CLASSES}
     f1 = [F.when(a + b > 0, 2 * t / (a + b)).otherwise(F.lit(0.0)) for t, a, b in one.values()]
     t, a, _ = one["FRAUDULENT"]
     return d.groupBy("s", "f").agg(F.round(sum(f1[1:], f1[0]) / 3, 8).alias("macro_f1"), F.round(F.when(a > 0, t / a).otherwise(F.lit(0.0)), 8).alias("fraud_recall"))
 
 
+def choose_grid_thresholds(grid: DataFrame) -> DataFrame:
+    """One row: the pair of the largest macro-F1, then fraud recall, then lower thresholds (fraudulent first)."""
+    best = F.max(F.struct("macro_f1", "fraud_recall", (-F.col("f")).alias("f"), (-F.col("s")).alias("s"))).alias("b")
+    return grid.agg(best).select((-F.col("b.s")).alias("suspicious"), (-F.col("b.f")).alias("fraudulent"), "b.macro_f1", "b.fraud_recall")
+
+
+def choose_binary_threshold(grid: DataFrame) -> DataFrame:
+    """One row: the threshold of the largest mean F1, then recall, then the lower one."""
+    best = F.max(F.struct("mean_f1", "recall", (-F.col("t")).alias("t"))).alias("b")
+    return grid.agg(best).select((-F.col("b.t")).alias("threshold"), "b.mean_f1", "b.recall")
+
+
 def calibration_bins(scored: DataFrame, bins: int = 5) -> DataFrame:
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
-    return scored.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(F.col("label").cast("double")), 6).alias("positive_rate"))
+    squared = F.sum(F.pow(F.col("score") - F.col("label"), 2)).alias("squared_error")
+    return scored.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(F.col("label").cast("double")), 6).alias("positive_rate"), squared)
 
 
 def calibration_error(bins: DataFrame) -> DataFrame:
-    return bins.agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("positive_rate"))) / F.sum("n"), 6).alias("ece"))
+    """One row: expected calibration error, Brier score."""
+    ece = F.round(F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("positive_rate"))) / F.sum("n"), 6)
+    return bins.agg(ece.alias("ece"), F.round(F.sum("squared_error") / F.sum("n"), 6).alias("brier"))
+
+
+def top_class(scored3: DataFrame) -> DataFrame:
+    """scored3 (label, a probability of each class) as (score, label, squared_error): the largest probability, whether its
+    class (the first among equals) is the label, and the squared distance of the probabilities from the label."""
+    ps = [F.col(f"p_{c.lower()}") for c in CLASSES]
+    first = F.lit(CLASSES[-1])
+    for c, p in reversed(list(zip(CLASSES[:-1], ps[:-1], strict=True))):
+        first = F.when(p == F.greatest(*ps), c).otherwise(first)
+    squared = sum((F.pow(p - (F.col("label") == c).cast("int"), 2) for c, p in zip(CLASSES, ps, strict=True)), F.lit(0.0))
+    return scored3.select(F.greatest(*ps).alias("score"), (first == F.col("label")).cast("int").alias("label"), squared.alias("squared_error"))
+
+
+def multiclass_calibration(scored3: DataFrame, bins: int = 5) -> DataFrame:
+    """One row: multiclass Brier score, and the calibration error of the top class."""
+    d = top_class(scored3)
+    brier = d.agg(F.round(F.avg("squared_error"), 6).alias("multiclass_brier"))
+    return brier.crossJoin(F.broadcast(calibration_error(calibration_bins(d.drop("squared_error"), bins)).select("ece")))
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -102,6 +157,12 @@ def class_report(conf: DataFrame) -> DataFrame:
     return d.select("class", "support", ratio(F.col("tp"), F.col("predicted")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"))
 
 
+def report_summary(report: DataFrame) -> DataFrame:
+    """One row: macro-F1 over all classes, balanced accuracy over those that occur, rows."""
+    recall = F.avg(F.when(F.col("support") > 0, F.col("recall")))
+    return report.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(recall, 6).alias("balanced_accuracy"), F.sum("support").alias("n_rows"))
+
+
 def risk_policy(e: DataFrame) -> DataFrame:
     """The band by a fixed order of evidence, and the reason that set it.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,19 +120,23 @@ def canonical_phone(c: Column) -> Column:
     return F.when(d.rlike("^233[0-9]{9}$"), F.concat(F.lit("+"), d)).otherwise(F.concat(F.lit("+233"), local))
 
 
-def near_duplicates(hashes: DataFrame, d: int) -> DataFrame:
+def near_duplicates(hashes: DataFrame, d: int, bands: int | None = None) -> DataFrame:
     """(a, b, distance): pairs a < b of 64-bit hashes (id, hi, lo) within d bits, exact copies left out.
 
-    Different hashes are nodes; d + 1 bands, of which a pair within d bits shares one. Pairs are of class
-    representatives (the smallest id of a hash)."""
+    Different hashes are nodes, posted under each choice of bands - d of the bands: a pair within d bits agrees on one
+    choice at least. With four bands more than d, which is the default, a list is of about 256 / (d + 4) bits, so few
+    hashes meet that are not near. Pairs are of class representatives (the smallest id of a hash)."""
     nodes = hashes.groupBy("hi", "lo").agg(F.min("id").alias("id"))
-    v = F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))
-    edges = [round(64 * k / (d + 1)) for k in range(d + 2)]
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(v, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
-    posted = nodes.select("id", v.alias("v"), F.explode(bands).alias("p")).select("id", "v", "p.band", "p.bits")
+    v, m = F.shiftleft("hi", 32).bitwiseOR(F.col("lo")), bands or d + 4
+    edges = [round(64 * k / m) for k in range(m + 1)]
+    parts = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+    masks = [sum(chosen) for chosen in itertools.combinations(parts, m - d)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in masks]
+    lists = F.transform(F.array(*map(F.lit, signed)), lambda x, k: F.struct(k.cast("smallint").alias("list"), F.col("v").bitwiseAND(x).alias("bits")))
+    posted = nodes.select("id", v.alias("v")).select("id", "v", F.explode(lists).alias("p")).select("id", "v", "p.list", "p.bits")
     left, right = posted.alias("l"), posted.alias("r")
     dist = F.bit_count(F.col("l.v").bitwiseXOR(F.col("r.v")))
-    pairs = left.join(right, ["band", "bits"]).where((F.col("l.id") < F.col("r.id")) & (dist <= d))
+    pairs = left.join(right, ["list", "bits"]).where((F.col("l.id") < F.col("r.id")) & (dist <= d))
     return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), dist.cast("int").alias("distance")).distinct()
 
 

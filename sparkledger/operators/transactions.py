@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import exact_percentile
+
 # The columns of each source dialect, canonical name first.
 DIALECTS = {
     "paysim": {"step": "step", "transaction_type": "type", "amount": "amount", "initiator_id": "nameOrig", "recipient_id": "nameDest", "label_is_fraud": "isFraud"},
@@ -73,30 +78,45 @@ def step_statistics(tx: DataFrame) -> DataFrame:
     return tx.groupBy("step").agg(F.count("*").alias("n_rows"), F.sum("label_is_fraud").alias("positives"))
 
 
-def plan_time_split(stats: DataFrame, min_pos: int = 0) -> list[tuple[str, int, int]]:
-    """(partition, first step, last step): cuts at 70, 80 and 90 % of the steps, or the nearest cuts that leave at
-    least min_pos positives in tuning, calibration and test. stats has a row for each step, hundreds at most."""
+def time_split(stats: DataFrame, min_pos: int = 0) -> tuple[list[tuple[str, int, int]], bool]:
+    """((partition, first step, last step), whether min_pos is met): cuts at 70, 80 and 90 % of the steps, or the nearest cuts
+    that leave at least min_pos positives in tuning, calibration and test (of equally near ones the smallest). stats has a
+    row for each step, hundreds at most. For a given second cut the best first and third are the ones nearest to their
+    targets in the ranges that the positives allow, so each second cut is looked at once."""
     rows = sorted((r["step"], r["positives"]) for r in stats.collect())
     n = len(rows)
     if n < 4:
         raise ValueError("a split needs four steps")
-    target = tuple(min(max(n * p // 100, k), n - 4 + k) for k, p in ((1, 70), (2, 80), (3, 90)))
-    before = [0]
-    for _, p in rows:
-        before.append(before[-1] + p)
-    best = target
+    target = [max(n * 70 // 100, 1)]
+    target[0] = min(target[0], n - 3)
+    for k, p in ((2, 80), (3, 90)):
+        target.append(min(max(n * p // 100, target[-1] + 1), n - 4 + k))
+    before = [0, *itertools.accumulate(p for _, p in rows)]
+    best, met = tuple(target), True
     if min_pos:
         fits = []
-        for c in range(3, n):
-            if before[n] - before[c] < min_pos:
-                continue
-            for b in range(2, c):
-                if before[c] - before[b] < min_pos:
-                    continue
-                fits += [(abs(a - target[0]) + abs(b - target[1]) + abs(c - target[2]), (a, b, c)) for a in range(1, b) if before[b] - before[a] >= min_pos]
-        best = min(fits)[1] if fits else target
+        last_third = bisect.bisect_right(before, before[n] - min_pos) - 1
+        for second in range(2, n - 1):
+            last_first = bisect.bisect_right(before, before[second] - min_pos) - 1
+            first_third = max(second + 1, bisect.bisect_left(before, before[second] + min_pos))
+            lo, hi = 1, min(second - 1, last_first)
+            if lo <= hi and first_third <= min(n - 1, last_third):
+                cuts = (min(max(target[0], lo), hi), second, min(max(target[2], first_third), min(n - 1, last_third)))
+                fits.append((sum(abs(a - b) for a, b in zip(cuts, target, strict=True)), cuts))
+        met = bool(fits)
+        best = min(fits)[1] if fits else best
     edges = [0, *best, n]
-    return [(name, rows[a][0], rows[b - 1][0]) for name, a, b in zip(("train", "tuning", "calibration", "test"), edges, edges[1:], strict=False)]
+    return [(name, rows[a][0], rows[b - 1][0]) for name, a, b in zip(("train", "tuning", "calibration", "test"), edges, edges[1:], strict=False)], met
+
+
+def plan_time_split(stats: DataFrame, min_pos: int = 0) -> list[tuple[str, int, int]]:
+    return time_split(stats, min_pos)[0]
+
+
+def split_plan(stats: DataFrame, min_pos: int = 0) -> DataFrame:
+    """(partition, first_step, last_step, enforced): the plan as a table of four rows."""
+    plan, met = time_split(stats, min_pos)
+    return stats.sparkSession.createDataFrame([(*p, met) for p in plan], "partition string, first_step int, last_step int, enforced boolean")
 
 
 def assign_partition(tx: DataFrame, plan: list[tuple[str, int, int]]) -> DataFrame:
@@ -150,18 +170,28 @@ def apply_preprocessor(df: DataFrame, fitted: DataFrame, numeric: list[str], cat
 
 
 def fit_imputer(train: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    return train.agg(*(F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in numeric), *(F.mode(c, True).alias(f"mode_{c}") for c in categorical))
+    """One row: the exact median of each numeric, the most frequent value of each categorical (the smallest among equals).
+
+    Values are counted first; no task holds all different values."""
+    out = train.sparkSession.range(1).select()
+    for c in numeric:
+        out = out.crossJoin(F.broadcast(exact_percentile(train, c, 0.5).withColumnRenamed("percentile", f"median_{c}")))
+    for c in categorical:
+        counts = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
+        most = counts.agg(F.max("n").alias("n"))
+        out = out.crossJoin(F.broadcast(counts.join(F.broadcast(most), "n").agg(F.min(c).alias(f"mode_{c}"))))
+    return out
 
 
 def profile(tx: DataFrame, key: list[str]) -> DataFrame:
-    """One row: rows, positives, steps, null cells, invalid amounts and labels, surplus copies by key."""
+    """One row: rows, positives, different steps, null cells, invalid amounts and labels, surplus copies by key (which has the step)."""
     null_cells = sum((F.col(c).isNull().cast("int") for c in tx.columns), F.lit(0))
     groups = tx.groupBy(*key).agg(
         F.count("*").alias("n"), F.sum("label_is_fraud").alias("p"), F.sum(null_cells).alias("z"),
         F.count_if(F.col("amount").isNull() | (F.col("amount") < 0)).alias("a"), F.count_if(~F.coalesce(F.col("label_is_fraud").isin(0, 1), F.lit(False))).alias("l"),
     )
     return groups.agg(
-        F.sum("n").alias("n_rows"), F.sum("p").alias("positives"), F.sum("z").alias("null_cells"), F.sum("a").alias("invalid_amounts"), F.sum("l").alias("invalid_labels"),
+        F.sum("n").alias("n_rows"), F.sum("p").alias("positives"), F.count_distinct("step").alias("n_steps"), F.sum("z").alias("null_cells"), F.sum("a").alias("invalid_amounts"), F.sum("l").alias("invalid_labels"),
         (F.sum("n") - F.count("*")).alias("duplicate_rows"),
     )
 
@@ -172,8 +202,8 @@ def drift_reasons(observed: DataFrame, expected: dict[str, int]) -> DataFrame:
 
 
 def row_hash(*cols: str) -> Column:
-    """sha256 of all values, nulls made explicit."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols)), 256)
+    """sha256 of all values as a JSON object, so that no value can run into the next; nulls are written out."""
+    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
 
 
 def first_occurrences(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -189,7 +219,7 @@ def dedup_manifest(df: DataFrame, key: list[str], label: str) -> DataFrame:
     groups = df.groupBy(*key).agg(F.count("*").alias("n"), F.sum(label).alias("p"), F.max(label).alias("kept"))
     return groups.agg(
         F.sum("n").alias("rows_in"), F.count("*").alias("rows_out"), (F.sum("n") - F.count("*")).alias("removed"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.max("n").alias("max_group"),
-        F.sum("p").alias("positives_before"),
+        F.sum("p").alias("positives_before"), F.sum("kept").alias("positives_after"), (F.sum("p") - F.sum("kept")).alias("positives_removed"),
     )
 
 

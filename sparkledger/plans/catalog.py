@@ -125,6 +125,19 @@ def a4_partition_summary(tx):
     return transactions.partition_summary(parted(tx))
 
 
+@query(
+    "+ st AS (SELECT step, sum(label_is_fraud) AS p, row_number() OVER (ORDER BY step) AS k FROM tx GROUP BY step), n AS (SELECT max(k) AS n FROM st),"
+    " c AS (SELECT 0 AS k, 0 AS c UNION ALL SELECT k, sum(p) OVER (ORDER BY k) FROM st), t AS (SELECT n, n * 70 // 100 AS t1, n * 80 // 100 AS t2, n * 90 // 100 AS t3, (SELECT max(c) FROM c) AS p FROM n),"
+    " x AS (SELECT a.k AS a, b.k AS b, d.k AS d FROM c a, c b, c d, t WHERE 0 < a.k AND a.k < b.k AND b.k < d.k AND d.k < n AND b.c - a.c >= p // 5 AND d.c - b.c >= p // 5 AND p - d.c >= p // 5 ORDER BY abs(a.k - t1) + abs(b.k - t2) + abs(d.k - t3), a.k, b.k, d.k LIMIT 1),"
+    " e AS (SELECT 'train' AS partition, 0 AS lo, a AS hi FROM x UNION ALL SELECT 'tuning', a, b FROM x UNION ALL SELECT 'calibration', b, d FROM x UNION ALL SELECT 'test', d, n FROM x, n)"
+    " SELECT partition, (SELECT step FROM st WHERE k = lo + 1) AS first_step, (SELECT step FROM st WHERE k = hi) AS last_step, true AS enforced FROM e",
+    "tx",
+)
+def l1_positive_split(tx):
+    stats = transactions.step_statistics(tx)
+    return transactions.split_plan(stats, stats.agg(F.sum("positives")).first()[0] // 5)  # a fifth of the positives in each later partition
+
+
 @query(f"{PARTED} SELECT partition, transaction_type, count(*) AS n_rows, CAST(sum(label_is_fraud) AS BIGINT) AS positives, min(amount) AS min_amount, max(amount) AS max_amount, round(avg(amount), 6) AS mean_amount FROM parted WHERE partition IN ('train', 'tuning') GROUP BY ALL", "tx")
 def a5_safe_eda(tx):
     return transactions.safe_eda(parted(tx))
@@ -155,7 +168,7 @@ def a26_fit_imputer(tx):
 
 
 @query(
-    "+ g AS (SELECT step, initiator_id, transaction_type, count(*) AS n, sum(label_is_fraud) AS p FROM tx GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(p) AS BIGINT) AS positives, CAST(0 AS BIGINT) AS null_cells, CAST(0 AS BIGINT) AS invalid_amounts, CAST(0 AS BIGINT) AS invalid_labels, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g",
+    "+ g AS (SELECT step, initiator_id, transaction_type, count(*) AS n, sum(label_is_fraud) AS p FROM tx GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(p) AS BIGINT) AS positives, count(DISTINCT step) AS n_steps, CAST(0 AS BIGINT) AS null_cells, CAST(0 AS BIGINT) AS invalid_amounts, CAST(0 AS BIGINT) AS invalid_labels, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g",
     "tx",
 )
 def a1_profile(tx):
@@ -167,7 +180,7 @@ def a2_drift_reasons(tx):
     return transactions.drift_reasons(tx.agg(F.count("*").alias("n_rows"), F.sum("label_is_fraud").alias("positives")), {"n_rows": 10_000, "positives": 7})
 
 
-@query("SELECT o_orderkey, sha256(coalesce(CAST(o_custkey AS VARCHAR), '\\N') || '|' || coalesce(o_orderstatus, '\\N')) AS h FROM orders", "orders")
+@query("SELECT o_orderkey, sha256(to_json({'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus})) AS h FROM orders", "orders")
 def p13_row_hash(orders):
     return orders.select("o_orderkey", transactions.row_hash("o_custkey", "o_orderstatus").alias("h"))
 
@@ -177,7 +190,7 @@ def w7_first_occurrences(documents):
     return transactions.first_occurrences(documents.select("text", "doc_id", "source"), ["text"], "doc_id")
 
 
-@query("+ g AS (SELECT sha, count(*) AS n, sum(label) AS p FROM manifest GROUP BY sha) SELECT CAST(sum(n) AS BIGINT) AS rows_in, count(*) AS rows_out, CAST(sum(n) - count(*) AS BIGINT) AS removed, count_if(n > 1)::BIGINT AS duplicate_groups, max(n) AS max_group, CAST(sum(p) AS BIGINT) AS positives_before FROM g", "manifest")
+@query("+ g AS (SELECT sha, count(*) AS n, sum(label) AS p, max(label) AS k FROM manifest GROUP BY sha) SELECT CAST(sum(n) AS BIGINT) AS rows_in, count(*) AS rows_out, CAST(sum(n) - count(*) AS BIGINT) AS removed, count_if(n > 1)::BIGINT AS duplicate_groups, max(n) AS max_group, CAST(sum(p) AS BIGINT) AS positives_before, CAST(sum(k) AS BIGINT) AS positives_after, CAST(sum(p) - sum(k) AS BIGINT) AS positives_removed FROM g", "manifest")
 def a8_dedup_manifest(manifest):
     return transactions.dedup_manifest(manifest, ["sha"], "label")
 
@@ -338,7 +351,13 @@ def e1_threshold_curve(scored):
 
 
 @query(
-    "+ g AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY score), c AS (SELECT p, n, sum(p) OVER d AS tp, sum(n) OVER d AS k, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g WINDOW d AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), s AS (SELECT sum(p * tp / k) AS ap, sum(p * (below + (n + 1) / 2)) AS ranks, sum(p) AS p, sum(n) AS t FROM c) SELECT CAST(t AS BIGINT) AS n_rows, round(p / t, 8) AS prevalence, round(ap / p, 8) AS average_precision, round((ranks - p * (p + 1) / 2) / (p * (t - p)), 8) AS roc_auc, round((SELECT avg(pow(score - label, 2)) FROM scored), 8) AS brier FROM s",
+    "+ g AS (SELECT score, sum(label) AS p, count(*) AS n FROM scored GROUP BY score),"
+    " c AS (SELECT p, n, sum(p) OVER d AS tp, sum(n) OVER d AS k, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g WINDOW d AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),"
+    " s AS (SELECT sum(p * tp / k) AS ap, sum(p * (below + (n + 1) / 2)) AS ranks, sum(p) AS p, sum(n) AS t FROM c),"
+    " h AS (SELECT count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp_05, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp_05, count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn_05, count(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn_05 FROM scored)"
+    " SELECT CAST(t AS BIGINT) AS n_rows, round(p / t, 8) AS prevalence, round(ap / p, 8) AS average_precision, round((ranks - p * (p + 1) / 2) / (p * (t - p)), 8) AS roc_auc, round((SELECT avg(pow(score - label, 2)) FROM scored), 8) AS brier,"
+    " h.*, round(coalesce(tp_05 / nullif(tp_05 + fp_05, 0), 0), 8) AS precision_05, round(coalesce(tp_05 / nullif(tp_05 + fn_05, 0), 0), 8) AS recall_05, round(coalesce(2 * tp_05 / nullif(2 * tp_05 + fp_05 + fn_05, 0), 0), 8) AS f1_05,"
+    " round(coalesce(fp_05 / nullif(fp_05 + tn_05, 0), 0), 8) AS fpr_05, round(coalesce(fn_05 / nullif(fn_05 + tp_05, 0), 0), 8) AS fnr_05 FROM s, h",
     "scored",
 )
 def e2_binary_metrics(scored):
@@ -351,13 +370,22 @@ def e3_recall_under_fpr(scored):
 
 
 @query(
-    f"{_CURVE}, m AS (SELECT threshold AS medium FROM curve WHERE fpr <= 0.3 ORDER BY f2 DESC, recall DESC, fpr, threshold LIMIT 1), h AS (SELECT min(threshold) AS h FROM curve, m WHERE threshold >= medium AND precision >= 0.9 AND tp > 0) SELECT medium, coalesce(h, medium) AS high, CASE WHEN h IS NULL THEN 'MEDIUM_FALLBACK' ELSE 'PRECISION_TARGET' END AS rule FROM m, h",
+    f"{_CURVE}, m AS (SELECT threshold AS medium, fpr <= 0.3 AS met FROM curve ORDER BY fpr <= 0.3 DESC, f2 DESC, recall DESC, fpr, threshold LIMIT 1), h AS (SELECT min(threshold) AS h FROM curve, m WHERE threshold >= medium AND precision >= 0.9), b AS (SELECT threshold AS b FROM curve, m WHERE threshold >= medium ORDER BY precision DESC, recall DESC, threshold DESC LIMIT 1) SELECT medium, coalesce(h, b) AS high, CASE WHEN met THEN 'maximize_f2_subject_to_fpr_cap' ELSE 'fallback_maximize_f2_no_threshold_met_fpr_cap' END AS medium_rule, CASE WHEN h IS NULL THEN 'fallback_maximize_precision_target_unmet' ELSE 'lowest_threshold_meeting_precision_target' END AS high_rule FROM m, h, b",
     "scored",
 )
 def e4_select_thresholds(scored):
     return evaluation.select_risk_thresholds(evaluation.threshold_curve(scored.withColumn("score", F.col("score").cast("double"))), 0.3, 0.9)
 
 
+@query(
+    f"{_CURVE}, m AS (SELECT threshold AS medium, fpr <= -1 AS met FROM curve ORDER BY fpr <= -1 DESC, f2 DESC, recall DESC, fpr, threshold LIMIT 1), h AS (SELECT min(threshold) AS h FROM curve, m WHERE threshold >= medium AND precision >= 1.5), b AS (SELECT threshold AS b FROM curve, m WHERE threshold >= medium ORDER BY precision DESC, recall DESC, threshold DESC LIMIT 1) SELECT medium, coalesce(h, b) AS high, CASE WHEN met THEN 'maximize_f2_subject_to_fpr_cap' ELSE 'fallback_maximize_f2_no_threshold_met_fpr_cap' END AS medium_rule, CASE WHEN h IS NULL THEN 'fallback_maximize_precision_target_unmet' ELSE 'lowest_threshold_meeting_precision_target' END AS high_rule FROM m, h, b",
+    "scored",
+)
+def e4_fallback_thresholds(scored):
+    """Where no threshold meets the cap or the precision."""
+    return evaluation.select_risk_thresholds(evaluation.threshold_curve(scored.withColumn("score", F.col("score").cast("double"))), -1.0, 1.5)
+
+
 @query("SELECT id, CASE WHEN score >= 0.7 THEN 'HIGH' WHEN score >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM scored", "scored")
 def e5_classify_band(scored):
     return evaluation.classify_band(scored, 0.35, 0.7).select("id", "band")
@@ -368,34 +396,85 @@ def e6_risk_scalar(scored3):
     return evaluation.risk_scalar(scored3).select("id", "risk", "valid")
 
 
+_GRID = (
+    "+ g AS (SELECT s / 100 AS s, f / 100 AS f FROM range(5, 65, 5) a(s), range(40, 100, 5) b(f) WHERE f >= greatest(40, s + 5)), c AS (SELECT label, floor(round((p_fraudulent + p_suspicious / 2) * 20, 9)) AS c, count(*) AS n FROM scored3 GROUP BY ALL),"
+    " p AS (SELECT s, f, label, n, CASE WHEN c >= round(f * 20, 6) THEN 'FRAUDULENT' WHEN c >= round(s * 20, 6) THEN 'SUSPICIOUS' ELSE 'GENUINE' END AS pred FROM c, g),"
+    " k AS (SELECT s, f, c.c, coalesce(sum(n) FILTER (WHERE label = c.c AND pred = c.c), 0) AS tp, coalesce(sum(n) FILTER (WHERE label = c.c), 0) AS a, coalesce(sum(n) FILTER (WHERE pred = c.c), 0) AS b FROM p, (VALUES ('GENUINE'), ('SUSPICIOUS'), ('FRAUDULENT')) c(c) GROUP BY ALL),"
+    " grid AS (SELECT s, f, round(sum(CASE WHEN a + b > 0 THEN 2 * tp / (a + b) ELSE 0 END) / 3, 8) AS macro_f1, round(max(CASE WHEN c = 'FRAUDULENT' THEN CASE WHEN a > 0 THEN tp / a ELSE 0 END END), 8) AS fraud_recall FROM k GROUP BY s, f)"
+)
+
+
 @query(
-    "+ g AS (SELECT s / 100 AS s, f / 100 AS f FROM range(5, 65, 5) a(s), range(40, 100, 5) b(f) WHERE f >= greatest(40, s + 5)), c AS (SELECT label, floor(round(p_suspicious * 20, 9)) AS cs, floor(round(p_fraudulent * 20, 9)) AS cf, count(*) AS n FROM scored3 GROUP BY ALL), p AS (SELECT s, f, label, n, CASE WHEN cf >= round(f * 20, 6) THEN 'FRAUDULENT' WHEN cs >= round(s * 20, 6) THEN 'SUSPICIOUS' ELSE 'GENUINE' END AS pred FROM c, g), k AS (SELECT s, f, c.c, coalesce(sum(n) FILTER (WHERE label = c.c AND pred = c.c), 0) AS tp, coalesce(sum(n) FILTER (WHERE label = c.c), 0) AS a, coalesce(sum(n) FILTER (WHERE pred = c.c), 0) AS b FROM p, (VALUES ('GENUINE'), ('SUSPICIOUS'), ('FRAUDULENT')) c(c) GROUP BY ALL) SELECT s, f, round(sum(CASE WHEN a + b > 0 THEN 2 * tp / (a + b) ELSE 0 END) / 3, 8) AS macro_f1, round(max(CASE WHEN c = 'FRAUDULENT' THEN CASE WHEN a > 0 THEN tp / a ELSE 0 END END), 8) AS fraud_recall FROM k GROUP BY s, f",
+    f"{_GRID} SELECT * FROM grid",
     "scored3",
 )
 def e7_grid_thresholds(scored3):
     return evaluation.grid_thresholds(scored3)
 
 
-_BINS = "+ b AS (SELECT CAST(least(floor(score * 5), 4) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS positive_rate FROM scored GROUP BY 1)"
+@query(
+    f"{_GRID} SELECT s AS suspicious, f AS fraudulent, macro_f1, fraud_recall FROM grid ORDER BY macro_f1 DESC, fraud_recall DESC, f, s LIMIT 1",
+    "scored3",
+)
+def e7_choose_thresholds(scored3):
+    return evaluation.choose_grid_thresholds(evaluation.grid_thresholds(scored3))
+
 
+_BINS = "+ b AS (SELECT CAST(least(floor(score * 5), 4) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS positive_rate, round(sum(pow(score - label, 2)), 6) AS squared_error FROM scored GROUP BY 1)"
 
-@query(f"{_BINS} SELECT * FROM b", "scored")
+
+@query(
+    f"{_BINS} SELECT * FROM b",
+    "scored",
+)
 def e9_calibration_bins(scored):
-    return evaluation.calibration_bins(scored.withColumn("score", F.col("score").cast("double")))
+    return evaluation.calibration_bins(scored.withColumn("score", F.col("score").cast("double"))).withColumn("squared_error", F.round("squared_error", 6))
 
 
-@query(f"{_BINS} SELECT round(sum(n * abs(mean_score - positive_rate)) / sum(n), 6) AS ece FROM b", "scored")
+@query(
+    f"{_BINS} SELECT round(sum(n * abs(mean_score - positive_rate)) / sum(n), 6) AS ece, round((SELECT avg(pow(score - label, 2)) FROM scored), 6) AS brier FROM b",
+    "scored",
+)
 def e9_calibration_error(scored):
     return evaluation.calibration_error(evaluation.calibration_bins(scored.withColumn("score", F.col("score").cast("double"))))
 
 
 @query(
-    "+ p AS (SELECT label, CASE WHEN p_fraudulent >= 0.4 THEN 'FRAUDULENT' WHEN p_suspicious >= 0.1 THEN 'SUSPICIOUS' ELSE 'GENUINE' END AS pred FROM scored3), c AS (SELECT DISTINCT label AS class FROM p UNION SELECT DISTINCT pred FROM p), k AS (SELECT class, (SELECT count(*) FROM p WHERE label = class AND pred = class) AS tp, (SELECT count(*) FROM p WHERE label = class) AS support, (SELECT count(*) FROM p WHERE pred = class) AS got FROM c) SELECT class, support, round(CASE WHEN got > 0 THEN tp / got ELSE 0 END, 8) AS precision, round(CASE WHEN support > 0 THEN tp / support ELSE 0 END, 8) AS recall, round(CASE WHEN got + support > 0 THEN 2 * tp / (got + support) ELSE 0 END, 8) AS f1 FROM k",
+    "+ t AS (SELECT label, greatest(p_genuine, p_suspicious, p_fraudulent) AS c, CASE WHEN p_genuine >= p_suspicious AND p_genuine >= p_fraudulent THEN 'GENUINE' WHEN p_suspicious >= p_fraudulent THEN 'SUSPICIOUS' ELSE 'FRAUDULENT' END AS pred,"
+    " pow(p_genuine - CAST(label = 'GENUINE' AS INT), 2) + pow(p_suspicious - CAST(label = 'SUSPICIOUS' AS INT), 2) + pow(p_fraudulent - CAST(label = 'FRAUDULENT' AS INT), 2) AS e FROM scored3),"
+    " b AS (SELECT least(floor(c * 5), 4) AS bin, count(*) AS n, round(avg(c), 6) AS mc, round(avg(CAST(label = pred AS INT)), 6) AS acc FROM t GROUP BY 1)"
+    " SELECT round((SELECT avg(e) FROM t), 6) AS multiclass_brier, round(sum(n * abs(mc - acc)) / sum(n), 6) AS ece FROM b",
     "scored3",
 )
-def e10_class_report(scored3):
+def e9_multiclass_calibration(scored3):
+    return evaluation.multiclass_calibration(scored3)
+
+
+_REPORT = (
+    "+ p AS (SELECT label, CASE WHEN p_fraudulent >= 0.4 THEN 'FRAUDULENT' WHEN p_suspicious >= 0.1 THEN 'SUSPICIOUS' ELSE 'GENUINE' END AS pred FROM scored3), c AS (SELECT DISTINCT label AS class FROM p UNION SELECT DISTINCT pred FROM p),"
+    " k AS (SELECT class, (SELECT count(*) FROM p WHERE label = class AND pred = class) AS tp, (SELECT count(*) FROM p WHERE label = class) AS support, (SELECT count(*) FROM p WHERE pred = class) AS got FROM c),"
+    " report AS (SELECT class, support, round(CASE WHEN got > 0 THEN tp / got ELSE 0 END, 8) AS precision, round(CASE WHEN support > 0 THEN tp / support ELSE 0 END, 8) AS recall, round(CASE WHEN got + support > 0 THEN 2 * tp / (got + support) ELSE 0 END, 8) AS f1 FROM k)"
+)
+
+
+def _confusion(scored3):
     p = F.when(F.col("p_fraudulent") >= 0.4, "FRAUDULENT").when(F.col("p_suspicious") >= 0.1, "SUSPICIOUS").otherwise("GENUINE")
-    return evaluation.class_report(evaluation.confusion(scored3.withColumn("pred", p), "label", "pred"))
+    return evaluation.confusion(scored3.withColumn("pred", p), "label", "pred")
+
+
+@query(f"{_REPORT} SELECT label, pred AS predicted, count(*) AS n FROM p GROUP BY ALL", "scored3")
+def e10_confusion(scored3):
+    return _confusion(scored3)
+
+
+@query(f"{_REPORT} SELECT * FROM report", "scored3")
+def e10_class_report(scored3):
+    return evaluation.class_report(_confusion(scored3))
+
+
+@query(f"{_REPORT} SELECT round(avg(f1), 6) AS macro_f1, round(avg(recall) FILTER (WHERE support > 0), 6) AS balanced_accuracy, CAST(sum(support) AS BIGINT) AS n_rows FROM report", "scored3")
+def e10_report_summary(scored3):
+    return evaluation.report_summary(evaluation.class_report(_confusion(scored3)))
 
 
 @query(
@@ -428,11 +507,15 @@ def e18_idempotent_replay(tx):
 
 
 @query(
-    "+ g AS (SELECT DISTINCT group_id FROM manifest), k AS (SELECT group_id, row_number() OVER (ORDER BY sha256('42:' || group_id)) AS k, count(*) OVER () AS n FROM g) SELECT group_id, CASE WHEN k <= floor(n * 70 / 100) THEN 'train' WHEN k <= floor(n * 85 / 100) THEN 'validation' ELSE 'test' END AS split FROM k",
+    "+ g AS (SELECT DISTINCT group_id, CAST(substr(group_id, 4) AS INT) % 2 = 0 AS controlled FROM manifest), k AS (SELECT *, row_number() OVER (PARTITION BY controlled ORDER BY sha256('42:' || group_id)) AS k, count(*) OVER (PARTITION BY controlled) AS n FROM g),"
+    " r AS (SELECT DISTINCT controlled, n, unnest(CASE WHEN controlled THEN [0.7::DOUBLE, 0.15::DOUBLE, 0.15::DOUBLE] ELSE [0.8::DOUBLE, 0.2::DOUBLE, 0.0::DOUBLE] END) AS share, unnest([1, 2, 3]) AS i FROM k),"
+    " f AS (SELECT *, floor(n * share) AS base, row_number() OVER (PARTITION BY controlled ORDER BY n * share - floor(n * share) DESC, i) AS rank, n - sum(floor(n * share)) OVER (PARTITION BY controlled) AS rest FROM r),"
+    " q AS (SELECT controlled, sum(base + CASE WHEN rank <= rest THEN 1 ELSE 0 END) FILTER (WHERE i = 1) AS a, sum(base + CASE WHEN rank <= rest THEN 1 ELSE 0 END) FILTER (WHERE i = 2) AS b FROM f GROUP BY 1)"
+    " SELECT group_id, k.controlled, CASE WHEN k <= a THEN 'train' WHEN k <= a + b THEN 'validation' ELSE 'test' END AS split FROM k JOIN q ON k.controlled = q.controlled",
     "manifest",
 )
 def l2_group_hash_split(manifest):
-    return governance.group_hash_split(manifest, "group_id", "42")
+    return governance.group_hash_split(manifest, "group_id", "42", F.expr("CAST(substr(group_id, 4) AS INT) % 2 = 0"))
 
 
 @query("SELECT group_id, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT split) AS n_splits FROM manifest GROUP BY 1 HAVING count(DISTINCT split) > 1", "manifest")
@@ -472,9 +555,22 @@ def j9_propagate_withdrawal(manifest):
     return governance.propagate_withdrawal(manifest, ledger, "group_id", ["sha"]).select("sample_id", "sha", "state")
 
 
-@query("+ a AS (SELECT DISTINCT lower(sha) AS k FROM manifest WHERE source_type <> 'fr'), b AS (SELECT DISTINCT lower(sha) AS k FROM manifest WHERE source_type <> 'de') SELECT count_if(a.k IS NOT NULL AND b.k IS NOT NULL)::BIGINT AS paired, count_if(b.k IS NULL)::BIGINT AS missing, count_if(a.k IS NULL)::BIGINT AS orphan FROM a FULL JOIN b ON a.k = b.k", "manifest")
+_PAIRED = "+ a AS (SELECT lower(sha) AS k, min(source_type) AS c, max(sample_id) AS s FROM manifest WHERE source_type <> 'fr' GROUP BY 1), b AS (SELECT lower(sha) AS k, min(source_type) AS c, max(sample_id) AS s FROM manifest WHERE source_type <> 'de' AND sample_id % 50 <> 3 GROUP BY 1), j AS (SELECT coalesce(a.c, b.c) AS category, count_if(a.k IS NOT NULL AND b.k IS NOT NULL)::BIGINT AS paired, count_if(b.k IS NULL)::BIGINT AS missing, count_if(a.k IS NULL)::BIGINT AS orphan, count_if(coalesce(a.s <> b.s, false))::BIGINT AS size_mismatches FROM a FULL JOIN b ON a.k = b.k GROUP BY 1)"
+
+
+def _paired(manifest):
+    b = manifest.where("source_type <> 'de' AND sample_id % 50 <> 3").withColumn("sha", F.concat(F.upper("sha"), F.lit(".png")))
+    return governance.paired_audit(manifest.where("source_type <> 'fr'"), b, "sha", "source_type", "sample_id", stem=True)
+
+
+@query(f"{_PAIRED} SELECT * FROM j", "manifest")
 def j13_paired_audit(manifest):
-    return governance.paired_audit(manifest.where("source_type <> 'fr'"), manifest.where("source_type <> 'de'").withColumn("sha", F.upper("sha")), "sha")
+    return _paired(manifest)
+
+
+@query(f"{_PAIRED}, w(category, want) AS (VALUES ('de', 0), ('en', 7), ('it', 1)) SELECT coalesce(j.category, w.category) AS category, CASE WHEN want IS NULL THEN 'UNEXPECTED_CATEGORY' WHEN paired IS NULL THEN 'CATEGORY_MISSING' ELSE 'COUNT_DRIFT' END AS reason FROM j FULL JOIN w ON j.category = w.category WHERE paired IS DISTINCT FROM want", "manifest")
+def j13_paired_drift(manifest):
+    return governance.paired_drift(_paired(manifest), {"de": 0, "en": 7, "it": 1})
 
 
 @query("(SELECT sha, 'missing' AS side FROM manifest WHERE source_type <> 'fr' EXCEPT SELECT sha, 'missing' FROM manifest WHERE source_type <> 'de') UNION ALL (SELECT sha, 'extra' FROM manifest WHERE source_type <> 'de' EXCEPT SELECT sha, 'extra' FROM manifest WHERE source_type <> 'fr')", "manifest")
@@ -488,11 +584,11 @@ _ALLOWED = [("click", "view"), ("view", "click"), ("view", "purchase"), ("click"
 @query(
     "+ w AS (SELECT *, lag(to_state) OVER (PARTITION BY record_id ORDER BY seq) AS prev FROM state_events) SELECT record_id, seq, 'BROKEN_CHAIN' AS code FROM w WHERE from_state IS DISTINCT FROM prev UNION ALL SELECT record_id, seq, 'PAIR_NOT_ALLOWED' FROM w WHERE from_state IS NOT NULL AND (from_state || '>' || to_state) NOT IN ("
     + ", ".join(f"'{a}>{b}'" for a, b in _ALLOWED)
-    + ")",
+    + ") UNION ALL SELECT record_id, seq, 'APPROVED_WITHOUT_HISTORY' FROM w WHERE prev IS NULL AND to_state = 'purchase'",
     "state_events",
 )
 def w15_state_transitions(state_events):
-    return governance.state_transition_audit(state_events, _ALLOWED)
+    return governance.state_transition_audit(state_events, _ALLOWED, ["purchase"])
 
 
 @query("SELECT sample_id FROM manifest WHERE group_id IN (SELECT DISTINCT group_id FROM manifest ORDER BY group_id LIMIT 5)", "manifest")
@@ -515,68 +611,66 @@ def f2_search_filter(customer):
     return governance.search_filter(customer, "AUTO", ["c_mktsegment"]).select("c_custkey").union(governance.search_filter(customer, "12", ["c_name"]).select("c_custkey")).distinct()
 
 
-@query("SELECT provider_code, count(*) AS n_runs, count_if(risk_level = 'HIGH')::BIGINT AS high, count_if(status = 'PARTIAL')::BIGINT AS partial, count_if(verification_status = 'MISMATCH')::BIGINT AS mismatch, round(avg(duration_ms), 4) AS mean_ms, round(quantile_cont(duration_ms, 0.95), 4) AS p95_ms FROM runs GROUP BY 1", "runs")
+@query(
+    "+ d AS (SELECT * FROM runs WHERE completed_at >= TIMESTAMP '2024-01-03' AND completed_at < TIMESTAMP '2024-01-20'), c AS (SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS state FROM runs WHERE verification_status = 'MISMATCH')"
+    " SELECT provider_code, count(*) AS n_runs, count_if(risk_level = 'LOW')::BIGINT AS low, count_if(risk_level = 'MEDIUM')::BIGINT AS medium, count_if(risk_level = 'HIGH')::BIGINT AS high, count_if(risk_level IS NULL)::BIGINT AS inconclusive, count_if(status = 'PARTIAL')::BIGINT AS partial,"
+    " count_if(verification_status = 'VERIFIED')::BIGINT AS verified, count_if(verification_status = 'MISMATCH')::BIGINT AS mismatch, count_if(verification_status = 'UNVERIFIED')::BIGINT AS unverified, round(avg(duration_ms), 4) AS mean_ms, round(quantile_cont(duration_ms, 0.95), 4) AS p95_ms,"
+    " count_if(state = 'OPEN')::BIGINT AS cases_open, count_if(state = 'CLOSED')::BIGINT AS cases_closed FROM d LEFT JOIN c ON d.run_id = c.run_id GROUP BY 1",
+    "runs",
+)
 def a21_operations_dashboard(runs):
-    return governance.operations_dashboard(runs)
+    cases = runs.where("verification_status = 'MISMATCH'").select("run_id", F.when(F.col("run_id") % 2 == 0, "OPEN").otherwise("CLOSED").alias("state"))
+    return governance.operations_dashboard(runs, cases, "2024-01-03", "2024-01-20")
 
 
-@query("SELECT lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host, count(*) AS n_pages, count_if(NOT regexp_matches(url, '^https://[^/@]+(/|$)'))::BIGINT AS not_https, count(*) - count(DISTINCT html) AS duplicate_pages FROM pages GROUP BY 1", "pages")
+@query(
+    "SELECT nullif(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)), '') AS host, count(*) AS n_pages, count_if(NOT coalesce(regexp_matches(url, '^https://[^/@]+(/|$)'), false))::BIGINT AS not_https, count_if(coalesce(regexp_matches(url, '^[A-Za-z]+://[^/@]*@'), false))::BIGINT AS with_credentials,"
+    " count_if(trim(coalesce(html, '')) = '')::BIGINT AS missing_pages, count(*) - count(DISTINCT coalesce(html, '')) AS duplicate_pages FROM pages GROUP BY 1",
+    "pages",
+)
 def a24_candidate_sources(pages):
     return governance.candidate_source_report(pages)
 
 
-# The patterns and cues of the registered SQL, narrower than those of the operators.
-SQL_SENSITIVE = [
-    ("URL", r"https?://[^ ]+"),
-    ("EMAIL", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+"),
-    ("PHONE", r"\+?(?:233|0)[0-9]{9}"),
-    ("MONEY", r"GHS ?[0-9][0-9,]*(?:\.[0-9]+)?"),
-    ("REFERENCE", r"[A-Z]{2,}[0-9]{6,}"),
-]
-SQL_SECRET = r"(?i)(otp|one-time|verification code)"
-SQL_CUES = ["payment made", "payment received", "transaction id", "cash out", "transfer"]
-
-
-def _tokens() -> tuple[str, str]:
-    c, counts = "text", []
-    for kind, p in SQL_SENSITIVE:
-        counts.append(f"CAST(length(regexp_extract_all({c}, '{p}')) AS BIGINT) AS n_{kind.lower()}")
-        c = f"regexp_replace({c}, '{p}', '[{kind}]', 'g')"
-    return ", ".join(counts), c
-
+# That engine cannot look around: where a pattern only has to be found, it consumes its neighbours instead. The reference
+# pattern, a token of eight signs with a digit, is left to tests; every message of the view has an amount anyway.
+_FOUND = [p.replace(r"(?<!\d)", "(?:^|[^0-9])").replace(r"(?!\d)", "(?:[^0-9]|$)") for p in [*(p for k, p in messages.SENSITIVE if k != "REFERENCE"), *messages.RESIDUAL, messages.SECRET]]
+_CUES = " OR ".join(f"contains(lower(text), '{c}')" for c in messages.CUES)
+_TEMPLATE = "trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '\\[[A-Z_0-9]+\\]', '[VALUE]', 'g')), '[0-9]+(?:[.,][0-9]+)*', '[NUMBER]', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
 
-_COUNTS, _CLEAN = _tokens()
 
-
-@query(f"SELECT record_id, {_COUNTS}, {_CLEAN} AS clean FROM msgs", "msgs")
+@query(None, "msgs")
 def m1_tokenize_sensitive(msgs):
     return messages.tokenize_sensitive(msgs).select("record_id", *(f"n_{k.lower()}" for k, _ in messages.SENSITIVE), "clean")
 
 
-@query("SELECT record_id FROM msgs WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for _, p in SQL_SENSITIVE), "msgs")
+@query("SELECT record_id FROM msgs WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for p in _FOUND), "msgs")
 def m4_residual_gate(msgs):
     return messages.residual_gate(msgs, "text").select("record_id")
 
 
-@query("SELECT record_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in SQL_SENSITIVE) + ") AS categories FROM msgs", "msgs")
+@query(None, "msgs")
 def m5_identifier_categories(msgs):
     return msgs.select("record_id", messages.identifier_categories(F.col("text")).alias("categories"))
 
 
-@query(f"SELECT record_id FROM msgs WHERE regexp_matches(text, '{SQL_SECRET}')", "msgs")
+@query(f"SELECT record_id FROM msgs WHERE regexp_matches(text, '{messages.SECRET}')", "msgs")
 def m6_secret_quarantine(msgs):
     return messages.secret_quarantine(msgs)[1].select("record_id")
 
 
-@query("SELECT record_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{c}')" for c in SQL_CUES) + " THEN 'transaction_confirmation' ELSE 'official_service_message' END AS category FROM msgs", "msgs")
+@query(f"SELECT record_id, CASE WHEN {_CUES} THEN 'transaction_confirmation' ELSE 'official_service_message' END AS category FROM msgs", "msgs")
 def m7_message_category(msgs):
     return msgs.select("record_id", messages.message_category(F.col("text")).alias("category"))
 
 
-_TPL = f"trim(regexp_replace(regexp_replace(lower(regexp_replace({_CLEAN}, '\\[[A-Z_0-9]+\\]', '[VALUE]', 'g')), '[0-9]+(?:[.,][0-9]+)*', '[NUMBER]', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
+@query(f"SELECT record_id, 'TPL-' || upper(substr(sha256({_TEMPLATE}), 1, 12)) AS template FROM msgs", "msgs")
+def m8_plain_template(msgs):
+    """The template of the text as it is; that of the text with its tokens is m8_template_group."""
+    return msgs.select("record_id", messages.template_group(F.col("text")).alias("template"))
 
 
-@query(f"SELECT record_id, 'TPL-' || upper(substr(sha256({_TPL}), 1, 12)) AS template FROM msgs", "msgs")
+@query(None, "msgs")
 def m8_template_group(msgs):
     return messages.tokenize_sensitive(msgs).select("record_id", messages.template_group(F.col("clean")).alias("template"))
 
@@ -638,11 +732,12 @@ def s9_content_fingerprint(tx):
 
 
 @query(
-    "+ u AS (SELECT min(id) AS id, hi, lo FROM hashes GROUP BY hi, lo), n AS (SELECT DISTINCT b.id FROM u a JOIN u b ON a.id < b.id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6) SELECT h.id, CASE WHEN id % 50 = 7 THEN 'withdrawn' WHEN id > min(id) OVER (PARTITION BY hi, lo) THEN 'exact_duplicate' WHEN id IN (SELECT id FROM n) THEN 'near_duplicate' ELSE 'needs_transcription' END AS state FROM hashes h",
+    "+ u AS (SELECT min(id) AS id, hi, lo FROM hashes GROUP BY hi, lo), n AS (SELECT b.id, min(a.id) AS near FROM u a JOIN u b ON a.id < b.id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6 GROUP BY 1), f AS (SELECT h.*, min(h.id) OVER (PARTITION BY hi, lo) AS first, near FROM hashes h LEFT JOIN n ON h.id = n.id)"
+    " SELECT id, CASE WHEN id % 50 = 7 THEN 'withdrawn' WHEN id > first THEN 'exact_duplicate' WHEN near IS NOT NULL THEN 'near_duplicate' WHEN id % 9 = 0 THEN 'needs_deidentification' ELSE 'needs_transcription' END AS state, CASE WHEN id % 50 = 7 THEN NULL WHEN id > first THEN 'exact_duplicate_of:' || first WHEN near IS NOT NULL THEN 'near_duplicate_of:' || near END AS reason FROM f",
     "hashes",
 )
 def j20_intake_triage(hashes):
-    return governance.intake_triage(hashes, hashes.where("id % 50 = 7"), references.near_duplicates(hashes, 6))
+    return governance.intake_triage(hashes, hashes.where("id % 50 = 7"), references.near_duplicates(hashes, 6), working=hashes.where("id % 9 = 0"))
 
 
 @query("SELECT c_custkey AS transaction_id, r.run_id, r.risk_level, r.status FROM customer LEFT JOIN (SELECT transaction_id, max(run_id) AS run_id, arg_max(coalesce(risk_level, '~'), run_id) AS rl, arg_max(status, run_id) AS status, nullif(rl, '~') AS risk_level FROM runs GROUP BY 1) r ON c_custkey = transaction_id", "customer", "runs")
@@ -661,14 +756,21 @@ def l5_bucket_policy(manifest):
     return governance.bucket_policy(manifest, {"en": "controlled", "fr": "owner"}).select("sample_id", "bucket", "split")
 
 
-@query("SELECT row_no, CASE WHEN k <= ceil(n / 2.0) THEN 'first' ELSE 'second' END AS half FROM (SELECT row_no, row_number() OVER (ORDER BY row_no) AS k, count(*) OVER () AS n FROM tx)", "tx")
+@query(
+    "SELECT row_no, CASE WHEN k <= n // 2 THEN 'first' ELSE 'second' END AS half FROM (SELECT row_no, row_number() OVER (ORDER BY step, row_no) AS k, count(*) OVER () AS n FROM tx)",
+    "tx",
+)
 def l6_chronological_halves(tx):
-    return governance.chronological_halves(tx, "row_no").select("row_no", "half")
+    return governance.chronological_halves(tx, "step", "row_no").select("row_no", "half")
 
 
-@query("SELECT source_type, count(*) AS n, count(DISTINCT group_id) AS n_groups, count(DISTINCT label) AS n_labels, concat_ws(',', CASE WHEN count(DISTINCT label) < 2 THEN 'ONE_LABEL' END, CASE WHEN count(*) < 130 THEN 'TOO_FEW_RECORDS' END) AS blockers FROM manifest GROUP BY 1", "manifest")
+@query(
+    "+ s AS (SELECT group_id FROM manifest GROUP BY 1 HAVING count(DISTINCT source_type) > 1), g AS (SELECT source_type, count(*) AS n, count(DISTINCT m.group_id) AS n_groups, count(DISTINCT label) AS n_labels, count(DISTINCT s.group_id) AS shared_groups FROM manifest m LEFT JOIN s ON m.group_id = s.group_id GROUP BY 1)"
+    " SELECT *, concat_ws(',', CASE WHEN shared_groups > 0 THEN 'GROUP_IN_TWO_SOURCES' END, CASE WHEN n_labels < 2 THEN 'ONE_LABEL' END, CASE WHEN n_groups < CASE source_type WHEN 'en' THEN 21 ELSE 20 END THEN 'TOO_FEW_GROUPS' END, CASE WHEN n < CASE source_type WHEN 'en' THEN 200 ELSE 130 END THEN 'TOO_FEW_RECORDS' END) AS blockers FROM g",
+    "manifest",
+)
 def a13_readiness(manifest):
-    return governance.readiness(manifest, 130)
+    return governance.readiness(manifest, {"en": (200, 21)}, (130, 20))
 
 
 @query("SELECT record_id, count(*) AS n FROM (SELECT record_id FROM msgs UNION ALL SELECT doc_id FROM labels) GROUP BY 1 HAVING count(*) > 1", "msgs", "labels")
@@ -676,10 +778,25 @@ def d1_union_corpora(msgs, labels):
     return governance.union_corpora({"messages": msgs, "labels": labels.withColumnRenamed("doc_id", "record_id")})[1]
 
 
-@query("SELECT count(*) AS n, count_if(w = 0)::BIGINT AS no_size, count_if(greatest(w, 12 + l % 3) > 90)::BIGINT AS above_cap FROM (SELECT 8 * length(word) AS w, length(word) AS l FROM (SELECT unnest(string_split(text, ' ')) AS word FROM conversations))", "conversations")
-def a25_collection_profile(conversations):
+_BOXES = "(SELECT 8 * length(word) AS width, 12 + length(word) % 3 AS height FROM (SELECT unnest(string_split(text, ' ')) AS word FROM conversations))"
+
+
+def _boxes(conversations):
     w = conversations.select(F.explode(F.split("text", " ", -1)).alias("word"))
-    return governance.collection_profile(w.select((8 * F.length("word")).alias("width"), (12 + F.length("word") % 3).alias("height")), 90)
+    return w.select((8 * F.length("word")).alias("width"), (12 + F.length("word") % 3).alias("height"))
+
+
+@query(
+    f"SELECT count(*) AS n, count_if(width = 0 OR height = 0)::BIGINT AS no_size, count_if(greatest(width, height) > 90)::BIGINT AS above_cap, count_if(width * height > 900)::BIGINT AS oversized, concat_ws(',', CASE WHEN count_if(greatest(width, height) > 90) > 0 THEN 'DIMENSION_CAP_EXCEEDED' END, CASE WHEN count_if(width * height > 900) > 0 THEN 'OVERSIZED_ITEM' END, CASE WHEN count_if(width = 0 OR height = 0) > 0 THEN 'ZERO_DIMENSION' END) AS reasons FROM {_BOXES}",
+    "conversations",
+)
+def a25_collection_profile(conversations):
+    return governance.collection_profile(_boxes(conversations), 90, 900)
+
+
+@query(f"SELECT width, height, count(*) AS n FROM {_BOXES} GROUP BY ALL", "conversations")
+def a25_dimension_histogram(conversations):
+    return governance.dimension_histogram(_boxes(conversations))
 
 
 @query(
@@ -690,6 +807,16 @@ def e8_binary_grid(scored):
     return evaluation.binary_grid(scored)
 
 
+@query(
+    "+ g AS (SELECT t / 100 AS t FROM range(5, 100, 5) a(t)), c AS (SELECT t, count(*) FILTER (WHERE label = 1 AND score >= t) AS tp, count(*) FILTER (WHERE label = 0 AND score >= t) AS fp, count(*) FILTER (WHERE label = 1 AND score < t) AS fn, count(*) FILTER (WHERE label = 0 AND score < t) AS tn FROM scored, g GROUP BY t),"
+    " f AS (SELECT t, round((CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END + CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / 2, 8) AS mean_f1, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 8) AS recall FROM c)"
+    " SELECT t AS threshold, mean_f1, recall FROM f ORDER BY mean_f1 DESC, recall DESC, t LIMIT 1",
+    "scored",
+)
+def e8_choose_threshold(scored):
+    return evaluation.choose_binary_threshold(evaluation.binary_grid(scored))
+
+
 _ERRORS = "+ e AS (SELECT ref_id, 'receiver_phone' AS field, 'REQUIRED' AS code FROM refs WHERE receiver_phone IS NULL UNION ALL SELECT ref_id, 'amount', 'INVALID_AMOUNT' FROM refs WHERE amount IS NULL OR amount <= 0 UNION ALL SELECT ref_id, 'currency', 'UNKNOWN_CURRENCY' FROM refs WHERE currency IS DISTINCT FROM 'GHS' UNION ALL SELECT ref_id, 'transaction_status', 'STATUS_NOT_ACCEPTED' FROM refs WHERE transaction_status = 'REVERSED')"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpora as c
 from ..operators import messages, references
-from .catalog import SQL, SQL_CUES, SQL_SECRET, query
+from .catalog import _CUES, _TEMPLATE, SQL, query
 
 
 @query(None, "msgs")
@@ -104,12 +104,10 @@ def a15_state_report(hashes):
 
 
 SQL["a15_state_report"] = f"SELECT count(*) AS n, count(*) FILTER (WHERE starts_with(state, 'needs_')) AS pending, count(*) FILTER (WHERE state = 'exact_duplicate') AS exact, count(*) FILTER (WHERE state = 'near_duplicate') AS near, count(*) FILTER (WHERE state = 'withdrawn') AS withdrawn FROM ({_TRIAGE})"
-_CUES = " OR ".join(f"contains(lower(text), '{q}')" for q in SQL_CUES)
-_TEMPLATE = "trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '\\[[A-Z_0-9]+\\]', '[VALUE]', 'g')), '[0-9]+(?:[.,][0-9]+)*', '[NUMBER]', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
 
 
 @query(
-    f"+ d AS (SELECT text, provider_family, regexp_matches(text, '{SQL_SECRET}') AS x, {_CUES} AS q, {_TEMPLATE} AS g FROM msgs) SELECT count(*) AS raw, count(*) FILTER (WHERE x) AS excluded, count(DISTINCT lower(text)) FILTER (WHERE NOT x) AS deduplicated, count(DISTINCT g) FILTER (WHERE NOT x) AS template_groups, count(DISTINCT provider_family) AS providers, count(*) FILTER (WHERE NOT x AND q) AS confirmations FROM d",
+    f"+ d AS (SELECT text, provider_family, regexp_matches(text, '{messages.SECRET}') AS x, {_CUES} AS q, {_TEMPLATE} AS g FROM msgs) SELECT count(*) AS raw, count(*) FILTER (WHERE x) AS excluded, count(DISTINCT lower(text)) FILTER (WHERE NOT x) AS deduplicated, count(DISTINCT g) FILTER (WHERE NOT x) AS template_groups, count(DISTINCT provider_family) AS providers, count(*) FILTER (WHERE NOT x AND q) AS confirmations FROM d",
     "msgs",
 )
 def a16_corpus_report(msgs):

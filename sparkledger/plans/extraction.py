@@ -9,9 +9,11 @@ from .catalog import query
 
 
 def _sql(template: str) -> str:
-    """The SQL with the fixed patterns filled in; the phone pattern there consumes its neighbours, as that engine cannot look around."""
-    words = {"AMOUNT": x.AMOUNT, "LABELLED": x.LABELLED_AMOUNT, "REFERENCE": x.REFERENCE, "ANCHOR": x.SPAN_ANCHOR, "SPAN": x.SPAN, "TO1": x.RECIPIENTS[0], "TO2": x.RECIPIENTS[1], "TO3": x.RECIPIENTS[2], "AFTER": x.AFTER_RECIPIENT, "WALLET": x.WALLET, "T1": x.TIMES[0], "T2": x.TIMES[1]}
-    words["PHONE"] = x.PHONE.replace("(?<![0-9])", "(?:^|[^0-9])").replace("(?![0-9])", "(?:[^0-9]|$)")
+    """The SQL with the fixed patterns filled in; that engine cannot look around: the phone pattern consumes its
+    neighbours there, and amounts are not followed by digits in the view."""
+    plain = lambda p: p.replace(r"(?![\d.])", "")
+    words = {"AMOUNT": plain(x.AMOUNT), "LABELLED1": plain(x.LABELLED_AMOUNTS[0]), "LABELLED2": plain(x.LABELLED_AMOUNTS[1]), "REFERENCE": x.REFERENCE, "ANCHOR": x.SPAN_ANCHOR, "SPAN": x.SPAN, "TO1": x.RECIPIENTS[0], "TO2": x.RECIPIENTS[1], "TO3": x.RECIPIENTS[2], "AFTER": x.AFTER_RECIPIENT, "WALLET": x.WALLET, "T1": x.TIMES[0], "T2": x.TIMES[1]}
+    words["PHONE"] = x.PHONE.replace(r"(?<!\d)", "(?:^|[^0-9])").replace(r"(?!\d)", "(?:[^0-9]|$)")
     for k, v in (words | {k.upper(): v for k, v in x.STATUSES.items()}).items():
         template = template.replace(f"<{k}>", v)
     return template
@@ -21,9 +23,9 @@ _HITS = {p: " + ".join(f"contains(upper(text), '{a}')::INT" for a in anchors) fo
 _PARSED = _sql(
     "+ a AS (SELECT *, "
     + ", ".join(f"{h} AS h_{p}" for p, h in _HITS.items())
-    + """, list_distinct(list_filter([TRY_CAST(regexp_replace(v, '[ ,]', '', 'g') AS DECIMAL(11,2)) for v in regexp_extract_all(text, '<LABELLED>', 1)], lambda v: v IS NOT NULL)) AS lab,
+    + """, list_distinct(list_filter([TRY_CAST(regexp_replace(v, '[ ,]', '', 'g') AS DECIMAL(11,2)) for v in list_concat(regexp_extract_all(text, '<LABELLED1>', 1), regexp_extract_all(text, '<LABELLED2>', 1))], lambda v: v IS NOT NULL)) AS lab,
  list_distinct(list_filter([TRY_CAST(regexp_replace(v, '[ ,]', '', 'g') AS DECIMAL(11,2)) for v in regexp_extract_all(text, '<AMOUNT>', 1)], lambda v: v IS NOT NULL)) AS cur,
- CASE WHEN regexp_matches(text, '<LABELLED>') THEN lab ELSE cur END AS act, upper(nullif(trim(regexp_extract(text, '<REFERENCE>', 1)), '')) AS r,
+ CASE WHEN regexp_matches(text, '<LABELLED1>') OR regexp_matches(text, '<LABELLED2>') THEN lab ELSE cur END AS act, upper(nullif(trim(regexp_extract(text, '<REFERENCE>', 1)), '')) AS r,
  coalesce(nullif(trim(regexp_extract(text, '<TO1>', 1)), ''), nullif(trim(regexp_extract(text, '<TO2>', 1)), ''), nullif(trim(regexp_extract(text, '<TO3>', 1)), '')) AS to1,
  upper(nullif(regexp_replace(regexp_replace(to1, '<AFTER>', ''), '^[ .,:;-]+|[ .,:;-]+$', '', 'g'), '')) AS to_,
  nullif(trim(regexp_extract(text, '<WALLET>', 1)), '') AS named, regexp_extract_all(text, '<PHONE>', 1) AS bare,
@@ -37,7 +39,7 @@ _PARSED = _sql(
 p AS (SELECT receipt_id, text, engine_confidence, t_amount, t_reference, t_name, t_wallet, lab, cur, act,
  (h_MTN_MOMO > 0)::INT + (h_TELECEL_CASH > 0)::INT + (h_AIRTELTIGO_MONEY > 0)::INT AS np, h_MTN_MOMO + h_TELECEL_CASH + h_AIRTELTIGO_MONEY AS nh,
  CASE WHEN np <> 1 THEN 'UNKNOWN' WHEN h_MTN_MOMO > 0 THEN 'MTN_MOMO' WHEN h_TELECEL_CASH > 0 THEN 'TELECEL_CASH' ELSE 'AIRTELTIGO_MONEY' END AS provider,
- CASE WHEN np = 1 THEN least(0.96, 0.7 + 0.08 * nh) WHEN np = 0 THEN 0.3 ELSE 0.35 END::DOUBLE AS provider_confidence, CASE WHEN np = 0 THEN 'TEMPLATE_UNKNOWN' WHEN np > 1 THEN 'PROVIDER_ANCHORS_CONFLICT' END AS provider_warning,
+ CASE WHEN np = 1 THEN least(0.96, 0.7 + 0.08 * nh) WHEN np = 0 THEN 0.3 ELSE 0.35 END::DOUBLE AS provider_confidence, CASE WHEN np = 0 THEN 'TEMPLATE_UNKNOWN' WHEN np > 1 THEN 'PROVIDER_ANCHORS_CONFLICT,TEMPLATE_UNKNOWN' END AS provider_warning,
  CASE WHEN len(act) = 1 THEN act[1]::VARCHAR END AS amount, CASE WHEN len(act) = 0 THEN 0 WHEN len(act) > 1 THEN 0.25 WHEN len(lab) > 0 THEN 0.92 ELSE 0.72 END::DOUBLE AS amount_confidence, CASE WHEN len(act) = 0 THEN 'AMOUNT_NOT_FOUND' WHEN len(act) > 1 THEN 'AMOUNT_AMBIGUOUS' END AS amount_warning,
  r AS reference, CASE WHEN r IS NULL THEN 0 WHEN regexp_matches(r, '[0-9]') AND regexp_matches(r, '[OI]') THEN 0.58 ELSE 0.92 END::DOUBLE AS reference_confidence, CASE WHEN r IS NULL THEN 'REFERENCE_NOT_FOUND' WHEN regexp_matches(r, '[0-9]') AND regexp_matches(r, '[OI]') THEN 'REFERENCE_OI_AMBIGUITY_PRESERVED' END AS reference_warning,
  strftime(t, '%Y-%m-%d %H:%M:%S') AS "timestamp", CASE WHEN rt IS NULL THEN 0 WHEN t IS NULL THEN 0.2 WHEN unsure THEN 0.62 ELSE 0.9 END::DOUBLE AS timestamp_confidence, CASE WHEN rt IS NULL THEN 'TIMESTAMP_NOT_FOUND' WHEN t IS NULL THEN 'TIMESTAMP_FORMAT_INVALID' WHEN unsure THEN 'DATE_ORDER_AMBIGUOUS_DAY_FIRST_USED' END AS timestamp_warning,
@@ -79,7 +81,7 @@ def x6_provider_best(receipts):
 
 
 @query(
-    f"{_PARSED} SELECT receipt_id, concat_ws(',', CASE WHEN len(cur) > 1 THEN 'MULTIPLE_DISTINCT_AMOUNTS' END, CASE WHEN provider_warning = 'PROVIDER_ANCHORS_CONFLICT' THEN 'PROVIDER_BODY_CONFLICT' END, CASE WHEN status = 'unknown' THEN 'STATUS_UNKNOWN' END, CASE WHEN provider = 'UNKNOWN' THEN 'TEMPLATE_UNKNOWN' END, CASE WHEN \"timestamp\" > '1998-01-01 00:05:00' THEN 'TIMESTAMP_IN_FUTURE' END) AS reasons FROM p",
+    f"{_PARSED} SELECT receipt_id, concat_ws(',', CASE WHEN len(cur) > 1 THEN 'MULTIPLE_DISTINCT_AMOUNTS' END, CASE WHEN starts_with(provider_warning, 'PROVIDER_ANCHORS_CONFLICT') THEN 'PROVIDER_BODY_CONFLICT' END, CASE WHEN status = 'unknown' THEN 'STATUS_UNKNOWN' END, CASE WHEN provider = 'UNKNOWN' THEN 'TEMPLATE_UNKNOWN' END, CASE WHEN \"timestamp\" > '1998-01-01 00:05:00' THEN 'TIMESTAMP_IN_FUTURE' END) AS reasons FROM p",
     "receipts",
 )
 def x7_semantic_reasons(receipts):
@@ -201,7 +203,7 @@ def x10_candidate_score(tokens):
 
 
 @query(
-    "+ r AS (SELECT conv_id AS doc, 'f' || turn AS field, substr(min(text), 1, 20) AS raw, turn % 2 = 0 AS valid FROM conversations GROUP BY conv_id, turn), q AS (SELECT DISTINCT doc, field, regexp_replace(upper(replace(unnest(string_split(raw, ' ')), 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS piece FROM r), m AS (SELECT q.doc, field, avg(confidence) / 100 AS m FROM q JOIN tokens t ON q.doc = t.doc AND regexp_replace(upper(replace(t.text, 'ß', 'ss')), '[^A-Z0-9]', '', 'g') = piece WHERE piece <> '' GROUP BY ALL) SELECT r.doc, r.field, round(least(1.0, coalesce(m, 0.45) + CASE WHEN valid THEN 0.1 ELSE 0 END), 4) AS confidence FROM r LEFT JOIN m ON r.doc = m.doc AND r.field = m.field",
+    "+ r AS (SELECT conv_id AS doc, 'f' || turn AS field, min(text) AS raw, turn % 2 = 0 AS valid FROM conversations GROUP BY conv_id, turn), q AS (SELECT DISTINCT doc, field, regexp_replace(upper(replace(unnest(string_split(raw, ' ')), 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS piece FROM r), m AS (SELECT q.doc, field, avg(confidence) / 100 AS m FROM q JOIN tokens t ON q.doc = t.doc AND regexp_replace(upper(replace(t.text, 'ß', 'ss')), '[^A-Z0-9]', '', 'g') = piece WHERE piece <> '' GROUP BY ALL) SELECT r.doc, r.field, round(least(1.0, coalesce(m, 0.45) + CASE WHEN valid THEN 0.1 ELSE 0 END), 4) AS confidence FROM r LEFT JOIN m ON r.doc = m.doc AND r.field = m.field",
     "tokens",
     "conversations",
 )

@@ -65,10 +65,41 @@ def test_overlaps_equal_brute_force(spark):
 
 
 def test_numbered_placeholders(spark):
-    d = spark.createDataFrame([(1, "Pay GHS 5 to a@b.com, again A@B.COM, call 0241234567"), (2, None), (3, "")], "id int, text string")
-    a, b, c = corpora.numbered_placeholders(d).orderBy("id").collect()
-    assert a["clean"] == "Pay [AMOUNT_001] to [EMAIL_001], again [EMAIL_001], call [PHONE_001]"
-    assert len(a["fields"]) == 3 and b["clean"] is None and c["clean"] == "" and b["fields"] == []
+    texts = [
+        "Pay GHS 5 to a@b.com, again A@B.COM, call 0241234567",
+        None,
+        "",
+        "Hello, AMA MENSAH, payment received for GH₵ 20.00 from KOFI ANNAN Current Balance: 7 GHS. Transaction ID: 123456789. Fee charged: 0",
+        "Kwame, you paid Yaw Boateng 024 123 4567 on 2024-01-02 at 10:20:30 via 10.0.0.1. Ref AB-12345678",
+        "Congratulations, ama has sent you 5 GHS; reference: rent of May. Financial Transaction Id: 99.",
+    ]
+    rows = corpora.numbered_placeholders(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).orderBy("id").collect()
+    assert [r["clean"] for r in rows] == [
+        "Pay [AMOUNT_001] to [EMAIL_001], again [EMAIL_001], call [PHONE_001]",
+        None,
+        "",
+        "Hello, [ENTITY_001], payment received for [AMOUNT_001] from [ENTITY_002] Current Balance: [AMOUNT_002]. Transaction ID: [REFERENCE_001]. Fee charged: 0",
+        "[ENTITY_001], you paid [ENTITY_002] [PHONE_001] on [REFERENCE_001] at [TIMESTAMP_001] via [REFERENCE_003]. Ref [REFERENCE_002]",
+        rows[5]["clean"],
+    ]
+    assert len(rows[0]["fields"]) == 3 and rows[1]["fields"] == [] and "rent of May" not in rows[5]["clean"] and "99" not in rows[5]["clean"] and rows[5]["clean"].startswith("Congratulations,")
+
+
+def test_receipt_patterns_of_the_reference(spark):
+    texts = [
+        "Amount: GH₵ 20.00\nRecipient:\nAMA\nRef:\tAB12345",
+        "You sent GHC 5 to Kofi on Monday\nDate: 2024-01-02T10:20Z\nMTN",
+        "GHS 5.000 then ₵7 received",
+        "paid GH¢ 1, total GHS 2.00",
+        "Telecel Cash and MTN\nwallet 024 123 4567",
+    ]
+    d = extraction.parse_receipts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    r = {x["id"]: x for x in d.collect()}
+    assert (r[0]["amount"], r[0]["recipient"], r[0]["reference"]) == ("20.00", "AMA", "AB12345")
+    assert (r[1]["amount"], r[1]["recipient"], r[1]["timestamp"], r[1]["provider"]) == ("5.00", "KOFI", "2024-01-02 10:20:00", "MTN_MOMO")
+    assert (r[2]["amount"], r[2]["amount_confidence"]) == ("7.00", 0.92)
+    assert r[3]["amount"] is None and r[3]["amount_warning"] == "AMOUNT_AMBIGUOUS"
+    assert (r[4]["provider"], r[4]["provider_warning"], r[4]["wallet"]) == ("UNKNOWN", "PROVIDER_ANCHORS_CONFLICT,TEMPLATE_UNKNOWN", "+233241234567")
 
 
 def test_mask_known_fields(spark):
