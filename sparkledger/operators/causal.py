@@ -90,8 +90,19 @@ def graph_degree(tx: DataFrame, k: int = 24) -> DataFrame:
     return _at_steps(tx, turns, "graph_degree").select("row_no", "graph_degree")
 
 
-def causal_features(tx: DataFrame) -> DataFrame:
-    """All of the above."""
-    d = sequence_pattern(time_since_previous(recipients(prior_summary(velocity(tx)))))
-    d = d.withColumns({"prior_missing": F.col("prior_mean").isNull().cast("int"), "previous_missing": F.col("steps_since_previous").isNull().cast("int")})
-    return d.join(graph_degree(tx), "row_no")
+def _edges(tx: DataFrame) -> DataFrame:
+    return tx.select(F.col("initiator_id").alias("actor"), F.col("recipient_id").alias("other"), "step")
+
+
+def causal_features(tx: DataFrame, k: int = 24) -> DataFrame:
+    """All of the above; what is alike for the rows of an actor and step is joined to them at once."""
+    both = _edges(tx).unionByName(_edges(tx).select(F.col("other").alias("actor"), F.col("actor").alias("other"), "step"))
+    sums = {"__n": F.count("*"), "__sum": F.sum("amount"), "__last": F.max_by("transaction_type", "row_no")}
+    out = {"steps_since_previous": F.col("step") - F.max("step").over(prior(k)), "__from": F.coalesce(F.max_by("__last", "step").over(prior(k)), F.lit("START"))}
+    for h in (1, 6, 24):
+        out[f"prior_{h}h_count"] = F.coalesce(F.sum("__n").over(prior(h)), F.lit(0))
+        out[f"prior_{h}h_amount"] = F.coalesce(F.sum("__sum").over(prior(h)), F.lit(0.0))
+    d = recipients(prior_summary(_by_step(tx, sums, out), k), k)
+    d = _at_steps(d, counterparties(both.where("actor IS NOT NULL AND other IS NOT NULL"), k), "graph_degree")
+    d = d.withColumn("sequence_pattern", F.concat(F.col("__from"), F.lit("->"), F.col("transaction_type"))).drop("__from")
+    return d.withColumns({"prior_missing": F.col("prior_mean").isNull().cast("int"), "previous_missing": F.col("steps_since_previous").isNull().cast("int")})

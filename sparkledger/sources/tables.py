@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,12 +17,17 @@ def text_schema(columns: list[str]) -> T.StructType:
 def read_transactions(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     """Text columns of one registered CSV dialect; the header must have exactly these columns in this order.
 
-    Rows carry their file and a number that grows within it; source order is (file, block, number)."""
+    Rows carry their file and row_no, their number in it from 1. Numbers inside a block come from the order of the scan, and
+    blocks are counted first, so no task reads a whole file."""
     found = spark.read.option("header", True).csv(path).columns
     if found != header:
         raise ValueError(f"the header is {found}, not {header}")
     d = spark.read.schema(text_schema(header)).option("header", True).option("enforceSchema", False).csv(path)
-    return d.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"))
+    d = d.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"))
+    blocks = d.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("number").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", "first", before.alias("before"))
+    return d.join(starts, ["file", "block"]).select(*header, "file", (F.col("before") + F.col("number") - F.col("first") + 1).alias("row_no"))
 
 
 def read_reference_csv(spark: SparkSession, path: str, required: list[str], allowed: list[str]) -> DataFrame:
@@ -55,10 +61,15 @@ def read_withdrawal_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_feature_dataset(df: DataFrame, root: str, features: list[str], label: str, provenance: list[str], key: str = "source_row_id", shard_rows: int = 100_000) -> None:
-    """Features, labels and provenance as three datasets, by partition; the key in each aligns them, not file order."""
-    for name, columns in (("features", features), ("labels", [label]), ("provenance", provenance)):
+    """Features, labels and provenance as three datasets, by partition; the key in each aligns them, not file order.
+
+    The plan of df runs once; its rows are held on the executors' disks for the three writes."""
+    parts = (("features", features), ("labels", [label]), ("provenance", provenance))
+    df = df.select("partition", *dict.fromkeys([key, *(c for _, columns in parts for c in columns)])).persist(StorageLevel.DISK_ONLY)
+    for name, columns in parts:
         out = df.select("partition", key, *(c for c in columns if c != key))
         out.write.mode("errorifexists").option("maxRecordsPerFile", shard_rows).partitionBy("partition").parquet(f"{root}/{name}")
+    df.unpersist()
 
 
 def load_partition(spark: SparkSession, root: str, name: str, columns: list[str] | None = None) -> DataFrame:

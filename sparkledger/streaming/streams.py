@@ -5,6 +5,7 @@ A transaction stream has event_time (a timestamp of its step's hour), step, row_
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,45 +17,72 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..operators import references
 
 HOURS = 24
-_OUT = "row_no long, initiator_id string, step int, prior_count long, prior_amount double, unique_recipients int, previous_step int"
-_STATE = "steps array<int>, amounts array<double>, recipients array<string>, rows array<long>, done int"
+_OUT = (
+    "row_no long, initiator_id string, step int, prior_1h_count long, prior_1h_amount double, prior_6h_count long, prior_6h_amount double, prior_24h_count long, prior_24h_amount double,"
+    " prior_mean double, prior_median double, amount_to_median double, steps_since_previous int, unique_recipients int, is_new_recipient int, sequence_pattern string, graph_degree int"
+)
+_STATE = "steps array<int>, rows array<long>, own array<boolean>, amounts array<double>, others array<string>, types array<string>, done int"
+_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+
+
+def _step_features(step: int, ready: list[tuple], prior: list[tuple]) -> Iterator[tuple]:
+    """The features of the own rows of a step, from the rows of the HOURS steps before it in order. What does not depend on
+    the row is worked out once."""
+    own = [x for x in prior if x[2]]
+    amounts = [x[3] for x in own]
+    last = [(len(w), float(sum(x[3] for x in w))) for k in (1, 6, 24) for w in [[x for x in own if x[0] >= step - k]]]
+    mean, median = (sum(amounts) / len(amounts), statistics.median(amounts)) if own else (None, None)
+    seen, degree = {x[4] for x in own}, len({x[4] for x in prior})
+    since, before = (step - own[-1][0], own[-1][5]) if own else (None, "START")
+    for _, row, _, amount, other, kind in ready:
+        ratio = amount / median if median else None
+        yield (row, step, *(v for w in last for v in w), mean, median, ratio, since, len(seen), int(other not in seen), f"{before}->{kind}", degree)
 
 
 def _features(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rows wait until the watermark passes their step; then the step is answered from the 24 steps before it, so rows
     of one step never see each other. State holds the last 24 steps and those that wait."""
-    held = list(zip(*state.get[:4], strict=True)) if state.exists else []
-    done = state.get[4] if state.exists else -1
+    held = list(zip(*state.get[:6], strict=True)) if state.exists else []
+    done = state.get[6] if state.exists else -1
     for f in frames:
-        held += list(f[["step", "amount", "recipient_id", "row_no"]].itertuples(index=False, name=None))
-    held = sorted((int(s), float(a), r, int(n)) for s, a, r, n in held)
-    passed = state.getCurrentWatermarkMs() // 3_600_000 - _epoch_hours(key)
-    ready = [x for x in held if done < x[0] < passed]
-    out = []
-    for s, _, _, n in ready:
-        prior = [x for x in held if s - HOURS <= x[0] < s]
-        out.append((n, key[0], s, len(prior), sum(x[1] for x in prior), len({x[2] for x in prior}), max((x[0] for x in prior), default=None)))
-    done = max([done, *(x[0] for x in ready)])
+        held += list(f[["step", "row_no", "own", "amount", "other", "transaction_type"]].itertuples(index=False, name=None))
+    held = sorted(((int(s), int(n), bool(o), float(a), x, t) for s, n, o, a, x, t in held), key=lambda x: x[:3])
+    epoch = int(key[1])
+    passed = state.getCurrentWatermarkMs() // 3_600_000 - epoch
+    out, begin, at = [], 0, 0
+    while at < len(held) and held[at][0] < passed:  # one pass over the steps; begin is the first row of the window before
+        step, end = held[at][0], at
+        while end < len(held) and held[end][0] == step:
+            end += 1
+        while held[begin][0] < step - HOURS:
+            begin += 1
+        if step > done:
+            ready = [x for x in held[at:end] if x[2]]
+            if ready:
+                out += _step_features(step, ready, held[begin:at])
+            done = step
+        at = end
     held = [x for x in held if x[0] > done - HOURS]
+    state.update((*([x[k] for x in held] for k in range(6)), done))
     waiting = [x[0] for x in held if x[0] > done]
-    state.update(([x[0] for x in held], [x[1] for x in held], [x[2] for x in held], [x[3] for x in held], done))
     if waiting:
-        at = (min(waiting) + 1 + _epoch_hours(key)) * 3_600_000
-        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((waiting[0] + 1 + epoch) * 3_600_000, state.getCurrentWatermarkMs() + 1))
     if out:
-        frame = pd.DataFrame(out, columns=["row_no", "initiator_id", "step", "prior_count", "prior_amount", "unique_recipients", "previous_step"])
-        frame["previous_step"] = frame["previous_step"].astype("Int32")
+        frame = pd.DataFrame([(x[0], key[0], *x[1:]) for x in out], columns=_NAMES)
+        for c in ("steps_since_previous", "prior_mean", "prior_median", "amount_to_median"):
+            frame[c] = frame[c].astype("Int32" if c == "steps_since_previous" else "Float64")
         yield frame
 
 
-def _epoch_hours(key: tuple) -> int:
-    return int(key[1])
-
-
 def stream_causal_features(tx: DataFrame, epoch_hours: int, delay: str = "0 seconds") -> DataFrame:
-    """tx with event_time; epoch_hours is the hour of step 0 since 1970. Equals the batch windows on the same rows."""
-    d = tx.withWatermark("event_time", delay).withColumn("epoch", F.lit(epoch_hours))
-    return d.groupBy("initiator_id", "epoch").applyInPandasWithState(_features, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """tx with event_time; epoch_hours is the hour of step 0 since 1970. Equals the batch windows on the same rows.
+
+    Each transaction goes to its initiator, who gets the features, and to its recipient, for whom it is a link only."""
+    side = lambda actor, other, own: F.struct(F.col(actor).alias("actor"), F.col(other).alias("other"), F.lit(own).alias("own"))
+    both = F.explode(F.array(side("initiator_id", "recipient_id", True), side("recipient_id", "initiator_id", False)))
+    d = tx.withWatermark("event_time", delay).withColumn("side", both).select("event_time", "step", "row_no", "amount", "transaction_type", "side.*")
+    d = d.withColumn("epoch", F.lit(epoch_hours))
+    return d.groupBy("actor", "epoch").applyInPandasWithState(_features, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_dedup(tx: DataFrame, key: list[str], ttl: str = "24 hours") -> DataFrame:
@@ -73,9 +101,27 @@ def stream_velocity(tx: DataFrame, delay: str = "1 hour") -> DataFrame:
     return w.agg(F.count("*").alias("n_rows"), F.sum("amount").alias("amount")).select("initiator_id", F.col("w.start").alias("start"), "n_rows", "amount")
 
 
-def split_late(batch: DataFrame, newest_step: int) -> tuple[DataFrame, DataFrame]:
+def split_late(batch: DataFrame, newest_step: int | None) -> tuple[DataFrame, DataFrame]:
     """(in time, late) rows of a micro-batch; rows of steps before newest_step are late."""
-    return batch.where(F.col("step") >= newest_step), batch.where(F.col("step") < newest_step)
+    late = F.lit(False) if newest_step is None else F.col("step") < newest_step
+    return batch.where(~late), batch.where(late)
+
+
+def stream_late_aside(tx: DataFrame, path: str, late_path: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows of each micro-batch that are in time to path and the late ones to late_path, before any stateful step,
+    which then streams from path. A row is late if an earlier batch had a later step.
+
+    A batch is written under its own number and overwrites it, so that a batch run again after a failure counts once."""
+
+    def act(batch: DataFrame, number: int) -> None:
+        spark, newest = batch.sparkSession, None
+        if number:
+            earlier = spark.read.schema(f"{batch.select('step').schema.simpleString()[7:-1].replace(':', ' ')}, batch long").parquet(path)
+            newest = earlier.where(F.col("batch") < number).agg(F.max("step")).first()[0]
+        for rows, to in zip(split_late(batch, newest), (path, late_path), strict=True):
+            rows.write.mode("overwrite").parquet(f"{to}/batch={number}")
+
+    return each_batch(tx, act, checkpoint)
 
 
 def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -50,7 +50,14 @@ def test_near_duplicates_by_bits(spark):
 
 def test_sources(spark, tx, tmp_path):
     (tmp_path / "a.csv").write_text("step,type\n1,PAY\n2,SEND\n")
-    assert tables.read_transactions(spark, str(tmp_path / "a.csv"), ["step", "type"]).count() == 2
+    assert [tuple(r) for r in tables.read_transactions(spark, str(tmp_path / "a.csv"), ["step", "type"]).select("step", "type", "row_no").orderBy("row_no").collect()] == [("1", "PAY", 1), ("2", "SEND", 2)]
+    (tmp_path / "big").mkdir()
+    for name in ("x", "y"):
+        (tmp_path / f"big/{name}.csv").write_text("step,type\n" + "".join(f"{k},T{k:09d}\n" for k in range(1, 4001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    numbered = tables.read_transactions(spark, str(tmp_path / "big"), ["step", "type"])
+    assert numbered.rdd.getNumPartitions() > 4 and numbered.where("CAST(step AS INT) <> row_no").count() == 0 and numbered.count() == 8000
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     with pytest.raises(ValueError):
         tables.read_transactions(spark, str(tmp_path / "a.csv"), ["type", "step"])
     (tmp_path / "r.csv").write_text("provider_code,amount\nA,1\nB,2,3\n")
@@ -83,9 +90,62 @@ def test_stream_equals_batch(spark, tx, tmp_path):
     q.processAllAvailable()
     q.processAllAvailable()
     q.stop()
-    got = {r["row_no"]: (r["prior_count"], r["prior_amount"], r["unique_recipients"]) for r in spark.table("causal").collect()}
-    want = {r["row_no"]: (r["prior_24h_count"], r["prior_24h_amount"], r["unique_recipients"]) for r in causal.causal_features(tx).collect()}
-    assert got == want
+    names = [c for c in streams._NAMES if c != "initiator_id"]
+    want = {r["row_no"]: tuple(r[c] for c in names) for r in causal.causal_features(tx).collect()}
+    assert {r["row_no"]: tuple(r[c] for c in names) for r in spark.table("causal").collect()} == want
+
+
+def test_stream_with_a_hot_actor_equals_batch(spark, tmp_path):
+    import random
+
+    random.seed(4)
+    rows = [(k, random.randrange(1, 60), random.choice(["PAY", "SEND"]), float(random.randrange(50)), random.choice(["C1", "C1", "C2"]), random.choice(["M1", "C1", "M2", "M3"]), 0) for k in range(400)]
+    tx = spark.createDataFrame(sorted(rows, key=lambda r: r[1]), TX).withColumn("event_time", F.timestamp_seconds(F.col("step") * 3600))
+    end = spark.createDataFrame([(999, 500, "PAY", 0.0, "C9", "M9", 0)], TX).withColumn("event_time", F.timestamp_seconds(F.col("step") * 3600))
+    for part in (tx.where("step < 20"), tx.where("step >= 20"), end):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streams.stream_causal_features(stream, 0).writeStream.format("memory").queryName("hot").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.processAllAvailable()
+    q.stop()
+    names = [c for c in streams._NAMES if c != "initiator_id"]
+    show = lambda v: round(v, 9) if isinstance(v, float) else v
+    got = {r["row_no"]: tuple(show(r[c]) for c in names) for r in spark.table("hot").collect()}
+    want = {r["row_no"]: tuple(show(r[c]) for c in names) for r in causal.causal_features(tx).collect()}
+    assert got.keys() == want.keys()
+    assert [(k, n, a, b) for k in got for n, a, b in zip(names, got[k], want[k], strict=True) if a != b] == []
+
+
+def test_streamed_statistics_deduplication_and_late_rows(spark, tx, tmp_path):
+    rows = tx.withColumn("event_time", F.timestamp_seconds(F.col("step") * 3600))
+    end = rows.where("row_no = 1").withColumns({"step": F.lit(900), "event_time": F.timestamp_seconds(F.lit(900 * 3600)), "row_no": F.lit(99).cast("long")})
+    for k, part in enumerate((rows.where("step < 20"), rows.where("step >= 20 OR step = 2"), end)):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/k=*"))
+
+    def run(df, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.table(name).collect()
+
+    once = run(streams.stream_dedup(stream(), ["row_no"], "2000 hours"), "once")
+    assert sorted(r["row_no"] for r in once) == [1, 2, 3, 4, 5, 6, 99]
+    stats = {r["start"].timestamp() // 3600: (r["n_rows"], r["positives"]) for r in run(streams.stream_step_stats(stream(), "30 hours"), "stats")}
+    assert stats == {1: (1, 0), 2: (2, 0), 3: (1, 0), 8: (1, 1), 26: (2, 0)}
+    fast = {(r["initiator_id"], r["start"].timestamp() // 3600): (r["n_rows"], r["amount"]) for r in run(streams.stream_velocity(stream(), "30 hours"), "fast")}
+    assert fast["C1", 3] == (3, 95.0) and fast["C1", -22] == (1, 10.0) and fast["C2", 3] == (1, 1.0)
+    streams.stream_late_aside(stream(), str(tmp_path / "ok"), str(tmp_path / "late"), str(tmp_path / "lc")).awaitTermination()
+    ok, late = ([r["row_no"] for r in spark.read.schema(rows.schema).parquet(str(tmp_path / x)).collect()] for x in ("ok", "late"))
+    assert late == [2] and sorted(ok) == [1, 2, 3, 4, 5, 6, 99]
+
+
+def test_publish_writes_once(spark, tx, tmp_path):
+    tables.publish(tx, str(tmp_path / "p"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        tables.publish(tx, str(tmp_path / "p"))
+    assert (tmp_path / "p/_SUCCESS").exists() and spark.read.parquet(str(tmp_path / "p")).count() == tx.count()
 
 
 @pytest.fixture(scope="module")
