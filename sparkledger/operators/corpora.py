@@ -115,9 +115,11 @@ def index_messages(df: DataFrame, source_hash: str, row_no: str, text: str = "te
     return d.withColumns({"message_id": mid, "sender_kind": sender_kind(F.coalesce(sender, F.lit("")))})
 
 
-def authenticity_boundary(df: DataFrame, senders: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(authentic, quarantined): a listed sender and an incoming message; a null counts as neither."""
-    ok = F.coalesce(F.col("sender").isin(senders) & F.col("incoming"), F.lit(False))
+def authenticity_boundary(df: DataFrame, senders: list[str], service: str, provenance: str) -> tuple[DataFrame, DataFrame]:
+    """(authentic, quarantined): a listed sender (in any case), an incoming message of the service and of the provenance; a null
+    counts as none of these."""
+    listed = F.lower(F.trim("sender")).isin([s.strip().lower() for s in senders])
+    ok = F.coalesce(listed & F.col("incoming") & (F.col("service") == service) & (F.col("source_provenance") == provenance), F.lit(False))
     return df.where(ok), df.where(~ok)
 
 
@@ -152,6 +154,12 @@ def state_report(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(s.startswith("needs_")).alias("pending"), F.count_if(s == "exact_duplicate").alias("exact"), F.count_if(s == "near_duplicate").alias("near"), F.count_if(s == "withdrawn").alias("withdrawn"))
 
 
+def annotation_report(df: DataFrame) -> DataFrame:
+    """(annotation_state, label, n): records by state of annotation, approved ones by label too."""
+    label = F.when(F.col("annotation_state") == "approved", F.col("label"))
+    return df.groupBy("annotation_state", label.alias("label")).agg(F.count("*").alias("n"))
+
+
 def corpus_report(df: DataFrame, secret: Column, category: Column, group: Column) -> DataFrame:
     """One row: raw messages, excluded ones, different texts, template groups, providers, confirmations among the rest."""
     d = df.select("text", "provider_family", secret.alias("x"), category.alias("c"), group.alias("g"))

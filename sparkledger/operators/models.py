@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluation import binary_metrics, recall_under_fpr, threshold_curve
@@ -34,29 +35,73 @@ def weighted(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(n), "label")
 
 
-def fit(train: DataFrame, features: list[str], candidate: str, seed: int = 42, trees: int = 20, depth: int = 6) -> PipelineModel:
-    """The fitted candidate; train's features are numeric and without nulls."""
-    steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features"), _estimators(seed, trees, depth)[candidate]]
-    return Pipeline(stages=steps).fit(weighted(train))
+def _encoded(features: list[str], categorical: list[str]) -> list:
+    """Steps to one vector: numbers as they are, texts one-hot; a text that training has not seen has a place of its own."""
+    steps = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categorical]
+    steps += [OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__v", dropLast=False) for c in categorical]
+    return [*steps, VectorAssembler(inputCols=[*features, *(f"{c}__v" for c in categorical)], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features")]
+
+
+def fit(train: DataFrame, features: list[str], candidate: str, seed: int = 42, trees: int = 20, depth: int = 6, categorical: list[str] | None = None) -> PipelineModel:
+    """The fitted candidate; train's features are numeric and without nulls, categorical ones are texts."""
+    return Pipeline(stages=[*_encoded(features, categorical or []), _estimators(seed, trees, depth)[candidate]]).fit(weighted(train))
+
+
+def fit_three_class(train: DataFrame, features: list[str], categorical: list[str], seed: int = 42, trees: int = 20, depth: int = 6) -> PipelineModel:
+    """A forest over the three classes of label (texts), each class of the same weight; numbers without a value get the median,
+    texts the most frequent one."""
+    classes = StringIndexer(inputCol="label", outputCol="class", stringOrderType="alphabetAsc", handleInvalid="error")
+    filled = Imputer(inputCols=features, outputCols=features, strategy="median")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="class", weightCol="weight", featureSubsetStrategy="sqrt")
+    most = {}
+    for c in categorical:
+        row = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), c))[c]).first()
+        most[c] = row[0] or ""
+    n = train.groupBy("label").agg(F.count("*").alias("k"))
+    n = n.crossJoin(F.broadcast(n.agg(F.sum("k").alias("n"), F.count("*").alias("c")))).select("label", (F.col("n") / (F.col("c") * F.col("k"))).alias("weight"))
+    return Pipeline(stages=[filled, *_encoded(features, categorical), classes, forest]).fit(train.na.fill(most).join(F.broadcast(n), "label"))
+
+
+def three_class_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """df with p_<class> of each class."""
+    names = model.stages[-2].labels
+    d = model.transform(df).withColumn("__p", vector_to_array("probability"))
+    return d.select(*df.columns, *(F.round(F.col("__p")[k], 6).alias(f"p_{c.lower()}") for k, c in enumerate(names)))
+
+
+def rank_candidates(results: DataFrame) -> DataFrame:
+    """The candidates but the dummy by their best run: average precision, then recall under the cap, then lower Brier score,
+    then name; rank 1 is the one to keep. A row for each candidate, so that one task orders them."""
+    best = F.max(F.struct("average_precision", "recall", (-F.col("brier")).alias("brier"), "seed")).alias("b")
+    g = results.where("candidate <> 'dummy'").groupBy("candidate").agg(best)
+    order = Window.orderBy(F.desc("b.average_precision"), F.desc("b.recall"), F.desc("b.brier"), "candidate")
+    return g.select(F.row_number().over(order).alias("rank"), "candidate", "b.seed", "b.average_precision", "b.recall", (-F.col("b.brier")).alias("brier"))
 
 
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df with score, the probability of label 1; rounded, so that the curve is over a bounded set of scores."""
-    return model.transform(df).withColumn("score", F.round(vector_to_array("probability")[1], 6)).drop("raw", "features", "rawPrediction", "probability", "prediction")
+    return model.transform(df).select(*df.columns, F.round(vector_to_array("probability")[1], 6).alias("score"))
+
+
+def _even(c: str) -> Column:
+    """Buckets of equal width: fitted scores are probabilities, and rounded, so none of them is large."""
+    return F.floor(F.col(c) * 256).cast("int")
 
 
 def _evaluated(s: DataFrame, candidate: str, seed: int) -> DataFrame:
-    m = binary_metrics(s).crossJoin(recall_under_fpr(threshold_curve(s), FPR_CAP))
+    m = binary_metrics(s, _even).crossJoin(recall_under_fpr(threshold_curve(s, bucket=_even), FPR_CAP))
     return m.select(F.lit(candidate).alias("candidate"), F.lit(seed).alias("seed"), *m.columns)
 
 
-def fit_candidates(train: DataFrame, tune: DataFrame, features: list[str], seeds: list[int] = SEEDS, trees: int = 20, depth: int = 6) -> DataFrame:
+def fit_candidates(train: DataFrame, tune: DataFrame, features: list[str], seeds: list[int] = SEEDS, trees: int = 20, depth: int = 6, categorical: list[str] | None = None) -> DataFrame:
     """(candidate, seed, metrics on tune) of the dummy, logistic, boosted and forest candidates; logistic has no seed of its own."""
     base = train.agg(F.round(F.avg("label"), 6).alias("score"))
     out = _evaluated(tune.crossJoin(F.broadcast(base)), "dummy", seeds[0])
+    train = train.persist(StorageLevel.DISK_ONLY)  # for the fits, which run here
     for name in ("logistic", "boosted", "forest"):
         for seed in seeds[:1] if name == "logistic" else seeds:
-            out = out.unionByName(_evaluated(scored(fit(train, features, name, seed, trees, depth), tune), name, seed))
+            out = out.unionByName(_evaluated(scored(fit(train, features, name, seed, trees, depth, categorical), tune), name, seed))
+    train.unpersist()
     return out
 
 
@@ -72,7 +117,7 @@ def calibrate(first: DataFrame, second: DataFrame) -> DataFrame:
     for name, e in fitted.items():
         d = e.fit(a).transform(b)
         p = F.col("p") if name == "isotonic" else vector_to_array("probability")[1]
-        m = binary_metrics(d.select("label", p.alias("score"))).select(F.lit(name).alias("method"), "brier", "average_precision")
+        m = binary_metrics(d.select("label", p.alias("score")), _even).select(F.lit(name).alias("method"), "brier", "average_precision")
         out = m if out is None else out.unionByName(m)
     best = out.agg(F.min(F.struct("brier", (-F.col("average_precision")).alias("ap"), "method")).alias("b")).select(F.col("b.method").alias("best"))
     return out.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("method") == F.col("best")).drop("best")
@@ -84,7 +129,7 @@ def cross_source(models: dict[str, PipelineModel], tunes: dict[str, DataFrame])
     for a, model in models.items():
         for b, tune in tunes.items():
             if a != b:
-                m = binary_metrics(scored(model, tune))
+                m = binary_metrics(scored(model, tune), _even)
                 m = m.select(F.lit(a).alias("trained_on"), F.lit(b).alias("scored_on"), *m.columns)
                 out = m if out is None else out.unionByName(m)
     return out

@@ -80,15 +80,23 @@ def triggered_reasons(signals: DataFrame, key: str) -> DataFrame:
 
 
 def registry_blockers(registry: DataFrame, specs: DataFrame) -> DataFrame:
-    """(dataset_id, blockers, eligible): what keeps each registered dataset from use; a dataset without a specification is blocked."""
-    d = registry.join(specs.select("dataset_id", F.col("status").alias("spec_status")), "dataset_id", "left")
-    bad = codes(
-        ACQUISITION_QUARANTINED=F.col("acquisition_status") == "quarantined", LICENCE_NOT_VERIFIED=~F.coalesce(F.col("licence_status").isin("verified", "not_applicable_private_consent"), F.lit(False)),
-        PERMISSION_NOT_APPROVED=~F.coalesce(F.col("permission_status") == "approved", F.lit(False)), SPEC_NOT_READY=~F.coalesce(F.col("spec_status") == "ready", F.lit(False)),
-    )
+    """(dataset_id, blockers, eligible): what keeps each registered dataset from use, as what:state, sorted. A dataset without a
+    specification is blocked."""
+    d = registry.join(specs.select("dataset_id", F.col("status").alias("validation_spec_status")), "dataset_id", "left")
+    said = lambda c: F.concat(F.lit(f"{c}:"), F.coalesce(c, F.lit("missing")))
+    fine = {
+        "acquisition_status": ~F.coalesce(F.col("acquisition_status") == "quarantined", F.lit(False)), "licence_status": F.col("licence_status").isin("verified", "not_applicable_private_consent"),
+        "permission_status": F.col("permission_status") == "approved", "validation_spec_status": F.col("validation_spec_status") == "ready",
+    }
+    bad = F.array_sort(F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), said(c)) for c, ok in fine.items()))))
     return d.select("dataset_id", F.array_join(bad, ",").alias("blockers"), (F.size(bad) == 0).alias("eligible"))
 
 
+def registry_counts(blockers: DataFrame) -> DataFrame:
+    """One row: registered datasets, eligible and blocked ones."""
+    return blockers.agg(F.count("*").alias("sources"), F.count_if("eligible").alias("eligible"), F.count_if(~F.col("eligible")).alias("blocked"))
+
+
 def manifest_rules(df: DataFrame, private: Column) -> DataFrame:
     """(sample_id, code), one row for each rule that a record breaks; private says that its notes hold an identifier."""
     c = F.col

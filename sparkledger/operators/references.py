@@ -140,16 +140,25 @@ def near_duplicates(hashes: DataFrame, d: int, bands: int | None = None) -> Data
     return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), dist.cast("int").alias("distance")).distinct()
 
 
-def import_errors(refs: DataFrame) -> DataFrame:
-    """(ref_id, field, code): one row for each field of a reference row that is missing or out of its domain."""
-    rules = {
-        "receiver_phone": F.when(F.col("receiver_phone").isNull(), "REQUIRED"),
-        "amount": F.when(F.col("amount").isNull() | (F.col("amount") <= 0), "INVALID_AMOUNT"),
-        "currency": F.when(~F.coalesce(F.col("currency") == "GHS", F.lit(False)), "UNKNOWN_CURRENCY"),
-        "transaction_status": F.when(F.col("transaction_status") == "REVERSED", "STATUS_NOT_ACCEPTED"),
-    }
-    found = F.filter(F.array(*(F.struct(F.lit(k).alias("field"), c.alias("code")) for k, c in rules.items())), lambda x: x["code"].isNotNull())
-    return refs.select("ref_id", F.explode(found).alias("e")).select("ref_id", "e.field", "e.code")
+def import_errors(raw: DataFrame, canonical: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, field, code, message): one row for each field of a reference row that is missing or not of its form, and for each
+    row that repeats an earlier one's provider, reference and source id. raw has the texts, canonical what became of them."""
+    required = {"provider_code": "INVALID_PROVIDER", "transaction_reference": "INVALID_REFERENCE", "amount": "INVALID_DECIMAL", "currency": "INVALID_CURRENCY"}
+    optional = {
+        "sender_phone": ("INVALID_GHANA_PHONE", "Use a Ghanaian phone format."), "receiver_phone": ("INVALID_GHANA_PHONE", "Use a Ghanaian phone format."),
+        "occurred_at": ("INVALID_TIMESTAMP", "Use an ISO or supported Ghana date/time format."),
+        "transaction_status": ("INVALID_TRANSACTION_STATUS", "Transaction status must contain 1 to 50 characters."),
+    }
+    given = {c: F.coalesce(F.col(f"raw_{c}"), F.lit("")) != "" for c in optional}
+    rules = [(c, F.col(c).isNull(), code, f"Invalid {c}.") for c, code in required.items()]
+    rules += [(c, given[c] & F.col(c).isNull(), *said) for c, said in optional.items()]
+    rules.append(("source_system_id", F.coalesce(F.length("source_system_id") > 150, F.lit(False)), "SOURCE_SYSTEM_ID_TOO_LONG", "Source-system identifiers must be 150 characters or fewer."))
+    d = canonical.join(raw.select(key, *(F.col(c).alias(f"raw_{c}") for c in optional)), key)
+    found = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(c).alias("field"), F.lit(code).alias("code"), F.lit(text).alias("message"))) for c, bad, code, text in rules)))
+    errors = d.select(key, F.explode(found).alias("e")).select(key, "e.field", "e.code", "e.message")
+    repeated = in_file_duplicates(canonical, ["provider_code", "transaction_reference", "source_system_id"], order)
+    said = F.lit("This provider/reference/source combination is repeated in the file.")
+    return errors.unionByName(repeated.select(key, F.lit("transaction_reference").alias("field"), F.lit("DUPLICATE_ROW").alias("code"), said.alias("message")))
 
 
 def import_batch_summary(refs: DataFrame, errors: DataFrame) -> DataFrame:

@@ -815,16 +815,3 @@ def e8_binary_grid(scored):
 )
 def e8_choose_threshold(scored):
     return evaluation.choose_binary_threshold(evaluation.binary_grid(scored))
-
-
-_ERRORS = "+ e AS (SELECT ref_id, 'receiver_phone' AS field, 'REQUIRED' AS code FROM refs WHERE receiver_phone IS NULL UNION ALL SELECT ref_id, 'amount', 'INVALID_AMOUNT' FROM refs WHERE amount IS NULL OR amount <= 0 UNION ALL SELECT ref_id, 'currency', 'UNKNOWN_CURRENCY' FROM refs WHERE currency IS DISTINCT FROM 'GHS' UNION ALL SELECT ref_id, 'transaction_status', 'STATUS_NOT_ACCEPTED' FROM refs WHERE transaction_status = 'REVERSED')"
-
-
-@query(f"{_ERRORS} SELECT * FROM e", "refs")
-def p8_import_errors(refs):
-    return references.import_errors(refs)
-
-
-@query(f"{_ERRORS}, n AS (SELECT (SELECT count(*) FROM refs) AS total, (SELECT count(DISTINCT ref_id) FROM e) AS invalid) SELECT total, invalid, total - invalid AS valid, CASE WHEN invalid = 0 THEN 'VALIDATED' ELSE 'VALIDATED_WITH_ERRORS' END AS status FROM n", "refs")
-def a22_import_batch_summary(refs):
-    return references.import_batch_summary(refs, references.import_errors(refs))

@@ -53,12 +53,13 @@ def m12_index_messages(msgs):
     return c.index_messages(msgs, "src", "record_id").select("message_id", "sender_kind", "n_url")
 
 
-_OK = "sender IN ('MobileMoney', '4455') AND incoming"
+_MARKED = ["*", "CASE WHEN record_id % 23 = 0 THEN 'MMS' WHEN record_id % 29 <> 0 THEN 'SMS' END AS service", "CASE WHEN record_id % 31 = 0 THEN 'other' ELSE 'owner_export' END AS source_provenance"]
+_OK = "lower(trim(sender)) IN ('mobilemoney', '4455') AND incoming AND service = 'SMS' AND source_provenance = 'owner_export'"
 
 
-@query(f"SELECT CASE WHEN {_OK} THEN 'authentic' ELSE 'quarantined' END AS side, count(*) AS n, CAST(sum(record_id) AS BIGINT) AS ids FROM msgs GROUP BY 1", "msgs")
+@query(f"SELECT CASE WHEN {_OK} THEN 'authentic' ELSE 'quarantined' END AS side, count(*) AS n, CAST(sum(record_id) AS BIGINT) AS ids FROM (SELECT {', '.join(_MARKED)} FROM msgs) GROUP BY 1", "msgs")
 def f4_authenticity_boundary(msgs):
-    good, bad = c.authenticity_boundary(msgs, ["MobileMoney", "4455"])
+    good, bad = c.authenticity_boundary(msgs.selectExpr(*_MARKED), ["MOBILEMONEY", "4455"], "SMS", "owner_export")
     both = good.withColumn("side", F.lit("authentic")).unionByName(bad.withColumn("side", F.lit("quarantined")))
     return both.groupBy("side").agg(F.count("*").alias("n"), F.sum("record_id").alias("ids"))
 
@@ -93,6 +94,14 @@ def j15_index_violations(msgs):
     return c.attach_index(m, i, "record_id")[1]
 
 
+_NOTED = "CASE sample_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'pending' WHEN 2 THEN 'approved' ELSE 'rejected' END AS annotation_state"
+
+
+@query(f"SELECT annotation_state, CASE WHEN annotation_state = 'approved' THEN label END AS label, count(*) AS n FROM (SELECT label, {_NOTED} FROM manifest) GROUP BY ALL", "manifest")
+def a15_annotation_report(manifest):
+    return c.annotation_report(manifest.selectExpr("label", _NOTED))
+
+
 _TRIAGE = SQL["j20_intake_triage"]
 
 

@@ -126,8 +126,11 @@ def j16_compare_to_truth(receipts):
     return x.compare_to_truth(x.long_fields(_parsed(receipts), "receipt_id"), _truth(receipts), "receipt_id")
 
 
+_ATTRIBUTED = "SELECT c.receipt_id, field, CASE WHEN matched THEN 'exact_selected' WHEN field = 'amount' THEN CASE WHEN len(lab) = 0 AND len(cur) = 0 THEN 'no_valid_currency_candidate' WHEN list_contains([v::VARCHAR for v in act], expected) THEN 'truth_in_active_pool_not_exact' WHEN len(lab) > 0 AND NOT list_contains([v::VARCHAR for v in lab], expected) AND list_contains([v::VARCHAR for v in cur], expected) THEN 'truth_in_suppressed_currency_pool' ELSE 'truth_absent_all_candidate_pools' END WHEN NOT available THEN CASE WHEN contains(upper(text), expected) THEN 'truth_present_parser_unavailable' ELSE 'truth_absent_parser_unavailable' END WHEN contains(observed, expected) THEN 'selected_contains_truth' WHEN contains(expected, observed) THEN 'truth_contains_selected' WHEN contains(upper(text), expected) THEN 'truth_present_not_selected' ELSE 'truth_absent_transcript' END AS reason FROM c JOIN p ON c.receipt_id = p.receipt_id"
+
+
 @query(
-    f"{_COMPARED} SELECT c.receipt_id, field, CASE WHEN matched THEN 'exact_selected' WHEN field = 'amount' THEN CASE WHEN len(lab) = 0 AND len(cur) = 0 THEN 'no_valid_currency_candidate' WHEN list_contains([v::VARCHAR for v in act], expected) THEN 'truth_in_active_pool_not_exact' WHEN len(lab) > 0 AND NOT list_contains([v::VARCHAR for v in lab], expected) AND list_contains([v::VARCHAR for v in cur], expected) THEN 'truth_in_suppressed_currency_pool' ELSE 'truth_absent_all_candidate_pools' END WHEN NOT available THEN CASE WHEN contains(upper(text), expected) THEN 'truth_present_parser_unavailable' ELSE 'truth_absent_parser_unavailable' END WHEN contains(observed, expected) THEN 'selected_contains_truth' WHEN contains(expected, observed) THEN 'truth_contains_selected' WHEN contains(upper(text), expected) THEN 'truth_present_not_selected' ELSE 'truth_absent_transcript' END AS reason FROM c JOIN p ON c.receipt_id = p.receipt_id",
+    f"{_COMPARED} {_ATTRIBUTED}",
     "receipts",
 )
 def x12_mismatch_attribution(receipts):
@@ -136,13 +139,16 @@ def x12_mismatch_attribution(receipts):
 
 
 @query(
-    f"{_COMPARED} SELECT 'outcome' AS kind, field AS name, CASE WHEN matched THEN 'exact' WHEN available THEN 'mismatch' ELSE 'unavailable' END AS code, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'warning', field, warning, count(*) FROM f WHERE warning IS NOT NULL GROUP BY ALL UNION ALL SELECT 'pool', 'amount', CASE WHEN len(act) >= 3 THEN '3_plus' ELSE len(act)::VARCHAR END, count(*) FROM p GROUP BY ALL",
+    f"{_COMPARED}, z AS ({_ATTRIBUTED}) SELECT 'outcome' AS kind, field AS name, CASE WHEN matched THEN 'exact' WHEN available THEN 'mismatch' ELSE 'unavailable' END AS code, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'warning', field, warning, count(*) FROM f WHERE warning IS NOT NULL GROUP BY ALL"
+    " UNION ALL SELECT 'warning', 'all', warning, count(*) FROM f WHERE warning IS NOT NULL GROUP BY ALL UNION ALL SELECT 'pool', 'amount', CASE WHEN len(act) >= 3 THEN '3_plus' ELSE len(act)::VARCHAR END, count(*) FROM p GROUP BY ALL"
+    " UNION ALL SELECT 'attribution', field, reason, count(*) FROM z GROUP BY ALL UNION ALL SELECT 'record', 'all', CASE WHEN " + " OR ".join(f'"{f}" IS NULL OR {f}_confidence < 0.65' for f in x.CRITICAL) + " THEN 'inconclusive' ELSE 'conclusive' END, count(*) FROM p GROUP BY ALL",
     "receipts",
 )
 def a19_extraction_diagnostics(receipts):
     p = _parsed(receipts)
     f = x.long_fields(p, "receipt_id")
-    return x.extraction_diagnostics(x.compare_to_truth(f, _truth(receipts), "receipt_id"), f, p)
+    c = x.compare_to_truth(f, _truth(receipts), "receipt_id")
+    return x.extraction_diagnostics(c, f, p, x.mismatch_attribution(c, p, "receipt_id"))
 
 
 _DIFF = f"{_LONG}, d AS (SELECT receipt_id, field, value AS old, CASE WHEN field = 'reference' AND receipt_id % 3 = 0 THEN 'FIXED' WHEN field = 'recipient' AND receipt_id % 5 = 0 THEN NULL ELSE value END AS new, confidence AS old_confidence FROM f)"
@@ -242,9 +248,28 @@ _VALUES = {
 }
 
 
+_FIELDS = f"{_RAW}, v AS (" + " UNION ALL ".join(f"SELECT receipt_id, '{f}' AS field, {f} AS raw, {v} AS value, {'currency IS NULL AND amount IS NOT NULL' if f == 'currency' else 'false'} AS i FROM r" for f, v in _VALUES.items()) + ")"
+
+
+@query(_FIELDS + " SELECT receipt_id, field, raw, value, value IS NOT NULL AS valid, CASE WHEN i THEN 'CURRENCY_INFERRED_GHS' WHEN raw IS NULL THEN 'FIELD_NOT_FOUND' WHEN value IS NULL THEN 'FIELD_FORMAT_INVALID' END AS warning FROM v", "receipts")
+def x14_receipt_fields(receipts):
+    return x.extract_receipt_fields(receipts, "receipt_id")
+
+
+_PIECE = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
+
+
 @query(
-    f"{_RAW}, v AS (" + " UNION ALL ".join(f"SELECT receipt_id, '{f}' AS field, {f} AS raw, {v} AS value, {'currency IS NULL AND amount IS NOT NULL' if f == 'currency' else 'false'} AS i FROM r" for f, v in _VALUES.items()) + ") SELECT receipt_id, field, raw, value, value IS NOT NULL AS valid, CASE WHEN i THEN 'CURRENCY_INFERRED_GHS' WHEN raw IS NULL THEN 'FIELD_NOT_FOUND' WHEN value IS NULL THEN 'FIELD_FORMAT_INVALID' END AS warning FROM v",
+    _FIELDS
+    + ", tk AS (SELECT receipt_id, unnest(w) AS text, CAST((unnest(range(0, len(w))) * 7 + 13) % 101 AS DOUBLE) AS confidence FROM (SELECT receipt_id, regexp_split_to_array(text, '[ \\n]+') AS w FROM receipts)),"
+    + f" q AS (SELECT DISTINCT receipt_id, field, {_PIECE.format('piece')} AS piece FROM (SELECT receipt_id, field, unnest(regexp_split_to_array(raw, ' +')) AS piece FROM v WHERE raw IS NOT NULL)),"
+    + f" m AS (SELECT q.receipt_id, field, avg(confidence) / 100 AS m FROM q JOIN tk ON q.receipt_id = tk.receipt_id AND {_PIECE.format('tk.text')} = piece WHERE piece <> '' GROUP BY ALL),"
+    + " o AS (SELECT v.receipt_id, v.field, value, CASE WHEN raw IS NULL THEN 0.0 ELSE round(least(1.0, coalesce(m, 0.45) + CASE WHEN value IS NOT NULL THEN 0.1 ELSE 0 END), 4) END::DOUBLE AS confidence FROM v LEFT JOIN m ON v.receipt_id = m.receipt_id AND v.field = m.field)"
+    + " SELECT receipt_id, field, confidence, value IS NULL OR confidence < 0.65 AS requires_review FROM o",
     "receipts",
 )
-def x14_receipt_fields(receipts):
-    return x.extract_receipt_fields(receipts, "receipt_id")
+def x14_reviewed_fields(receipts):
+    words = receipts.select(F.col("receipt_id").alias("doc"), F.posexplode(F.split("text", "[ \\n]+")).alias("pos", "text"))
+    tokens = words.select("doc", "text", ((F.col("pos") * 7 + 13) % 101).cast("double").alias("confidence"))
+    d = x.reviewed_fields(x.extract_receipt_fields(receipts, "receipt_id").withColumnRenamed("receipt_id", "doc"), tokens)
+    return d.select(F.col("doc").alias("receipt_id"), "field", "confidence", "requires_review")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import messages
+from ..operators import messages, references
 from ..operators import records as r
 from .catalog import query
 
@@ -43,6 +43,39 @@ def p7_canonicalize_references(refs):
     return r.canonicalize_references(refs.selectExpr(*_RAW)).select(*_REF_COLS, F.unix_timestamp("occurred_at").alias("occurred_s"), "errors")
 
 
+_SOURCE = "CASE WHEN ref_id % 83 = 0 THEN repeat('x', 151) ELSE 'SYS-' || CAST(ref_id DIV 100 AS STRING) END AS source_system_id"
+_ERRORS = (
+    f"{_CANON}, c AS (SELECT k.*, {_SOURCE.replace('ref_id DIV 100', 'ref_id // 100')}, w.sender_phone AS rs, w.receiver_phone AS rv, w.occurred_at AS ro FROM k JOIN w USING (ref_id)),"
+    + " d AS (SELECT ref_id, row_number() OVER (PARTITION BY provider_code, transaction_reference, source_system_id ORDER BY ref_id) AS n FROM c WHERE provider_code IS NOT NULL AND transaction_reference IS NOT NULL), e AS ("
+    + " UNION ALL ".join(
+        f"SELECT ref_id, '{f}' AS field, '{code}' AS code, '{text}' AS message FROM {src} WHERE {bad}"
+        for f, code, text, src, bad in [
+            *((c, code, f"Invalid {c}.", "c", f"{c} IS NULL") for c, code in [("provider_code", "INVALID_PROVIDER"), ("transaction_reference", "INVALID_REFERENCE"), ("amount", "INVALID_DECIMAL"), ("currency", "INVALID_CURRENCY")]),
+            *((c, "INVALID_GHANA_PHONE", "Use a Ghanaian phone format.", "c", f"coalesce({o}, '') <> '' AND {c} IS NULL") for c, o in [("sender_phone", "rs"), ("receiver_phone", "rv")]),
+            ("occurred_at", "INVALID_TIMESTAMP", "Use an ISO or supported Ghana date/time format.", "c", "ro <> '' AND occurred_at IS NULL"),
+            ("source_system_id", "SOURCE_SYSTEM_ID_TOO_LONG", "Source-system identifiers must be 150 characters or fewer.", "c", "length(source_system_id) > 150"),
+            ("transaction_reference", "DUPLICATE_ROW", "This provider/reference/source combination is repeated in the file.", "d", "n > 1"),
+        ]
+    )
+    + ")"
+)
+
+
+def _errors(refs):
+    raw = refs.selectExpr(*_RAW, _SOURCE)
+    return references.import_errors(raw, r.canonicalize_references(raw), "ref_id", "ref_id")
+
+
+@query(f"{_ERRORS} SELECT * FROM e", "refs")
+def p8_import_errors(refs):
+    return _errors(refs)
+
+
+@query(f"{_ERRORS}, n AS (SELECT (SELECT count(*) FROM refs) AS total, (SELECT count(DISTINCT ref_id) FROM e) AS invalid) SELECT total, invalid, total - invalid AS valid, CASE WHEN invalid = 0 THEN 'VALIDATED' ELSE 'VALIDATED_WITH_ERRORS' END AS status FROM n", "refs")
+def a22_import_batch_summary(refs):
+    return references.import_batch_summary(refs, _errors(refs))
+
+
 _SPEC = [("blur", 0.05, 0.9, False), ("aspect_ratio", 0.5, 3.5, True), ("duplicates", 0.0, 2.0, False)]
 
 
@@ -71,15 +104,27 @@ def p16_triggered_reasons(measures):
 _REGISTRY = ["c_custkey AS dataset_id", "CASE WHEN c_custkey % 3 = 0 THEN 'approved' WHEN c_custkey % 3 = 1 THEN 'pending' END AS permission_status", "CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE 'verified' END AS licence_status", "CASE WHEN c_custkey % 7 = 0 THEN 'quarantined' ELSE 'open' END AS acquisition_status"]
 
 
-@query(
-    f"g AS (SELECT {', '.join(_REGISTRY)} FROM customer), s AS (SELECT s_suppkey AS dataset_id, CASE WHEN s_suppkey % 5 = 0 THEN 'draft' ELSE 'ready' END AS status FROM supplier), b AS (SELECT g.dataset_id, concat_ws(',', CASE WHEN acquisition_status = 'quarantined' THEN 'ACQUISITION_QUARANTINED' END, CASE WHEN licence_status <> 'verified' THEN 'LICENCE_NOT_VERIFIED' END, CASE WHEN permission_status IS DISTINCT FROM 'approved' THEN 'PERMISSION_NOT_APPROVED' END, CASE WHEN status IS DISTINCT FROM 'ready' THEN 'SPEC_NOT_READY' END) AS blockers FROM g LEFT JOIN s ON g.dataset_id = s.dataset_id) SELECT dataset_id, blockers, blockers = '' AS eligible FROM b".replace("g AS (", "WITH g AS (", 1),
-    "customer",
-    "supplier",
+_BLOCKED = (
+    f"WITH g AS (SELECT {', '.join(_REGISTRY)} FROM customer), s AS (SELECT s_suppkey AS dataset_id, CASE WHEN s_suppkey % 5 = 0 THEN 'draft' ELSE 'ready' END AS status FROM supplier),"
+    " b AS (SELECT g.dataset_id, concat_ws(',', CASE WHEN acquisition_status = 'quarantined' THEN 'acquisition_status:quarantined' END, CASE WHEN licence_status <> 'verified' THEN 'licence_status:' || licence_status END,"
+    " CASE WHEN permission_status IS DISTINCT FROM 'approved' THEN 'permission_status:' || coalesce(permission_status, 'missing') END, CASE WHEN status IS DISTINCT FROM 'ready' THEN 'validation_spec_status:' || coalesce(status, 'missing') END) AS blockers FROM g LEFT JOIN s ON g.dataset_id = s.dataset_id)"
 )
-def a14_registry_blockers(customer, supplier):
+
+
+def _blocked(customer, supplier):
     return r.registry_blockers(customer.selectExpr(*_REGISTRY), supplier.selectExpr("s_suppkey AS dataset_id", "CASE WHEN s_suppkey % 5 = 0 THEN 'draft' ELSE 'ready' END AS status"))
 
 
+@query(f"{_BLOCKED} SELECT dataset_id, blockers, blockers = '' AS eligible FROM b", "customer", "supplier")
+def a14_registry_blockers(customer, supplier):
+    return _blocked(customer, supplier)
+
+
+@query(f"{_BLOCKED} SELECT count(*) AS sources, count_if(blockers = '')::BIGINT AS eligible, count_if(blockers <> '')::BIGINT AS blocked FROM b", "customer", "supplier")
+def a14_registry_counts(customer, supplier):
+    return r.registry_counts(_blocked(customer, supplier))
+
+
 _MAN = [
     "CAST(sample_id AS STRING) AS sample_id", "CASE WHEN sample_id % 71 = 0 THEN '' ELSE group_id END AS group_id",
     "CASE sample_id % 4 WHEN 0 THEN 'synthetic' WHEN 1 THEN 'controlled_tamper' WHEN 2 THEN 'real_authorised' ELSE 'other' END AS source_type",

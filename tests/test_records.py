@@ -281,4 +281,4 @@ def test_candidates_run_on_every_seed(monkeypatch):
             return self
 
     plans.e11_e14_candidates(Rows())
-    assert given == {"n": 3} and models.SEEDS == [42, 123, 2026]
+    assert given == {"n": 3, "categorical": ["transaction_type"]} and models.SEEDS == [42, 123, 2026]
