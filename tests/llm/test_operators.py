@@ -250,10 +250,11 @@ def test_longest_match(spark, docs, block_bytes, shard_words):
     items = [(1, "zz " + TEXTS[9] + " qq"), (2, LONG[300:700]), (3, None), (4, LONG[300:420])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(int(x["item_id"]), x["item_pos"]): (x["n_words"], x["doc_id"], x["doc_pos"]) for x in decontaminate.longest_matches(docs, bench, block_bytes=block_bytes, shard_words=shard_words).collect()}
-    want = {}
+    split, want = {d: words(x) for d, x in TEXTS.items()}, {}
     for i, t in items:
-        for q in range(len(words(t))):
-            n, d, p = max((longest_common(words(t), words(x), q, p), -d, -p) for d, x in TEXTS.items() for p in range(len(words(x))))
+        w = words(t)
+        for q in range(len(w)):
+            n, d, p = max((longest_common(w, x, q, p), -d, -p) for d, x in split.items() for p in range(len(x)))
             if n >= 10:
                 want[i, q] = n, -d, -p
     assert got == want and got[1, 1] == (len(words(TEXTS[9])), 9, 0)
