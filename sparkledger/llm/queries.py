@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with SQL where SQL can express them."""
+"""The queries of the operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, quality_rules, sharding, simhash_dedup, token_dictionary, toxicity
-from ._common import UPPER, LOWER, shared_dir, table
+from . import chat_format, decontaminate, license_scan, line_dedup, periodic_runs, quality_rules, sharding, simhash_dedup, token_dictionary, toxicity
+from ._common import LOWER, UPPER, fenced, shared_dir, table, words_of
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
@@ -79,9 +79,39 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in one document of ten by the crc32 of its id, the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = fenced(docs.select("doc_id", "text"), h=h, g=F.floor(h / 10), w=F.when(h % 10 == 0, words_of(F.col("text"))))
+    d = fenced(d, n=F.size("w").cast("long"))
+    d = fenced(d, a=F.col("g") % F.col("n"))
+    d = fenced(d, p=1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    words = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", source(i).cast("int")))
+    return d.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = periodic_runs.collapse_runs(planted_runs(table(spark, sf_dir, "documents")))
+    nothing = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    higher = lambda a, x: a.isNull() | (x["length"] * a["period"] > a["length"] * x["period"])
+    best = F.reduce("runs", nothing, lambda a, x: F.when(higher(a, x), x).otherwise(a))
+    line = lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))
+    return d.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_toxicity, op3_license_digest, op4_token_counts, op5_simhash_dedup, op6_chat_perspectives, op7_quality_rules, op8_bpe_encode_decode, op9_slot_sharding, op10_decontaminate)
+    for f in (op1_line_dedup, op2_toxicity, op3_license_digest, op4_token_counts, op5_simhash_dedup, op6_chat_perspectives, op7_quality_rules, op8_bpe_encode_decode, op9_slot_sharding, op10_decontaminate, op11_periodic_runs)
 }
 
 _B = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
