@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, periodic_runs, quality_rules, sharding, simhash_dedup, token_dictionary, toxicity
+from . import chat_format, decontaminate, hard_negatives, license_scan, line_dedup, periodic_runs, quality_rules, sharding, simhash_dedup, token_dictionary, toxicity
 from ._common import LOWER, UPPER, fenced, shared_dir, table, words_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -109,9 +109,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepare(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_toxicity, op3_license_digest, op4_token_counts, op5_simhash_dedup, op6_chat_perspectives, op7_quality_rules, op8_bpe_encode_decode, op9_slot_sharding, op10_decontaminate, op11_periodic_runs)
+    for f in (op1_line_dedup, op2_toxicity, op3_license_digest, op4_token_counts, op5_simhash_dedup, op6_chat_perspectives, op7_quality_rules, op8_bpe_encode_decode, op9_slot_sharding, op10_decontaminate, op11_periodic_runs, op13_hard_negatives)
 }
 
 _B = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -185,3 +191,12 @@ x AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_removed FROM l JOIN f ON l.line = f.
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_removed, 0) AS n_removed_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(n_removed, 0) >= {quality_rules.KEEP_SHARE} * n_words AS kept
 FROM b LEFT JOIN x ON b.r = x.r"""
+
+SQL["op13_hard_negatives"] = """
+WITH v AS (SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.u AS au, a.vec_id AS anchor_id, b.u, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.u <> b.u),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY au ORDER BY score DESC, vec_id, u) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.au, p.u ORDER BY s.score DESC, s.vec_id, s.u) AS INT) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.au = s.au AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10"""
