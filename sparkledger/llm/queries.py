@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hard_negatives, license_scan, line_dedup, periodic_runs, quality_rules, sharding, simhash_dedup, token_dictionary, toxicity
+from . import chat_format, decontaminate, hard_negatives, html_text, license_scan, line_dedup, periodic_runs, quality_rules, sharding, simhash_dedup, token_dictionary, toxicity
 from ._common import LOWER, UPPER, fenced, shared_dir, table, words_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -109,6 +109,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = html_text.extract(pages.select("page_id", "url", "html"), html_text.fit(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.prepare(table(spark, sf_dir, "embeddings").withColumn("label", label))
@@ -117,7 +123,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_toxicity, op3_license_digest, op4_token_counts, op5_simhash_dedup, op6_chat_perspectives, op7_quality_rules, op8_bpe_encode_decode, op9_slot_sharding, op10_decontaminate, op11_periodic_runs, op13_hard_negatives)
+    for f in (op1_line_dedup, op2_toxicity, op3_license_digest, op4_token_counts, op5_simhash_dedup, op6_chat_perspectives, op7_quality_rules, op8_bpe_encode_decode, op9_slot_sharding, op10_decontaminate, op11_periodic_runs, op12_html_text, op13_hard_negatives)
 }
 
 _B = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
