@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import hash_bucket, running
-
+from ..sources.scratch import stored
+from .ranking import running
 from .messages import RESIDUAL, SENSITIVE, sender_kind, tokenize_sensitive
 from .transactions import codes
 
@@ -35,6 +37,8 @@ PLACEHOLDERS = [
 # First words of a message that are no name.
 SALUTATIONS = ["hello", "yello", "y'ello", "congratulations"]
 APPROVED = ["approved", "approved_with_edits"]
+#: In the order in which a label's missing splits are filled.
+SPLITS = ("test", "validation", "train")
 
 
 def numbered_placeholders(df: DataFrame, text: str = "text") -> DataFrame:
@@ -181,38 +185,63 @@ def quotas(n: Column, ratios: list[float]) -> list[Column]:
 
 
 def stratified_group_split(df: DataFrame, ratios: list[float], seed: str) -> DataFrame:
-    """(group_id, labels, split): groups of one set of labels in hash order, cut at that stratum's quotas."""
+    """(group_id, labels, n_rows, split): groups of one set of labels in hash order, cut at that stratum's quotas.
+
+    A stratum of any number of groups is counted through in parts (ranking.running)."""
     g = df.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), "|").alias("labels"), F.count("*").alias("n_rows"))
-    w = Window.partitionBy("labels")
-    k = F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "labels", F.lit(":"), "group_id"), 256)))
+    g = g.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), "labels", F.lit(":"), "group_id"), 256))
+    k = running(g, [F.col("h")], {"k": F.lit(1)}, ["labels"])
     q = quotas(F.col("n"), ratios)
-    d = g.withColumns({"k": k, "n": F.count("*").over(w)})
+    d = k.join(k.groupBy("labels").agg(F.count("*").alias("n")), "labels")
     return d.select("group_id", "labels", "n_rows", F.when(F.col("k") <= q[0], "train").when(F.col("k") <= q[0] + q[1], "validation").otherwise("test").alias("split"))
 
 
 def repair_label_coverage(split: DataFrame, labels: list[str], seed: str) -> DataFrame:
-    """Every label of three or more groups gets a group in each split: the one of fewest labels and rows moves there.
-
-    split is as stratified_group_split returns it. A step reads one row to the driver; there are three a label."""
-    out = split
+    """Every label of three or more groups gets a group in each split: label by label, a split without it takes the group of
+    fewest labels, then rows, then smallest hash, from a split that has more than one.
+
+    split is as stratified_group_split returns it. There are three moves a label at most, and no move needs more than the
+    first groups of a label in a split: those, 27 times the square of the number of labels at most, and the counts by
+    label and split come to the driver in two jobs, where the moves are chosen one after the other."""
+    split = stored(split)
+    named = F.split("labels", r"\|")
+    have = split.select("*", F.explode(F.array_intersect(named, F.array(*map(F.lit, labels)))).alias("x"))
+    counts: dict[str, Counter] = {x: Counter() for x in labels}
+    for r in have.groupBy("x", "split").agg(F.count("*").alias("n")).collect():
+        counts[r["x"]][r["split"]] = r["n"]
+    to = have.select("*", F.explode(F.array(*map(F.lit, SPLITS))).alias("to")).where("to <> split")
+    ahead = [F.size(named), F.col("n_rows"), F.sha2(F.concat_ws(":", F.lit(f"{seed}:controlled-move"), "x", "to", "group_id"), 256)]
+    best = to.withColumn("k", F.row_number().over(Window.partitionBy("x", "split", "to").orderBy(*ahead))).where(F.col("k") <= 3 * len(labels))
+    first: dict[tuple, list] = defaultdict(list)
+    for r in best.select("x", "split", "to", "group_id", "labels", "n_rows").collect():
+        first[r["x"], r["split"], r["to"]].append((r["group_id"], r["labels"].split("|"), r["n_rows"]))
+    moved: dict[str, tuple] = {}  # group: (split, labels, rows)
     for x in sorted(labels):
-        for missing in ("test", "validation", "train"):
-            have = out.where(F.array_contains(F.split("labels", r"\|"), x))
-            per = have.groupBy("split").agg(F.count("*").alias("c"))
-            t = per.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("split") == missing, F.col("c"))).alias("m")).first()
-            if not t["n"] or t["n"] < 3 or t["m"]:
+        for missing in SPLITS:
+            if counts[x].total() < 3 or counts[x][missing]:
                 continue
-            order = F.struct(F.size(F.split("labels", r"\|")), "n_rows", F.sha2(F.concat(F.lit(f"{seed}:{x}:{missing}:"), "group_id"), 256))
-            pick = have.join(per.where("c > 1"), "split", "left_semi").agg(F.min_by("group_id", order)).first()[0]
-            if pick is None:
+            donors = [s for s in SPLITS if counts[x][s] > 1]
+            there = [(*g, s) for s in donors for g in first[x, s, missing] if g[0] not in moved]
+            there += [(g, own, n, s) for g, (s, own, n) in moved.items() if s in donors and x in own]
+            if not there:
                 raise ValueError(f"no group of label {x} can move to {missing}")
-            out = out.withColumn("split", F.when(F.col("group_id") == pick, missing).otherwise(F.col("split")))
-    return out
+            g, own, n, s = min(there, key=lambda t: (len(t[1]), t[2], sha256(f"{seed}:controlled-move:{x}:{missing}:{t[0]}".encode()).hexdigest()))  # noqa: B023
+            moved[g] = missing, own, n
+            for y in own:
+                if y in counts:
+                    counts[y][s] -= 1
+                    counts[y][missing] += 1
+    if not moved:
+        return split
+    rows = [(g, s) for g, (s, _, _) in moved.items()]
+    new = split.sparkSession.createDataFrame(rows, "group_id string, __to string")
+    out = split.join(F.broadcast(new), "group_id", "left").withColumn("split", F.coalesce("__to", "split")).drop("__to")
+    return out.select(split.columns)
 
 
 def hash_group_split(df: DataFrame, seed: str) -> DataFrame:
     """(group_id, split): 60, 20 and 20 % of the different groups in hash order, one each at the least."""
     g = df.select("group_id").distinct().withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), "group_id"), 256))
     n = g.agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.bround(F.count("*") * 0.2)).alias("q"))
-    d = running(g, [F.col("h")], hash_bucket(F.col("h")), {"k": F.lit(1)}).crossJoin(F.broadcast(n))
+    d = running(g, [F.col("h")], {"k": F.lit(1)}).crossJoin(F.broadcast(n))
     return d.select("group_id", F.when(F.col("k") <= F.col("n") - 2 * F.col("q"), "train").when(F.col("k") <= F.col("n") - F.col("q"), "validation").otherwise("test").alias("split"))

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import running, value_bucket
+from .ranking import running
 
 # The classes in their order.
 CLASSES = ["GENUINE", "SUSPICIOUS", "FRAUDULENT"]
 
 
-def threshold_curve(scored: DataFrame, digits: int = 8, bucket: Callable[[str], Column] | None = None) -> DataFrame:
+def threshold_curve(scored: DataFrame, digits: int = 8) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, fpr, f2 at every different score, 0 and 1 too; predicted is score >= threshold.
 
-    Rows are first summed by score; the running sums go over different scores, in buckets of neighbouring ones: by
-    approximate percentiles, which take a pass of their own, or as bucket says for the score column of that name."""
+    Rows are first summed by score; the running sums go over different scores (ranking.running)."""
     by = scored.groupBy(F.col("score").alias("threshold")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     ends = scored.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "threshold double, p long, n long")
     by = by.unionByName(ends).groupBy("threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     total = scored.agg(F.sum("label").alias("P"), F.sum(1 - F.col("label")).alias("N"))
-    summed = running(by, [F.desc("threshold")], bucket("threshold") if bucket else value_bucket(by, "threshold"), {"tp": F.col("p"), "fp": F.col("n")}, descending=True)
+    summed = running(by, [F.desc("threshold")], {"tp": F.col("p"), "fp": F.col("n")})
     d = summed.select("threshold", "tp", "fp").crossJoin(F.broadcast(total))
     d = d.withColumns({"fn": F.col("P") - F.col("tp"), "tn": F.col("N") - F.col("fp")})
     ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), digits)
@@ -33,11 +30,11 @@ def threshold_curve(scored: DataFrame, digits: int = 8, bucket: Callable[[str],
     )
 
 
-def binary_metrics(scored: DataFrame, bucket: Callable[[str], Column] | None = None) -> DataFrame:
+def binary_metrics(scored: DataFrame) -> DataFrame:
     """One row: n, prevalence, average precision (step sum), ROC AUC with tied ranks, Brier score, and the counts and rates
     of predicting where the score is 0.5 at least; null where no row, or one class only, leaves a measure undefined."""
     by = scored.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
-    c = running(by, [F.desc("score")], bucket("score") if bucket else value_bucket(by, "score"), {"tp": F.col("p"), "k": F.col("n")}, descending=True)
+    c = running(by, [F.desc("score")], {"tp": F.col("p"), "k": F.col("n")})
     # A score's rank from below is the number of all rows less those down to it.
     s = c.agg(F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("ap"), F.sum(F.col("p") * ((F.col("n") + 1) / 2 - F.col("k"))).alias("ranks"), F.sum("p").alias("P"), F.sum("n").alias("T"))
     hit, pos = F.col("score") >= 0.5, F.col("label") == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import exact_percentile, hash_bucket, running, value_bucket
+from .ranking import exact_percentile, running
 from .transactions import codes
 
 
@@ -31,7 +31,7 @@ def group_hash_split(df: DataFrame, group: str, seed: str, controlled: Column |
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group_id")), 256)
     g = g.withColumn("__h", h)
     sizes = {r["controlled"]: r["n"] for r in g.groupBy("controlled").agg(F.count("*").alias("n")).collect()}
-    k = running(g, [F.col("__h")], hash_bucket(F.col("__h")), {"k": F.lit(1)}, ["controlled"])
+    k = running(g, [F.col("__h")], {"k": F.lit(1)}, ["controlled"])
     split = F.lit("train")
     for kind, n in sizes.items():
         train, validation, _ = largest_remainder(n, CONTROLLED if kind else OTHERS)
@@ -217,7 +217,7 @@ def chronological_halves(df: DataFrame, order: str, tie: str | None = None) -> D
     """half: the first floor(n / 2) rows in order for fitting, the rest for selecting. tie tells rows of equal order apart."""
     n = df.count()
     by = [F.col(order), *([F.col(tie)] if tie else [])]
-    d = running(df, by, value_bucket(df, order), {"__k": F.lit(1)})
+    d = running(df, by, {"__k": F.lit(1)})
     return d.withColumn("half", F.when(F.col("__k") <= n // 2, "first").otherwise("second")).drop("__k")
 
 

@@ -1,5 +1,6 @@
 """Bucketed running sums and percentiles, time splits, hash bands, causal windows and fitted classes against plain versions."""
 
+import hashlib
 import itertools
 import random
 
@@ -7,22 +8,67 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkledger.operators import causal, evaluation, governance, models, ranking, references, transactions
+from sparkledger.operators import causal, corpora, evaluation, governance, models, ranking, references, transactions
 
 
-def test_running_sums_equal_plain_ones(spark):
+@pytest.mark.parametrize("part_rows", [7, 100, 1 << 20])
+def test_running_sums_equal_plain_ones(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ranking, "PART_ROWS", part_rows)
     random.seed(1)
-    rows = [(random.choice("ab"), random.choice([0.0, 0.5, random.random()]), random.randrange(9)) for _ in range(500)]
+    rows = [(random.choice(["a", "b", None]), random.choice([0.0, 0.5, random.random(), None]), random.randrange(9)) for _ in range(300)]
     d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, g string, v double, x int")
-    out = ranking.running(d, [F.col("v"), F.col("id")], ranking.value_bucket(d, "v", 16), {"s": F.col("x")}, ["g"])
+    out = ranking.running(d, [F.col("v"), F.col("id")], {"s": F.col("x")}, ["g"])
     got = {r["id"]: r["s"] for r in out.collect()}
-    for g in "ab":
-        order = sorted((v, k) for k, (h, v, _) in enumerate(rows) if h == g)
+    for g in ("a", "b", None):
+        order = sorted((-1 if v is None else v, k) for k, (h, v, _) in enumerate(rows) if h == g)
         for i, (_, k) in enumerate(order):
             assert got[k] == sum(rows[j][2] for _, j in order[: i + 1])
-    down = ranking.running(d, [F.desc("v"), F.desc("id")], ranking.value_bucket(d, "v", 16), {"s": F.lit(1)}, descending=True).collect()
-    assert sorted(r["s"] for r in down) == list(range(1, 501))
-    assert ranking.running(d.limit(0), [F.col("v")], ranking.value_bucket(d.limit(0), "v"), {"s": F.lit(1)}).count() == 0
+    down = ranking.running(d, [F.desc("v"), F.desc("id")], {"s": F.lit(1)}).collect()
+    assert sorted(r["s"] for r in down) == list(range(1, 301))
+    assert ranking.running(d.limit(0), [F.col("v")], {"s": F.lit(1)}).count() == 0
+
+
+def test_a_value_of_most_rows_is_spread_over_parts(spark, monkeypatch):
+    """90 % of the rows have one value, and there is nothing that tells them apart: parts stay of about one size."""
+    monkeypatch.setattr(ranking, "PART_ROWS", 500)
+    d = spark.range(10_000, numPartitions=4).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(5).cast("double").alias("v"))
+    sizes = []
+    keep = ranking.stored
+    monkeypatch.setattr(ranking, "stored", lambda x: sizes.append(keep(x)) or sizes[-1])
+    got = ranking.running(d, [F.col("v")], {"k": F.lit(1)})
+    assert sorted(r["k"] for r in got.select("k").collect()) == list(range(1, 10_001))
+    parts = [r["n"] for r in sizes[-1].groupBy("__part").agg(F.count("*").alias("n")).collect()]
+    assert len(parts) == 20 and max(parts) < 1_500
+    order = got.orderBy("k").select("v").collect()
+    assert all(a["v"] <= b["v"] for a, b in itertools.pairwise(order))
+    halves = governance.chronological_halves(d, "v").groupBy("half").count().collect()
+    assert {r["half"]: r["count"] for r in halves} == {"first": 5000, "second": 5000}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_label_coverage_is_repaired_move_by_move(spark, seed):
+    rng = random.Random(seed)
+    labels = ["A", "B", "C", "D"]
+    groups = {f"g{k}": (sorted(rng.sample(labels, rng.choice((1, 1, 2, 3)))), rng.randint(1, 4), rng.choice(["train"] * 6 + ["validation", "test"])) for k in range(rng.randint(4, 40))}
+    d = spark.createDataFrame([(g, "|".join(x), n, s) for g, (x, n, s) in groups.items()], "group_id string, labels string, n_rows long, split string")
+    at = {g: s for g, (_, _, s) in groups.items()}
+    stuck = False
+    for x in labels:
+        own = [g for g, (y, _, _) in groups.items() if x in y]
+        for missing in ("test", "validation", "train"):
+            if len(own) < 3 or any(at[g] == missing for g in own):
+                continue
+            donors = [g for g in own if sum(at[h] == at[g] for h in own) > 1]
+            stuck |= not donors
+            if donors:
+                rank = lambda g: (len(groups[g][0]), groups[g][1], hashlib.sha256(f"7:controlled-move:{x}:{missing}:{g}".encode()).hexdigest())  # noqa: B023, E731
+                at[min(donors, key=rank)] = missing
+    if stuck:
+        with pytest.raises(ValueError):
+            corpora.repair_label_coverage(d, labels, "7")
+        return
+    out = corpora.repair_label_coverage(d, labels, "7")
+    assert out.columns == d.columns and {r["group_id"]: r["split"] for r in out.collect()} == at
 
 
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
