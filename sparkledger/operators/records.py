@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from .references import canonical_phone
+from .references import canonical_phone, occurred_at
 from .transactions import codes
 
 # Domains of a manifest and of a registry.
@@ -19,8 +19,10 @@ MAX_AMOUNT = 999999999.99
 def canonicalize_references(df: DataFrame) -> DataFrame:
     """Text columns of reference rows in canonical form, null where they are invalid, and errors (comma-joined codes by name).
 
-    Texts but the phones are in NFKC form with single spaces first."""
-    texts = ["provider_code", "transaction_reference", "amount", "currency", "sender_name", "occurred_at", "transaction_status"]
+    Texts but the phones are in NFKC form with single spaces first. Times are in one of six forms or in ISO form; names are
+    sender_name and, where there is one, receiver_name."""
+    names = [c for c in ("sender_name", "receiver_name") if c in df.columns]
+    texts = ["provider_code", "transaction_reference", "amount", "currency", *names, "occurred_at", "transaction_status"]
     df = df.withColumns({c: clean_text(F.col(c)) for c in texts})
     provider = F.regexp_replace(F.regexp_replace(F.upper(F.trim("provider_code")), "[^A-Z0-9_]", "_"), "^_+|_+$", "")
     ref = F.upper(F.regexp_replace("transaction_reference", " ", ""))
@@ -30,15 +32,13 @@ def canonicalize_references(df: DataFrame) -> DataFrame:
         n = F.regexp_replace(c, "^[ :-]+|[ :-]+$", "")
         return F.when(n.rlike("[A-Za-z]") & (F.length(n) <= 150), F.upper(n))
 
-    at = F.col("occurred_at")
-    time = F.when(at.rlike("^[0-9]{4}-"), F.try_to_timestamp(at, F.lit("yyyy-MM-dd HH:mm"))).when(at.rlike("^[0-9]{2}/"), F.try_to_timestamp(at, F.lit("dd/MM/yyyy HH:mm")))
     d = df.withColumns(
         {
             "provider_code": F.when((provider != "") & (F.length(provider) <= 50), provider),
             "transaction_reference": F.when(ref.rlike("^[A-Z0-9][A-Z0-9._/-]{5,49}$"), ref),
             "amount": F.when((money >= 0) & (money <= MAX_AMOUNT), money.cast("decimal(18,2)")),
-            "currency": F.nullif(F.upper(F.trim("currency")), F.lit("")), "sender_name": name("sender_name"), "sender_phone": canonical_phone(F.col("sender_phone")),
-            "receiver_phone": canonical_phone(F.col("receiver_phone")), "occurred_at": time,
+            "currency": F.nullif(F.upper(F.trim("currency")), F.lit("")), **{c: name(c) for c in names}, "sender_phone": canonical_phone(F.col("sender_phone")),
+            "receiver_phone": canonical_phone(F.col("receiver_phone")), "occurred_at": occurred_at(F.col("occurred_at"))["at"],
             "transaction_status": F.when(F.upper(F.trim("transaction_status")).isin("SUCCESS", "COMPLETED"), "SUCCESSFUL").otherwise(F.upper(F.trim("transaction_status"))),
         }
     )

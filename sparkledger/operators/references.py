@@ -120,6 +120,32 @@ def canonical_phone(c: Column) -> Column:
     return F.when(d.rlike("^233[0-9]{9}$"), F.concat(F.lit("+"), d)).otherwise(F.concat(F.lit("+233"), local))
 
 
+# The forms of a time, day first or year first, and the ISO form with its parts (year, month, day, hour, minute, second,
+# fraction, zone).
+DAY_FIRST = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4}) (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
+YEAR_FIRST = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
+ISO = r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?([Zz]|[+-]\d{2}(?::?\d{2})?)?)?$"
+
+
+def occurred_at(text: Column) -> Column:
+    """struct(at, zoned) of a time in one of the six forms, or else in ISO form: at is null where it is none; a time without
+    a zone is one of UTC. text has single spaces. Week dates are not read."""
+    part = lambda p, k: F.regexp_extract(text, p, k).try_cast("int")
+    zone = F.regexp_extract(text, ISO, 8)
+
+    def made(p: str, order: tuple[int, ...]) -> Column:
+        y, mo, d, h, mi, s = (F.coalesce(part(p, k), F.lit(0)) for k in order)
+        fraction = F.rpad(F.regexp_extract(text, ISO, 7), 6, "0").try_cast("int") if p is ISO else F.lit(0)
+        seconds = (s + F.coalesce(fraction, F.lit(0)) / F.lit(1_000_000)).cast("decimal(16,6)")
+        return F.when(text.rlike(p) & (s < 60), F.try_make_timestamp(y, mo, d, h, mi, seconds, F.lit("UTC")))
+
+    hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.coalesce(F.regexp_extract(zone, r"^.\d{2}:?(\d{2})$", 1).try_cast("int"), F.lit(0))
+    shift = F.when(F.upper(zone).isin("", "Z"), 0).when((hours < 24) & (minutes < 60), F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1) * (hours * 60 + minutes))
+    iso = F.timestamp_micros(F.unix_micros(made(ISO, (1, 2, 3, 4, 5, 6))) - shift.cast("long") * 60_000_000)
+    plain = F.coalesce(made(YEAR_FIRST, (1, 2, 3, 4, 5, 6)), made(DAY_FIRST, (4, 3, 1, 5, 6, 7)))
+    return F.struct(F.coalesce(plain, iso).alias("at"), (plain.isNull() & (zone != "")).alias("zoned"))
+
+
 def near_duplicates(hashes: DataFrame, d: int, bands: int | None = None) -> DataFrame:
     """(a, b, distance): pairs a < b of 64-bit hashes (id, hi, lo) within d bits, exact copies left out.
 

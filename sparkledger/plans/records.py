@@ -18,7 +18,16 @@ _RAW = [
     "': ' || lower(replace(sender_name, ' ', '   ')) || ' -' AS sender_name",
     "CASE ref_id % 4 WHEN 0 THEN '0' || substr(sender_phone, 5) WHEN 1 THEN substr(sender_phone, 5) WHEN 2 THEN substr(sender_phone, 2) ELSE '12' END AS sender_phone",
     "receiver_phone",
-    "CASE ref_id % 3 WHEN 0 THEN CAST(year(occurred_at) AS STRING) || '-' || lpad(CAST(month(occurred_at) AS STRING), 2, '0') || '-' || lpad(CAST(day(occurred_at) AS STRING), 2, '0') WHEN 1 THEN lpad(CAST(day(occurred_at) AS STRING), 2, '0') || '/' || lpad(CAST(month(occurred_at) AS STRING), 2, '0') || '/' || CAST(year(occurred_at) AS STRING) ELSE '31/31/2001' END || '  10:20' AS occurred_at",
+    # Each of the six forms, two ISO forms, and two that are none.
+    "CASE ref_id % 10 "
+    "WHEN 0 THEN {y} || '-' || {m} || '-' || {d} || '  10:20:09' WHEN 1 THEN {y} || '-' || {m} || '-' || {d} || ' 10:20' "
+    "WHEN 2 THEN {d} || '/' || {m} || '/' || {y} || ' 10:20:09' WHEN 3 THEN {d} || '/' || {m} || '/' || {y} || '  10:20' "
+    "WHEN 4 THEN {d} || '-' || {m} || '-' || {y} || ' 10:20:09' WHEN 5 THEN {d} || '-' || {m} || '-' || {y} || ' 10:20' "
+    "WHEN 6 THEN {y} || '-' || {m} || '-' || {d} || 'T10:20:30Z' WHEN 7 THEN {y} || '-' || {m} || '-' || {d} || 'T10:20:30+02:00' "
+    "WHEN 8 THEN '31/31/2001 10:20' ELSE {d} || '/' || {m} || '-' || {y} || ' 10:20' END AS occurred_at".format(
+        y="CAST(year(occurred_at) AS STRING)", m="lpad(CAST(month(occurred_at) AS STRING), 2, '0')", d="lpad(CAST(day(occurred_at) AS STRING), 2, '0')"
+    ),
+    "': ' || lower(receiver_name) || ' : ' AS receiver_name",
     "lower(transaction_status) AS transaction_status",
 ]
 _DIGITS = "regexp_replace({}, '[^0-9]', '', 'g')"
@@ -32,9 +41,9 @@ def _phone(c: str) -> str:
 _CANON = (
     f"+ w AS (SELECT {', '.join(_RAW)} FROM refs), k AS (SELECT ref_id, nullif(regexp_replace(regexp_replace(upper(trim(provider_code)), '[^A-Z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), '') AS provider_code, upper(replace(transaction_reference, ' ', '')) AS rr, CASE WHEN regexp_matches(rr, '^[A-Z0-9][A-Z0-9._/-]{{5,49}}$') THEN rr END AS transaction_reference,"
     + " TRY_CAST(regexp_replace(amount, '[^0-9.-]', '', 'g') AS DECIMAL(18,2)) AS m, CASE WHEN m >= 0 THEN m END AS amount, nullif(upper(trim(currency)), '') AS currency, upper(regexp_replace(trim(regexp_replace(sender_name, ' +', ' ', 'g')), '^[ :-]+|[ :-]+$', '', 'g')) AS sender_name,"
-    + f" {_phone('sender_phone')} AS sender_phone, {_phone('receiver_phone')} AS receiver_phone, try_strptime(regexp_replace(occurred_at, ' +', ' ', 'g'), ['%Y-%m-%d %H:%M', '%d/%m/%Y %H:%M']) AS occurred_at, CASE upper(transaction_status) WHEN 'SUCCESS' THEN 'SUCCESSFUL' ELSE upper(transaction_status) END AS transaction_status FROM w)"
+    + f" {_phone('sender_phone')} AS sender_phone, {_phone('receiver_phone')} AS receiver_phone, coalesce(try_strptime(regexp_replace(occurred_at, ' +', ' ', 'g'), ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%d/%m/%Y %H:%M:%S', '%d/%m/%Y %H:%M', '%d-%m-%Y %H:%M:%S', '%d-%m-%Y %H:%M', '%Y-%m-%dT%H:%M:%SZ']), try_strptime(occurred_at, '%Y-%m-%dT%H:%M:%S+02:00') - INTERVAL 2 HOUR) AS occurred_at, upper(regexp_replace(trim(receiver_name), '^[ :-]+|[ :-]+$', '', 'g')) AS receiver_name, CASE upper(transaction_status) WHEN 'SUCCESS' THEN 'SUCCESSFUL' ELSE upper(transaction_status) END AS transaction_status FROM w)"
 )
-_REF_COLS = ["ref_id", "provider_code", "transaction_reference", "amount", "currency", "sender_name", "sender_phone", "receiver_phone", "transaction_status"]
+_REF_COLS = ["ref_id", "provider_code", "transaction_reference", "amount", "currency", "sender_name", "sender_phone", "receiver_name", "receiver_phone", "transaction_status"]
 _NEED = ["amount", "currency", "occurred_at", "provider_code", "transaction_reference", "transaction_status"]
 
 
