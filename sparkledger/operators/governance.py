@@ -182,9 +182,9 @@ def intake_triage(hashes: DataFrame, ledger: DataFrame, near: DataFrame, order:
     """(id, state, reason): withdrawn, exact duplicate of an earlier record, near duplicate of the first earlier one, else open:
     to be de-identified where working lists it as transcribed, to be transcribed otherwise. The reason names the original.
 
-    near has the pairs (a, b) of class representatives within the distance, a before b."""
+    near is references.near_counts of the hashes: (order, first_near), the first record of another hash within the distance."""
     first = hashes.groupBy("hi", "lo").agg(F.min(order).alias("first"))
-    after = near.groupBy(F.col("b").alias(order)).agg(F.min("a").alias("near"))
+    after = near.where(F.col("first_near") < F.col(order)).select(order, F.col("first_near").alias("near"))
     gone = ledger.select(order).distinct().withColumn("gone", F.lit(True))
     d = hashes.join(first, ["hi", "lo"]).join(after, order, "left").join(gone, order, "left")
     d = d.withColumn("done", F.lit(False)) if working is None else d.join(working.select(order).distinct().withColumn("done", F.lit(True)), order, "left")

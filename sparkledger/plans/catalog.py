@@ -333,6 +333,18 @@ def j12_near_duplicates(hashes):
     return references.near_duplicates(hashes, 6)
 
 
+@query(
+    "+ u AS (SELECT min(id) AS first, hi, lo, count(*) AS n FROM hashes GROUP BY hi, lo),"
+    " p AS (SELECT a.hi, a.lo, b.first, b.n, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS d FROM u a JOIN u b ON a.first <> b.first),"
+    " s AS (SELECT hi, lo, sum(n) AS k, min(d) AS least, min(first) AS near FROM p WHERE d <= 6 GROUP BY hi, lo)"
+    " SELECT h.id, u.n - 1 AS copies, CAST(coalesce(k, 0) AS BIGINT) AS near_count, CAST(least AS INT) AS min_distance, near AS first_near"
+    " FROM hashes h JOIN u ON h.hi = u.hi AND h.lo = u.lo LEFT JOIN s ON h.hi = s.hi AND h.lo = s.lo",
+    "hashes",
+)
+def j12_near_counts(hashes):
+    return references.near_counts(hashes, 6)
+
+
 @query("SELECT id, original FROM (SELECT id, min(id) OVER (PARTITION BY hi, lo) AS original FROM hashes) WHERE id > original", "hashes")
 def j11_exact_duplicates(hashes):
     d = hashes.select("id", F.concat_ws(":", "hi", "lo").alias("h"))
@@ -737,7 +749,7 @@ def s9_content_fingerprint(tx):
     "hashes",
 )
 def j20_intake_triage(hashes):
-    return governance.intake_triage(hashes, hashes.where("id % 50 = 7"), references.near_duplicates(hashes, 6), working=hashes.where("id % 9 = 0"))
+    return governance.intake_triage(hashes, hashes.where("id % 50 = 7"), references.near_counts(hashes, 6), working=hashes.where("id % 9 = 0"))
 
 
 @query("SELECT c_custkey AS transaction_id, r.run_id, r.risk_level, r.status FROM customer LEFT JOIN (SELECT transaction_id, max(run_id) AS run_id, arg_max(coalesce(risk_level, '~'), run_id) AS rl, arg_max(status, run_id) AS status, nullif(rl, '~') AS risk_level FROM runs GROUP BY 1) r ON c_custkey = transaction_id", "customer", "runs")

@@ -109,7 +109,7 @@ _TRIAGE = SQL["j20_intake_triage"]
 def a15_state_report(hashes):
     from ..operators import governance
 
-    return c.state_report(governance.intake_triage(hashes, hashes.where("id % 50 = 7"), references.near_duplicates(hashes, 6)))
+    return c.state_report(governance.intake_triage(hashes, hashes.where("id % 50 = 7"), references.near_counts(hashes, 6)))
 
 
 SQL["a15_state_report"] = f"SELECT count(*) AS n, count(*) FILTER (WHERE starts_with(state, 'needs_')) AS pending, count(*) FILTER (WHERE state = 'exact_duplicate') AS exact, count(*) FILTER (WHERE state = 'near_duplicate') AS near, count(*) FILTER (WHERE state = 'withdrawn') AS withdrawn FROM ({_TRIAGE})"

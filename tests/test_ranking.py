@@ -125,6 +125,44 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert got == want
 
 
+def brute_near(rows, d):
+    """(copies, near_count, min_distance, first_near) of each (id, value)."""
+    first = {}
+    for k, v in rows:
+        first[v] = min(first.get(v, k), k)
+    out = {}
+    for k, v in rows:
+        near = [((v ^ w).bit_count(), first[w]) for _, w in rows if w != v and (v ^ w).bit_count() <= d]
+        out[k] = sum(w == v for _, w in rows) - 1, len(near), min((x for x, _ in near), default=None), min((x for _, x in near), default=None)
+    return out
+
+
+@pytest.mark.parametrize("d, block, tile, short", [(6, 1 << 14, 1 << 10, 64), (5, 20, 7, 3), (6, 50, 16, 1), (3, 30, 8, 4), (0, 16, 8, 4)])
+def test_near_counts_equal_all_pairs(spark, monkeypatch, d, block, tile, short):
+    for k, x in (("BLOCK", block), ("TILE", tile), ("SHORT", short)):
+        monkeypatch.setattr(references, k, x)
+    rng = random.Random(d)
+    base = [rng.getrandbits(64) for _ in range(30)] + [0, (1 << 64) - 1]
+    values = base + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 8))) for b in base[:6] for _ in range(25)]
+    values += [base[0] ^ rng.getrandbits(9) for _ in range(120)] + [base[1]] * 30
+    rng.shuffle(values)
+    rows = list(enumerate(values))
+    df = spark.createDataFrame([(k, v >> 32, v & 0xFFFFFFFF) for k, v in rows], "id long, hi long, lo long")
+    got = {r["id"]: tuple(r)[1:] for r in references.near_counts(df, d).collect()}
+    assert got == brute_near(rows, d)
+    assert references.near_counts(df.limit(0), d).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 10**5, 10**7, 10**9])
+def test_bands_leave_no_pair_out(n):
+    bands, choices = references._choices(6, n)
+    assert sum(bands) == (1 << 64) - 1
+    rng = random.Random(n)
+    for _ in range(500):
+        x = sum(1 << k for k in rng.sample(range(64), 6))
+        assert any(not x & sum(bands[k] for k in c) for c in choices)
+
+
 def test_causal_windows_with_a_hot_merchant(spark):
     random.seed(5)
     rows = [(k, random.randrange(50), random.choice(["A", "B"]), float(random.randrange(9)), f"C{random.randrange(6)}", random.choice(["M0", "M0", "C1", "M2"]), 0) for k in range(500)]
