@@ -178,6 +178,21 @@ def test_causal_windows_with_a_hot_merchant(spark):
         assert r["prior_1h_count"] == sum(x[1] >= s - 1 for x in prior) and r["prior_median"] == (float(np.median([x[3] for x in prior])) if prior else None)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 40])
+def test_medians_of_a_hot_initiator(spark, monkeypatch, hot_rows):
+    """One initiator has 90 % of the rows: its medians come from counts of values, dealt to parts by range."""
+    monkeypatch.setattr(causal, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(causal, "PART_ROWS", 60)
+    random.seed(6)
+    rows = [(k, random.randrange(0, 60, random.choice((1, 7))), None if k % 31 == 0 else random.choice([1.0, 2.0, random.random(), float(random.randrange(40))]), None if k % 50 == 1 else "H" if k % 10 else f"C{k % 4}") for k in range(700)]
+    tx = spark.createDataFrame(rows, "row_no long, step int, amount double, initiator_id string")
+    got = {(r["actor"], r["step"]): r["prior_median"] for r in causal.prior_medians(tx).collect()}
+    assert got.keys() == {(who, s) for _, s, _, who in rows}
+    for who, s in got:
+        prior = [a for _, t, a, w in rows if w == who and s - 24 <= t < s and a is not None]
+        assert got[who, s] == (pytest.approx(float(np.median(prior))) if prior else None)
+
+
 def test_thresholds_fall_back_in_both_ways(spark):
     scored = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.2)], "label int, score double")
     curve = evaluation.threshold_curve(scored)
