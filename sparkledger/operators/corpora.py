@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from hashlib import sha256
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from .ranking import running
-from .messages import RESIDUAL, SENSITIVE, sender_kind, tokenize_sensitive
+from .messages import OPEN, RESIDUAL, SENSITIVE, SHUT, bound, marked, sender_kind, tokenize_sensitive, unicode
 from .transactions import codes
 
 # What is replaced by placeholders, in order, as the reference has it: kind, pattern, and the group that is the value
@@ -36,54 +34,78 @@ PLACEHOLDERS = [
 ]
 # First words of a message that are no name.
 SALUTATIONS = ["hello", "yello", "y'ello", "congratulations"]
+_FIELDS = "array<struct<name: string, raw: string, placeholder: string>>"
 APPROVED = ["approved", "approved_with_edits"]
 #: In the order in which a label's missing splits are filled.
 SPLITS = ("test", "validation", "train")
 
 
 def numbered_placeholders(df: DataFrame, text: str = "text") -> DataFrame:
-    """clean (null stays null) and fields: the same value of a kind reuses its number; a last sweep replaces what is left of each."""
-    order = [(k, re.compile(p), g) for k, p, g in PLACEHOLDERS]
-
-    @F.pandas_udf("clean string, fields array<struct<name:string,raw:string,placeholder:string>>")
-    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([_numbered(t, order) for t in s], columns=["clean", "fields"])
-
-    return df.withColumn("__p", replaced(F.col(text))).select(*df.columns, "__p.clean", "__p.fields")
-
-
-def _numbered(text: str | None, order: list) -> tuple:
-    """The text with its placeholders, and what they stand for. A value keeps what stands around it in its match, except that
-    separators before a phone number become one space."""
-    if text is None:
-        return None, []
-    seen, fields, counts = {}, [], {}
-
-    def placeholder(kind: str, raw: str) -> str:
-        key = (kind, raw.casefold())
-        if key not in seen:
-            counts[kind] = counts.get(kind, 0) + 1
-            seen[key] = f"[{kind}_{counts[kind]:03d}]"
-            fields.append({"name": kind.lower(), "raw": raw, "placeholder": seen[key]})
-        return seen[key]
-
-    text = text.replace("\x00", " ").strip()
-    for kind, pattern, group in order:
-
-        def put(m: re.Match, kind: str = kind, group: int = group) -> str:
-            whole, (a, b) = m.group(0), m.span(group)
-            if kind == "ENTITY" and group == 1 and m.group(1).casefold() in SALUTATIONS:
-                return whole
-            value = m.group(group).strip() if group else whole
-            after = whole[b - m.start() :]
-            return whole[: a - m.start()] + placeholder(kind, value) + (" " if after and not after.strip(" ,\t\r\n") and m.re.groups == 1 else after)
-
-        text = pattern.sub(put, text)
-    for f in sorted(fields, key=lambda f: -len(f["raw"])):
-        if len(f["raw"].strip()) >= 3:
-            text = re.sub(re.escape(f["raw"]), f["placeholder"], text, flags=re.IGNORECASE)
-    return text, fields
+    """df with clean, fields and leaks: sensitive values replaced by numbered placeholders; null stays null, with no fields.
+
+    The patterns run one after the other over what the earlier ones left. A match becomes a span between two noncharacters,
+    at which the text is cut into pieces: every second one is a value. A value gets the number of its first occurrence
+    among those of its kind, in any case; the text is put together again from the pieces and the placeholders. In the end
+    whatever is left of a value of three characters or more is replaced too, longer values first; leaks is whether one is
+    left after all. All of it is built-in functions."""
+    start = F.trim(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\0"), F.lit(" ")))
+    state = F.struct(F.regexp_replace(start, unicode(r"^\s+|\s+$"), "").alias("clean"), F.array().cast(_FIELDS).alias("fields"))
+    d = _step(df, state)
+    for kind, pattern, group in PLACEHOLDERS:
+        d = _step(d, _replaced(F.col("__s"), kind, pattern, group))
+    d = _step(d, _swept(F.col("__s")))
+    there, names = F.col(text).isNotNull(), ["clean", "fields", "leaks"]
+    d = d.select(*(c for c in df.columns if c not in names), F.when(there, F.col("__s.clean")).alias("clean"), F.col("__s.fields").alias("fields"), _left(F.col("__s")).alias("leaks"))
+    return d
+
+
+def _step(d: DataFrame, state: Column) -> DataFrame:
+    """d with its state in __s, as a row of its own: the optimizer copies no step into the next."""
+    return d.select(*(c for c in d.columns if c != "__s"), F.inline(F.array(F.struct(state.alias("__s")))))
+
+
+def _replaced(s: Column, kind: str, pattern: str, group: int) -> Column:
+    """The state after one pattern: its matches' values numbered and replaced."""
+    n = re.compile(pattern).groups
+    if kind == "ENTITY" and pattern.startswith("^([A-Z]"):
+        pattern = rf"^(?!(?i:{'|'.join(SALUTATIONS)}),){pattern[1:]}"
+    value = f"{OPEN}${group}{SHUT}"
+    spaced = r"[\s,]+(?=" in pattern  # a name before a number: what parts them becomes one space
+    whole = "".join(value if k == group else f"${k}" for k in range(1, n + 1)) if group else value
+    to = whole + " " * spaced
+    new = F.regexp_replace(s["clean"], unicode(pattern), to) if group else marked(s["clean"], {"AMOUNT": "MONEY"}.get(kind, kind), pattern, to)
+
+    def numbered(pieces: Column) -> Column:
+        raw = lambda x: F.regexp_replace(x, unicode(r"^\s+|\s+$"), "") if group else x
+        values = F.transform(F.filter(pieces, lambda x, i: i % 2 == 1), raw)
+
+        def add(fields: Column, v: Column) -> Column:
+            of_kind = F.filter(fields, lambda f: f["name"] == kind.lower())
+            known = F.exists(of_kind, lambda f: F.lower(f["raw"]) == F.lower(v))
+            name = F.format_string(f"[{kind}_%03d]", F.size(of_kind) + 1)
+            one = F.struct(F.lit(kind.lower()).alias("name"), v.alias("raw"), name.alias("placeholder"))
+            return F.when(known, fields).otherwise(F.concat(fields, F.array(one)))
+
+        def rebuilt(fields: Column) -> Column:
+            own = lambda x: F.filter(fields, lambda f: (f["name"] == kind.lower()) & (F.lower(f["raw"]) == F.lower(raw(x))))
+            parts = F.transform(pieces, lambda x, i: F.when(i % 2 == 1, own(x)[0]["placeholder"]).otherwise(x))
+            return F.struct(F.array_join(parts, "").alias("clean"), fields.alias("fields"))
+
+        return bound(F.aggregate(values, s["fields"], add), rebuilt)
+
+    return bound(new, lambda t: F.when(F.contains(t, F.lit(OPEN)), numbered(F.split(t, f"[{OPEN}{SHUT}]"))).otherwise(s))
+
+
+def _swept(s: Column) -> Column:
+    """The state with what is left of each value replaced by its placeholder, longer values first."""
+    at = F.transform(F.filter(s["fields"], lambda f: F.length(F.trim(f["raw"])) >= 3), lambda f, i: F.struct((-F.length(f["raw"])).alias("n"), i.alias("i"), f.alias("f")))
+    literal = lambda x: F.concat(F.lit(r"(?iu)\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    put = lambda t, x: F.when(F.contains(F.lower(t), F.lower(x["f"]["raw"])), F.regexp_replace(t, literal(x["f"]["raw"]), x["f"]["placeholder"])).otherwise(t)
+    return F.struct(F.aggregate(F.array_sort(at), s["clean"], put).alias("clean"), s["fields"].alias("fields"))
+
+
+def _left(s: Column) -> Column:
+    return F.exists(s["fields"], lambda f: (F.length(F.trim(f["raw"])) >= 3) & F.contains(F.lower(s["clean"]), F.lower(f["raw"])))
 
 
 def mask_known_fields(df: DataFrame, text: str, values: str, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ SENSITIVE = [
     ("REFERENCE", r"(?<![A-Za-z0-9])(?=[A-Za-z0-9-]{8,}\b)(?=[A-Za-z0-9-]*\d)[A-Za-z0-9-]+"),
 ]
 # What every match of a kind holds one of, in lower case.
+KINDS = [k for k, _ in SENSITIVE]
 MARKS = {"URL": ["://", "www."], "EMAIL": ["@"], "MONEY": ["gh"]}
 # What a residual gate looks for besides e-mail, phone and money.
 RESIDUAL = [
@@ -23,6 +26,10 @@ RESIDUAL = [
     r"(?<!\d)(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?!\d)",
     r"\[[A-Z_]+_\d*\[",
 ]
+# Fixed value: a numbered placeholder.
+PLACEHOLDER = r"\[(?:ENTITY|URL|EMAIL|PHONE|AMOUNT|REFERENCE|REFERENCE_TEXT|TIMESTAMP)_\d{3}\]"
+#: Noncharacters that stand for a match, or for its ends, while a text is rewritten.
+MARK, OPEN, SHUT = "\ufdd0", "\ufdd1", "\ufdd2"
 # Identifier categories.
 CATEGORIES = [
     ("phone_number", r"(?<!\d)(?:\+?233|0)[235]\d{8}(?!\d)"),
@@ -47,26 +54,50 @@ def unicode(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+def marked(c: Column, kind: str, pattern: str, to: str) -> Column:
+    """c with the matches of a kind's pattern replaced by to, in one run of the pattern; texts without what all matches hold
+    are left out."""
+    new = F.regexp_replace(c, unicode(pattern), to)
+    if kind in MARKS:
+        return F.when(F.exists(F.array(*map(F.lit, MARKS[kind])), lambda x: F.contains(F.lower(c), x)), new).otherwise(c)
+    return F.when(c.rlike(unicode(r"\d")), new).otherwise(c)
+
+
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), lambda v: f(v)), 1)  # noqa: PLW0108  (f may have arguments with defaults)
+
+
 def tokenize_sensitive(df: DataFrame, text: str = "text") -> DataFrame:
     """Each kind replaced by its token, in order; counts are of the text as the earlier kinds left it.
 
-    A pattern runs only on texts that hold what all its matches hold, and replaces only where it was found."""
-    d, c, null = df.withColumn("clean", F.col(text)), F.col("clean"), F.lit(None).cast("long")
+    A pattern runs once a text: its matches become a mark that no text has (a noncharacter), which is counted and replaced."""
+    state = F.struct(F.col(text).alias("clean"))
     for kind, pattern in SENSITIVE:
-        n = f"n_{kind.lower()}"
-        count = F.regexp_count(c, F.lit(unicode(pattern))).cast("long")
-        if kind in MARKS:
-            marked = F.exists(F.array(*map(F.lit, MARKS[kind])), lambda x: F.contains(F.lower(c), x))
-            count = F.when(marked, count).otherwise(F.when(c.isNull(), null).otherwise(0))
-        d = d.withColumn(n, count)
-        d = d.withColumn("clean", F.when(F.col(n) > 0, F.regexp_replace(c, unicode(pattern), f"[{kind}]")).otherwise(c))
-    return d.select(*(k for k in d.columns if k != "clean"), "clean")
+
+        def step(s: Column, kind: str = kind, pattern: str = pattern) -> Column:
+            return bound(
+                marked(s["clean"], kind, pattern, MARK),
+                lambda m: F.struct(
+                    F.replace(m, F.lit(MARK), F.lit(f"[{kind}]")).alias("clean"),
+                    *(s[f"n_{k.lower()}"].alias(f"n_{k.lower()}") for k, _ in SENSITIVE[: KINDS.index(kind)]),
+                    (F.length(m) - F.length(F.replace(m, F.lit(MARK), F.lit("")))).cast("long").alias(f"n_{kind.lower()}"),
+                ),
+            )
+
+        state = bound(state, step)
+    names = [f"n_{k.lower()}" for k in KINDS]
+    own = [c for c in df.columns if c != "clean"]
+    d = df.select(*own, F.inline(F.array(state)).alias("clean", *names))
+    return d.select(*own, *names, "clean")
 
 
 def residual_gate(df: DataFrame, text: str = "clean") -> DataFrame:
-    """The rows that still hold a sensitive value or a one-time code."""
+    """The rows of cleaned text that still hold an e-mail address, a phone number, money, a one-time code, an address, a date or
+    a time, or a broken placeholder. Links and long references are no part of it."""
+    kinds = dict(SENSITIVE)
     hit = F.lit(False)
-    for p in [*(p for _, p in SENSITIVE), *RESIDUAL, SECRET]:
+    for p in [kinds["EMAIL"], kinds["PHONE"], kinds["MONEY"], *RESIDUAL, SECRET]:
         hit = hit | F.col(text).rlike(unicode(p))
     return df.where(hit)
 
@@ -89,13 +120,14 @@ def message_category(c: Column) -> Column:
 
 
 def template_text(c: Column) -> Column:
-    out = F.regexp_replace(c, r"\[[A-Z_0-9]+\]", "[VALUE]")
-    out = F.regexp_replace(F.lower(out), r"[0-9]+(?:[.,][0-9]+)*", "[NUMBER]")
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+    """Placeholders as [VALUE], numbers that are words as [NUMBER], lower case, single spaces."""
+    out = F.regexp_replace(c, PLACEHOLDER, "[VALUE]")
+    out = F.regexp_replace(F.lower(out), unicode(r"\b\d+\b"), "[NUMBER]")
+    return F.trim(F.regexp_replace(out, unicode(r"\s+"), " "))
 
 
 def template_group(c: Column) -> Column:
-    return F.concat(F.lit("TPL-"), F.upper(F.substring(F.sha2(template_text(c), 256), 1, 12)))
+    return F.concat(F.lit("GHMSGGROUP_"), F.upper(F.substring(F.sha2(template_text(c), 256), 1, 24)))
 
 
 def sender_kind(c: Column) -> Column:

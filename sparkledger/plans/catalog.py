@@ -644,11 +644,20 @@ def a24_candidate_sources(pages):
     return governance.candidate_source_report(pages)
 
 
-# That engine cannot look around: where a pattern only has to be found, it consumes its neighbours instead. The reference
-# pattern, a token of eight signs with a digit, is left to tests; every message of the view has an amount anyway.
-_FOUND = [p.replace(r"(?<!\d)", "(?:^|[^0-9])").replace(r"(?!\d)", "(?:[^0-9]|$)") for p in [*(p for k, p in messages.SENSITIVE if k != "REFERENCE"), *messages.RESIDUAL, messages.SECRET]]
+# That engine cannot look around: where a pattern only has to be found, it consumes its neighbours instead.
+_GATE = [p for k, p in messages.SENSITIVE if k in ("EMAIL", "PHONE", "MONEY")]
+_FOUND = [p.replace(r"(?<!\d)", "(?:^|[^0-9])").replace(r"(?!\d)", "(?:[^0-9]|$)") for p in [*_GATE, *messages.RESIDUAL, messages.SECRET]]
 _CUES = " OR ".join(f"contains(lower(text), '{c}')" for c in messages.CUES)
-_TEMPLATE = "trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '\\[[A-Z_0-9]+\\]', '[VALUE]', 'g')), '[0-9]+(?:[.,][0-9]+)*', '[NUMBER]', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
+# A text of the view with numbered placeholders, and some that are none.
+_PLACED = (
+    "'[AMOUNT_001] to [ENTITY_' || lpad(CAST(record_id % 7 AS {0}), 3, '0') || '] [SHOP_001] [PHONE_12] ' || CAST(record_id AS {0}) || ' x' || CAST(record_id % 5 AS {0})"
+    " || '  1.5 ' || chr(9) || '[REFERENCE_TEXT_004] ' || text"
+)
+_PLACEHOLDER = messages.PLACEHOLDER.replace("\\d", "[0-9]")
+
+
+def _template(text: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(regexp_replace({text}, '{_PLACEHOLDER}', '[VALUE]', 'g')), '\b[0-9]+\b', '[NUMBER]', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(None, "msgs")
@@ -656,9 +665,17 @@ def m1_tokenize_sensitive(msgs):
     return messages.tokenize_sensitive(msgs).select("record_id", *(f"n_{k.lower()}" for k, _ in messages.SENSITIVE), "clean")
 
 
-@query("SELECT record_id FROM msgs WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for p in _FOUND), "msgs")
-def m4_residual_gate(msgs):
-    return messages.residual_gate(msgs, "text").select("record_id")
+@query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for p in _FOUND), "documents")
+def m4_residual_gate(documents):
+    return messages.residual_gate(documents, "text").select("doc_id")
+
+
+@query(None, "msgs")
+def m4_cleaned_gate(msgs):
+    """What is left in the messages after their placeholders."""
+    from ..operators import corpora
+
+    return messages.residual_gate(corpora.numbered_placeholders(msgs.select("record_id", "text"))).select("record_id")
 
 
 @query(None, "msgs")
@@ -676,15 +693,17 @@ def m7_message_category(msgs):
     return msgs.select("record_id", messages.message_category(F.col("text")).alias("category"))
 
 
-@query(f"SELECT record_id, 'TPL-' || upper(substr(sha256({_TEMPLATE}), 1, 12)) AS template FROM msgs", "msgs")
+@query(f"SELECT record_id, 'GHMSGGROUP_' || upper(substr(sha256({_template(_PLACED.format('VARCHAR'))}), 1, 24)) AS template FROM msgs", "msgs")
 def m8_plain_template(msgs):
-    """The template of the text as it is; that of the text with its tokens is m8_template_group."""
-    return msgs.select("record_id", messages.template_group(F.col("text")).alias("template"))
+    """The template of a text with placeholders of its own; that of the text as it is cleaned is m8_template_group."""
+    return msgs.select("record_id", messages.template_group(F.expr(_PLACED.format("STRING"))).alias("template"))
 
 
 @query(None, "msgs")
 def m8_template_group(msgs):
-    return messages.tokenize_sensitive(msgs).select("record_id", messages.template_group(F.col("clean")).alias("template"))
+    from ..operators import corpora
+
+    return corpora.numbered_placeholders(msgs.select("record_id", "text")).select("record_id", messages.template_group(F.col("clean")).alias("template"))
 
 
 @query("SELECT provider_family, min(record_id) AS first_id, count(*) AS occurrences FROM msgs GROUP BY provider_family, lower(text)", "msgs")

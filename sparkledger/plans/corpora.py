@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import corpora as c
 from ..operators import messages, references
-from .catalog import _CUES, _TEMPLATE, SQL, query
+from .catalog import _CUES, SQL, _template, query
 
 
 @query(None, "msgs")
 def m2_numbered_placeholders(msgs):
     d = c.numbered_placeholders(msgs.select("record_id", "text"))
-    return d.select("record_id", F.sha2("clean", 256).alias("clean_sha256"), F.size("fields").alias("n_fields"))
+    return d.select("record_id", F.sha2("clean", 256).alias("clean_sha256"), F.size("fields").alias("n_fields"), "leaks")
 
 
 _VALUES = ["'SHOP ' || CAST(record_id % 97 AS STRING)", "'SHOP'", "CASE WHEN record_id % 9 = 0 THEN 'never found' ELSE 'Payment' END"]
@@ -116,7 +116,7 @@ SQL["a15_state_report"] = f"SELECT count(*) AS n, count(*) FILTER (WHERE starts_
 
 
 @query(
-    f"+ d AS (SELECT text, provider_family, regexp_matches(text, '{messages.SECRET}') AS x, {_CUES} AS q, {_TEMPLATE} AS g FROM msgs) SELECT count(*) AS raw, count(*) FILTER (WHERE x) AS excluded, count(DISTINCT lower(text)) FILTER (WHERE NOT x) AS deduplicated, count(DISTINCT g) FILTER (WHERE NOT x) AS template_groups, count(DISTINCT provider_family) AS providers, count(*) FILTER (WHERE NOT x AND q) AS confirmations FROM d",
+    f"+ d AS (SELECT text, provider_family, regexp_matches(text, '{messages.SECRET}') AS x, {_CUES} AS q, {_template('text')} AS g FROM msgs) SELECT count(*) AS raw, count(*) FILTER (WHERE x) AS excluded, count(DISTINCT lower(text)) FILTER (WHERE NOT x) AS deduplicated, count(DISTINCT g) FILTER (WHERE NOT x) AS template_groups, count(DISTINCT provider_family) AS providers, count(*) FILTER (WHERE NOT x AND q) AS confirmations FROM d",
     "msgs",
 )
 def a16_corpus_report(msgs):
