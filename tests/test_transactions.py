@@ -1,5 +1,7 @@
 """Causal windows, splits, sources and streams on small literal rows, and every catalog query against DuckDB."""
 
+import shutil
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,8 @@ def test_stream_with_a_hot_actor_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.processAllAvailable()
     q.stop()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert held[-1] < 20 < max(held) < 400  # 400 rows are sent, and as many received; steps are forgotten once they are passed
     names = [c for c in streams._NAMES if c != "initiator_id"]
     show = lambda v: round(v, 9) if isinstance(v, float) else v
     got = {r["row_no"]: tuple(show(r[c]) for c in names) for r in spark.table("hot").collect()}
@@ -141,6 +145,19 @@ def test_streamed_statistics_deduplication_and_late_rows(spark, tx, tmp_path):
     assert late == [2] and sorted(ok) == [1, 2, 3, 4, 5, 6, 99]
 
 
+def test_late_rows_of_batches_run_again(spark, tmp_path):
+    """A batch reads nothing but the step before it, and gives the same when it is run again."""
+    act = streams.late_aside(*(str(tmp_path / x) for x in ("ok", "late", "progress")))
+    batches = [spark.createDataFrame([(s,) for s in steps], "step int") for steps in ([3, 5, 4], [4, 6, 5], [], [5, 6, 9], [8, 9])]
+    for k in (0, 1, 1, 2, 2, 3, 3, 4):
+        act(batches[k], k)
+        if k == 3:
+            shutil.rmtree(tmp_path / "ok/batch=0", ignore_errors=True)
+    rows = lambda x, k: sorted(r["step"] for r in spark.read.schema("step int").parquet(str(tmp_path / f"{x}/batch={k}")).collect())
+    assert [rows("ok", k) for k in (1, 2, 3, 4)] == [[5, 6], [], [6, 9], [9]] and [rows("late", k) for k in range(5)] == [[], [4], [], [5], [8]]
+    assert sorted(x.name for x in (tmp_path / "progress").iterdir()) == ["batch=3", "batch=4"]
+
+
 def test_publish_writes_once(spark, tx, tmp_path):
     tables.publish(tx, str(tmp_path / "p"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
