@@ -13,7 +13,11 @@ corpus is scored, over its whole text, in one pass without a shuffle.
 Defined results: a null or empty text has no features and gets the score of the intercept; labelled rows without a
 toxic mark or without a document are not used; a labelled id that repeats in documents counts once, with the least of
 its texts; without rows of both classes the score is the smoothed share of toxic rows; repeated rows each get their
-own result row; an empty table gives an empty result; the score reads text only.
+own result row; an empty table gives an empty result; the score reads text only, whole and of any length, so that equal texts
+score alike; columns other than doc_id and text are not read. Rows of equal hash are sampled in the order of their ids.
+
+The constants of the fit were chosen by folds of the training rows, without the held-out fold
+(tests/llm/choose_toxicity_constants.py).
 """
 
 from __future__ import annotations
