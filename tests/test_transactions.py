@@ -1,5 +1,6 @@
 """Causal windows, splits, sources and streams on small literal rows, and every catalog query against DuckDB."""
 
+import json
 import shutil
 
 import duckdb
@@ -67,13 +68,23 @@ def test_sources(spark, tx, tmp_path):
     assert sorted((x["provider_code"], x["malformed"]) for x in r.collect()) == [("A", False), ("B", True)]
     (tmp_path / "m.xml").write_text('<smses count="2"><sms address="A" body="x" type="1" date="1000"/><sms address="B" body="y" type="1" date="2000"/></smses>')
     assert tables.read_sms_backup(spark, str(tmp_path / "m.xml")).count() == 2
-    (tmp_path / "w.json").write_text('{"schema_version": "1", "entries": [{"participant_id_hash": "p", "scope": "all", "status": "active"}]}')
-    assert tables.read_withdrawal_ledger(spark, str(tmp_path / "w.json")).first()["participant_id_hash"] == "p"
+    entry = {"participant_id_hash": "a" * 64, "withdrawn_at": "2024-01-02T10:20:30Z", "scope": "future_processing_only", "status": "completed", "request_reference": "R1"}
+    ledger = lambda *entries, version="withdrawal-ledger-v1": (tmp_path / "w.json").write_text(json.dumps({"schema_version": version, "entries": list(entries)}))
+    ledger(entry, entry | {"participant_id_hash": "b" * 64, "withdrawn_at": "2024-01-02T10:20:30+02:00"})
+    assert {tuple(r)[:3:2] for r in tables.read_withdrawal_ledger(spark, str(tmp_path / "w.json")).collect()} == {("a" * 64, "future_processing_only"), ("b" * 64, "future_processing_only")}
+    odd = [{"participant_id_hash": "A" * 64}, {"withdrawn_at": "yesterday"}, {"withdrawn_at": "2024-13-02T10:20:30Z"}, {"scope": "all"}, {"status": "active"}, {"request_reference": " "}, {"more": "x"}]
+    for change in [entry | x for x in odd] + [{k: v for k, v in entry.items() if k != "status"}, entry]:
+        ledger(entry, change if change is entry else change | {"participant_id_hash": change["participant_id_hash"].replace("a", "c")})
+        with pytest.raises(ValueError, match="break a rule"):
+            tables.read_withdrawal_ledger(spark, str(tmp_path / "w.json"))
+    ledger(entry, version="1")
+    with pytest.raises(ValueError, match="withdrawal-ledger-v1"):
+        tables.read_withdrawal_ledger(spark, str(tmp_path / "w.json"))
     parted = tx.withColumn("partition", F.when(F.col("step") < 20, "train").otherwise("test")).withColumn("source_row_id", F.col("row_no").cast("string"))
     tables.write_feature_dataset(parted, str(tmp_path / "d"), ["amount", "step"], "label_is_fraud", ["dataset"] if "dataset" in parted.columns else ["row_no"])
-    assert tables.load_partition(spark, str(tmp_path / "d/features"), "train", ["source_row_id", "amount", "step"]).count() == 4
+    assert tables.load_partition(spark, str(tmp_path / "d"), "train", ["source_row_id", "amount", "step"]).count() == 4
     with pytest.raises(PermissionError):
-        tables.load_partition(spark, str(tmp_path / "d/features"), "test")
+        tables.load_partition(spark, str(tmp_path / "d"), "test")
     a, b = (tables.content_fingerprint(x, ["row_no"]).first() for x in (tx, tx.orderBy(F.desc("row_no"))))
     assert a == b != tables.content_fingerprint(tx.limit(3), ["row_no"]).first()
 
@@ -159,10 +170,38 @@ def test_late_rows_of_batches_run_again(spark, tmp_path):
 
 
 def test_publish_writes_once(spark, tx, tmp_path):
-    tables.publish(tx, str(tmp_path / "p"))
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        tables.publish(tx, str(tmp_path / "p"))
-    assert (tmp_path / "p/_SUCCESS").exists() and spark.read.parquet(str(tmp_path / "p")).count() == tx.count()
+    at = str(tmp_path / "p")
+    tables.publish(tx, at)
+    with pytest.raises(FileExistsError):
+        tables.publish(tx, at)
+    assert tables.read_published(spark, at).count() == tx.count()
+
+
+def test_a_writer_that_dies_is_invisible(spark, tx, tmp_path, monkeypatch):
+    root, parted = str(tmp_path / "g"), tx.withColumns({"partition": F.lit("train"), "source_row_id": F.col("row_no").cast("string")})
+    write = lambda: tables.write_feature_dataset(parted, root, ["amount"], "label_is_fraud", ["row_no"])
+    compared = []
+
+    def dies(*x):
+        compared.append(x)
+        if len(compared) == 3:
+            raise RuntimeError("died between the writes")
+        return fingerprint(*x)
+
+    fingerprint = tables.content_fingerprint
+    monkeypatch.setattr(tables, "content_fingerprint", dies)
+    with pytest.raises(RuntimeError):
+        write()
+    with pytest.raises(FileNotFoundError):
+        tables.load_partition(spark, root, "train")
+    monkeypatch.setattr(tables, "content_fingerprint", lambda *x: spark.createDataFrame([(len(compared), len(compared))], "a int, b int") if compared.append(x) is None else None)
+    with pytest.raises(ValueError, match="not written"):
+        write()
+    monkeypatch.setattr(tables, "content_fingerprint", fingerprint)
+    write()
+    assert all(tables.load_partition(spark, root, "train", dataset=d).count() == tx.count() for d in ("features", "labels", "provenance"))
+    with pytest.raises(FileExistsError):
+        write()
 
 
 @pytest.fixture(scope="module")
