@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import running
@@ -163,28 +163,114 @@ def report_summary(report: DataFrame) -> DataFrame:
     return report.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(recall, 6).alias("balanced_accuracy"), F.sum("support").alias("n_rows"))
 
 
-def risk_policy(e: DataFrame) -> DataFrame:
-    """The band by a fixed order of evidence, and the reason that set it.
-
-    e: critical_mismatch, structured_class, image_tampered, incomplete."""
-    low = F.col("structured_class") == "GENUINE"
-    cases = [
-        (F.col("critical_mismatch"), "HIGH", "CRITICAL_MISMATCH"),
-        (F.col("structured_class") == "FRAUDULENT", "HIGH", "STRUCTURED_FRAUDULENT"),
-        (F.col("image_tampered") >= 0.85, "HIGH", "IMAGE_TAMPERED"),
-        (low & F.col("incomplete"), "INCONCLUSIVE", "INCOMPLETE_FIELDS"),
-        (F.col("structured_class") == "SUSPICIOUS", "MEDIUM", "STRUCTURED_SUSPICIOUS"),
-        (low, "LOW", "STRUCTURED_GENUINE"),
+# The policy, and the reasons that it gives: code, title and severity.
+CRITICAL_FIELDS = {"amount": "Amount differs from the stored record", "transaction_reference": "Transaction reference differs from the stored record"}
+CLASS_BANDS = {"GENUINE": "low_risk", "SUSPICIOUS": "medium_risk", "FRAUDULENT": "high_risk"}
+IMAGE_HIGH = 0.85
+CLASS_REASONS = {
+    "GENUINE": ("STRUCTURED_MODEL_LOW_RISK", "The accepted structured model emitted its low-risk class", "LOW"),
+    "SUSPICIOUS": ("STRUCTURED_MODEL_MEDIUM_RISK", "The accepted structured model emitted its review class", "MEDIUM"),
+    "FRAUDULENT": ("STRUCTURED_MODEL_HIGH_RISK", "The accepted structured model emitted its high-risk class", "HIGH"),
+}
+IMAGE_REASON = ("IMAGE_MODEL_TAMPER_THRESHOLD_EXCEEDED", "The accepted image model found manipulation indicators", "HIGH")
+INSUFFICIENT = ("INSUFFICIENT_EVIDENCE", "Available evidence cannot support a fraud-risk conclusion", "INFORMATIONAL")
+RISK_CLASSES = {"low_risk": "LOW", "medium_risk": "MEDIUM", "high_risk": "HIGH"}
+REASONS = "array<struct<code: string, title: string, severity: string>>"
+
+
+def _reason(code: str, title: str, severity: str) -> Column:
+    return F.struct(F.lit(code).alias("code"), F.lit(title).alias("title"), F.lit(severity).alias("severity"))
+
+
+def _distinct_reasons(c: Column) -> Column:
+    """Each code once, in the order of their last places, with the title and severity of its first."""
+    last = F.filter(c, lambda x, i: ~F.exists(F.slice(c, i + 2, F.size(c)), lambda y: y["code"] == x["code"]))
+    return F.transform(last, lambda x: F.filter(c, lambda y: y["code"] == x["code"])[0])
+
+
+def risk_policy(evidence: DataFrame) -> DataFrame:
+    """evidence with band, risk_class, status, score, reasons, missing_signals and limitations, by a fixed order of evidence that is
+    never averaged (score is null).
+
+    evidence has critical_mismatches (array of field names), structured_available, structured_class and structured_reasons,
+    image_available, image_class, image_score and image_reasons (arrays of codes: why a model is not available),
+    fields_complete, verification_status, semantic_reasons and image_signals (arrays of code, title, severity) and
+    corrected_fields (array). Nulls are empty lists and false. The first rule that holds sets the band:
+
+    a critical field differs from the stored record; the structured model says FRAUDULENT; the image model says tampered at
+    IMAGE_HIGH or more; the structured model has a class, unless that is the low one and fields are not complete; nothing.
+    The rule's reasons come before the semantic and the image ones. A status is COMPLETED where a conclusion had both models,
+    PARTIAL otherwise. A mismatch of a field that the policy does not name makes the row's status INPUT_INVALID, without a
+    band and with empty lists."""
+    none, no_reasons = F.array().cast("array<string>"), F.array().cast(REASONS)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    words = lambda c: F.coalesce(F.col(c), none)
+    own = lambda c: F.coalesce(F.col(c).cast(REASONS), no_reasons)
+    one = lambda when, v: F.when(when, F.array(v)).otherwise(F.array().cast("array<string>"))
+    mismatches = words("critical_mismatches")
+    mismatch_reasons = F.filter(
+        F.array(*(F.when(F.array_contains(mismatches, f), _reason(f"REFERENCE_{f.upper()}_MISMATCH", title, "HIGH")) for f, title in CRITICAL_FIELDS.items())), lambda x: x.isNotNull()
+    )
+    cls = F.when(yes("structured_available"), F.col("structured_class"))
+    class_reason = F.lit(None).cast("struct<code: string, title: string, severity: string>")
+    for k, r in CLASS_REASONS.items():
+        class_reason = F.when(cls == k, _reason(*r)).otherwise(class_reason)
+    band_of = F.lit(None).cast("string")
+    for k, b in CLASS_BANDS.items():
+        band_of = F.when(cls == k, b).otherwise(band_of)
+    tampered = yes("image_available") & F.coalesce((F.col("image_class") == "tampered") & (F.col("image_score") >= IMAGE_HIGH), F.lit(False))
+    incomplete = (band_of == "low_risk") & ~yes("fields_complete")
+    nothing = "CONCLUSIVE_MODEL_EVIDENCE_UNAVAILABLE"
+    low_open = "CRITICAL_OCR_FIELDS_INCOMPLETE"
+    rules = [  # condition, band, reasons, the signal that is missing
+        (F.size(mismatches) > 0, F.lit("high_risk"), mismatch_reasons, None),
+        (cls == "FRAUDULENT", F.lit("high_risk"), F.array(class_reason), None),
+        (tampered, F.lit("high_risk"), F.array(_reason(*IMAGE_REASON)), None),
+        (incomplete, F.lit("inconclusive"), F.array(_reason(*INSUFFICIENT)), low_open),
+        (band_of.isNotNull(), band_of, F.array(class_reason), None),
+        (F.lit(True), F.lit("inconclusive"), F.array(_reason(*INSUFFICIENT)), nothing),
     ]
-    band, reason = F.lit("INCONCLUSIVE"), F.lit("NO_DECISIVE_SIGNAL")
-    for when, b, r in reversed(cases):
-        band, reason = F.when(when, b).otherwise(band), F.when(when, r).otherwise(reason)
-    return e.withColumns({"band": band, "reason": reason})
+    band, primary, missing = F.lit(None).cast("string"), no_reasons, F.lit(None).cast("string")
+    for when, b, reasons, signal in reversed(rules):
+        when = F.coalesce(when, F.lit(False))
+        band, primary, missing = F.when(when, b).otherwise(band), F.when(when, reasons).otherwise(primary), F.when(when, F.lit(signal).cast("string")).otherwise(missing)
+    invalid = F.exists(mismatches, lambda x: ~x.isin(list(CRITICAL_FIELDS)))
+    unavailable = F.concat(F.when(~yes("image_available"), words("image_reasons")).otherwise(none), F.when(~yes("structured_available"), words("structured_reasons")).otherwise(none))
+    open_ = F.col("band") == "inconclusive"
+    signals = F.concat(
+        one(F.col("__m").isNotNull(), F.col("__m")), one(open_ & ~yes("fields_complete"), F.lit(low_open)), one(open_ & F.coalesce(F.col("verification_status") == "UNVERIFIED", F.lit(False)), F.lit("REFERENCE_RECORD_UNAVAILABLE")), unavailable
+    )
+    limits = F.array_compact(
+        F.array(
+            F.when(F.col("verification_status") == "VERIFIED", "STORED_REFERENCE_MATCH_NOT_AUTHENTICITY"),
+            F.when(F.size(own("image_signals")) > 0, "DETERMINISTIC_IMAGE_SUPPORTING_ONLY"),
+            F.when(F.size(words("corrected_fields")) > 0, "CORRECTED_LOW_CONFIDENCE_FIELDS"),
+        )
+    )
+    risk_class = F.lit(None).cast("string")
+    for b, k in RISK_CLASSES.items():
+        risk_class = F.when(F.col("band") == b, k).otherwise(risk_class)
+    both = yes("image_available") & yes("structured_available")
+    d = evidence.withColumns({"__x": invalid, "__m": missing, "__r": F.concat(primary, own("semantic_reasons"), own("image_signals"))})
+    d = d.withColumn("band", F.when(~F.col("__x"), band))
+    valid = lambda c, empty: F.when(F.col("__x"), empty).otherwise(c)
+    return d.withColumns(
+        {
+            "risk_class": risk_class,
+            "status": F.when(F.col("__x"), "INPUT_INVALID").when(both & ~open_, "COMPLETED").otherwise("PARTIAL"),
+            "score": F.lit(None).cast("double"),
+            "reasons": valid(_distinct_reasons(F.col("__r")), no_reasons),
+            "missing_signals": valid(F.array_distinct(signals), none),
+            "limitations": valid(limits, none),
+        }
+    ).drop("__x", "__m", "__r")
 
 
 def evaluate_rules(facts: DataFrame, rules: DataFrame, review: float = 35, block: float = 70) -> DataFrame:
-    """facts (id, fact) against rules (rule_code, fact, contribution): the sum of triggered contributions and its band."""
-    hit = facts.join(F.broadcast(rules), "fact").groupBy("id").agg(F.sum("contribution").alias("score"), F.array_join(F.array_sort(F.collect_set("rule_code")), ",").alias("rules"))
+    """facts (id, fact) against rules (rule_code, fact, contribution): the sum of triggered contributions and its band.
+
+    The rules' size decides whether they are broadcast."""
+    hit = facts.join(rules, "fact").groupBy("id").agg(F.sum("contribution").alias("score"), F.array_join(F.array_sort(F.collect_set("rule_code")), ",").alias("rules"))
     return hit.withColumn("outcome", F.when(F.col("score") >= block, "BLOCK").when(F.col("score") >= review, "REVIEW").otherwise("PASS"))
 
 

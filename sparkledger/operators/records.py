@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
@@ -46,16 +46,107 @@ def canonicalize_references(df: DataFrame) -> DataFrame:
     return d.withColumn("errors", F.array_join(codes(**{f"{c.upper()}_INVALID": F.col(c).isNull() for c in need}), ","))
 
 
-def check_feature_contract(df: DataFrame, key: str, spec: list[tuple[str, float, float, bool]]) -> DataFrame:
-    """(key, feature, code): values that are null, not finite or outside of [low, high]; spec has (feature, low, high, nullable)."""
-
-    def code(f: str, low: float, high: float, nullable: bool) -> Column:
-        v = F.col(f).cast("double")
-        null = F.lit(None) if nullable else F.lit("NULL_NOT_ALLOWED")
-        return F.when(v.isNull(), null).when(F.isnan(v) | F.abs(v).isin(float("inf")), "NOT_FINITE").when((v < low) | (v > high), "OUT_OF_RANGE")
-
-    rows = F.array(*(F.struct(F.lit(s[0]).alias("feature"), code(*s).alias("code")) for s in spec))
-    return df.select(key, F.explode(F.filter(rows, lambda x: x["code"].isNotNull())).alias("x")).select(key, "x.feature", "x.code")
+# The features of the evidence model in their order. Numbers: (name, minimum, maximum, whether null is allowed).
+NUMERIC_FEATURES = [
+    ("ocr_required_field_coverage", 0, 1, False),
+    ("ocr_mean_confidence", 0, 1, False),
+    ("ocr_min_critical_confidence", 0, 1, False),
+    ("ocr_provider_confidence", 0, 1, False),
+    ("critical_correction_count", 0, 20, False),
+    ("total_correction_count", 0, 50, False),
+    ("transaction_reference_valid", 0, 1, False),
+    ("amount_valid", 0, 1, False),
+    ("phone_valid", 0, 1, False),
+    ("timestamp_valid", 0, 1, False),
+    ("status_text_consistent", 0, 1, False),
+    ("ocr_text_density", 0, 1, False),
+    ("template_anchor_coverage", 0, 1, False),
+    ("blur_variance", 0, 100000, False),
+    ("contrast_stddev", 0, 255, False),
+    ("aspect_ratio_deviation", 0, 5, False),
+    ("crop_proximity", 0, 1, False),
+    ("metadata_inconsistency_count", 0, 20, False),
+    ("ela_mean", 0, 255, False),
+    ("ela_p95", 0, 255, False),
+    ("noise_regional_cv", 0, 10, False),
+    ("text_baseline_deviation", 0, 2, False),
+    ("text_size_cv", 0, 10, False),
+    ("exact_duplicate_count", 0, 1000, False),
+    ("nearest_phash_distance", 0, 64, True),
+    ("cnn_tamper_probability", 0, 1, True),
+    ("cnn_available", 0, 1, False),
+    ("reference_candidate_found", 0, 1, False),
+    ("amount_match", 0, 1, True),
+    ("currency_match", 0, 1, True),
+    ("phone_match", 0, 1, True),
+    ("name_similarity", 0, 1, True),
+    ("timestamp_difference_minutes", 0, 525600, True),
+    ("reference_status_match", 0, 1, True),
+    ("verification_mismatch_count", 0, 10, False),
+    ("reused_reference_count", 0, 1000, False),
+    ("nearest_phash_missing", 0, 1, False),
+    ("cnn_probability_missing", 0, 1, False),
+    ("reference_comparison_missing", 0, 1, False),
+    ("name_similarity_missing", 0, 1, False),
+    ("timestamp_difference_missing", 0, 1, False),
+]
+# The categories of the others, none of which may be null.
+CATEGORICAL_FEATURES = {
+    "provider_code": ["GENERIC_MOMO", "UNKNOWN", "OTHER_AUTHORISED"],
+    "template_code": ["GENERIC_V1", "UNKNOWN", "OTHER_AUTHORISED"],
+    "verification_status": ["VERIFIED", "UNVERIFIED", "MISMATCH"],
+    "image_evidence_status": ["AVAILABLE", "PARTIAL", "UNAVAILABLE"],
+    "ocr_engine_status": ["AVAILABLE", "DEGRADED", "UNAVAILABLE"],
+}
+# Columns that must not reach a model.
+FORBIDDEN_FEATURES = [
+    "final_case_decision", "final_risk_class", "label", "name", "phone", "raw_name", "raw_ocr_text", "raw_phone", "raw_reference", "reference", "reviewer_decision", "user_id",
+]
+_SPEC = "feature string, low double, high double, nullable boolean, categories array<string>"
+
+
+def feature_contract(spark: SparkSession, numeric: list[tuple] = NUMERIC_FEATURES, categorical: dict[str, list[str]] = CATEGORICAL_FEATURES) -> DataFrame:
+    """The contract as a table: a row for each feature, with categories where it is categorical."""
+    rows = [(f, float(low), float(high), nullable, None) for f, low, high, nullable in numeric]
+    return spark.createDataFrame(rows + [(f, None, None, False, c) for f, c in categorical.items()], _SPEC)
+
+
+def check_feature_contract(df: DataFrame, key: str, contract: DataFrame | None = None, forbidden: list[str] = FORBIDDEN_FEATURES) -> DataFrame:
+    """(key, feature, code) of what breaks a contract (feature_contract; the evidence model's, if none is given).
+
+    A column that is forbidden, unknown or missing is a violation with a null key. Each value is a row that meets its feature's
+    row of the contract: NULL_NOT_ALLOWED, NOT_NUMERIC (by the column's type, booleans too), NOT_FINITE, BELOW_MINIMUM,
+    ABOVE_MAXIMUM, NOT_IN_CATEGORIES (another type than text too). The contract is a small table (its names are read)."""
+    contract = feature_contract(df.sparkSession) if contract is None else contract
+    names = [r["feature"] for r in contract.select("feature").collect()]
+    kinds = dict(df.dtypes)
+    number = lambda c: kinds[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    columns = [c for c in df.columns if c != key]
+    odd = [(c, "FORBIDDEN_FEATURE") for c in columns if c in forbidden] + [(c, "UNKNOWN_FEATURE") for c in columns if c not in names and c not in forbidden]
+    odd += [(c, "MISSING_FEATURE") for c in names if c not in columns]
+    value = lambda c: F.struct(
+        F.lit(c).alias("feature"),
+        (F.col(c).cast("double") if number(c) else F.lit(None).cast("double")).alias("number"),
+        (F.col(c) if kinds[c] == "string" else F.lit(None).cast("string")).alias("word"),
+        F.col(c).isNull().alias("null"),
+        F.lit(number(c)).alias("numeric"),
+    )
+    given = [c for c in columns if c in names]
+    long = df.select(key, F.explode(F.array(*map(value, given))).alias("x")).select(key, "x.*") if given else None
+    schema = f"{key} {kinds[key]}, feature string, code string"
+    out = df.sparkSession.createDataFrame([(None, c, code) for c, code in odd], schema)
+    if long is None:
+        return out
+    x, categorical = F.col("number"), F.col("categories").isNotNull()
+    code = (
+        F.when(F.col("null"), F.when(~F.col("nullable"), "NULL_NOT_ALLOWED"))
+        .when(categorical, F.when(~F.coalesce(F.array_contains("categories", F.col("word")), F.lit(False)), "NOT_IN_CATEGORIES"))
+        .when(~F.col("numeric"), "NOT_NUMERIC")
+        .when(F.isnan(x) | (F.abs(x) == float("inf")), "NOT_FINITE")
+        .when(x < F.col("low"), "BELOW_MINIMUM")
+        .when(x > F.col("high"), "ABOVE_MAXIMUM")
+    )
+    return long.join(F.broadcast(contract), "feature").select(key, "feature", code.alias("code")).where("code IS NOT NULL").unionByName(out)
 
 
 def evidence_signals(df: DataFrame, key: str, thresholds: list[tuple[str, str, float, str]]) -> DataFrame:
@@ -124,17 +215,6 @@ def manifest_rules(df: DataFrame, private: Column) -> DataFrame:
     return df.select("sample_id", F.explode(broken).alias("code"))
 
 
-def missing_signals(runs: DataFrame, key: str) -> DataFrame:
-    """(key, missing, limitations): ordered lists without repeats, comma-joined; models come as <model>_reasons, null if available."""
-    none = F.array().cast("array<string>")
-    missing = F.array_distinct(F.concat(F.coalesce("image_reasons", none), F.coalesce("structured_reasons", none)))
-    verified = F.coalesce(F.col("verification_status") == "VERIFIED", F.lit(False))
-    limits = F.array_compact(
-        F.array(F.when(verified, "STORED_REFERENCE_MATCH_NOT_AUTHENTICITY"), F.when(F.col("n_image_signals") > 0, "DETERMINISTIC_IMAGE_SUPPORTING_ONLY"), F.when(F.col("n_corrected") > 0, "CORRECTED_LOW_CONFIDENCE_FIELDS"))
-    )
-    return runs.select(key, F.array_join(missing, ",").alias("missing"), F.array_join(limits, ",").alias("limitations"))
-
-
 def owner_scope(df: DataFrame, owner: str, value: object) -> DataFrame:
     return df.where(F.col(owner) == F.lit(value))
 

@@ -489,14 +489,60 @@ def e10_report_summary(scored3):
     return evaluation.report_summary(evaluation.class_report(_confusion(scored3)))
 
 
-@query(
-    "+ e AS (SELECT run_id, verification_status = 'MISMATCH' AND duration_ms % 2 = 0 AS cm, CASE risk_level WHEN 'HIGH' THEN 'FRAUDULENT' WHEN 'MEDIUM' THEN 'SUSPICIOUS' WHEN 'LOW' THEN 'GENUINE' END AS sc, duration_ms / 5000 AS it, status = 'PARTIAL' AS inc FROM runs) SELECT run_id, CASE WHEN cm OR sc = 'FRAUDULENT' OR it >= 0.85 THEN 'HIGH' WHEN sc = 'GENUINE' AND inc THEN 'INCONCLUSIVE' WHEN sc = 'SUSPICIOUS' THEN 'MEDIUM' WHEN sc = 'GENUINE' THEN 'LOW' ELSE 'INCONCLUSIVE' END AS band, CASE WHEN cm THEN 'CRITICAL_MISMATCH' WHEN sc = 'FRAUDULENT' THEN 'STRUCTURED_FRAUDULENT' WHEN it >= 0.85 THEN 'IMAGE_TAMPERED' WHEN sc = 'GENUINE' AND inc THEN 'INCOMPLETE_FIELDS' WHEN sc = 'SUSPICIOUS' THEN 'STRUCTURED_SUSPICIOUS' WHEN sc = 'GENUINE' THEN 'STRUCTURED_GENUINE' ELSE 'NO_DECISIVE_SIGNAL' END AS reason FROM e",
+# Evidence that both engines derive by the same text; lists are joined by commas.
+_EVIDENCE = (
+    "SELECT run_id, verification_status, CASE WHEN verification_status = 'MISMATCH' THEN CASE run_id % 3 WHEN 0 THEN 'amount' WHEN 1 THEN 'transaction_reference,amount' END END AS mm,"
+    " run_id % 5 <> 0 AS sa, CASE risk_level WHEN 'HIGH' THEN 'FRAUDULENT' WHEN 'MEDIUM' THEN 'SUSPICIOUS' WHEN 'LOW' THEN 'GENUINE' END AS sc,"
+    " CASE WHEN run_id % 10 = 0 THEN 'STRUCTURED_MODEL_DISABLED' ELSE 'MODEL_NOT_ACCEPTED,STRUCTURED_MODEL_DISABLED' END AS sr,"
+    " run_id % 3 <> 0 AS ia, CASE WHEN duration_ms % 2 = 0 THEN 'tampered' ELSE 'genuine' END AS ic, CAST(duration_ms % 1000 AS DOUBLE) / 1000 AS score,"
+    " CASE WHEN run_id % 2 = 0 THEN 'MODEL_NOT_ACCEPTED' ELSE 'IMAGE_MODEL_DISABLED,MODEL_NOT_ACCEPTED' END AS ir, status <> 'PARTIAL' AS fc,"
+    " CASE run_id % 6 WHEN 0 THEN 'STATUS_UNKNOWN' WHEN 1 THEN 'TIMESTAMP_IN_FUTURE,STATUS_UNKNOWN' END AS sem,"
+    " CASE run_id % 7 WHEN 0 THEN 'TIMESTAMP_IN_FUTURE,TEXT_OVERLAP' WHEN 1 THEN 'TEXT_OVERLAP' END AS img, CASE WHEN run_id % 9 = 0 THEN 'amount' END AS cf FROM runs"
+)
+_JUDGED = (
+    f"+ e AS ({_EVIDENCE}), c AS (SELECT *, CASE WHEN sa THEN sc END AS cls, ia AND ic = 'tampered' AND score >= 0.85 AS t FROM e),"
+    " b AS (SELECT *, CASE WHEN mm IS NOT NULL OR cls = 'FRAUDULENT' OR t THEN 'high_risk' WHEN cls = 'SUSPICIOUS' THEN 'medium_risk' WHEN cls = 'GENUINE' AND fc THEN 'low_risk' ELSE 'inconclusive' END AS band,"
+    " CASE WHEN mm IS NOT NULL THEN CASE WHEN contains(mm, ',') THEN 'REFERENCE_AMOUNT_MISMATCH,REFERENCE_TRANSACTION_REFERENCE_MISMATCH' ELSE 'REFERENCE_AMOUNT_MISMATCH' END"
+    " WHEN cls = 'FRAUDULENT' THEN 'STRUCTURED_MODEL_HIGH_RISK' WHEN t THEN 'IMAGE_MODEL_TAMPER_THRESHOLD_EXCEEDED' WHEN cls = 'SUSPICIOUS' THEN 'STRUCTURED_MODEL_MEDIUM_RISK'"
+    " WHEN cls = 'GENUINE' AND fc THEN 'STRUCTURED_MODEL_LOW_RISK' ELSE 'INSUFFICIENT_EVIDENCE' END AS main FROM c),"
+    " l AS (SELECT *, string_split(concat_ws(',', main, sem, img), ',') AS rs, string_split(concat_ws(',',"
+    " CASE WHEN band = 'inconclusive' THEN CASE WHEN cls = 'GENUINE' THEN 'CRITICAL_OCR_FIELDS_INCOMPLETE' ELSE 'CONCLUSIVE_MODEL_EVIDENCE_UNAVAILABLE' END END,"
+    " CASE WHEN band = 'inconclusive' AND NOT fc THEN 'CRITICAL_OCR_FIELDS_INCOMPLETE' END, CASE WHEN band = 'inconclusive' AND verification_status = 'UNVERIFIED' THEN 'REFERENCE_RECORD_UNAVAILABLE' END,"
+    " CASE WHEN NOT ia THEN ir END, CASE WHEN NOT sa THEN sr END), ',') AS ms FROM b)"
+)
+
+
+def _judged(runs):
+    e = runs.sparkSession.sql(_EVIDENCE.replace("FROM runs", "FROM {r}"), r=runs)
+    words = lambda c: F.split(c, ",")
+    reasons = lambda c: F.transform(words(c), lambda x: F.struct(x.alias("code"), F.lower(x).alias("title"), F.lit("LOW").alias("severity")))
+    return evaluation.risk_policy(
+        e.select(
+            "run_id", "verification_status", words("mm").alias("critical_mismatches"), F.col("sa").alias("structured_available"), F.col("sc").alias("structured_class"), words("sr").alias("structured_reasons"),
+            F.col("ia").alias("image_available"), F.col("ic").alias("image_class"), F.col("score").alias("image_score"), words("ir").alias("image_reasons"), F.col("fc").alias("fields_complete"),
+            reasons("sem").alias("semantic_reasons"), reasons("img").alias("image_signals"), words("cf").alias("corrected_fields"),
+        )
+    )
+
+
+@query(
+    _JUDGED
+    + " SELECT run_id, band, CASE band WHEN 'high_risk' THEN 'HIGH' WHEN 'medium_risk' THEN 'MEDIUM' WHEN 'low_risk' THEN 'LOW' END AS risk_class,"
+    " CASE WHEN ia AND sa AND band <> 'inconclusive' THEN 'COMPLETED' ELSE 'PARTIAL' END AS status, array_to_string(list_filter(rs, lambda x, i: NOT list_contains(rs[i + 1:], x)), ',') AS reasons FROM l",
     "runs",
 )
 def e15_risk_policy(runs):
-    cls = F.when(F.col("risk_level") == "HIGH", "FRAUDULENT").when(F.col("risk_level") == "MEDIUM", "SUSPICIOUS").when(F.col("risk_level") == "LOW", "GENUINE")
-    e = runs.select("run_id", ((F.col("verification_status") == "MISMATCH") & (F.col("duration_ms") % 2 == 0)).alias("critical_mismatch"), cls.alias("structured_class"), (F.col("duration_ms") / 5000).alias("image_tampered"), (F.col("status") == "PARTIAL").alias("incomplete"))
-    return evaluation.risk_policy(e).select("run_id", "band", "reason")
+    return _judged(runs).select("run_id", "band", "risk_class", "status", F.array_join("reasons.code", ",").alias("reasons"))
+
+
+@query(
+    _JUDGED
+    + " SELECT run_id, array_to_string(list_filter(ms, lambda x, i: list_position(ms, x) = i), ',') AS missing, concat_ws(',', CASE WHEN verification_status = 'VERIFIED' THEN 'STORED_REFERENCE_MATCH_NOT_AUTHENTICITY' END,"
+    " CASE WHEN img IS NOT NULL THEN 'DETERMINISTIC_IMAGE_SUPPORTING_ONLY' END, CASE WHEN cf IS NOT NULL THEN 'CORRECTED_LOW_CONFIDENCE_FIELDS' END) AS limitations FROM l",
+    "runs",
+)
+def e16_missing_signals(runs):
+    return _judged(runs).select("run_id", F.array_join("missing_signals", ",").alias("missing"), F.array_join("limitations", ",").alias("limitations"))
 
 
 @query(

@@ -85,15 +85,34 @@ def a22_import_batch_summary(refs):
     return references.import_batch_summary(refs, _errors(refs))
 
 
-_SPEC = [("blur", 0.05, 0.9, False), ("aspect_ratio", 0.5, 3.5, True), ("duplicates", 0.0, 2.0, False)]
+def _feature(k: int, name: str, low: float, high: float) -> str:
+    """A feature of an event within its bounds, and now and then null, no number, or beyond them; the same text for both engines."""
+    share = f"CAST((CAST(floor(value * 100) AS BIGINT) * {k + 3} + event_id) % 1001 AS DOUBLE) / 1000"
+    odd = f"WHEN event_id % 97 = {k} THEN NULL WHEN event_id % 89 = {k} THEN {high} + 0.5 WHEN event_id % 83 = {k} THEN {low} - 0.5 WHEN event_id % 79 = {k} THEN CAST('NaN' AS DOUBLE)"
+    return f"CASE {odd} ELSE {low} + {high - low} * {share} END AS {name}"
+
+
+def _category(k: int, name: str, values: list[str]) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE WHEN event_id % 71 = {k} THEN NULL WHEN event_id % 67 = {k} THEN 'OTHER' ELSE CASE event_id % {len(values)} {cases} END END AS {name}"
+
+
+_FEATURES = [_feature(k, f, lo, hi) for k, (f, lo, hi, _) in enumerate(r.NUMERIC_FEATURES)] + [_category(k, f, c) for k, (f, c) in enumerate(r.CATEGORICAL_FEATURES.items())]
+_BROKEN = [
+    f"SELECT event_id, '{f}' AS feature, CASE WHEN {f} IS NULL THEN {'NULL' if n else chr(39) + 'NULL_NOT_ALLOWED' + chr(39)} WHEN isnan({f}) THEN 'NOT_FINITE' WHEN {f} < {lo} THEN 'BELOW_MINIMUM' WHEN {f} > {hi} THEN 'ABOVE_MAXIMUM' END AS code FROM f"
+    for f, lo, hi, n in r.NUMERIC_FEATURES
+] + [
+    f"SELECT event_id, '{f}', CASE WHEN {f} IS NULL THEN 'NULL_NOT_ALLOWED' WHEN {f} NOT IN ({', '.join(repr(x) for x in c)}) THEN 'NOT_IN_CATEGORIES' END FROM f" for f, c in r.CATEGORICAL_FEATURES.items()
+]
 
 
 @query(
-    " UNION ALL ".join(f"{'SELECT' if i else 'SELECT'} * FROM (SELECT id, '{f}' AS feature, CASE WHEN {f} IS NULL THEN {'NULL' if n else chr(39) + 'NULL_NOT_ALLOWED' + chr(39)} WHEN {f} < {lo} OR {f} > {hi} THEN 'OUT_OF_RANGE' END AS code FROM measures) WHERE code IS NOT NULL" for i, (f, lo, hi, n) in enumerate(_SPEC)),
-    "measures",
+    f"WITH f AS MATERIALIZED (SELECT event_id, {', '.join(_FEATURES)} FROM events), v AS ({' UNION ALL '.join(_BROKEN)})"
+    " SELECT * FROM v WHERE code IS NOT NULL UNION ALL SELECT NULL, 'phone', 'FORBIDDEN_FEATURE' UNION ALL SELECT NULL, 'remark', 'UNKNOWN_FEATURE'",
+    "events",
 )
-def p10_feature_contract(measures):
-    return r.check_feature_contract(measures, "id", _SPEC)
+def p10_feature_contract(events):
+    return r.check_feature_contract(events.selectExpr("event_id", *_FEATURES, "'024' AS phone", "'x' AS remark"), "event_id")
 
 
 _THRESHOLDS = [("BLURRED", "blur", 0.6, "MEDIUM"), ("ODD_ASPECT_RATIO", "aspect_ratio", 3.0, "LOW"), ("DUPLICATE_RECEIPT", "duplicates", 2.0, "HIGH"), ("METADATA_CONFLICT", "metadata_conflict", 1.0, "MEDIUM"), ("BLURRED", "metadata_conflict", 2.0, "LOW")]
@@ -161,15 +180,6 @@ def a17_manifest_rules(manifest):
     return r.manifest_rules(m, messages.identifier_categories(F.col("notes")) != "")
 
 
-@query(
-    "SELECT run_id, array_to_string(list_filter([CASE WHEN run_id % 3 = 0 THEN 'MODEL_MISSING' END, CASE WHEN run_id % 3 = 0 THEN 'IMAGE_UNREADABLE' END, CASE WHEN run_id % 5 = 0 AND run_id % 3 <> 0 THEN 'MODEL_MISSING' END, CASE WHEN run_id % 5 = 0 THEN 'FIELDS_INCOMPLETE' END], lambda v: v IS NOT NULL), ',') AS missing, concat_ws(',', CASE WHEN verification_status = 'VERIFIED' THEN 'STORED_REFERENCE_MATCH_NOT_AUTHENTICITY' END, CASE WHEN run_id % 7 > 4 THEN 'DETERMINISTIC_IMAGE_SUPPORTING_ONLY' END, CASE WHEN run_id % 11 > 8 THEN 'CORRECTED_LOW_CONFIDENCE_FIELDS' END) AS limitations FROM runs",
-    "runs",
-)
-def e16_missing_signals(runs):
-    d = runs.selectExpr("*", "CASE WHEN run_id % 3 = 0 THEN array('MODEL_MISSING', 'IMAGE_UNREADABLE') END AS image_reasons", "CASE WHEN run_id % 5 = 0 THEN array('MODEL_MISSING', 'FIELDS_INCOMPLETE') END AS structured_reasons", "greatest(run_id % 7 - 4, 0) AS n_image_signals", "greatest(run_id % 11 - 8, 0) AS n_corrected")
-    return r.missing_signals(d, "run_id")
-
-
 @query("SELECT run_id, transaction_id, status FROM runs WHERE transaction_id = 7", "runs")
 def f5_owner_scope(runs):
     return r.owner_scope(runs, "transaction_id", 7).select("run_id", "transaction_id", "status")

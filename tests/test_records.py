@@ -207,8 +207,18 @@ def test_manifest_rules(spark):
 
 
 def test_feature_contract(spark):
-    d = spark.createDataFrame([(1, 0.5), (2, None), (3, float("nan")), (4, 9.0)], "id int, v double")
-    assert {(r.id, r.code) for r in records.check_feature_contract(d, "id", [("v", 0.0, 1.0, False)]).collect()} == {(2, "NULL_NOT_ALLOWED"), (3, "NOT_FINITE"), (4, "OUT_OF_RANGE")}
+    contract = records.feature_contract(spark, [("v", 0, 1, False), ("w", -1, 1, True), ("gone", 0, 1, True), ("flag", 0, 1, False)], {"c": ["A", "B"], "n": ["1"]})
+    rows = [(1, 0.5, None, True, "A", 1), (2, None, 2.0, True, None, 1), (3, float("nan"), -2.0, None, "C", None), (4, 9.0, float("-inf"), False, "B", 1)]
+    d = spark.createDataFrame(rows, "id int, v double, w double, flag boolean, c string, n int").withColumns({"label": F.lit(1), "more": F.lit(1)})
+    got = {(r.id, r.feature, r.code) for r in records.check_feature_contract(d, "id", contract).collect()}
+    assert got == {
+        (None, "label", "FORBIDDEN_FEATURE"), (None, "more", "UNKNOWN_FEATURE"), (None, "gone", "MISSING_FEATURE"), (2, "v", "NULL_NOT_ALLOWED"), (3, "v", "NOT_FINITE"), (4, "v", "ABOVE_MAXIMUM"),
+        (2, "w", "ABOVE_MAXIMUM"), (3, "w", "BELOW_MINIMUM"), (4, "w", "NOT_FINITE"), (1, "flag", "NOT_NUMERIC"), (2, "flag", "NOT_NUMERIC"), (3, "flag", "NULL_NOT_ALLOWED"), (4, "flag", "NOT_NUMERIC"),
+        (2, "c", "NULL_NOT_ALLOWED"), (3, "c", "NOT_IN_CATEGORIES"), (3, "n", "NULL_NOT_ALLOWED"), *((k, "n", "NOT_IN_CATEGORIES") for k in (1, 2, 4)),
+    }
+    assert len(records.NUMERIC_FEATURES) + len(records.CATEGORICAL_FEATURES) == 46
+    bare = records.check_feature_contract(spark.createDataFrame([(1,)], "id int"), "id").collect()
+    assert len(bare) == 46 and {r.code for r in bare} == {"MISSING_FEATURE"}
 
 
 def test_model_beats_dummy_and_calibrates(spark):

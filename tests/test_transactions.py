@@ -40,9 +40,36 @@ def test_split_reaches_positives(spark):
 
 
 def test_policy_order(spark):
-    rows = [(1, True, "GENUINE", 0.0, False), (2, False, "FRAUDULENT", 0.0, False), (3, False, None, 0.9, False), (4, False, "GENUINE", 0.1, True), (5, False, None, None, False), (6, False, "GENUINE", None, False)]
-    e = spark.createDataFrame(rows, "id long, critical_mismatch boolean, structured_class string, image_tampered double, incomplete boolean")
-    assert [x["band"] for x in evaluation.risk_policy(e).orderBy("id").collect()] == ["HIGH", "HIGH", "HIGH", "INCONCLUSIVE", "INCONCLUSIVE", "LOW"]
+    """Each rule in its place, with the reasons, missing signals, limitations and status that go with it."""
+    made = lambda *codes: [(c, f"{c} {k}", "LOW") for k, c in enumerate(codes)]
+    base = dict(mm=None, sa=True, sc="GENUINE", sr=["S_OFF"], ia=True, ic="genuine", im=0.1, ir=["I_OFF", "S_OFF"], fc=True, vs="UNVERIFIED", sem=None, img=None, cf=None)
+    cases = {
+        "mismatch": (dict(mm=["transaction_reference", "amount"], sc="FRAUDULENT"), "high_risk", "COMPLETED", ["REFERENCE_AMOUNT_MISMATCH", "REFERENCE_TRANSACTION_REFERENCE_MISMATCH"], []),
+        "fraud": (dict(sc="FRAUDULENT", ia=False), "high_risk", "PARTIAL", ["STRUCTURED_MODEL_HIGH_RISK"], ["I_OFF", "S_OFF"]),
+        "tampered": (dict(ic="tampered", im=0.85, sc="SUSPICIOUS"), "high_risk", "COMPLETED", ["IMAGE_MODEL_TAMPER_THRESHOLD_EXCEEDED"], []),
+        "not tampered": (dict(ic="tampered", im=0.84, sc="SUSPICIOUS"), "medium_risk", "COMPLETED", ["STRUCTURED_MODEL_MEDIUM_RISK"], []),
+        "image off": (dict(ic="tampered", im=0.99, ia=False), "low_risk", "PARTIAL", ["STRUCTURED_MODEL_LOW_RISK"], ["I_OFF", "S_OFF"]),
+        "other class": (dict(ic="genuine", im=0.99), "low_risk", "COMPLETED", ["STRUCTURED_MODEL_LOW_RISK"], []),
+        "incomplete": (dict(fc=False), "inconclusive", "PARTIAL", ["INSUFFICIENT_EVIDENCE"], ["CRITICAL_OCR_FIELDS_INCOMPLETE", "REFERENCE_RECORD_UNAVAILABLE"]),
+        "incomplete, medium": (dict(fc=False, sc="SUSPICIOUS"), "medium_risk", "COMPLETED", ["STRUCTURED_MODEL_MEDIUM_RISK"], []),
+        "nothing": (dict(sa=False, ia=False, vs="VERIFIED"), "inconclusive", "PARTIAL", ["INSUFFICIENT_EVIDENCE"], ["CONCLUSIVE_MODEL_EVIDENCE_UNAVAILABLE", "I_OFF", "S_OFF"]),
+        "class of a model that is off": (dict(sa=False, sc="FRAUDULENT"), "inconclusive", "PARTIAL", ["INSUFFICIENT_EVIDENCE"], ["CONCLUSIVE_MODEL_EVIDENCE_UNAVAILABLE", "REFERENCE_RECORD_UNAVAILABLE", "S_OFF"]),
+        "repeated reasons": (dict(sem=made("A", "B"), img=made("C", "A")), "low_risk", "COMPLETED", ["STRUCTURED_MODEL_LOW_RISK", "B", "C", "A"], []),
+        "unknown field": (dict(mm=["amount", "sender"]), None, "INPUT_INVALID", [], []),
+    }
+    names = ["critical_mismatches", "structured_available", "structured_class", "structured_reasons", "image_available", "image_class", "image_score", "image_reasons", "fields_complete", "verification_status", "semantic_reasons", "image_signals", "corrected_fields"]
+    words, reasons = "array<string>", evaluation.REASONS
+    kinds = [words, "boolean", "string", words, "boolean", "string", "double", words, "boolean", "string", reasons, reasons, words]
+    rows = [(k, *(base | change).values()) for k, (change, *_) in cases.items()] + [("nulls", *[None] * 13)]
+    e = spark.createDataFrame(rows, "id string, " + ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
+    got = {r["id"]: r for r in evaluation.risk_policy(e).collect()}
+    for k, (_, band, status, codes, missing) in cases.items():
+        r = got[k]
+        assert (r["band"], r["status"], [x["code"] for x in r["reasons"]], r["missing_signals"], r["score"]) == (band, status, codes, missing, None), k
+    assert got["repeated reasons"]["reasons"][3]["title"] == "A 0" and got["repeated reasons"]["limitations"] == ["DETERMINISTIC_IMAGE_SUPPORTING_ONLY"]
+    assert got["nothing"]["limitations"] == ["STORED_REFERENCE_MATCH_NOT_AUTHENTICITY"] and got["fraud"]["risk_class"] == "HIGH"
+    assert got["nulls"]["band"] == "inconclusive" and got["nulls"]["missing_signals"] == ["CONCLUSIVE_MODEL_EVIDENCE_UNAVAILABLE", "CRITICAL_OCR_FIELDS_INCOMPLETE"]
+
 
 
 def test_near_duplicates_by_bits(spark):
