@@ -49,10 +49,19 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         _written.remove(path)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the session's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later stages survive lost executors."""
+    """Write df as a table in the shared folder and read it back: later stages survive lost executors.
+
+    What was not discarded by then is deleted when the session's JVM ends."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, hard_negatives, html_text, license_scan, line_dedup, periodic_runs, quality_rules, sharding, simhash_dedup, token_dictionary, toxicity
-from ._common import LOWER, UPPER, fenced, shared_dir, table, words_of
+from ._common import LOWER, UPPER, delete_at_end, fenced, shared_dir, table, words_of
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
@@ -58,6 +58,7 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"  # a map of its own for each run, so that a result depends on the table alone
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS, folder)
+    delete_at_end(spark, folder)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )

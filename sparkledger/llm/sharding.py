@@ -4,15 +4,16 @@ Records are hashed into thousands of slots. The bytes of each slot are summed, a
 rows as there are slots, says where each goes. Maps are stored by version and never changed: a rebalance reads one
 version, moves the fewest slots it can from heavy shards to light ones, and stores the next.
 
-Rows of one slot stay together, so rows with equal ids and texts do too. Where repeated rows make a slot HEAVY times
-the mean, its rows are hashed again with their place in the table, which is written once before. Equal texts with
-different ids are different records and are hashed apart.
+A record's slot is a hash of its id, its text's checksum and its number among the rows that equal it, and never changes:
+only an edit of the map moves rows, and more copies of a row leave the slots of the earlier ones as they are. Which of
+equal rows has which number makes no difference, so that they are counted first and numbered from the count. Equal texts
+with different ids are different records.
 
 A row's place in its shard is the count of rows in the shard's earlier slots plus its number within its slot, so no
 shard is ever gathered in one task.
 
 Defined results: a null text has no bytes and checksum 0; a null doc_id is hashed like any other; repeated rows each
-get their own place, and shards of their own slots where they are many; an empty table gives an empty result; columns other than doc_id and text are not read.
+get their own slot and place; texts of any length are read where they lie; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,29 +25,22 @@ from ._common import materialise
 
 SLOTS = 4096
 OVERHEAD = 8
-#: A slot of so many times the mean of rows or bytes is hashed again.
-HEAVY = 8
+#: Equal rows that one task numbers; more are numbered in parts.
+COPIES = 1 << 16
 _MAP = "virtual_slot int, shard int"
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot, place) for each row; place tells repeated rows apart while docs is read alike."""
+    """(doc_id, size, text_crc32, copy, virtual_slot) for each row; copy numbers equal rows from 0. Written once on the way."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id"), crc), F.lit(slots)).cast("int").alias("virtual_slot"),
-        F.monotonically_increasing_id().alias("place"),
-    )
-
-
-def spread(rows: DataFrame, loads: dict[int, tuple[int, int]], slots: int = SLOTS) -> DataFrame:
-    """rows with those of heavy slots hashed again, by place too. loads has (bytes, rows) of each slot in use."""
-    heavy = [s for s, load in loads.items() if any(load[k] > HEAVY * sum(x[k] for x in loads.values()) / slots and load[1] > 1 for k in (0, 1))]
-    again = F.pmod(F.xxhash64("doc_id", "text_crc32", "place"), F.lit(slots)).cast("int")
-    return rows.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(heavy), again).otherwise(F.col("virtual_slot"))) if heavy else rows
+    rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    counts = materialise(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")))
+    many = counts.where(F.col("n") > COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("part"))
+    parts = counts.where(F.col("n") <= COPIES).withColumn("part", F.lit(0).cast("long")).unionByName(many.repartition("doc_id", "text_crc32", "part"))
+    first = F.col("part") * COPIES
+    copy = F.explode(F.sequence(first, F.least(F.col("n"), first + COPIES) - 1)).alias("copy")
+    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(slots)).cast("int")
+    return parts.select("doc_id", "size", "text_crc32", copy).withColumn("virtual_slot", slot)
 
 
 def slot_loads(rows: DataFrame) -> DataFrame:
@@ -62,10 +56,8 @@ def even_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
 def shard_documents(docs: DataFrame, shards: int, folder: str, slots: int = SLOTS, tolerance: float = 0.001) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot, shard, slot) for each row. The latest map of the folder, or the even map as
     version 1 of a new one, is rebalanced by the bytes of these rows, and the edit is stored as the next version."""
-    spark, rows = docs.sparkSession, materialise(records(docs, slots))
-    held = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in slot_loads(rows).collect()}
-    rows = spread(rows, held, slots)
-    loads = slot_loads(rows)
+    spark, rows = docs.sparkSession, records(docs, slots)
+    loads = materialise(slot_loads(rows))
     held = {r["virtual_slot"]: r["bytes"] for r in loads.collect()}
     version = latest_version(spark, folder)
     if version == 0:
@@ -76,7 +68,7 @@ def shard_documents(docs: DataFrame, shards: int, folder: str, slots: int = SLOT
     if new != old:
         version += 1
         store_map(spark, new, folder, version)
-    return assign(rows.drop("place"), load_map(spark, folder, version), loads)
+    return assign(rows.drop("copy"), load_map(spark, folder, version), loads)
 
 
 def rebalanced(old: dict[int, int], loads: dict[int, int], shards: int, tolerance: float = 0.001) -> dict[int, int]:
@@ -120,13 +112,10 @@ def load_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
 
 def latest_version(spark: SparkSession, folder: str) -> int:
     """The number of the latest stored map, 0 if there is none. Versions are written in order, so the first gap ends them."""
-    from pyspark.errors import AnalysisException
-
-    version = 0
+    version, conf = 0, spark.sparkContext._jsc.hadoopConfiguration()
     while True:
-        try:
-            load_map(spark, folder, version + 1).schema  # noqa: B018
-        except AnalysisException:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={version + 1}")
+        if not at.getFileSystem(conf).exists(at):
             return version
         version += 1
 

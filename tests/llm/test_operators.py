@@ -5,6 +5,7 @@ import hashlib
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -326,6 +327,17 @@ def test_sharding(spark, docs, empty, tmp_path):
     assert sharding.shard_documents(empty, 3, str(tmp_path / "none"), 64).count() == 0
 
 
+@pytest.mark.parametrize("copies", [7, 1 << 16])
+def test_a_records_slot_never_changes(spark, docs, monkeypatch, copies):
+    """It depends on the record and its number among its equals, not on the load of its slot or on where it is read."""
+    monkeypatch.setattr(sharding, "COPIES", copies)
+    hot = lambda n: spark.createDataFrame([(None, "hot")] * n + [(5, "x")] * (n // 10), "doc_id long, text string")
+    slots = lambda d: Counter((r["doc_id"], r["text_crc32"], r["virtual_slot"]) for r in sharding.records(d, 64).collect())
+    few, many = (docs.select("doc_id", "text").unionByName(hot(n)) for n in (40, 900))
+    a, b, c = slots(few), slots(many), slots(many.repartition(7))
+    assert b == c and not a - b and (b - a).total() == 860 + 86
+
+
 def test_rebalance_moves_little():
     loads = {s: 100 + s % 7 for s in range(64)}
     old = sharding.rebalanced(sharding.even_map(4, 64), loads, 4)
