@@ -435,10 +435,15 @@ def fit_pages(pages: list[str], passes: int = PASSES) -> Labeller:
 
 
 def fit(pages: DataFrame, column: str = "html", sample_pages: int = SAMPLE_PAGES, passes: int = PASSES) -> Labeller:
-    """A labeller fitted on sample_pages pages at most, those of smallest hash."""
-    fit_in = pages.select(F.col(column).alias("page")).where(F.length("page").between(1, SAMPLE_CHARS))
-    chosen = fit_in.orderBy(F.xxhash64("page"), "page").limit(sample_pages)
-    return fit_pages([r["page"] for r in chosen.collect()], passes)
+    """A labeller fitted on sample_pages different pages at most, those of smallest hash.
+
+    The hashes are looked up first, so that each task sends the driver hashes only; then come the pages up to the last one."""
+    fit_in = pages.select(F.col(column).alias("page")).where(F.length("page").between(1, SAMPLE_CHARS)).withColumn("hash", F.xxhash64("page"))
+    hashes = [r["hash"] for r in fit_in.select("hash").distinct().orderBy("hash").limit(sample_pages).collect()]
+    if not hashes:
+        return fit_pages([], passes)
+    chosen = fit_in.where(F.col("hash") <= hashes[-1]).groupBy("hash").agg(F.min("page").alias("page"))
+    return fit_pages([r["page"] for r in sorted(chosen.collect(), key=lambda r: r["hash"])], passes)
 
 
 def main_texts(pages: list[str | None], model: Labeller) -> Iterator[str]:
