@@ -282,10 +282,13 @@ def idempotent_replay(requests: DataFrame) -> DataFrame:
 
 
 def binary_grid(scored: DataFrame) -> DataFrame:
-    """(t, mean_f1, recall) for t from 0.05 to 0.95: the mean F1 of both classes; rows are summed by score first."""
-    by = scored.groupBy("score", "label").agg(F.count("*").alias("n"))
-    grid = scored.sparkSession.createDataFrame([(k / 100,) for k in range(5, 100, 5)], "t double")
-    d = by.crossJoin(F.broadcast(grid)).withColumn("hit", F.col("score") >= F.col("t"))
+    """(t, mean_f1, recall) for t from 0.05 to 0.95: the mean F1 of both classes. Rows are summed by how many t they reach first,
+    so that 40 rows at most meet the 19 thresholds."""
+    steps = [k / 100 for k in range(5, 100, 5)]
+    reached = sum(((F.col("score") >= t).cast("int") for t in steps), F.lit(0))
+    by = scored.groupBy(reached.alias("reached"), "label").agg(F.count("*").alias("n"))
+    grid = scored.sparkSession.createDataFrame([(k + 1, t) for k, t in enumerate(steps)], "k int, t double")
+    d = by.crossJoin(F.broadcast(grid)).withColumn("hit", F.col("reached") >= F.col("k"))
     n = lambda label, hit: F.sum(F.when((F.col("label") == label) & (F.col("hit") == hit), F.col("n")).otherwise(0))
     c = d.groupBy("t").agg(n(1, True).alias("tp"), n(0, True).alias("fp"), n(1, False).alias("fn"), n(0, False).alias("tn"))
     f1 = lambda a: F.when(2 * F.col(a) + F.col("fp") + F.col("fn") > 0, 2 * F.col(a) / (2 * F.col(a) + F.col("fp") + F.col("fn"))).otherwise(F.lit(0.0))

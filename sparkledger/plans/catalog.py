@@ -167,12 +167,23 @@ def a26_fit_imputer(tx):
     return transactions.fit_imputer(tx, ["amount"], ["recipient_id"])
 
 
+# The transactions with some nulls, amounts and labels that are none, and rows that are there twice.
+_SPOILT = (
+    "SELECT row_no, step, transaction_type, CASE WHEN row_no % 101 = 0 THEN NULL WHEN row_no % 103 = 0 THEN -1 ELSE amount END AS amount, initiator_id,"
+    " CASE WHEN row_no % 113 = 0 THEN NULL ELSE recipient_id END AS recipient_id, CASE WHEN row_no % 107 = 0 THEN 2 ELSE label_is_fraud END AS label_is_fraud FROM tx"
+)
+_TWICE = f"{_SPOILT} UNION ALL {_SPOILT} WHERE row_no % 109 = 0 UNION ALL {_SPOILT} WHERE row_no % 218 = 0"
+
+
 @query(
-    "+ g AS (SELECT step, initiator_id, transaction_type, count(*) AS n, sum(label_is_fraud) AS p FROM tx GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(p) AS BIGINT) AS positives, count(DISTINCT step) AS n_steps, CAST(0 AS BIGINT) AS null_cells, CAST(0 AS BIGINT) AS invalid_amounts, CAST(0 AS BIGINT) AS invalid_labels, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g",
+    f"+ d AS ({_TWICE}), g AS (SELECT *, count(*) AS n FROM d GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n * label_is_fraud) AS BIGINT) AS positives, count(DISTINCT step) AS n_steps,"
+    " CAST(sum(n * (CASE WHEN amount IS NULL THEN 1 ELSE 0 END + CASE WHEN recipient_id IS NULL THEN 1 ELSE 0 END)) AS BIGINT) AS null_cells, CAST(sum(CASE WHEN amount IS NULL OR amount < 0 THEN n ELSE 0 END) AS BIGINT) AS invalid_amounts,"
+    " CAST(sum(CASE WHEN label_is_fraud NOT IN (0, 1) THEN n ELSE 0 END) AS BIGINT) AS invalid_labels, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM g",
     "tx",
 )
 def a1_profile(tx):
-    return transactions.profile(tx, ["step", "initiator_id", "transaction_type"])
+    d = tx.sparkSession.sql(_TWICE.replace("FROM tx", "FROM {t}"), t=tx)
+    return transactions.profile(d, d.columns)
 
 
 @query("SELECT concat_ws(',', CASE WHEN count(*) <> 10000 THEN 'N_ROWS_DRIFT' END, CASE WHEN sum(label_is_fraud) <> 7 THEN 'POSITIVES_DRIFT' END) AS reasons FROM tx", "tx")
@@ -180,9 +191,17 @@ def a2_drift_reasons(tx):
     return transactions.drift_reasons(tx.agg(F.count("*").alias("n_rows"), F.sum("label_is_fraud").alias("positives")), {"n_rows": 10_000, "positives": 7})
 
 
-@query("SELECT o_orderkey, sha256(to_json({'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus})) AS h FROM orders", "orders")
+# All columns of orders, in forms that both engines write alike.
+_ORDER = {
+    "o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderstatus": "o_orderstatus", "o_totalprice": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {})", "o_orderdate": "CAST(CAST(o_orderdate AS DATE) AS {})",
+    "o_orderpriority": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END",
+}
+
+
+@query("SELECT o_orderkey, sha256(to_json({" + ", ".join(f"'{c}': {e.format('VARCHAR')}" for c, e in _ORDER.items()) + "})) AS h FROM orders", "orders")
 def p13_row_hash(orders):
-    return orders.select("o_orderkey", transactions.row_hash("o_custkey", "o_orderstatus").alias("h"))
+    d = orders.selectExpr(*(f"{e.format('STRING')} AS {c}" for c, e in _ORDER.items()))
+    return d.select("o_orderkey", transactions.row_hash(*d.columns).alias("h"))
 
 
 @query("SELECT text, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY text", "documents")
@@ -310,9 +329,13 @@ def j6_reuse_warnings(obs, refs, batches):
     return references.reuse_warnings(obs, _resolved(obs, refs, batches)[1])
 
 
-@query("SELECT ref_id FROM (SELECT *, row_number() OVER (PARTITION BY provider_code, transaction_reference ORDER BY ref_id) AS n FROM refs) WHERE n > 1", "refs")
+_SYSTEM = "SELECT ref_id, provider_code, transaction_reference, 'SYS-' || CAST(CAST(floor(ref_id / 100) AS BIGINT) AS {}) AS source_system_id FROM refs"
+
+
+@query(f"SELECT ref_id FROM (SELECT *, row_number() OVER (PARTITION BY provider_code, transaction_reference, source_system_id ORDER BY ref_id) AS n FROM ({_SYSTEM.format('VARCHAR')})) WHERE n > 1", "refs")
 def w8_in_file_duplicates(refs):
-    return references.in_file_duplicates(refs, ["provider_code", "transaction_reference"], "ref_id").select("ref_id")
+    d = refs.sparkSession.sql(_SYSTEM.format("STRING").replace("FROM refs", "FROM {r}"), r=refs)
+    return references.in_file_duplicates(d, ["provider_code", "transaction_reference", "source_system_id"], "ref_id").select("ref_id")
 
 
 @query("SELECT ref_id FROM refs WHERE (provider_code, transaction_reference, source_system_id) IN (SELECT provider_code, transaction_reference, source_system_id FROM refs WHERE batch_id = 1)", "refs")
@@ -613,12 +636,23 @@ def j9_propagate_withdrawal(manifest):
     return governance.propagate_withdrawal(manifest, ledger, "group_id", ["sha"]).select("sample_id", "sha", "state")
 
 
-_PAIRED = "+ a AS (SELECT lower(sha) AS k, min(source_type) AS c, max(sample_id) AS s FROM manifest WHERE source_type <> 'fr' GROUP BY 1), b AS (SELECT lower(sha) AS k, min(source_type) AS c, max(sample_id) AS s FROM manifest WHERE source_type <> 'de' AND sample_id % 50 <> 3 GROUP BY 1), j AS (SELECT coalesce(a.c, b.c) AS category, count_if(a.k IS NOT NULL AND b.k IS NOT NULL)::BIGINT AS paired, count_if(b.k IS NULL)::BIGINT AS missing, count_if(a.k IS NULL)::BIGINT AS orphan, count_if(coalesce(a.s <> b.s, false))::BIGINT AS size_mismatches FROM a FULL JOIN b ON a.k = b.k GROUP BY 1)"
+# Two sides of the whole manifest: some keys are of one side only, some sizes differ.
+_SIDE_A = "SELECT CASE WHEN source_type = 'fr' THEN 'a' || sha ELSE sha END AS sha, source_type, sample_id FROM manifest"
+_SIDE_B = "SELECT CASE WHEN source_type = 'de' OR sample_id % 50 = 3 THEN 'b' || sha ELSE sha END AS sha, source_type, CASE WHEN sample_id % 50 = 4 THEN sample_id + 1 ELSE sample_id END AS sample_id FROM manifest"
+_PAIRED = (
+    f"+ a AS (SELECT lower(sha) AS k, min(source_type) AS c, max(sample_id) AS s FROM ({_SIDE_A}) GROUP BY 1), b AS (SELECT lower(sha) AS k, min(source_type) AS c, max(sample_id) AS s FROM ({_SIDE_B}) GROUP BY 1),"
+    " j AS (SELECT coalesce(a.c, b.c) AS category, count_if(a.k IS NOT NULL AND b.k IS NOT NULL)::BIGINT AS paired, count_if(b.k IS NULL)::BIGINT AS missing, count_if(a.k IS NULL)::BIGINT AS orphan,"
+    " count_if(coalesce(a.s <> b.s, false))::BIGINT AS size_mismatches FROM a FULL JOIN b ON a.k = b.k GROUP BY 1)"
+)
+
+
+def _sides(manifest):
+    return [manifest.sparkSession.sql(x.replace("FROM manifest", "FROM {m}"), m=manifest) for x in (_SIDE_A, _SIDE_B)]
 
 
 def _paired(manifest):
-    b = manifest.where("source_type <> 'de' AND sample_id % 50 <> 3").withColumn("sha", F.concat(F.upper("sha"), F.lit(".png")))
-    return governance.paired_audit(manifest.where("source_type <> 'fr'"), b, "sha", "source_type", "sample_id", stem=True)
+    a, b = _sides(manifest)
+    return governance.paired_audit(a, b.withColumn("sha", F.concat(F.upper("sha"), F.lit(".png"))), "sha", "source_type", "sample_id", stem=True)
 
 
 @query(f"{_PAIRED} SELECT * FROM j", "manifest")
@@ -631,9 +665,12 @@ def j13_paired_drift(manifest):
     return governance.paired_drift(_paired(manifest), {"de": 0, "en": 7, "it": 1})
 
 
-@query("(SELECT sha, 'missing' AS side FROM manifest WHERE source_type <> 'fr' EXCEPT SELECT sha, 'missing' FROM manifest WHERE source_type <> 'de') UNION ALL (SELECT sha, 'extra' FROM manifest WHERE source_type <> 'de' EXCEPT SELECT sha, 'extra' FROM manifest WHERE source_type <> 'fr')", "manifest")
+@query(
+    f"(SELECT sha, 'missing' AS side FROM ({_SIDE_A}) EXCEPT SELECT sha, 'missing' FROM ({_SIDE_B})) UNION ALL (SELECT sha, 'extra' FROM ({_SIDE_B}) EXCEPT SELECT sha, 'extra' FROM ({_SIDE_A}))",
+    "manifest",
+)
 def d3_set_difference(manifest):
-    return governance.set_difference(manifest.where("source_type <> 'fr'"), manifest.where("source_type <> 'de'"), "sha")
+    return governance.set_difference(*_sides(manifest), "sha")
 
 
 _ALLOWED = [("click", "view"), ("view", "click"), ("view", "purchase"), ("click", "click"), ("view", "view"), ("purchase", "view"), ("signup", "click")]
@@ -780,6 +817,7 @@ _FOLD = "trim(regexp_replace(lower(regexp_replace({}.text, '[^ -~\\n]', '?', 'g'
 
 @query(f"SELECT a.conv_id, a.turn, round(levenshtein({_FOLD.format('a')}, {_FOLD.format('b')}) / greatest(length({_FOLD.format('a')}), 1), 6) AS cer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn", "conversations")
 def x11_text_error_rate(conversations):
+    """Characters beyond ASCII are replaced for the comparison with SQL; x11_error_rates has the texts as they are."""
     # The other engine counts bytes, so both texts are brought to one byte a character here.
     plain = F.regexp_replace("text", r"[^ -~\n]", "?")
     nxt = conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), plain.alias("other"))
@@ -787,6 +825,15 @@ def x11_text_error_rate(conversations):
     return d.select("conv_id", "turn", messages.text_error_rate(F.col("text"), F.col("other")).alias("cer"))
 
 
+@query(None, "conversations")
+def x11_error_rates(conversations):
+    """Character and word error rates of each turn by the next one, over whole texts."""
+    nxt = conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
+    d = conversations.join(nxt, ["conv_id", "turn"])
+    rates = {"cer": messages.text_error_rate(F.col("text"), F.col("other")), "wer": messages.word_error_rate(F.col("text"), F.col("other"))}
+    return d.select("conv_id", "turn", *(v.alias(k) for k, v in rates.items()))
+
+
 @query(None, "tx")
 def causal_features(tx):
     d = causal.causal_features(tx)

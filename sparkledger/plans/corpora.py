@@ -45,12 +45,20 @@ def _sms(events):
     return c.normalize_sms(events.selectExpr(*_SMS), {"MobileMoney": "MTN_MOMO", "T-Cash": "TELECEL_CASH"})
 
 
+_KINDS = dict(messages.SENSITIVE)
+_NUMBER = _KINDS["PHONE"].replace(r"(?<!\d)", "(?:^|[^0-9])").replace(r"(?!\d)", "(?:[^0-9]|$)")
+
+
 @query(
-    "SELECT 'MSG-' || upper(substr(sha256('src:' || CAST(record_id AS VARCHAR)), 1, 16)) AS message_id, CASE WHEN regexp_matches(sender, '^[0-9]{3,6}$') THEN 'shortcode' WHEN regexp_matches(sender, '^\\+?[0-9]{9,15}$') THEN 'phone' WHEN regexp_matches(sender, '[A-Za-z]') THEN 'alphanumeric' ELSE 'unknown' END AS sender_kind, len(regexp_extract_all(text, 'https?://[^ ]+')) AS n_url FROM msgs WHERE trim(text) <> ''",
+    f"+ a AS (SELECT *, regexp_replace(text, '{_KINDS['URL']}', '[URL]', 'g') AS t FROM msgs WHERE trim(text) <> ''), b AS (SELECT *, regexp_replace(t, '{_KINDS['EMAIL']}', '[EMAIL]', 'g') AS u FROM a)"
+    " SELECT 'MSG-' || upper(substr(sha256('src:' || CAST(record_id AS VARCHAR)), 1, 16)) AS message_id,"
+    " CASE WHEN regexp_matches(sender, '^[0-9]{3,6}$') THEN 'shortcode' WHEN regexp_matches(sender, '^\\+?[0-9]{9,15}$') THEN 'phone' WHEN regexp_matches(sender, '[A-Za-z]') THEN 'alphanumeric' ELSE 'unknown' END AS sender_kind,"
+    f" len(regexp_extract_all(text, '{_KINDS['URL']}')) AS n_url, len(regexp_extract_all(t, '{_KINDS['EMAIL']}')) AS n_email, len(regexp_extract_all(u, '{_NUMBER}')) AS n_phone, len(regexp_extract_all(u, '{_KINDS['MONEY']}')) AS n_money FROM b",
     "msgs",
 )
 def m12_index_messages(msgs):
-    return c.index_messages(msgs, "src", "record_id").select("message_id", "sender_kind", "n_url")
+    """The fifth count, of references, needs a pattern that looks ahead: it is in m1_tokenize_sensitive."""
+    return c.index_messages(msgs, "src", "record_id").select("message_id", "sender_kind", "n_url", "n_email", "n_phone", "n_money")
 
 
 _MARKED = ["*", "CASE WHEN record_id % 23 = 0 THEN 'MMS' WHEN record_id % 29 <> 0 THEN 'SMS' END AS service", "CASE WHEN record_id % 31 = 0 THEN 'other' ELSE 'owner_export' END AS source_provenance"]
