@@ -60,6 +60,7 @@ SPELLINGS = {
 }
 COPYRIGHT = r"^[^\p{L}\p{N}(©]*(copyright\b.*(\(c\)|©|[0-9]{4}|\byyyy\b|<year>)|\(c\)\s*[0-9]{4}|©|all rights reserved)"
 NUMBERING = r"^\s*[0-9]{1,2}[.)]\s"
+WORDS, PHRASES = ({k: v for k, v in SPELLINGS.items() if (" " in k) == more} for more in (False, True))
 ANY_SPELLING = rf"\b({'|'.join(SPELLINGS)})\b"
 
 
@@ -88,11 +89,21 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), canonical_line), lambda x: x != "")
 
 
+def has_spelling(c: Column) -> Column:
+    """Whether a canonical text, of words parted by spaces, has a spelling. Words are looked up in a set."""
+    out = F.exists(F.split(c, " "), lambda w: w.isin(list(WORDS)))
+    for phrase in PHRASES:
+        out = out | F.contains(c, F.lit(phrase))
+    return out
+
+
 def spelled(c: Column) -> Column:
-    out = c
-    for spelling, form in SPELLINGS.items():
-        out = F.regexp_replace(out, rf"\b{spelling}\b", form)
-    return F.when(F.regexp_like(c, F.lit(ANY_SPELLING)), out).otherwise(c)
+    """A canonical text with its spellings brought to one form: words by a map, then the few phrases by patterns."""
+    forms = F.create_map(*(F.lit(x) for pair in WORDS.items() for x in pair))
+    out = F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(forms, w), w)), " ")
+    for phrase, form in PHRASES.items():
+        out = F.regexp_replace(out, rf"\b{phrase}\b", form)
+    return F.when(has_spelling(c), out).otherwise(c)
 
 
 def digest(text: Column) -> Column:
@@ -134,7 +145,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     fits = lambda x: F.length(x).isin(lengths) if len(lengths) <= 1000 else F.lit(True)
     lines = docs.select(row_key().alias("row"), "doc_id", F.inline(F.array(F.struct(canonical_lines(F.col("text")).alias("lines")))))
     # Spellings may change a length, so a line with one is kept too.
-    some = F.array_distinct(F.filter("lines", lambda x: fits(x) | F.regexp_like(x, F.lit(ANY_SPELLING))))
+    some = F.array_distinct(F.filter("lines", lambda x: fits(x) | has_spelling(x)))
     texts = materialise(lines.select("row", "doc_id", digest(spelled(F.array_join("lines", " "))).alias("text_digest"), some.alias("lines")))
     named = (
         texts.select("row", F.explode("lines").alias("line"))
