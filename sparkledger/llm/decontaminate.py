@@ -11,7 +11,10 @@ benchmark, so only such runs of enough words are sorted, each suffix to the end
 
 The benchmark goes to the tasks in blocks of BLOCK_BYTES of text (more only where one item is larger): the driver reads
 it a part at a time and cuts it there, and each block is dropped before the next. One block takes one pass over the
-documents and no shuffle. Several take a pass each, whose hits are written to the shared folder and put together by row.
+documents and no shuffle. Where there are several, the documents are read once, against a filter of the word pairs of all
+blocks (PAIR_BITS bits, whatever the benchmark's size): a document without a run of pairs long enough for the
+shortest window has no match. The others are written to the shared folder, and each block takes a pass over those only;
+its hits are written too and put together by row.
 
 Defined results: a null or wordless document has no words and is never contaminated; a null or wordless item has no
 window; an item with a null item_id marks words as hit but is not listed; of equally long matches a document's first
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,9 @@ WINDOW = 10
 SHARD_WORDS = 1_500_000
 #: Bytes of benchmark text that a block, and so a task, holds at most (unless one item has more).
 BLOCK_BYTES = 4 << 20
+#: Bits of the filter of word pairs. A window of ten words has nine pairs in a row, so that a filter half full still
+#: passes no more than one place in 512 by chance.
+PAIR_BITS = 1 << 27
 #: Words that a comparison of suffixes looks at together.
 STEP = 16
 
@@ -318,6 +325,54 @@ def blocks(bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[It
     yield out
 
 
+def _places(hashes: np.ndarray, pairs: bool) -> np.ndarray:
+    """The filter's bits of neighbouring words, or of single ones, by the hashes of the words."""
+    a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+    x = (hashes[:-1] * a) ^ (hashes[1:] + b) if pairs else hashes + a
+    x = (x ^ (x >> np.uint64(29))) * b
+    return ((x ^ (x >> np.uint64(32))) * a >> np.uint64(20)).astype(np.int64) % PAIR_BITS
+
+
+def _hashes(text: str | None) -> np.ndarray:
+    return np.fromiter(map(crc32, words(text)), np.uint64)
+
+
+def suspects(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, text) of the rows of docs in which a window can occur, written once; docs is read once.
+
+    The filter's set words of 64 bits come to the driver, PAIR_BITS / 64 of them at most, and are broadcast."""
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN))
+    least = bench.agg(F.min(F.when(n > 0, F.least(n, F.lit(window))))).first()[0] or 0
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_places(h, least > 1) for h in map(_hashes, batch["text"].to_pylist()) if len(h)]
+            places = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            at, first = np.unique(places >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (places & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], ["at", "bits"])
+
+    marked = bench.select("text").mapInArrow(mark, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(PAIR_BITS >> 6, np.uint64)
+    bits[marked["at"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def suspect(texts: pa.Array) -> pa.Array:
+        out = []
+        for h in map(_hashes, texts.to_pylist()):
+            if not least or len(h) < least:
+                out.append(False)
+                continue
+            places, row = _places(h, least > 1), max(least - 1, 1)
+            known = (held.value[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)
+            total = np.concatenate([[0], np.cumsum(known.astype(np.int64))])
+            out.append(bool((total[row:] - total[:-row] == row).any()))
+        return pa.array(out, pa.bool_())
+
+    return materialise(docs.select("doc_id", "text").where(suspect(F.col("text"))))
+
+
 _FOUND = "spans array<struct<a: bigint, b: bigint>>, items array<string>, longest struct<n: bigint, back: bigint, item: string, item_pos: bigint>"
 
 
@@ -371,7 +426,8 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: i
     of the document and longest_item_pos of the item (null where no window occurs)."""
     bench = bench.select("item_id", "text")
     several = _several(bench, block_bytes)
-    out, several = _by_block(docs, bench, block_bytes, lambda items: _search(docs, items, window, shard_words, several))
+    source = suspects(docs, bench, window) if several else docs
+    out, several = _by_block(docs, bench, block_bytes, lambda items: _search(source, items, window, shard_words, several))
     if several:
         found = out.groupBy("row").agg(
             F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -399,7 +455,8 @@ def keep_clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_by
     """The rows of docs in which no benchmark window occurs, with the columns of docs."""
     bench = bench.select("item_id", "text")
     if _several(bench, block_bytes):
-        hit = _by_block(docs, bench, block_bytes, lambda items: _search(docs, items, window, shard_words, True))[0]
+        source = suspects(docs, bench, window)
+        hit = _by_block(docs, bench, block_bytes, lambda items: _search(source, items, window, shard_words, True))[0]
         row = free_name(docs, "row")
         return docs.withColumn(row, row_key()).join(hit.select(F.col("row").alias(row)).distinct(), row, "left_anti").select(docs.columns)
 
@@ -416,6 +473,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_by
 def longest_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(item_id, item_pos, doc_id, doc_pos, n_words): for each benchmark suffix that matches a window or more, its longest
     verbatim match in the training text and the first place of it (by doc_id), compared over all shards."""
+    source = suspects(docs, bench.select("item_id", "text"), window) if _several(bench, block_bytes) else docs
 
     def search(items: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +485,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, blo
                 yield from pa.table(cols, names=["item_id", "item_pos", "doc_id", "doc_pos", "n_words"]).to_batches()
 
         kind = dict(docs.dtypes)["doc_id"]
-        return docs.select("doc_id", "text").mapInArrow(run, f"item_id string, item_pos bigint, doc_id {kind}, doc_pos bigint, n_words bigint")
+        return source.select("doc_id", "text").mapInArrow(run, f"item_id string, item_pos bigint, doc_id {kind}, doc_pos bigint, n_words bigint")
 
     out = _by_block(docs, bench, block_bytes, search)[0]
     first = F.min(F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").isNull().alias("x"), "doc_id", "doc_pos")).alias("b")

@@ -246,6 +246,26 @@ def test_scan_on_random_words_equals_plain_search(spark):
         assert (r["longest"], r["longest_pos"]) == (best[0], -best[1] if starts else None)
 
 
+@pytest.mark.parametrize("block_bytes", [60, 600])
+def test_documents_are_read_as_often_for_many_blocks_as_for_few(spark, docs, block_bytes):
+    """Once against the filter, and once for their numbers of words; blocks are searched in what the filter passes."""
+    rows = [(k, f"filler {k} " * 12) for k in range(300)] + [(1000, TEXTS[9]), (1001, f"x {TEXTS[10]} y")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"{w} {TEXTS[9]}") for k, w in enumerate("abcdefghijklmnop")], "item_id long, text string")
+    read = source.mapInArrow(counted, source.schema)
+    out = by_id(decontaminate.scan(read, bench, block_bytes=block_bytes))
+    assert {k for k, r in out.items() if r["n_hit"]} == {1000, 1001} and len(out) == 302
+    assert seen.value == 2 * len(rows)
+    assert {r["doc_id"] for r in decontaminate.suspects(source, bench).collect()} == {1000, 1001}
+
+
 @pytest.mark.parametrize(("block_bytes", "shard_words"), [(1 << 20, 1 << 20), (40, 20)])
 def test_longest_match(spark, docs, block_bytes, shard_words):
     items = [(1, "zz " + TEXTS[9] + " qq"), (2, LONG[300:700]), (3, None), (4, LONG[300:420])]
