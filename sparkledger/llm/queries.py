@@ -84,7 +84,7 @@ def planted_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in one document of ten by the crc32 of its id, the words from one on repeat with a period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     d = fenced(docs.select("doc_id", "text"), h=h, g=F.floor(h / 10), w=F.when(h % 10 == 0, words_of(F.col("text"))))
-    d = fenced(d, n=F.size("w").cast("long"))
+    d = fenced(d, n=F.nullif(F.size("w").cast("long"), F.lit(0).cast("long")))  # null where there are no words
     d = fenced(d, a=F.col("g") % F.col("n"))
     d = fenced(d, p=1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
     source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sparkledger.llm import periodic_runs
+from sparkledger.llm import periodic_runs, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,6 +88,18 @@ def test_awkward_rows(spark):
     assert periodic_runs.collapse_runs(docs.where(F.lit(False))).count() == 0
 
 
+def test_planted_texts_without_words(spark):
+    chosen = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 10 == 0][:6]
+    texts = [None, "", " \n", "one", "one two", "a b c d e f g h"]
+    docs = spark.createDataFrame([*zip(chosen, texts, strict=True), (None, "x x")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in queries.planted_runs(docs).collect()}
+    assert [got[k] for k in chosen[:4]] == texts[:4] and got[None] == "x x"
+    for k, t in zip(chosen[4:], texts[4:], strict=True):
+        w, g = t.split(), zlib.crc32(str(k).encode()) // 10
+        a = g % len(w)
+        assert got[k] == " ".join(w[:a] + [w[a + (i - a) % (1 + (len(w) - a) // (3 + g % 8))] for i in range(a, len(w))])
+
+
 def test_op11(spark):
     out = entry.queries()["op11_periodic_runs"](spark, SF)
     got = {r["doc_id"]: r for r in out.collect()}
