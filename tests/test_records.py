@@ -341,3 +341,23 @@ def test_candidates_run_on_every_seed(monkeypatch):
 
     plans.e11_e14_candidates(Rows())
     assert given == {"n": 3, "categorical": ["transaction_type"]} and models.SEEDS == [42, 123, 2026]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_error_rates_of_whole_turns(spark):
+    turns = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    got = {(r.conv_id, r.turn): (r.cer, r.wer) for r in catalog.QUERIES["x11_error_rates"](spark, SF).collect()}
+    fold = lambda t: re.sub(r"[ \t\n\r]+", " ", t.lower()).strip(" ")
+    want = {k: (fold(t), fold(turns[k[0], k[1] + 1])) for k, t in turns.items() if (k[0], k[1] + 1) in turns}
+    assert got.keys() == want.keys()
+    for k, (a, b) in want.items():
+        x, y = a.split(" "), b.split(" ")
+        assert got[k] == (pytest.approx(edits(a, b) / max(len(a), 1), abs=1e-6), pytest.approx(edits(x, y) / max(len(x), 1), abs=1e-6))
