@@ -173,6 +173,12 @@ def candidate_source_report(pages: DataFrame) -> DataFrame:
     return g.groupBy("host").agg(F.sum("n").alias("n_pages"), F.sum("x").alias("not_https"), F.sum("s").alias("with_credentials"), F.sum("e").alias("missing_pages"), (F.sum("n") - F.count("*")).alias("duplicate_pages"))
 
 
+def candidate_source_counts(sources: DataFrame, columns: list[str]) -> DataFrame:
+    """(dimension, value, n): candidate sources by each value of each column, as of status, content and rights; null is a value."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns))
+    return sources.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
+
+
 def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x = a.select(key).subtract(b.select(key)).withColumn("side", F.lit("missing"))
     return x.unionByName(b.select(key).subtract(a.select(key)).withColumn("side", F.lit("extra")))

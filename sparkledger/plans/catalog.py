@@ -727,6 +727,23 @@ def a24_candidate_sources(pages):
     return governance.candidate_source_report(pages)
 
 
+# Status, content and rights of the pages as candidate sources: by their address and their markup.
+_CANDIDATE = (
+    "SELECT CASE WHEN url LIKE 'https://%' THEN 'verified' WHEN url LIKE 'http://%' THEN 'pending' END AS status,"
+    " CASE WHEN html LIKE '%<article%' THEN 'article' ELSE 'other' END AS content,"
+    " CASE WHEN url LIKE '%.example.com/%' THEN 'licensed' WHEN url LIKE '%.example.net/%' THEN 'permitted' WHEN page_id % 2 = 0 THEN 'unknown' END AS rights FROM pages"
+)
+
+
+@query(
+    f"WITH c AS ({_CANDIDATE}) " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS n FROM c GROUP BY {d}" for d in ("status", "content", "rights")),
+    "pages",
+)
+def a24_source_counts(pages):
+    d = pages.sparkSession.sql(_CANDIDATE.replace("FROM pages", "FROM {p}"), p=pages)
+    return governance.candidate_source_counts(d, ["status", "content", "rights"])
+
+
 # That engine cannot look around: where a pattern only has to be found, it consumes its neighbours instead.
 _GATE = [p for k, p in messages.SENSITIVE if k in ("EMAIL", "PHONE", "MONEY")]
 _FOUND = [p.replace(r"(?<!\d)", "(?:^|[^0-9])").replace(r"(?!\d)", "(?:[^0-9]|$)") for p in [*_GATE, *messages.RESIDUAL, messages.SECRET]]
