@@ -12,7 +12,7 @@ and only lines that match come back to their document.
 
 Defined results: a null or empty text has the digest of the empty text and no licence; of several licences with one
 digest the smallest name is given; repeated rows each get their own result row; an empty table gives an empty
-result; columns other than doc_id and text are not read.
+result; a text of any length is read whole; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ as a pattern of fixed character classes; texts with characters beyond are split
 Unicode versions differ on characters beyond that.
 
 Defined results: a null text is an empty one, with no tokens; repeated rows each get their own result row; an empty
-table gives an empty result; columns other than doc_id and text are not read.
+table gives an empty result; a text longer than a chunk is a chunk of its own, whole; columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
