@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 shared folder and reads them back for the next, so a lost executor never costs more than the stage at hand. Tables that
 only an earlier stage needed are deleted as soon as its result is written.
 
-Every stage takes nulls, repeated rows, empty tables and other columns of any name, which it passes on.
+Every stage takes nulls, repeated rows, empty tables, texts of any length (read whole) and other columns of any name, which
+it passes on. Of equal or near texts the row of the smallest doc_id stays; of lines that many documents share, that of the
+largest.
 """
 
 from __future__ import annotations
