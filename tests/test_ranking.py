@@ -212,3 +212,11 @@ def test_three_classes_and_encoded_texts(spark):
     results = models.fit_candidates(*(d.select((F.col("label") == "FRAUDULENT").cast("int").alias("label"), F.coalesce("x", F.lit(1.0)).alias("x"), F.coalesce("kind", F.lit("?")).alias("kind")),) * 2, ["x"], seeds=[42], trees=3, depth=3, categorical=["kind"])
     ranked = models.rank_candidates(results).orderBy("rank").collect()
     assert [r["rank"] for r in ranked] == [1, 2, 3] and "dummy" not in {r["candidate"] for r in ranked} and ranked[0]["average_precision"] >= ranked[-1]["average_precision"]
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    """A hash has many postings, which the planner's sizes do not know."""
+    rows = [(1, 5, 9), (2, 5, 8), (3, 5, 9), (4, 900000, 77)]
+    d = references.near_duplicates(spark.createDataFrame(rows, "id long, hi long, lo long").limit(9), 6)
+    assert [tuple(r) for r in d.collect()] == [(1, 2, 1)]
+    assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
