@@ -66,6 +66,13 @@ def test_overlaps_equal_brute_force(spark):
     assert {r.doc: r.overlaps for r in extraction.overlap_count(t, 32.0).collect()} == want
 
 
+def test_boxes_in_cells_are_not_broadcast(spark):
+    t = spark.createDataFrame([(1, n % 2, n, 9.0 * n, 50.0, 0.0, 10.0) for n in range(4)], "doc int, line int, pos int, x double, width double, y double, height double")
+    d = extraction.overlap_count(t)
+    assert [tuple(r) for r in d.collect()] == [(1, 4)]
+    assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_numbered_placeholders(spark):
     texts = [
         "Pay GHS 5 to a@b.com, again A@B.COM, call 0241234567",
