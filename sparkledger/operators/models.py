@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -11,6 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .evaluation import binary_metrics, recall_under_fpr, threshold_curve
 
 # The seeds of the runs, the cap of the false-positive rate, and the positives that isotonic calibration needs.
@@ -89,20 +89,26 @@ def _evaluated(s: DataFrame, candidate: str, seed: int) -> DataFrame:
 
 
 def fit_candidates(train: DataFrame, tune: DataFrame, features: list[str], seeds: list[int] = SEEDS, trees: int = 20, depth: int = 6, categorical: list[str] | None = None) -> DataFrame:
-    """(candidate, seed, metrics on tune) of the dummy, logistic, boosted and forest candidates; logistic has no seed of its own."""
-    base = train.agg(F.round(F.avg("label"), 6).alias("score"))
-    out = _evaluated(tune.crossJoin(F.broadcast(base)), "dummy", seeds[0])
-    train = train.persist(StorageLevel.DISK_ONLY)  # for the fits, which run here
+    """(candidate, seed, metrics on tune) of the dummy, logistic, boosted and forest candidates; logistic has no seed of its own.
+
+    Features of both sides are worked out once and stored for the fits and scores, which all read them; so is each score."""
+    weights = weighted(train)
+    encoder = Pipeline(stages=_encoded(features, categorical or [])).fit(weights)
+    rows = stored(encoder.transform(weights).select("label", "weight", "features"))
+    seen = stored(encoder.transform(tune).select("label", "features"))
+    base = stored(train.agg(F.round(F.avg("label"), 6).alias("score")))
+    out = _evaluated(seen.select("label").crossJoin(F.broadcast(base)), "dummy", seeds[0])
     for name in ("logistic", "boosted", "forest"):
         for seed in seeds[:1] if name == "logistic" else seeds:
-            out = out.unionByName(_evaluated(scored(fit(train, features, name, seed, trees, depth, categorical), tune), name, seed))
-    train.unpersist()
+            model = _estimators(seed, trees, depth)[name].fit(rows)
+            out = out.unionByName(_evaluated(stored(scored(model, seen).select("label", "score")), name, seed))
     return out
 
 
 def calibrate(first: DataFrame, second: DataFrame) -> DataFrame:
     """(method, brier, average_precision, chosen): fitted on first, judged on second. Sigmoid always, isotonic with enough
     positives; the lower Brier score is chosen, then the higher average precision, then the name."""
+    first = stored(first)
     fitted = {"sigmoid": LogisticRegression(featuresCol="x", labelCol="label")}
     if first.where("label = 1").limit(MIN_ISOTONIC).count() == MIN_ISOTONIC:
         fitted["isotonic"] = IsotonicRegression(featuresCol="x", labelCol="label", predictionCol="p")
@@ -112,7 +118,7 @@ def calibrate(first: DataFrame, second: DataFrame) -> DataFrame:
     for name, e in fitted.items():
         d = e.fit(a).transform(b)
         p = F.col("p") if name == "isotonic" else vector_to_array("probability")[1]
-        m = binary_metrics(d.select("label", p.alias("score"))).select(F.lit(name).alias("method"), "brier", "average_precision")
+        m = binary_metrics(stored(d.select("label", p.alias("score")))).select(F.lit(name).alias("method"), "brier", "average_precision")
         out = m if out is None else out.unionByName(m)
     best = out.agg(F.min(F.struct("brier", (-F.col("average_precision")).alias("ap"), "method")).alias("b")).select(F.col("b.method").alias("best"))
     return out.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("method") == F.col("best")).drop("best")
@@ -124,7 +130,7 @@ def cross_source(models: dict[str, PipelineModel], tunes: dict[str, DataFrame])
     for a, model in models.items():
         for b, tune in tunes.items():
             if a != b:
-                m = binary_metrics(scored(model, tune))
+                m = binary_metrics(stored(scored(model, tune).select("label", "score")))
                 m = m.select(F.lit(a).alias("trained_on"), F.lit(b).alias("scored_on"), *m.columns)
                 out = m if out is None else out.unionByName(m)
     return out
