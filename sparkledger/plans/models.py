@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import causal, evaluation, models
+from ..sources.scratch import stored
 from .catalog import parted, query
 
 _FEATURES = ["amount", "step_of_day", "prior_24h_count", "prior_24h_amount"]
 
 
 def _rows(tx):
+    """The rows of all fits and scores, worked out once: a fit reads its rows many times, and each score reads them again."""
     d = causal.velocity(parted(tx)).withColumn("step_of_day", F.col("step") % 24)
-    return d.select("partition", "transaction_type", F.col("label_is_fraud").alias("label"), *(F.col(c).cast("double").alias(c) for c in _FEATURES))
+    return stored(d.select("partition", "transaction_type", F.col("label_is_fraud").alias("label"), *(F.col(c).cast("double").alias(c) for c in _FEATURES)))
 
 
 @query(None, "tx")
@@ -48,7 +50,7 @@ def e13_cross_source(tx):
     d = _rows(tx)
     parts = {"train": {}, "tuning": {}}
     for p, t in d.where(F.col("partition").isin(*parts) & F.col("transaction_type").isNotNull()).select("partition", "transaction_type").distinct().orderBy("partition", "transaction_type").collect():
-        parts[p][t] = d.where((F.col("partition") == p) & (F.col("transaction_type") == t))
+        parts[p][t] = stored(d.where((F.col("partition") == p) & (F.col("transaction_type") == t)))
     return models.cross_source({t: models.fit(x, _FEATURES, "logistic") for t, x in parts["train"].items()}, parts["tuning"])
 
 
