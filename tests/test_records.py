@@ -368,3 +368,22 @@ def test_error_rates_of_whole_turns(spark):
     for k, (a, b) in want.items():
         x, y = a.split(" "), b.split(" ")
         assert got[k] == (pytest.approx(edits(a, b) / max(len(a), 1), abs=1e-6), pytest.approx(edits(x, y) / max(len(x), 1), abs=1e-6))
+
+
+def test_model_queries_read_stored_rows(spark, monkeypatch):
+    """No fit, score or metric works out the causal windows again."""
+    from sparkledger.plans import models as plans
+
+    seen = []
+    monkeypatch.setattr(models, "fit", lambda train, *_, **__: seen.append(train))
+    monkeypatch.setattr(models, "scored", lambda model, d: d.withColumn("score", F.lit(0.5)))
+    monkeypatch.setattr(models, "calibrate", lambda a, b: seen.extend([a, b]))
+    monkeypatch.setattr(models, "cross_source", lambda m, tunes: seen.extend(tunes.values()))
+    monkeypatch.setattr(models, "fit_candidates", lambda train, tune, *_, **__: seen.extend([train, tune]))
+    tx = view(spark, SF, "tx")
+    plans.e12_calibrate(tx)
+    plans.e13_cross_source(tx)
+    plans.e11_e14_candidates(tx)
+    assert len(seen) > 10
+    for d in seen:
+        assert "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
