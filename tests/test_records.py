@@ -387,3 +387,11 @@ def test_model_queries_read_stored_rows(spark, monkeypatch):
     assert len(seen) > 10
     for d in seen:
         assert "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_residual_gate_reads_whole_messages(spark):
+    """Every message of the view has an amount before its document's text."""
+    n = view(spark, SF, "msgs").count()
+    held = {r[0] for r in catalog.QUERIES["m4_residual_gate"](spark, SF).select("record_id").collect()}
+    documents = {r[0] for r in catalog.QUERIES["m4_document_gate"](spark, SF).select("doc_id").collect()}
+    assert len(held) == n and "FROM msgs" in catalog.SQL["m4_residual_gate"] and documents < held
