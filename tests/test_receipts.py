@@ -87,3 +87,12 @@ def utc(*x):
 def test_times(spark, text, want):
     r = spark.createDataFrame([(text,)], "t string").select(references.occurred_at(F.col("t"))["at"].alias("at")).first()
     assert (r["at"] and r["at"].replace(tzinfo=None)) == want
+
+
+def test_plans_that_read_fields_twice_read_them_stored(spark):
+    from sparkledger.fixtures import view
+    from sparkledger.plans import extraction as plans
+
+    d = plans.p11_diff_confirmed(view(spark, "/root/testdata/sf0.001", "receipts"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and d.count() > 0
