@@ -395,3 +395,13 @@ def test_residual_gate_reads_whole_messages(spark):
     held = {r[0] for r in catalog.QUERIES["m4_residual_gate"](spark, SF).select("record_id").collect()}
     documents = {r[0] for r in catalog.QUERIES["m4_document_gate"](spark, SF).select("doc_id").collect()}
     assert len(held) == n and "FROM msgs" in catalog.SQL["m4_residual_gate"] and documents < held
+
+
+@pytest.mark.parametrize("name", ["x11_error_rates", "x11_text_error_rate"])
+def test_error_rates_are_dealt_by_work(spark, monkeypatch, name):
+    """A few megabytes of turns are much work, so the size of the tables does not settle the number of tasks."""
+    few = catalog.QUERIES[name](spark, SF)
+    monkeypatch.setattr(messages, "TASK_WORK", 1 << 20)
+    many = catalog.QUERIES[name](spark, SF)
+    assert many.rdd.getNumPartitions() >= 4 > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))

@@ -1,6 +1,7 @@
 """Text functions, and what is built on them, against the plain versions of Python."""
 
 import hashlib
+import random
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -78,3 +79,30 @@ def test_reference_rows_are_read_in_compatibility_form(spark):
     a, b = records.canonicalize_references(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))).collect()
     assert (a.provider_code, a.transaction_reference, str(a.amount), a.currency, a.sender_name, a.transaction_status) == ("MTN_MOMO", "AB123456", "1200.50", "GHS", "AMA MENSAH", "SUCCESSFUL")
     assert a.errors == "" and a.occurred_at is not None and len(b.errors.split(",")) == 6
+
+
+def table_of_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edits_by_blocks_equal_the_table():
+    """A sequence longer than a block is put together from its blocks."""
+    draw = random.Random(7)
+    for k in range(2000):
+        a, b = ("".join(draw.choice("abé😀"[: 2 + k % 3]) for _ in range(draw.randint(0, 14))) for _ in range(2))
+        for block in (1, 2, 5, 1 << 12):
+            assert text._distance(a, b, block) == text._distance(list(b), list(a), block) == table_of_edits(a, b)
+
+
+def test_edits_of_texts_and_of_words(spark):
+    rows = [("abc d", "abd  d"), ("", ""), ("", "é"), ("😀x", "x😀"), ("same", "same"), (None, "a"), ("a", None)]
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a string, b string")
+    words = lambda c: F.split(c, " ")
+    for k, c, w in d.select("k", text.edits(F.col("a"), F.col("b")), text.edits(words("a"), words("b"))).collect():
+        x, y = rows[k]
+        assert (c, w) == ((None, None) if None in rows[k] else (table_of_edits(x, y), table_of_edits(x.split(" "), y.split(" "))))
