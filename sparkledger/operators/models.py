@@ -29,9 +29,10 @@ def _estimators(seed: int, trees: int, depth: int) -> dict:
 
 
 def weighted(train: DataFrame) -> DataFrame:
-    """train (label 0 or 1) with the weight n / (2 n_class) of each row's class."""
+    """train (label 0 or 1) with the weight n / (2 n_class) of each row's class. The weights are stored: each pass of a fit joins
+    them again."""
     n = train.groupBy("label").agg(F.count("*").alias("k"))
-    n = n.crossJoin(F.broadcast(n.agg(F.sum("k").alias("n")))).select("label", (F.col("n") / (2 * F.col("k"))).alias("weight"))
+    n = stored(n.crossJoin(F.broadcast(n.agg(F.sum("k").alias("n")))).select("label", (F.col("n") / (2 * F.col("k"))).alias("weight")))
     return train.join(F.broadcast(n), "label")
 
 
@@ -107,16 +108,20 @@ def fit_candidates(train: DataFrame, tune: DataFrame, features: list[str], seeds
 
 def calibrate(first: DataFrame, second: DataFrame) -> DataFrame:
     """(method, brier, average_precision, chosen): fitted on first, judged on second. Sigmoid always, isotonic with enough
-    positives; the lower Brier score is chosen, then the higher average precision, then the name."""
-    first = stored(first)
-    fitted = {"sigmoid": LogisticRegression(featuresCol="x", labelCol="label")}
-    if first.where("label = 1").limit(MIN_ISOTONIC).count() == MIN_ISOTONIC:
-        fitted["isotonic"] = IsotonicRegression(featuresCol="x", labelCol="label", predictionCol="p")
+    positives; the lower Brier score is chosen, then the higher average precision, then the name.
+
+    Both are worked out once for all methods. The isotonic fit weighs the counts of first's rows by label and score, as it
+    brings all rows of a score into one task."""
+    first, second = stored(first), stored(second)
+    counts = stored(first.groupBy("label", "score").agg(F.count("*").alias("weight")))
+    fitted = {"sigmoid": (LogisticRegression(featuresCol="x", labelCol="label"), first)}
+    if (counts.where("label = 1").agg(F.sum("weight")).first()[0] or 0) >= MIN_ISOTONIC:
+        fitted["isotonic"] = (IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight", predictionCol="p"), counts)
     vector = VectorAssembler(inputCols=["score"], outputCol="x")
-    a, b = vector.transform(first), vector.transform(second)
+    b = vector.transform(second)
     out = None
-    for name, e in fitted.items():
-        d = e.fit(a).transform(b)
+    for name, (e, rows) in fitted.items():
+        d = e.fit(vector.transform(rows)).transform(b)
         p = F.col("p") if name == "isotonic" else vector_to_array("probability")[1]
         m = binary_metrics(stored(d.select("label", p.alias("score")))).select(F.lit(name).alias("method"), "brier", "average_precision")
         out = m if out is None else out.unionByName(m)

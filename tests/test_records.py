@@ -389,6 +389,44 @@ def test_model_queries_read_stored_rows(spark, monkeypatch):
         assert "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_class_weights_are_stored(spark):
+    """A pass of a fit reads the weights instead of counting the classes again."""
+    train = spark.range(40).select((F.col("id") % 4 == 0).cast("int").alias("label"))
+    d = models.weighted(train)
+    assert "Aggregate" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in d.collect()} == {(1, 2.0), (0, 40 / 60)}
+
+
+def test_calibration_works_its_rows_out_once(spark, monkeypatch):
+    """Neither side is scored again for each method, and a frequent score is one row of each label to the isotonic fit."""
+    seen = {"first": spark.sparkContext.accumulator(0), "second": spark.sparkContext.accumulator(0)}
+
+    def rows(side):
+        def score(k):
+            seen[side].add(1)
+            return k % 5 / 5
+
+        return spark.range(2000).select(((F.col("id") * 7) % 10 < F.col("id") % 5 * 2).cast("int").alias("label"), F.udf(score, "double")("id").alias("score"))
+
+    fitted = []
+
+    class Isotonic(models.IsotonicRegression):
+        def fit(self, d):
+            fitted.append(d.count())
+            return super().fit(d)
+
+    monkeypatch.setattr(models, "IsotonicRegression", Isotonic)
+    got = models.calibrate(rows("first"), rows("second")).collect()
+    assert {r.method for r in got} == {"sigmoid", "isotonic"}
+    assert {k: a.value for k, a in seen.items()} == {"first": 2000, "second": 2000}
+    rates = {s: [((k * 7) % 10 < s * 2) for k in range(2000) if k % 5 == s] for s in range(5)}
+    assert fitted[0] == sum(len(set(r)) for r in rates.values()) <= 10
+    best = {s: sum(r) / len(r) for s, r in rates.items()}
+    assert sorted(best.values()) == list(best.values())  # so that the isotonic fit is the rate of each score
+    want = sum((best[s] - y) ** 2 for s, r in rates.items() for y in r) / 2000
+    assert next(r.brier for r in got if r.method == "isotonic") == pytest.approx(want, abs=1e-8)
+
+
 def test_residual_gate_reads_whole_messages(spark):
     """Every message of the view has an amount before its document's text."""
     n = view(spark, SF, "msgs").count()
