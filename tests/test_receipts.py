@@ -71,6 +71,23 @@ def test_review(spark):
     assert got == {"amount": (0.8, False), "currency": (0.0, True), "status_text": (0.99, True), "provider_code": (0.75, False)}
 
 
+def test_receipts_with_their_words_are_reviewed_in_their_rows(spark):
+    """As the join of fields and tokens has it, also for odd words and numbers; the join's plan shuffles and stores."""
+    from sparkledger.fixtures import view
+    from sparkledger.plans import extraction as plans
+
+    texts = {**CASES, "twice": "Paid 5.00 5.00 (5.00) MTN 500\nSender name: ß é Ama", "two": "To phone: 0241 234 567  0241\nGHS 12.50 12,50"}
+    d = spark.createDataFrame([*texts.items(), (None, texts["cedi"])], "k string, text string")
+    number = lambda k: F.when(k % 5 != 3, ((k * 7 + 13) % 101).cast("double"))
+    tokens = d.select(F.col("k").alias("doc"), F.posexplode(F.split("text", "[ \n]+")).alias("pos", "text")).select("doc", "text", number(F.col("pos")).alias("confidence"))
+    want = extraction.reviewed_fields(extraction.extract_receipt_fields(d, "k").withColumnRenamed("k", "doc"), tokens).collect()
+    numbers = F.transform(F.split("text", "[ \n]+"), lambda w, k: number(k))
+    got = extraction.reviewed_receipts(d, "k", F.regexp_replace("text", "[ \n]+", "\n"), numbers).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and len({r["confidence"] for r in got}) > 9
+    plan = plans.x14_reviewed_fields(view(spark, "/root/testdata/sf0.001", "receipts"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "scratch-" not in plan
+
+
 def utc(*x):
     return dt.datetime(*x)
 
